@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from gradeloom.llm.piece_codec import op6_sentencepiece
+from gradeloom.llm.sketch import OP10_SQL, op10_fingerprints
 from gradeloom.llm.token_counts import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_sentencepiece, op10_fingerprints)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_fingerprints": OP10_SQL}
