@@ -38,8 +38,22 @@ class Views:
         return self.spark.sql(VIEWS[name].replace("{k}", "get_json_object(props, '$.k')"), **{source: self.table(source)})
 
 
+def _longs(query: str) -> str:
+    """``count_if`` as Spark has it: a bigint, and 0 rather than null where the condition is never known."""
+    at = query.find("count_if(")
+    while at >= 0:
+        end, depth = at + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(query[end], 0)
+            end += 1
+        query = f"{query[:at]}count(case when {query[at + len('count_if(') : end - 1]} then 1 end){query[end:]}"
+        at = query.find("count_if(")
+    return query
+
+
 def sql(query: str) -> str:
     """A query over the views as DuckDB SQL: those it names become common table expressions."""
+    query = _longs(query)
     names = [n for n in VIEWS if any(f"{word} {n}" in f" {' '.join(query.split())} " for word in ("from", "join"))]
     ctes = ", ".join(f"{n} as ({VIEWS[n].replace('{k}', chr(39).join(['json_extract_string(props, ', '$.k', ')'])).replace('{' + _TABLES[n] + '}', _TABLES[n])})" for n in names)
     body = " ".join(query.split())
