@@ -13,7 +13,6 @@ id), which is a parameter, and of copies in it only one; every text is scored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +26,7 @@ from gradeloom.llm._common import fold, read, slices
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
-FIT_ROWS, LEAST_TEXTS = 12_000, 3
+FIT_ROWS, LEAST_TEXTS = 8_000, 3
 GRADE_WORDS = (1, 4)
 HELD_OUT, REJECT = 2, 0.5
 #: Marked features: toxic texts must have them so many times as often as clean ones.
@@ -105,15 +104,12 @@ def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int, l2: float =
     return dict(zip(names.tolist(), w.tolist())), theta
 
 
-def _first_copies(tokens: list[list[str]]) -> np.ndarray:
-    """Which texts share neither of two minima over their runs of five words with a text before them."""
-    seen: set[tuple[int, int]] = set()
-    first = np.ones(len(tokens), dtype=bool)
-    for i, t in enumerate(tokens):
-        runs = {" ".join(t[j : j + 5]) for j in range(max(len(t) - 4, 1))}
-        marks = {(seed, min(xxhash.xxh3_64_intdigest(r, seed) for r in runs)) for seed in (1, 2)}
-        first[i] = seen.isdisjoint(marks)
-        seen |= marks
+def _is_first(tokens: list[str], seen: set[tuple[int, int]]) -> bool:
+    """Does a text share neither of two minima over its runs of five words with one before it?"""
+    runs = {" ".join(tokens[j : j + 5]) for j in range(max(len(tokens) - 4, 1))}
+    marks = {(seed, min(xxhash.xxh3_64_intdigest(r, seed) for r in runs)) for seed in (1, 2)}
+    first = seen.isdisjoint(marks)
+    seen |= marks
     return first
 
 
@@ -131,29 +127,32 @@ def fit(texts: list[str], toxic: np.ndarray) -> Ordinal | None:
     """Derive grades and fit; None if one of the labels is missing."""
     if not len(texts) or toxic.min() == toxic.max():
         return None
-    tokens = [words(t) for t in texts]
-    first = _first_copies(tokens)
-    if toxic[first].min() == toxic[first].max():
-        first[:] = True
-    tokens, toxic = [t for t, x in zip(tokens, first) if x], toxic[first]
-    sets = [features(t) for t in tokens]
-    bad, good = Counter(), Counter()
-    for s, y in zip(sets, toxic):
-        (bad if y else good).update(s)
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    names = [h for h in bad.keys() | good.keys() if bad[h] + good[h] >= LEAST_TEXTS]
-    if not names:
+    seen: set[tuple[int, int]] = set()
+    x, y, own = [], [], []
+    for text, label in zip(texts, toxic):
+        tokens = words(text)
+        if _is_first(tokens, seen):
+            x.append(np.array(sorted(features(tokens)), dtype=np.int64))
+            y.append(int(label))
+            own.append(text if label else "")
+    y = np.array(y)
+    if y.min() == y.max():
+        return None
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    names, at = np.unique(np.concatenate(x), return_inverse=True)
+    in_bad = np.bincount(at, np.repeat(y, [len(r) for r in x]), minlength=len(names))
+    in_all = np.bincount(at, minlength=len(names))
+    enough = in_all >= LEAST_TEXTS
+    if not enough.any():
         return None
-    in_bad, in_good = np.array([bad[h] for h in names], float), np.array([good[h] for h in names], float)
+    names, in_bad, in_good = names[enough], in_bad[enough], (in_all - in_bad)[enough]
     tells = _ratio(in_bad, in_good, n1, n0) > 2 * np.log(len(names))
-    often = in_bad / n1 >= MARK_RATIO * in_good / n0
-    kept, marked = {h for h, x in zip(names, tells) if x}, {h for h, x in zip(names, tells & often) if x}
-    grade = np.zeros(len(tokens), dtype=np.int64)
-    for i in np.flatnonzero(toxic):
-        hits = sum(not marked.isdisjoint(_hashes[w]) for w in tokens[i])
+    marked = set(names[tells & (in_bad / n1 >= MARK_RATIO * in_good / n0)].tolist())
+    grade = np.zeros(len(y), dtype=np.int64)
+    for i in np.flatnonzero(y):
+        hits = sum(not marked.isdisjoint(_hashes[w]) for w in words(own[i]))
         grade[i] = 1 + sum(hits > g for g in GRADE_WORDS)
-    x = [np.array(sorted(s & kept), dtype=np.int64) for s in sets]
-    return Ordinal(*fit_ordinal(x, grade, len(GRADE_WORDS) + 2))
+    return Ordinal(*fit_ordinal([r[np.isin(r, names[tells])] for r in x], grade, len(GRADE_WORDS) + 2))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
