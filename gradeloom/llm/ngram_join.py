@@ -9,7 +9,8 @@ Documents with the same n-gram set are one class. The join then has four steps.
 2. Ordering. Over the classes left, n-grams are ordered anew, by magnitude of document frequency and then by hash; the
    first n - ceil(t n) + 1 of each class are its prefix.
 3. Candidates and partial overlaps. Two classes of one component need not be compared if others link them, so each
-   prefix n-gram first proposes the pairs with its smallest class, and after those are settled, all pairs of classes that are not yet in
+   prefix n-gram first proposes the pairs with the class that has the smallest share of n-grams of its own (of edited copies, the one they were
+   made from), and after those are settled, all pairs of classes that are not yet in
    one component; the length and position filters of prefix joins hold in both. For proposed pairs every fragment of the order counts
    its own overlap, and the counts are summed for each pair.
 4. Components of the links, by star contraction.
@@ -171,8 +172,8 @@ def _reaches(left1: Column, left2: Column, n1: Column, n2: Column, num: int, den
 def _linked(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose overlaps, counted by fragment and summed, make a link."""
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    own = ordered.join(ends, "k", "left_semi").select("k", "n", "items", F.explode(F.array_distinct(F.transform("items", lambda x: F.shiftrightunsigned(x, 56)))).alias("frag"))
-    own = own.select("k", "n", "frag", F.filter("items", lambda x: F.shiftrightunsigned(x, 56) == F.col("frag")).alias("seg"))
+    own = ordered.join(ends, "k", "left_semi").select("k", "n", "items", F.explode(F.array_distinct(F.transform("items", lambda x: F.shiftrightunsigned(x, 58)))).alias("frag"))
+    own = own.select("k", "n", "frag", F.filter("items", lambda x: F.shiftrightunsigned(x, 58) == F.col("frag")).alias("seg"))
     left = pairs.join(own.select(F.col("k").alias("a"), F.col("n").alias("n1"), "frag", F.col("seg").alias("s1")), "a")
     both = left.join(own.select(F.col("k").alias("b"), F.col("n").alias("n2"), "frag", F.col("seg").alias("s2")), ["b", "frag"])
     overlap = both.groupBy("a", "b", "n1", "n2").agg(F.sum(F.size(F.array_intersect("s1", "s2"))).alias("o"))
@@ -196,18 +197,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = shared_checkpoint(_sets(texts, n_words))
     grams = sets.select("k", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     often = grams.groupBy("h").count().filter("count > 1")
-    # an item: the magnitude of the frequency, then 58 bits of the hash; its upper eight bits are its fragment
-    item = F.shiftleft(F.floor(F.log2("count")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("h", 6))
+    # an item: the magnitude of the frequency, six steps to a doubling, then 56 bits of the hash; four steps are a fragment
+    item = F.shiftleft(F.least(F.floor(F.log2("count") * 6), F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned("h", 8))
     ordered = grams.join(often, "h").select("k", "n", item.alias("item")).groupBy("k", "n").agg(F.array_sort(F.collect_list("item")).alias("items"))  # one document's n-grams
     ordered = ordered.filter(F.size("items") * den >= F.col("n") * num)
     ordered = shared_checkpoint(ordered)
     rare = F.col("n") - F.size("items")
     length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1 - rare
     prefix = ordered.filter(length > 0).select("k", "n", rare.alias("rare"), F.posexplode(F.slice("items", F.lit(1), length)).alias("pos", "item"))
-    prefix = shared_checkpoint(prefix.select("item", "k", "n", (F.col("n") - F.col("rare") - F.col("pos")).alias("left")))
+    prefix = shared_checkpoint(prefix.select("item", "k", "n", (F.col("rare") / F.col("n")).alias("own"), (F.col("n") - F.col("rare") - F.col("pos")).alias("left")))
 
-    hubs = prefix.groupBy("item").agg(F.min(F.struct("k", "n", "left")).alias("hub"), F.count("*").alias("times")).filter("times > 1")
-    near = prefix.join(hubs, "item").filter((F.col("k") != F.col("hub.k")) & _may_link(F.col("n"), F.col("hub.n"), num, den) & _reaches(F.col("left"), F.col("hub.left"), F.col("n"), F.col("hub.n"), num, den))
+    hubs = prefix.groupBy("item").agg(F.min(F.struct("own", "k", "n")).alias("hub"), F.count("*").alias("times")).filter("times > 1")
+    near = prefix.join(hubs, "item").filter((F.col("k") != F.col("hub.k")) & _may_link(F.col("n"), F.col("hub.n"), num, den))
     first = shared_checkpoint(near.select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct())
     links = _linked(first, ordered, num, den)
     roots = components(links)
