@@ -17,9 +17,11 @@ VIEWS = {
     "students": "select c_custkey as student_id, c_name as name, c_nationkey as class_id, c_mktsegment as profile from {customer}",
     "classes": "select n_nationkey as class_id, n_name as class_name from {nation}",
     "reviews": "select event_id as review_id, user_id as student_id, cast({k} as int) % 10 as card_id, (cast({k} as int) % 10) % 3 as deck_id, case when event_type = 'signup' then 'sprint' else 'study' end as mode, case event_type when 'error' then 1 when 'view' then 2 when 'click' then 3 when 'purchase' then 4 else 3 end as rating, case when event_id % 7 = 0 then null else cast(floor(value * 100) as int) end as response_ms, ts as created_at, cast(ts as date) as reviewed_on from {events}",
-    "drafts": "select source as import_id, doc_id as id, row_number() over (partition by source order by doc_id) as rn, text, substr(text, 1, 200) as prompt, lang as section, n_chars, case when n_chars % 6 = 0 then null else substr('ABCD', cast(n_chars % 4 as int) + 1, 1) end as answer, case when n_chars % 9 = 0 then 'rejected' when n_chars % 5 = 0 then 'approved' else 'pending' end as status, case when n_chars % 7 = 0 then 'number_inferred' when n_chars % 11 = 0 then 'ocr_low' when n_chars % 13 = 0 then 'mystery' end as flag from {documents}",
+    "drafts": "select *, cast(floor(rn / 3.0) as int) as page_number, cast(least(floor((rn - 1) / 13.0), 3) as int) as module, cast((rn - 1) % 13 + case when id % 17 = 0 then 2 else 1 end as int) as number from (select source as import_id, doc_id as id, row_number() over (partition by source order by doc_id) as rn, text, substr(text, 1, 200) as prompt, lang as section, n_chars, case when n_chars % 6 = 0 then null else substr('ABCD', cast(n_chars % 4 as int) + 1, 1) end as answer, case when n_chars % 9 = 0 then 'rejected' when n_chars % 5 = 0 then 'approved' else 'pending' end as status, case when n_chars % 7 = 0 then 'number_inferred' when n_chars % 11 = 0 then 'ocr_low' when n_chars % 13 = 0 then 'mystery' end as flag from {documents}) d",
+    "key_lines": "select p_partkey % 10 as import_id, cast(floor(p_partkey / 200.0) as int) as page_number, cast(p_partkey % 200 as int) as line_no, case when p_partkey % 70 < 10 then concat('Reading and Writing Module ', cast(p_size % 4 as int), ' Answers') else concat(p_partkey % 27 + 1, '. ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), '   ', p_size % 22 + 1, ' ', substr('DCBA', cast(p_partkey % 4 as int) + 1, 1)) end as line from {part}",
+    "bank_pages": "select p_partkey % 10 as import_id, cast(p_partkey as int) as page_number, concat('Question ID: q', p_partkey, {nl}, p_name, ' is what?', {nl}, 'A) ', p_type, {nl}, 'B) two', {nl}, 'C) three', {nl}, case when p_size % 5 = 0 then '' else 'D) four' end, {nl}, case when p_size % 7 = 0 then '' else concat('Correct Answer: ', substr('ABCD', cast(p_size % 4 as int) + 1, 1)) end) as text from {part}",
 }
-_TABLES = {"attempts": "orders", "assignments": "orders", "questions": "part", "responses": "lineitem", "students": "customer", "classes": "nation", "reviews": "events", "drafts": "documents"}
+_TABLES = {"attempts": "orders", "assignments": "orders", "questions": "part", "responses": "lineitem", "students": "customer", "classes": "nation", "reviews": "events", "drafts": "documents", "key_lines": "part", "bank_pages": "part"}
 
 
 class Views:
@@ -35,7 +37,7 @@ class Views:
         if name not in VIEWS:
             return self.table(name)
         source = _TABLES[name]
-        return self.spark.sql(VIEWS[name].replace("{k}", "get_json_object(props, '$.k')"), **{source: self.table(source)})
+        return self.spark.sql(VIEWS[name].replace("{k}", "get_json_object(props, '$.k')").replace("{nl}", "char(10)"), **{source: self.table(source)})
 
 
 def _longs(query: str) -> str:
@@ -55,10 +57,21 @@ def sql(query: str) -> str:
     """A query over the views as DuckDB SQL: those it names become common table expressions."""
     query = _longs(query)
     names = [n for n in VIEWS if any(f"{word} {n}" in f" {' '.join(query.split())} " for word in ("from", "join"))]
-    ctes = ", ".join(f"{n} as ({VIEWS[n].replace('{k}', chr(39).join(['json_extract_string(props, ', '$.k', ')'])).replace('{' + _TABLES[n] + '}', _TABLES[n])})" for n in names)
+    view = lambda n: VIEWS[n].replace("{k}", "json_extract_string(props, '$.k')").replace("{nl}", "chr(10)").replace("{" + _TABLES[n] + "}", _TABLES[n])
+    ctes = ", ".join(f"{n} as ({view(n)})" for n in names)
     body = " ".join(query.split())
     if not names:
         return body
     if body.startswith("with recursive "):
         return f"with recursive {ctes}, {body[15:]}"
     return f"with {ctes}, {body[5:]}" if body.startswith("with ") else f"with {ctes} {body}"
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Dates as text, so that both engines return the same kind."""
+    return df.select([df[c].cast("string").alias(c) if kind == "date" else df[c] for c, kind in df.dtypes])
+
+
+def dated(query: str, *columns: str) -> str:
+    """The same for a DuckDB query."""
+    return f"select * replace ({', '.join(f'{c}::varchar as {c}' for c in columns)}) from ({query})"

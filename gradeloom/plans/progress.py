@@ -60,7 +60,7 @@ QUERIES = {
     "s8_upsert_sum": _deltas,
     "s9_replace_latest": lambda v: replace_latest(v.attempts.filter("attempt_id % 2 = 0"), v.attempts.filter("attempt_id % 2 = 1"), ["student_id", "test_id"], ["started_at", "attempt_id"]).select("student_id", "test_id", "attempt_id", "status"),
     "f1_bank_search": lambda v: P.bank_search(v.questions, section="math", contains="a", page=2, size=25),
-    "f2_tag_search": lambda v: P.tag_search(_cards(v), "green", "steel").select("card_id"),
+    "f2_tag_search": lambda v: P.tag_search(_cards(v), "small", "bolt").select("card_id"),
     "f3_not_correct": lambda v: graded(v).filter(~F.when(F.col("is_answered"), F.col("is_correct")).eqNullSafe(True)).groupBy("domain").agg(F.count("*").alias("n")),
     "f4_visible_decks": lambda v: P.visible_decks(v.orders.select(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 7).alias("deck_id")), v.customer.select(F.col("c_custkey").alias("student_id"), (F.col("c_nationkey") % 9).alias("deck_id")), v.nation.filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("deck_id"))),
     "f5_scoped_modules": _scoped,
@@ -89,7 +89,7 @@ SQL = {
     "s8_upsert_sum": g("select student_id, domain, coalesce(skill, '') as skill, count(*) as attempted, sum(is_correct::int)::bigint as correct from graded where domain is not null group by 1, 2, 3"),
     "s9_replace_latest": sql("select student_id, test_id, arg_max(attempt_id, (started_at, attempt_id)) as attempt_id, arg_max(status, (started_at, attempt_id)) as status from attempts group by 1, 2"),
     "f1_bank_search": sql("select * from (select question_id, section, domain, difficulty, case when difficulty <= 2 then 'easy' when difficulty >= 4 then 'hard' else 'medium' end as label, count(*) over () as total, count(*) over () > 50 as has_more from questions where difficulty is not null and section = 'math' and lower(prompt) like '%a%') order by question_id desc limit 25 offset 25"),
-    "f2_tag_search": "select p_partkey as card_id from part where list_contains(string_split(p_name, ' '), 'green') and lower(concat_ws(' ', p_name, p_type, p_name)) like '%steel%'",
+    "f2_tag_search": "select p_partkey as card_id from part where list_contains(string_split(p_name, ' '), 'small') and lower(concat_ws(' ', p_name, p_type, p_name)) like '%bolt%'",
     "f3_not_correct": g("select domain, count(*) as n from graded where (case when is_answered then is_correct end) is distinct from true group by 1"),
     "f4_visible_decks": "select student_id, deck_id from (select o_custkey as student_id, o_orderkey % 7 as deck_id from orders union select c_custkey, c_nationkey % 9 from customer) where deck_id in (select n_nationkey from nation where n_nationkey % 4 <> 0)",
     "f5_scoped_modules": sql("select assignment_id, module_id, section from (select assignment_id, test_id, case assignment_id % 3 when 0 then 'full_test' when 1 then 'math' else 'custom_modules' end as scope from assignments) join (select n_nationkey % 5 as test_id, n_nationkey as module_id, case when n_nationkey % 2 = 0 then 'math' else 'reading_writing' end as section from nation) using (test_id) where scope = 'full_test' or scope = section or (scope = 'custom_modules' and module_id in (1, 7, 12, 99))"),
