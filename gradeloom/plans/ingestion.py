@@ -147,7 +147,7 @@ SQL = {
     "e2_key_answer": "select p_partkey, p_size || '/4 | -1250' as key from part",
     "e9_module_name": "select doc_id, case when doc_id % 3 = 0 and n_chars % 3 > 0 then 'math' || n_chars % 3 when doc_id % 3 = 1 and n_chars % 3 > 0 then 'rw' || n_chars % 3 end as module from documents",
     "e18_snapshot_hash": "select n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') as hash from nation",
-    "d1_normalize_pages": "select doc_id, instr(text, 'the ') > 0 as changed, length(text) + 15 * n as before, length(text) + 8 * n as after from (select doc_id, text, (length(text) - length(replace(text, 'the ', ''))) // 4 as n from documents)",
+    "d1_normalize_pages": f"select doc_id, fixed <> text as changed, length(text) as before, length(fixed) as after from (select doc_id, text, {_FIXED} as fixed from (select doc_id, replace(text, 'the ', 'm o d u l e \\_\\_\\_ ') as text from documents))",
     "d2_text_quality": sql(f"with {_QUALITY.format(key='import_id', source='bank_pages')} select * from tq"),
     "d3_extract_keys": sql(f"with {_KEYS} select * from keys"),
     "d3_key_exactness": sql(f"with {_KEYS} select import_id, module, count(*) as entries, count(distinct number) as numbers, case when module < 2 then 27 when module < 4 then 22 end as expected, count(*) = count(distinct number) and count(distinct number) = max(number) and count(distinct number) = case when module < 2 then 27 when module < 4 then 22 end as exact from keys group by 1, 2"),
