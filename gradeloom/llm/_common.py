@@ -44,3 +44,25 @@ def hinted_small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def fold(id_col: str = "doc_id"):
     """The fold of a document, 0 to 3; fold 2 is held out from every fit."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+
+
+class Recent:
+    """A bounded cache of a Python worker in two generations; what is asked for again outlives the older one."""
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def missing(self, keys: set) -> list:
+        """The keys that are in neither generation; the others are in ``young`` afterwards."""
+        if len(self.young) + len(keys) > self.most // 2:
+            self.old, self.young = self.young, {}
+        new = []
+        for key in keys - self.young.keys():
+            found = self.old.get(key)
+            if found is None:
+                new.append(key)
+            else:
+                self.young[key] = found
+        return new

@@ -2,28 +2,39 @@
 
 A pre-token is encoded by a score-ordered agenda of adjacent symbol pairs: the pair whose joined piece has
 the best score is joined first, the leftmost on ties, and the two pairs that this makes are put on the
-agenda, until no pair is a piece. What is no piece at the end falls back to bytes. Each distinct pre-token
-that a worker meets is also given to the library, all of a slice in one call; a difference stops the job.
+agenda, until no pair is a piece. The agendas of many short pre-tokens are worked off together, as rows of a matrix; a
+long one has a heap. What is no piece at the end falls back to bytes. If no piece of the vocabulary has a
+Latin letter next to an ASCII sign, pre-tokens are also cut there, since no merge can cross such a place, and the parts are kept in a cache of their own. Each distinct pre-token that a worker's cache doesn't hold is also given
+whole to the library, all of a slice in one call; a difference stops the job.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import read, slices
+from gradeloom.llm._common import Recent, read, slices
 from gradeloom.llm._pretokens import MARK, library_ids, pretokens, processor
 
-#: Entries of a worker's cache, and the longest pre-token (in characters) that is kept in it.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Pre-tokens and parts that a worker's caches hold, and the longest (in characters) that are kept in them.
+CACHE_TOKENS, CACHE_PARTS, CACHE_CHARS = 400_000, 400_000, 64
 
-_worker_cache: dict[str, dict[str, tuple[str, str]]] = {}
+#: Symbols up to which parts are encoded together, in bands of these widths, and the rank of a pair that is no piece.
+BANDS, NEVER = (8, 12, 16, 24, 48), np.int32(1 << 30)
+#: Rows handled at once.
+SLICE = 512
+_LATIN, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"\x00-@\[-`{-\x7f"
+_CUT = re.compile(f"(?<=[{_LATIN}])(?=[{_SIGN}])|(?<=[{_SIGN}])(?=[{_LATIN}])")
+#: For each vocabulary, what a worker has found for pre-tokens and for their parts.
+_worker_cache: dict[str, tuple[Recent, Recent]] = {}
 
 
 class PieceCodec:
@@ -34,39 +45,114 @@ class PieceCodec:
         kinds = range(m.get_piece_size())
         self.bytes = {m.id_to_piece(i): i for i in kinds if m.is_byte(i)}
         self.ids = {m.id_to_piece(i): i for i in kinds if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
-        self.order = {p: -m.get_score(i) for p, i in self.ids.items()}
+        self.order = {p: k for k, p in enumerate(sorted(self.ids, key=lambda p: (-m.get_score(self.ids[p]), self.ids[p])))}
+        self.cut = not any(map(_CUT.search, self.ids))
         self.pieces = [b"" if m.is_control(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in kinds]
         self.pieces[m.unk_id()] = " ⁇ ".encode()
+        # codes: ids, and beyond them the characters that are no piece; pairs of codes that make a piece, in order, with its rank
+        self.code = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - self.ids.keys()):
+            self.code[c] = len(kinds) + len(self.code)
+        pairs = sorted(((self.code[p[:k]] << 32) | self.code[p[k:]], r) for p, r in self.order.items() for k in range(1, len(p)) if p[:k] in self.code and p[k:] in self.code)
+        self.pair, self.rank = np.array([k for k, _ in pairs], dtype=np.int64), np.array([r for _, r in pairs], dtype=np.int32)
+        self.by_rank = np.array([self.ids[p] for p in self.order], dtype=np.int64)
+        self.by_point = np.arange(0x110000, dtype=np.int64) + (1 << 24)
+        for c, code in self.code.items():
+            if len(c) == 1:
+                self.by_point[ord(c)] = code
+        self.names = [str(i) for i in kinds]
         self.end = m.eos_id()
 
     def encode(self, symbols: str) -> list[int]:
         """The ids of a string in which marks stand for spaces."""
+        out: list[int] = []
+        for part in self._joined(symbols):
+            if (i := self.ids.get(part)) is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[f"<0x{b:02X}>"] for b in part.encode()] if self.bytes else [self.model.unk_id()]
+        return out
+
+    def _joined(self, symbols: str) -> list[str]:
+        """The agenda as a heap of ranks and places."""
         parts: list[str | None] = list(symbols)
         n, order = len(parts), self.order
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(order[p], i, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in order]
+        agenda = [order[p] * n + i for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in order]
         heapq.heapify(agenda)
         while agenda:
-            _, left, piece = heapq.heappop(agenda)
-            if parts[left] is None or (right := after[left]) >= n or parts[left] + parts[right] != piece:
+            rank, left = divmod(heapq.heappop(agenda), n)
+            if parts[left] is None or (right := after[left]) >= n or order.get(piece := parts[left] + parts[right]) != rank:
                 continue  # one of the two has been joined meanwhile
             parts[left], parts[right] = piece, None
             after[left] = far = after[right]
             if far < n:
                 before[far] = left
-                if (p := piece + parts[far]) in order:
-                    heapq.heappush(agenda, (order[p], left, p))
-            if (near := before[left]) >= 0 and (p := parts[near] + piece) in order:
-                heapq.heappush(agenda, (order[p], near, p))
-        out: list[int] = []
-        for part in parts:
-            if part is not None:
-                if (i := self.ids.get(part)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.bytes[f"<0x{b:02X}>"] for b in part.encode()] if self.bytes else [self.model.unk_id()]
+                if (k := order.get(piece + parts[far])) is not None:
+                    heapq.heappush(agenda, k * n + left)
+            if (near := before[left]) >= 0 and (k := order.get(parts[near] + piece)) is not None:
+                heapq.heappush(agenda, k * n + near)
+        return [p for p in parts if p is not None]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of codes; -1 stands for no symbol."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (right >= 0), self.rank[at], NEVER)
+
+    def encode_many(self, parts: list[str]) -> list[list[int]]:
+        """The ids of many short strings: their agendas are rows of a matrix, and each step joins the best pair of every row."""
+        n, width = len(parts), max(map(len, parts))
+        lengths = np.fromiter(map(len, parts), np.int64, n)
+        codes = np.full((n, width + 1), -1, dtype=np.int64)
+        codes[:, :width][np.arange(width) < lengths[:, None]] = self.by_point[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
+        agenda = self._ranks(codes[:, :-1], codes[:, 1:])
+        rows, cols = np.arange(n), np.arange(width)
+        while len(rows):
+            mine = agenda[rows]
+            at = mine.argmin(axis=1)
+            best = mine[np.arange(len(rows)), at]
+            go = best != NEVER
+            rows, at, best, mine = rows[go], at[go], best[go], mine[go]
+            if not len(rows):
+                break
+            k = np.arange(len(rows))
+            own = codes[rows]
+            own[k, at] = self.by_rank[best]
+            shift = cols + (cols > at[:, None])
+            own[:, :width] = np.take_along_axis(own, shift, axis=1)
+            own[:, width] = -1
+            mine = np.concatenate([mine, np.full((len(rows), 1), NEVER, np.int32)], axis=1)
+            mine = np.take_along_axis(mine, cols + (cols >= at[:, None]), axis=1)
+            mine[k, at] = self._ranks(own[k, at], own[k, at + 1])
+            has = at > 0
+            mine[k[has], at[has] - 1] = self._ranks(own[k[has], at[has] - 1], own[k[has], at[has]])
+            codes[rows], agenda[rows] = own, mine
+        top = len(self.names)
+        counts = (codes >= 0).sum(axis=1).tolist()
+        plain = (codes < top).all(axis=1).tolist()
+        return [row[:c] if ok else self.encode(p) for row, c, ok, p in zip(codes.tolist(), counts, plain, parts)]
+
+    def encode_all(self, parts: list[str]) -> dict[str, list[int]]:
+        """The ids of strings of any length: short ones together by bands of length, long ones one by one."""
+        out, low = {}, 0
+        for high in BANDS:
+            band = [p for p in parts if low < len(p) <= high]
+            for at in range(0, len(band), 8_192):
+                some = band[at : at + 8_192]
+                out.update(zip(some, self.encode_many(some)))
+            low = high
+        out.update((p, self.encode(p)) for p in parts if len(p) > low)
         return out
 
+    def coded(self, tokens: list[str], known: Recent) -> list[list[int]]:
+        """The ids of many strings by their parts, of which ``known`` holds some."""
+        cut = [_CUT.split(t) if self.cut else [t] for t in tokens]
+        new = {p: tuple(ids) for p, ids in self.encode_all(known.missing({p for parts in cut for p in parts})).items()}
+        known.young.update(new if all(len(p) <= CACHE_CHARS for p in new) else {p: x for p, x in new.items() if len(p) <= CACHE_CHARS})
+        look = known.young if all(len(p) <= CACHE_CHARS for p in new) else known.young | new
+        return [[i for p in parts for i in look[p]] for parts in cut]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with the white space that stands for the mark before the text still in front."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -87,26 +173,30 @@ def piece_codes(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, cache = codec(model_path), _worker_cache.setdefault(model_path, {})
-        for part in slices(batches):
+        c, (cache, known) = codec(model_path), _worker_cache.setdefault(model_path, (Recent(CACHE_TOKENS), Recent(CACHE_PARTS)))
+        for part in slices(batches, SLICE):
             texts = [pretokens(t) for t in part.column(1).to_pylist()]
             seen = set().union(*texts)
-            if len(cache) + len(seen) > CACHE_ENTRIES:
-                cache.clear()
-            new = list(seen - cache.keys())
+            new = cache.missing(seen)
+            look = cache.young
             found = {}
-            for token, theirs in zip(new, library_ids(c.model, new)):
-                ids = c.encode(MARK + token.replace(" ", MARK))
+            for token, ids, theirs in zip(new, c.coded([MARK + t.replace(" ", MARK) for t in new], known), library_ids(c.model, new)):
                 if ids != theirs:
                     raise ValueError(f"the agenda gives {ids} for {token!r}, the library {theirs}")
-                found[token] = (" ".join(map(str, ids)), c.decode(ids))
-            cache.update((t, x) for t, x in found.items() if len(t) <= CACHE_CHARS)
-            look = cache if all(len(t) <= CACHE_CHARS for t in new) else cache | found
+                decoded = c.decode(ids)
+                # what ids decode to is kept only where it isn't the pre-token after a space
+                found[token] = " ".join([c.names[i] for i in ids]) + (f"\t{decoded}" if decoded != f" {token}" else "")
+            look.update((t, x) for t, x in found.items() if len(t) <= CACHE_CHARS)
+            look = look if all(len(t) <= CACHE_CHARS for t in new) else look | found
             n, shas, texts_out, shas_out, ids_out = [], [], [], [], []
             for tokens in texts:
                 codes = list(map(look.__getitem__, tokens))
-                ids = " ".join([x[0] for x in codes] + [str(c.end)])
-                decoded = "".join([x[1] for x in codes])[1:]  # without the space of the mark in front
+                ids = " ".join([*codes, c.names[c.end]])
+                if "\t" in ids:
+                    decoded = "".join([x.partition("\t")[2] if "\t" in x else f" {t}" for t, x in zip(tokens, codes)])[1:]
+                    ids = " ".join([*[x.partition("\t")[0] for x in codes], c.names[c.end]])
+                else:
+                    decoded = " ".join(tokens)  # the space of the mark in front goes
                 n.append(ids.count(" ") + 1)
                 shas.append(hashlib.sha256(ids.encode()).hexdigest())
                 shas_out.append(hashlib.sha256(decoded.encode()).hexdigest())

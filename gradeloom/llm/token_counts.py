@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import read, slices
+from gradeloom.llm._common import Recent, read, slices
 from gradeloom.llm._pretokens import library_ids, pretokens, processor
 
 TABLE_SIZE = 32_768
@@ -28,7 +28,7 @@ TABLE_SIZE = 32_768
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 TOKEN_LIMIT = 4_096
 
-_worker_cache: dict[str, dict[str, int]] = {}
+_worker_cache: dict[str, Recent] = {}
 
 
 def _text(text_col: str) -> Column:
@@ -71,16 +71,14 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tiers = processor(model_path), Tiers(table.value)
-        cache = _worker_cache.setdefault(model_path, {})
+        cache = _worker_cache.setdefault(model_path, Recent(CACHE_ENTRIES))
         for part in slices(batches):
             texts = [pretokens(t) for t in part.column(1).to_pylist()]
             seen = set().union(*texts) - tiers.keys()
-            if len(cache) + len(seen) > CACHE_ENTRIES:
-                cache.clear()
-            new = list(seen - cache.keys())
+            new = cache.missing(seen)
             found = dict(zip(new, map(len, library_ids(model, new)))) if new else {}
-            cache.update((t, n) for t, n in found.items() if len(t) <= CACHE_CHARS)
-            tiers.rest = cache if all(len(t) <= CACHE_CHARS for t in new) else cache | found
+            cache.young.update((t, n) for t, n in found.items() if len(t) <= CACHE_CHARS)
+            tiers.rest = cache.young if all(len(t) <= CACHE_CHARS for t in new) else cache.young | found
             n = [sum(map(tiers.__getitem__, x)) for x in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(part.column(1)), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
