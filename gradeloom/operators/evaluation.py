@@ -99,25 +99,30 @@ def calibration(predictions: DataFrame, buckets: int = 10) -> DataFrame:
 
 
 def rank_candidates(mastery_rows: DataFrame, questions: DataFrame, seen: DataFrame, most: int = 5) -> DataFrame:
-    """The best unseen questions of a student's weak skills: weakest skill first, then difficulty nearest to the rating.
+    """The best unseen questions of a student's ``most`` weakest skills: weakest skill first, then difficulty nearest to the rating.
 
-    Candidates come only from skills that the student has a rating for, joined by skill; seen ones go by an anti join.
+    The skills are cut to the weakest before questions are joined to them; seen ones go by an anti join.
     """
-    weak = mastery_rows.select("student_id", "skill", "rating")
+    weakest = F.row_number().over(Window.partitionBy("student_id").orderBy("rating", "skill"))
+    weak = mastery_rows.select("student_id", "skill", "rating", weakest.alias("k")).filter(F.col("k") <= most).drop("k")
     near = weak.join(questions.filter("status = 'active' and skill is not null").select("question_id", "skill", "difficulty"), "skill").join(seen.select("student_id", "question_id").distinct(), ["student_id", "question_id"], "left_anti")
     order = Window.partitionBy("student_id").orderBy(F.col("rating"), F.abs(F.col("difficulty") - 3 - F.col("rating")), "question_id")
     return near.select("student_id", "skill", "question_id", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= most)
 
 
-def top_k_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+def top_k_vectors(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 2_000) -> DataFrame:
     """The ``k`` most similar vectors of each stated query by cosine, in blocks of queries against all rows.
 
-    ``queries`` is a stated set; scores are built-in array functions and the best of each part are kept before the shuffle.
+    Queries are dealt into blocks by hash and vectors are sent to each block in slices, so a task has one block and one slice; scores are
+    built-in array functions, and the rank filter keeps the best of each task before its shuffle.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    pairs = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn")).join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    blocks = max(1, -(-queries.count() // block))
+    parts = 16
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    pairs = v.join(q, ["block", "part"]).filter("vec_id <> query_id")
     scored = pairs.select("query_id", "vec_id", F.floor(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn")) * 1000000 + 0.5).cast("long").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

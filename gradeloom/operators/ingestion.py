@@ -80,10 +80,9 @@ def bank_blocks(blocks: DataFrame) -> DataFrame:
 
 def module_completeness(questions: DataFrame) -> DataFrame:
     """Questions of each import's module against the expected number, missing modules included."""
-    spark = questions.sparkSession
-    spine = spark.createDataFrame(list(MODULES), "module int, expected int")
+    spine = F.explode(F.array(*[F.struct(F.lit(m).alias("module"), F.lit(n).alias("expected")) for m, n in MODULES]))
     have = questions.groupBy("import_id", "module").agg(F.countDistinct("number").alias("actual"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
-    full = questions.select("import_id").distinct().crossJoin(F.broadcast(spine)).join(have, ["import_id", "module"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    full = questions.select("import_id").distinct().withColumn("m", spine).select("import_id", "m.module", "m.expected").join(have, ["import_id", "module"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
     gap = F.col("expected") - F.col("actual")
     return full.select("import_id", "module", "expected", "actual", F.greatest(gap, F.lit(0)).alias("missing"), F.greatest(-gap, F.lit(0)).alias("over"), "first_page", "last_page", F.when(gap == 0, "complete").when(gap > 0, "partial").otherwise("over").alias("status"))
 

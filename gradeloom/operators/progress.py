@@ -119,7 +119,7 @@ def bank_search(questions: DataFrame, section: str | None = None, difficulty: in
     rows = rows.filter(F.contains(F.lower("prompt"), F.lit(contains.lower()))) if contains else rows
     total = rows.agg(F.count("*").alias("total"))
     shown = rows.select("question_id", "section", "domain", "difficulty", difficulty_label(F.col("difficulty")).alias("label")).orderBy(F.desc("question_id")).offset((page - 1) * size).limit(size)
-    return shown.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > page * size)
+    return shown.withColumn("total", total.scalar()).withColumn("has_more", F.col("total") > page * size)
 
 
 def tag_search(cards: DataFrame, tag: str, text: str) -> DataFrame:

@@ -66,7 +66,7 @@ QUERIES = {
     "f7_source_images": lambda v: v.pages.select("page_id", F.col("url").rlike(r"(?i)^https?://(blog|m)\.[^/]+/(en|fr)/\d+").alias("is_source")),
     "e2_key_answer": lambda v: v.part.select("p_partkey", E.key_answer(F.concat(F.lit(r" \frac{"), F.col("p_size").cast("string"), F.lit("}{4} or −1,"), F.lit("250 "))).alias("key")),
     "e9_module_name": lambda v: v.documents.select("doc_id", E.module_name(F.concat(F.element_at(F.array(F.lit("Math"), F.lit("Reading and Writing"), F.lit("Other")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" Module "), (F.col("n_chars") % 3).cast("string"))).alias("module")),
-    "e18_snapshot_hash": lambda v: v.nation.select("n_nationkey", E.snapshot_hash("n_regionkey", "n_name", "n_nationkey").alias("hash")),
+    "e18_snapshot_hash": lambda v: v.customer.select("c_custkey", E.snapshot_hash("c_nationkey", "c_name", "c_custkey").alias("hash")),
     "d1_normalize_pages": lambda v: D.normalize_pages(v.documents.select("doc_id", F.regexp_replace("text", "the ", "m o d u l e \\\\_\\\\_\\\\_ ").alias("text")), "doc_id").select("doc_id", "changed", "before", "after"),
     "d2_text_quality": lambda v: D.text_quality(v.bank_pages, "import_id"),
     "d3_extract_keys": lambda v: D.extract_keys(v.key_lines),
@@ -80,7 +80,7 @@ QUERIES = {
     "d8_section_transition": lambda v: D.section_transition(v.drafts.select("import_id", F.col("rn").alias("seq"), "text"), "text"),
     "d9_exact_duplicates": lambda v: D.exact_duplicates(v.documents, "doc_id", [F.col("text")], F.col("doc_id")),
     "d10_near_buckets": lambda v: D.near_buckets(v.documents, "doc_id", F.col("lang"), F.col("text"), F.lit(4)),
-    "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.documents.select(F.col("lang").alias("import_id"), (F.col("n_chars") % 4).alias("module"), (F.length("text") % 27).alias("number"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("prompt"))),
+    "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.documents.select(F.expr("concat(lang, ':', doc_id div 250)").alias("import_id"), (F.col("n_chars") % 2).alias("module"), (F.length("text") % 3).alias("number"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("prompt"))),
     "d12_attribute_figures": _figures,
     "d13_match_answers": _matches,
     "d14_assess_keys": lambda v: D.assess_keys(_matches(v), _match_keys(v)),
@@ -146,7 +146,7 @@ SQL = {
     "f7_source_images": "select page_id, regexp_matches(url, '(?i)^https?://(blog|m)\\.[^/]+/(en|fr)/\\d+') as is_source from pages",
     "e2_key_answer": "select p_partkey, p_size || '/4 | -1250' as key from part",
     "e9_module_name": "select doc_id, case when doc_id % 3 = 0 and n_chars % 3 > 0 then 'math' || n_chars % 3 when doc_id % 3 = 1 and n_chars % 3 > 0 then 'rw' || n_chars % 3 end as module from documents",
-    "e18_snapshot_hash": "select n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') as hash from nation",
+    "e18_snapshot_hash": "select c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}') as hash from customer",
     "d1_normalize_pages": f"select doc_id, fixed <> text as changed, length(text) as before, length(fixed) as after from (select doc_id, text, {_FIXED} as fixed from (select doc_id, replace(text, 'the ', 'm o d u l e \\_\\_\\_ ') as text from documents))",
     "d2_text_quality": sql(f"with {_QUALITY.format(key='import_id', source='bank_pages')} select * from tq"),
     "d3_extract_keys": sql(f"with {_KEYS} select * from keys"),
@@ -160,7 +160,7 @@ SQL = {
     "d8_section_transition": sql(f"select import_id, min(case when s >= 3 then seq end) as transition from (select import_id, rn as seq, sum(regexp_matches(text, '{D.MATH_SIGNS}')::int) over (partition by import_id order by rn rows between current row and 4 following) as s from drafts) group by 1"),
     "d9_exact_duplicates": f"with r as (select doc_id, substr(sha256({_CONTENT}), 1, 32) as fp from documents where trim(text) <> '') select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, min(doc_id) as canonical from r group by 1 having count(*) > 1) using (fp)",
     "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, '4', array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
-    "d11_coalesce_repeats": "with d as (select lang as import_id, n_chars % 4 as module, length(text) % 27 as number, doc_id as id, substr(text, 1, 200) as prompt, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from documents) select import_id, module, number, case when length(p1) >= length(p2) then i1 else i2 end as kept, case when length(p1) >= length(p2) then i2 else i1 end as dropped, floor(o * 1000 + 0.5)::bigint as overlap_permille from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.prompt as p1, b.prompt as p2, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id) where o >= 0.82",
+    "d11_coalesce_repeats": "with d as (select lang || ':' || (doc_id // 250) as import_id, n_chars % 2 as module, length(text) % 3 as number, doc_id as id, substr(text, 1, 200) as prompt, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from documents) select import_id, module, number, case when length(p1) >= length(p2) then i1 else i2 end as kept, case when length(p1) >= length(p2) then i2 else i1 end as dropped, floor(o * 1000 + 0.5)::bigint as overlap_permille from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.prompt as p1, b.prompt as p2, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id) where o >= 0.82",
     "d12_attribute_figures": "with q as (select page_id % 40 as pid, page_id as seq, length(url) % 3 as markers, sum(length(url) % 3) over (partition by page_id % 40 order by page_id) as upto from pages), b as (select pid, box_id, row_number() over (partition by pid order by box_id) as k from (select item_id % 40 as pid, item_id as box_id from benchmark union all select page_id % 40, page_id + 1000 from pages)) select b.pid as page_id, box_id, k, seq, case when seq is null then 'needs_review' else 'attributed' end as status from b left join q on b.pid = q.pid and k > upto - markers and k <= upto",
     "d13_match_answers": sql(f"with {_MATCH} select * from ms"),
     "d14_assess_keys": sql(f"with {_MATCH} select import_id, questions, matched, by_position, entries, case when entries = 0 then 'missing' when by_position * 2 > matched then 'low_confidence' when matched = questions then 'complete' else 'partial' end as status, array_to_string(list_filter([case when entries > questions then 'extra_entries' end, case when entries < questions then 'short_key' end, case when by_position > 0 then 'matched_by_position' end], lambda x: x is not null), ',') as warnings from (select import_id, count(*) as questions, count(entry) as matched, count_if(method = 'module_position') as by_position from ms group by 1) left join (select import_id, count(*) as e from mk group by 1) using (import_id), lateral (select coalesce(e, 0) as entries)"),
