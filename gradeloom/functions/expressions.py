@@ -31,7 +31,8 @@ def answers_match(submitted: Column, key: Column) -> Column:
     mine = F.lower(F.trim(submitted))
     value = math_value(submitted)
     same = F.exists(F.split(key, r"\|"), lambda k: F.when(value.isNotNull() & math_value(k).isNotNull(), value == math_value(k)).otherwise(F.when(value.isNull() & math_value(k).isNull(), mine == F.lower(F.trim(k))).otherwise(F.lit(False))))
-    blank = submitted.isNull() | key.isNull() | (F.trim(submitted) == "") | F.contains(submitted, F.lit("|"))
+    zero = F.coalesce(_prefix_number(F.regexp_extract(submitted, r"^([^/]+)/([^/]+)$", 2)) == 0, F.lit(False))  # such a fraction equals nothing
+    blank = zero | submitted.isNull() | key.isNull() | (F.trim(submitted) == "") | F.contains(submitted, F.lit("|"))
     return F.when(blank, F.lit(False)).otherwise(F.coalesce(same, F.lit(False)))
 
 

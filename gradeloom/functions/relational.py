@@ -60,4 +60,4 @@ def wilson(part: Column, whole: Column, z: float = 1.959963984540054) -> tuple[C
     n = F.when(whole > 0, whole.cast("double"))
     p = part.cast("double") / n
     centre, spread = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), centre - spread), F.least(F.lit(1.0), centre + spread)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - spread)), F.when(n > 0, F.least(F.lit(1.0), centre + spread))
