@@ -77,7 +77,7 @@ def merge_totals(path: str, keys: list[str]):
 
 def new_documents(spark, path: str, most_files: int = 100) -> DataFrame:
     """Whole text files as they arrive, with their name; give it to the page operators."""
-    return spark.readStream.option("maxFilesPerTrigger", most_files).option("wholetext", "true").text(path).select(F.input_file_name().alias("import_id"), F.col("value").alias("text"))
+    return spark.readStream.option("maxFilesPerTrigger", most_files).text(path, wholetext=True).select(F.input_file_name().alias("import_id"), F.col("value").alias("text"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
