@@ -11,7 +11,9 @@ from gradeloom.plans.adapters import NOW, Views, sql
 from gradeloom.plans.grading import g, graded, pct
 from gradeloom.sources import tables as S
 
-_NOW = F.lit("1995-06-15 00:00:00").cast("timestamp")
+
+def _now():
+    return F.lit("1995-06-15 00:00:00").cast("timestamp")
 
 
 def _scores(v: Views):
@@ -19,7 +21,7 @@ def _scores(v: Views):
 
 
 def progress(v: Views):
-    return P.assignment_progress(v.assignments, v.attempts, _scores(v), v.responses.select("attempt_id", "seconds"), _NOW)
+    return P.assignment_progress(v.assignments, v.attempts, _scores(v), v.responses.select("attempt_id", "seconds"), _now())
 
 
 _LATEST = "select assignment_id, arg_max(attempt_id, (started_at, attempt_id)) as attempt_id, arg_max(status, (started_at, attempt_id)) as attempt_status from attempts group by 1"
@@ -72,7 +74,7 @@ QUERIES = {
     "p5_student_roster": lambda v: P.student_roster(v.students, v.attempts, G.topic_totals(graded(v))),
     "p6_test_listing": lambda v: P.test_listing(v.attempts, graded(v).select("test_id", "module_id", "question_id", "section"), F.col("section") == "math"),
     "p7_module_timing": lambda v: P.module_timing(_events(v), 600, F.unix_timestamp(F.lit(NOW).cast("timestamp"))),
-    "p8_dashboard_summary": lambda v: P.dashboard_summary(progress(v), v.assignments, _NOW),
+    "p8_dashboard_summary": lambda v: P.dashboard_summary(progress(v), v.assignments, _now()),
     "p9_practice_sets": lambda v: P.practice_sets(v.supplier.select((F.col("s_suppkey") % 40).alias("test_id")).distinct(), v.nation.select((F.col("n_nationkey") * 3).alias("test_id")), _links(v)),
     "p10_ineligible_questions": lambda v: P.ineligible_questions(v.questions),
     "p11_question_usage": lambda v: P.question_usage(_links(v)),

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from gradeloom.operators import reviews as R
 from gradeloom.plans.adapters import NOW, Views, dated, sql
 
-_TODAY = F.lit("2024-01-31").cast("date")
 _D = "date '2024-01-31'"
 
 
+def _today():
+    return F.lit("2024-01-31").cast("date")
+
+
 def _cards(v: Views):
     return v.reviews.select("student_id").distinct().select("student_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("card_id")).select("student_id", (F.col("card_id") % 3).alias("deck_id"), "card_id")
 
@@ -37,7 +40,7 @@ def f(query: str) -> str:
 
 
 def _progress(v: Views):
-    return R.deck_progress(_cards(v), _schedule(v), v.reviews, _TODAY)
+    return R.deck_progress(_cards(v), _schedule(v), v.reviews, _today())
 
 
 def _activity(v: Views):
@@ -46,16 +49,16 @@ def _activity(v: Views):
 
 QUERIES = {
     "r1_daily_activity": lambda v: R.daily_activity(v.reviews),
-    "r2_streaks": lambda v: R.streaks(v.reviews.select("student_id", F.col("reviewed_on").alias("day")).filter("(student_id + dayofmonth(day)) % 4 <> 0"), _TODAY),
+    "r2_streaks": lambda v: R.streaks(v.reviews.select("student_id", F.col("reviewed_on").alias("day")).filter("(student_id + dayofmonth(day)) % 4 <> 0"), _today()),
     "r3_fsrs_replay": lambda v: R.fsrs_replay(v.reviews).withColumn("due_on", F.to_date("due_at")).drop("due_at", "last_at"),
     "r4_rating_previews": lambda v: R.rating_previews(R.fsrs_replay(v.reviews), F.lit(NOW).cast("timestamp")),
     "r5_sm2_fold": _schedule,
     "r6_schedule_migration": lambda v: R.schedule_migration(_cards(v).filter("card_id % 2 = 0"), v.reviews),
-    "r7_deck_dashboard": lambda v: R.deck_dashboard(_cards(v), _schedule(v), _TODAY),
+    "r7_deck_dashboard": lambda v: R.deck_dashboard(_cards(v), _schedule(v), _today()),
     "r8_deck_progress": _progress,
-    "r9_study_history": lambda v: R.study_history(_cards(v), R.due_before(v.reviews), _schedule(v), _TODAY),
+    "r9_study_history": lambda v: R.study_history(_cards(v), R.due_before(v.reviews), _schedule(v), _today()),
     "r10_deck_report": lambda v: R.deck_report(_progress(v)),
-    "r11_study_queue": lambda v: R.study_queue(_cards(v), _schedule(v), _TODAY, 5),
+    "r11_study_queue": lambda v: R.study_queue(_cards(v), _schedule(v), _today(), 5),
     "r12_sprint_sample": lambda v: R.sprint_sample(_cards(v), 7, 6),
     "r13_card_merge": lambda v: R.card_merge(v.part.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 5).alias("deck_id"), F.col("p_name").alias("word")), v.part.select((F.col("p_size") % 5).cast("long").alias("deck_id"), F.upper("p_name").alias("word"), F.col("p_partkey").alias("place"))),
     "r14_consistency": lambda v: R.consistency(v.reviews, _activity(v)),
