@@ -5,7 +5,7 @@ Documents with the same n-gram set are one class. The join then has four steps.
 1. Thinning. N-grams have a fixed global order, by hash, and the order is cut into fragments. If a set of n n-grams has a
    partner, at most n - ceil(t n) of its n-grams are not shared; so of its first n - ceil(t n) + s, at least s are. Each fragment counts
    which of its n-grams more than one class has, the counts are summed for each class, and classes short of s are done. A task sends an
-   n-gram once however often its documents have it, so a passage in every document costs a row for each Arrow batch.
+   n-gram once however often its documents have it, so a passage in every document costs a row for each run of documents.
 2. Ordering. Over the classes left, n-grams are ordered anew, by magnitude of document frequency and then by hash; the
    first n - ceil(t n) + 1 of each class are its prefix.
 3. Candidates and partial overlaps. Two classes of one component need not be compared if others link them, so each
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import hinted_small, read, shared_checkpoint
+from gradeloom.llm._common import hinted_small, read, shared_checkpoint, slices
 from gradeloom.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -42,7 +42,8 @@ FRAGMENT_DOCS, LEAST_FRAGMENTS, BROADCAST_KEYS = 20_000, 64, 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
-_WORD_CACHE = 500_000
+#: Words whose hashes a worker keeps, and documents whose n-grams it counts together.
+_WORD_CACHE, TASK_ROWS = 200_000, 4_096
 
 
 class _WordHashes(dict):
@@ -88,7 +89,7 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
     names = [x.split(" ")[0] for x in _PART.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TASK_ROWS):
             ids, ns, ks, prefixes, own = [], [], [], [], {}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = text.as_buffer()
@@ -123,6 +124,7 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
             if rows:
                 no = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
+        _words.clear()  # workers live on for other stages
 
     def count(group: pa.Table) -> pa.Table:
         """A fragment: which of its n-grams do several classes have, and how many of these has each class that sent one alone?"""
@@ -156,6 +158,7 @@ def _sets(docs: DataFrame, n_words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 sets = [s for text in batch.column(0).slice(at, 256) if len(s := shingle_set(text.as_buffer().to_pybytes(), n_words))]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["k", "hs"])
+        _words.clear()
 
     return docs.mapInArrow(run, "k long, hs array<long>").dropDuplicates(["k"])
 
