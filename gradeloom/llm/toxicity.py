@@ -13,7 +13,7 @@ id), which is a parameter, and of copies in it only one; every text is scored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +26,13 @@ from gradeloom.llm._common import fold, read, slices
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
-FIT_ROWS, LEAST_TEXTS = 8_000, 3
+FIT_ROWS, LEAST_TEXTS = 5_000, 3
 GRADE_WORDS = (1, 4)
 HELD_OUT, REJECT = 2, 0.5
 #: Marked features: toxic texts must have them so many times as often as clean ones.
 MARK_RATIO = 20.0
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 class _Hashes(dict):
@@ -123,9 +123,9 @@ def _ratio(bad: np.ndarray, good: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * (part(bad, n1 * share) + part(good, n0 * share) + part(n1 - bad, n1 * (1 - share)) + part(n0 - good, n0 * (1 - share)))
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Ordinal | None:
+def fit(texts: Iterable[str], toxic: np.ndarray) -> Ordinal | None:
     """Derive grades and fit; None if one of the labels is missing."""
-    if not len(texts) or toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():
         return None
     seen: set[tuple[int, int]] = set()
     x, y, own = [], [], []
@@ -139,6 +139,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Ordinal | None:
     if y.min() == y.max():
         return None
     n1, n0 = int(y.sum()), int((1 - y).sum())
+    _hashes.clear()
     names, at = np.unique(np.concatenate(x), return_inverse=True)
     in_bad = np.bincount(at, np.repeat(y, [len(r) for r in x]), minlength=len(names))
     in_all = np.bincount(at, minlength=len(names))
@@ -165,7 +166,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     some = ids.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(fit_rows)
     rows = _slim(docs, id_col, text_col).join(F.broadcast(some), "id").orderBy("id", "text").limit(fit_rows)
     table = rows.select("text", "y").toArrow()
-    return fit(table.column("text").to_pylist(), np.array(table.column("y").to_pylist(), dtype=np.int64))
+    return fit((x.as_py() for x in table.column("text")), np.array(table.column("y").to_pylist(), dtype=np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
@@ -184,6 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             above = m.above(texts, plain) if m and texts else np.zeros((len(texts), len(GRADE_WORDS) + 1))
             each = np.c_[np.ones(len(texts)), above] - np.c_[above, np.zeros(len(texts))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32))], ["id", "severity", "score", "grade"])
+        _hashes.clear()  # workers live on for other stages
 
     graded = _slim(docs, id_col, text_col).mapInArrow(run, "id long, severity double, score double, grade int")
     return graded.select(F.col("id").alias(id_col), F.coalesce(fold("id") == HELD_OUT, F.lit(False)).alias("held_out"), "severity", "score", "grade", (F.col("score") >= reject).alias("toxic"))
