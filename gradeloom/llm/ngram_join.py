@@ -37,7 +37,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: The share of a set by which thinning looks further than a prefix must.
 SLACK = 0.1
 #: Documents for each fragment of the first order, and fragments at least; class keys that are broadcast at most.
-FRAGMENT_DOCS, LEAST_FRAGMENTS, BROADCAST_KEYS = 20_000, 64, 1_000_000
+FRAGMENT_DOCS, LEAST_FRAGMENTS, BROADCAST_KEYS = 1_000, 64, 1_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
