@@ -3,7 +3,8 @@
 Every page scores its containers: a block of text counts for the container that holds it and, less by a factor for each level, for those
 around it; text in links and in what is plainly no article counts nothing. The best container's path of tags and classes, with
 digits and hash-like names generalised, is the page's vote. Votes are counted for each host in Spark, and in a second pass each
-page takes its text from the first of its host's winning paths that it has and that holds enough of its text; a page that has none takes its own best.
+page takes all containers on the first of its host's winning paths that holds what its own best container holds, else those on its own best's path.
+What stands beside them, such as a title or a lead, is kept in page order too, unless it is mostly links.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from gradeloom.llm._common import hinted_small, read, slices
 
 #: Winning paths of a host, and rows of them that are broadcast at most.
 PATHS, BROADCAST_HOSTS = 8, 200_000
-#: What a level takes from a block's weight, what an article's own tags add, and the share of its best that a page wants of a winning path.
-LEVEL, ARTICLE, ENOUGH = 0.9, 1.3, 0.5
+#: What a level takes from a block's weight, what an article's own tags add, and the share of unlinked text that what stands beside an article must have.
+LEVEL, ARTICLE, UNLINKED = 0.9, 1.3, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -169,22 +170,42 @@ def best(page: Page, score: list[float]) -> int:
     return max(range(len(score)), key=lambda i: (score[i], page.containers[i].depth, -i))
 
 
-def text_of(page: Page, container: int) -> str:
-    return " ".join(b[0] for b in page.blocks[page.containers[container].first : page.ends[container]])
+def text_of(page: Page, chosen: list[int]) -> str:
+    """The text of the chosen containers and of what stands beside them, but for what is mostly links there."""
+    within = [False] * len(page.blocks)
+    above = {0}
+    for i in chosen:
+        within[page.containers[i].first : page.ends[i]] = [True] * (page.ends[i] - page.containers[i].first)
+        while i >= 0:
+            above.add(i)
+            i = page.containers[i].around
+    beside: dict[tuple[int, int], list[int]] = {}  # the widest container that has no chosen one in it, or a block alone
+    for k, (_, _, inside) in enumerate(page.blocks):
+        if not within[k]:
+            alone = inside in above
+            while inside not in above and page.containers[inside].around not in above:
+                inside = page.containers[inside].around
+            beside.setdefault((inside, k if alone else -1), []).append(k)
+    for group in beside.values():
+        if sum(page.blocks[k][1] for k in group) >= UNLINKED * sum(len(page.blocks[k][0]) for k in group):
+            for k in group:
+                within[k] = True
+    return " ".join(b[0] for b, kept in zip(page.blocks, within) if kept)
 
 
 def extract(html: str, paths: list[str]) -> str:
-    """The text under the first winning path that holds enough of the page, else under its own best container."""
+    """The text under the first winning path that holds all that the page's own best container holds, else under the path of that one."""
     page = parse(html)
     if not page.blocks:
         return ""
     score = scores(page)
     own = best(page, score)
-    for path in paths:
-        here = [i for i, c in enumerate(page.containers) if c.path == path and score[i] > 0 and score[i] >= ENOUGH * score[own]]
-        if here:
-            return text_of(page, max(here, key=lambda i: (score[i], -i)))
-    return text_of(page, own)
+    wanted = set(range(page.containers[own].first, page.ends[own]))
+    for path in [*paths, page.containers[own].path]:
+        here = [i for i, c in enumerate(page.containers) if c.path == path and score[i] > 0]
+        if here and wanted.issubset(k for i in here for k in range(page.containers[i].first, page.ends[i])):
+            return text_of(page, here)
+    return text_of(page, [own])
 
 
 def host(url_col: str) -> Column:

@@ -90,3 +90,10 @@ def test_templates_and_votes(spark):
 @pytest.mark.parametrize(("page", "text"), [("<p>a<p>b<br>c<script>if(a<b)x</script>d", "a b cd"), ("<div title='a>b'>x<!-- c --> y</div>", "x y"), ("<style>p{", ""), ("a&#65;&eacute;&bogus;", "aAé&bogus;"), ("</div></p>z", "z")])
 def test_broken_markup(page, text):
     assert H.extract(page, []) == text
+
+
+def test_articles_in_several_containers_are_whole():
+    two = "<body><div class='list'><div class='entry'><p>%s</p></div><div class='entry'><p>%s</p></div></div></body>" % ("first part " * 6, "second part " * 4)
+    assert H.extract(two, [">body>div.list>div.entry"]) == " ".join(["first part"] * 6 + ["second part"] * 4)
+    led = "<article><h1>Title</h1><p>lead</p><div class='text'><p>%s</p></div></article><div><a href=x>one link</a> <a href=y>another</a></div>" % ("long body " * 40)
+    assert H.extract(led, []) == H.extract(led, [">article>div.text"]) == "Title lead " + " ".join(["long body"] * 40)
