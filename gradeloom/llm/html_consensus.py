@@ -43,6 +43,8 @@ MARKS = frozenset(
 )
 #: Those that mark an article.
 GOOD = frozenset("article content main post entry story body text prose".split())
+#: The share of a page's unlinked text that makes it the main part, which no mark and no form drops.
+MAIN = 0.5
 
 
 class Container(NamedTuple):
@@ -53,10 +55,17 @@ class Container(NamedTuple):
     article: bool
 
 
+class Dropper(NamedTuple):
+    around: int  # index of the dropping element around it, or -1
+    marked: bool  # it drops by its marks or as a form only
+    inner: list[int]  # characters outside links for which it is the innermost one, and whether an article's container is in or at it
+
+
 class Page(NamedTuple):
     blocks: list[tuple[str, int, int]]  # text, characters outside links, innermost container
     containers: list[Container]
     ends: list[int]
+    droppers: list[Dropper]
 
 
 def _name(tag: str, classes: str) -> str:
@@ -65,12 +74,52 @@ def _name(tag: str, classes: str) -> str:
 
 
 def parse(html: str) -> Page:
-    """The blocks of a page outside what is no article, and its containers. Unclosed and stray tags are borne."""
+    """The blocks of a page outside what is no article, and its containers. Marks and forms around the main part of its text drop nothing, nor do any if else nothing is left."""
+    page = _parse(html)
+    if kept := _spared(page):
+        page = _parse(html, kept)
+    if not page.blocks and (marked := frozenset(k for k, d in enumerate(page.droppers) if d.marked)):
+        page = _parse(html, marked)
+    return page
+
+
+def _spared(page: Page) -> frozenset[int]:
+    """The marked elements that hold the main part of the unlinked text, less what others in them drop. One without an article's container, such as a long advertisement, does not count if one with text is outside."""
+    held, good = [d.inner[0] for d in page.droppers], [bool(d.inner[1]) for d in page.droppers]
+    total = sum(b[1] for b in page.blocks) + sum(d.inner[0] for d in page.droppers if d.marked)
+    outside: bool | None = None
+    spared = set()
+    for k in range(len(page.droppers) - 1, -1, -1):  # inner ones come after those around them
+        d = page.droppers[k]
+        if not d.marked or held[k] <= MAIN * total:
+            continue
+        if outside is None:
+            outside = any(_in_article(page, b[2]) for b in page.blocks if b[1])
+        if good[k] or not outside:
+            spared.add(k)
+            if d.around >= 0:
+                held[d.around] += held[k]
+                good[d.around] |= good[k]
+    return frozenset(spared)
+
+
+def _in_article(page: Page, inside: int) -> bool:
+    while inside > 0:
+        c = page.containers[inside]
+        if c.article and (c.depth > 1 or not c.path.startswith(">body")):
+            return True
+        inside = c.around
+    return False
+
+
+def _parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
+    """One pass, in which the dropping elements with the numbers ``spared`` drop nothing. Unclosed and stray tags are borne."""
     blocks: list[tuple[str, int, int]] = []
     containers, ends = [Container("", 0, 0, -1, False)], [0]
-    stack: list[tuple[str, bool, int]] = []  # tag, does it drop what is in it, container around it
+    droppers: list[Dropper] = []
+    stack: list[tuple[str, bool, int, int]] = []  # tag, does it drop what is in it, container and dropping element around it
     text: list[str] = []
-    inside, drop, links, plain, at, n = 0, 0, 0, 0, 0, len(html)
+    inside, within, drop, links, plain, at, n = 0, -1, 0, 0, 0, 0, len(html)
 
     def flush() -> None:
         nonlocal plain
@@ -82,7 +131,10 @@ def parse(html: str) -> Page:
 
     def take(upto: int) -> None:
         nonlocal plain
-        if upto > at and not drop:
+        if upto > at and drop:
+            if not links and not html[at:upto].isspace():
+                droppers[within].inner[0] += upto - at
+        elif upto > at:
             piece = html[at:upto]
             piece = unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -90,9 +142,9 @@ def parse(html: str) -> Page:
                 plain += len(piece) if not piece.isspace() else 0
 
     def close(depth: int) -> None:
-        nonlocal inside, drop, links
+        nonlocal inside, within, drop, links
         while len(stack) > depth:
-            tag, dropping, around = stack.pop()
+            tag, dropping, around, within = stack.pop()
             drop -= dropping
             links -= tag == "a"
             if tag in CONTAINERS:
@@ -140,18 +192,25 @@ def parse(html: str) -> Page:
                 names |= {x.lower() for x in _NAMES.findall(value)}
         whole = tag in ("html", "body", "main", "article")
         dropping = tag in DROPPED or hidden or (not whole and not MARKS.isdisjoint(names))
-        stack.append((tag, dropping, inside))
+        stack.append((tag, dropping and len(droppers) not in spared, inside, within))
+        if dropping:
+            droppers.append(Dropper(within, not hidden and (tag == "form" or tag not in DROPPED), [0, 0]))
+            within = len(droppers) - 1
+            dropping = within not in spared
         drop += dropping
         links += tag == "a"
         if tag in CONTAINERS:
             path = f"{containers[inside].path}>{_name(tag, classes)}"
-            containers.append(Container(path, containers[inside].depth + 1, len(blocks), inside, tag in ("article", "main") or not GOOD.isdisjoint(names)))
+            article = tag in ("article", "main") or not GOOD.isdisjoint(names)
+            if article and within >= 0:
+                droppers[within].inner[1] = 1
+            containers.append(Container(path, containers[inside].depth + 1, len(blocks), inside, article))
             ends.append(0)
             inside = len(containers) - 1
     flush()
     close(0)
     ends[0] = len(blocks)
-    return Page(blocks, containers, ends)
+    return Page(blocks, containers, ends, droppers)
 
 
 def scores(page: Page) -> list[float]:

@@ -97,3 +97,10 @@ def test_articles_in_several_containers_are_whole():
     assert H.extract(two, [">body>div.list>div.entry"]) == " ".join(["first part"] * 6 + ["second part"] * 4)
     led = "<article><h1>Title</h1><p>lead</p><div class='text'><p>%s</p></div></article><div><a href=x>one link</a> <a href=y>another</a></div>" % ("long body " * 40)
     assert H.extract(led, []) == H.extract(led, [">article>div.text"]) == "Title lead " + " ".join(["long body"] * 40)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='site with-sidebar'", "div class='content no-comments'", "div id='page-header-wrap'", "form action=x"])
+def test_marks_and_forms_do_not_drop_the_main_part(wrapper):
+    page = f"<body><{wrapper}><div class='sidebar'>side text</div><div class='entry'><p>{'the article ' * 20}</p></div><div class='comments'>a comment</div></{wrapper.split()[0]}><p>after it</p></body>"
+    assert H.extract(page, []) == " ".join(["the article"] * 20) + " after it"
+    assert H.extract("<div class='sidebar'>one</div><div class='comments'>two</div>", []) == "one two"
