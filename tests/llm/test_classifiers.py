@@ -51,6 +51,27 @@ def test_license_wordings(spark, odd, nothing):
     assert {tuple(r["licenses"]) for r in L.license_scan(odd).collect()} == {()} and L.license_scan(nothing).count() == 0
 
 
+def test_every_license_notice_of_a_paragraph_counts(spark):
+    cases = {
+        "Licensed under the MIT License or the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "Released under the MIT License. This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0", "MIT"],
+        "Released under\nthe MIT License.": ["MIT"],
+        "This work is\nlicensed under the GNU General Public\nLicense, version 3.": ["GPL-3.0"],
+        "# Permission is\n# hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal in\n# the Software without restriction": ["MIT"],
+        "This is free and unencumbered software released into the public\ndomain.": ["Unlicense"],
+        "Dedicated to the public\ndomain under CC0 1.0.": ["CC0-1.0"],
+        "Licensed under CC-BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "Licensed under Apache-2.0": ["Apache-2.0"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "Licensed under CC BY-NC-ND 4.0.": [],
+        "a license\n" + "other words\n" * 20 + "Released under the ISC License.": ["ISC"],
+    }
+    assert {k: [f.license for f in L.scan(k)] for k in cases} == cases
+    assert [[f.license for f in L.scan(text)] for _, text, _ in L.TEMPLATES] == [[name] for name, _, _ in L.TEMPLATES]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    assert [r["licenses"] for r in L.license_scan(df).orderBy("doc_id").collect()] == list(cases.values())
+
+
 def test_license_scan_equals_exact_lines_on_the_corpus(spark):
     exact = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License."}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
