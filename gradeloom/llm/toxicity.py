@@ -6,14 +6,15 @@ them: kept features that toxic texts have far more often are marked, and a toxic
 or 3 by how many of its words are marked (at most ``GRADE_WORDS[0]``, at most ``GRADE_WORDS[1]``, more). The model has one weight for each
 feature, shared by the ordered thresholds: P(grade > g) = logistic(w.x - threshold_g). A text's severity is its expected grade.
 
-The fit uses a bounded sample of labelled texts outside the held-out fold (``FIT_ROWS``, the first by a hash of the
-id), which is a parameter, and of copies in it only one; every text is scored.
+The fit uses a bounded sample of labelled texts outside the held-out fold (``FIT_ROWS``, a parameter): toxic ones first, up to half of it, then clean
+ones, each kind the first by a hash of the id and weighted by its share of all labels. Of copies of one label in it only one is used. Texts
+are hashed and features counted in Spark; the driver sees signatures, counts and the kept features. Every text is scored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import fold, read, slices
+from gradeloom.llm._common import fold, read, shared_checkpoint, slices
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
-FIT_ROWS, LEAST_TEXTS = 5_000, 3
+FIT_ROWS, LEAST_TEXTS = 12_000, 3
 GRADE_WORDS = (1, 4)
 HELD_OUT, REJECT = 2, 0.5
 #: Marked features: toxic texts must have them so many times as often as clean ones.
 MARK_RATIO = 20.0
+#: Texts of one label whose runs of five words agree in this share (by so many minima, looked up in bands of four) are copies.
+COPY, MINIMA, BAND = 0.8, 64, 4
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000
 
@@ -75,11 +78,12 @@ class Ordinal(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(np.array(totals)[:, None] - self.thresholds, -30, 30)))
 
 
-def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int, l2: float = 1e-5, steps: int = 600, rate: float = 0.3) -> tuple[dict[int, float], np.ndarray]:
+def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int, weight: np.ndarray | None = None, l2: float = 1e-5, steps: int = 600, rate: float = 0.3) -> tuple[dict[int, float], np.ndarray]:
     """Weights by feature and increasing thresholds, by full-batch adaptive gradient ascent of the likelihood.
 
-    Thresholds are a first one and exponentials of steps, so they stay in order.
+    Thresholds are a first one and exponentials of steps, so they stay in order. ``weight`` has the rows' weights, 1 on the mean.
     """
+    weight = np.ones(len(x)) if weight is None else weight
     names, at = np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_inverse=True)
     rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
     w, cuts = np.zeros(len(names)), np.r_[1.0, np.zeros(grades - 2)]
@@ -91,7 +95,7 @@ def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int, l2: float =
         upper = np.c_[below, np.ones(len(x))][np.arange(len(x)), grade]
         lower = np.c_[np.zeros(len(x)), below][np.arange(len(x)), grade]
         p = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+        du, dl = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
         to_w = np.bincount(at, (dl - du)[rows], minlength=len(w)) / len(x) - l2 * w
         to_theta = np.array([du[grade == g].sum() - dl[grade == g + 1].sum() for g in range(grades - 1)]) / len(x)
         tail = np.cumsum(to_theta[::-1])[::-1]
@@ -104,13 +108,32 @@ def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int, l2: float =
     return dict(zip(names.tolist(), w.tolist())), theta
 
 
-def _is_first(tokens: list[str], seen: set[tuple[int, int]]) -> bool:
-    """Does a text share neither of two minima over its runs of five words with one before it?"""
+_ODD = np.random.default_rng(1).integers(0, 2**63, (2, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(tokens: list[str]) -> np.ndarray:
+    """Minima of the runs of five words of a text under ``MINIMA`` orders."""
     runs = {" ".join(tokens[j : j + 5]) for j in range(max(len(tokens) - 4, 1))}
-    marks = {(seed, min(xxhash.xxh3_64_intdigest(r, seed) for r in runs)) for seed in (1, 2)}
-    first = seen.isdisjoint(marks)
-    seen |= marks
-    return first
+    h = np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), np.uint64, len(runs))
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4_096):
+        out = np.minimum(out, (h[at : at + 4_096, None] * _ODD[0] + _ODD[1]).min(axis=0))
+    return out.view(np.int64)
+
+
+def without_copies(signatures: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The rows that are no copy of an earlier kept one of their label."""
+    bands: dict[tuple[int, int, bytes], list[int]] = {}
+    kept = []
+    for i, row in enumerate(signatures):
+        keys = [(int(y[i]), k, row[k : k + BAND].tobytes()) for k in range(0, MINIMA, BAND)]
+        near = {j for key in keys for j in bands.get(key, ())}
+        if any((signatures[j] == row).mean() >= COPY for j in near):
+            continue
+        kept.append(i)
+        for key in keys:
+            bands.setdefault(key, []).append(i)
+    return np.array(kept, dtype=np.int64)
 
 
 def _ratio(bad: np.ndarray, good: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -123,50 +146,67 @@ def _ratio(bad: np.ndarray, good: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * (part(bad, n1 * share) + part(good, n0 * share) + part(n1 - bad, n1 * (1 - share)) + part(n0 - good, n0 * (1 - share)))
 
 
-def fit(texts: Iterable[str], toxic: np.ndarray) -> Ordinal | None:
-    """Derive grades and fit; None if one of the labels is missing."""
-    if not len(toxic) or toxic.min() == toxic.max():
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def _sample(ids: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """The labelled ids to fit on, toxic ones first, up to half of them, and how many labels of each kind there are."""
+    many = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
+    toxic = min(many.get(1, 0), max(fit_rows // 2, fit_rows - many.get(0, 0)))
+    first = lambda y, n: ids.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n)
+    return first(1, toxic).unionAll(first(0, fit_rows - toxic)), many
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        tokens = [words(t) for t in part.column(2).to_pylist()]
+        columns = [pa.array([sorted(features(t)) for t in tokens], pa.list_(pa.int64())), pa.array([signature(t) for t in tokens], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, part.column(2)], ["id", "y", "features", "signature", "text"])
+    _hashes.clear()
+
+
+def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Ordinal | None:
+    """Derive grades and fit on ``fit_rows`` labelled ids at most outside the held-out fold; of an id's texts the least counts. None if one of the labels is missing."""
+    ids = shared_checkpoint(one_label(labels, id_col, label_col).filter(fold("id") != HELD_OUT))
+    some, many = _sample(ids, fit_rows)
+    texts = _slim(docs, id_col, text_col).join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = shared_checkpoint(texts.mapInArrow(_hashed, "id long, y int, features array<long>, signature array<long>, text string"))
+    table = rows.select("id", "y", "signature").orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
+    if not table.num_rows:
         return None
-    seen: set[tuple[int, int]] = set()
-    x, y, own = [], [], []
-    for text, label in zip(texts, toxic):
-        tokens = words(text)
-        if _is_first(tokens, seen):
-            x.append(np.array(sorted(features(tokens)), dtype=np.int64))
-            y.append(int(label))
-            own.append(text if label else "")
-    y = np.array(y)
+    y = table.column("y").to_numpy()
+    kept = without_copies(np.asarray(table.column("signature").combine_chunks().flatten()).reshape(len(y), MINIMA), y)
+    ids_kept, y = table.column("id").to_numpy()[kept], y[kept]
     if y.min() == y.max():
         return None
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    _hashes.clear()
-    names, at = np.unique(np.concatenate(x), return_inverse=True)
-    in_bad = np.bincount(at, np.repeat(y, [len(r) for r in x]), minlength=len(names))
-    in_all = np.bincount(at, minlength=len(names))
-    enough = in_all >= LEAST_TEXTS
-    if not enough.any():
+    own = docs.sparkSession.createDataFrame(pa.table({"id": ids_kept}))
+    rows = rows.join(F.broadcast(own), "id")
+    counts = rows.select("y", F.explode("features").alias("h")).groupBy("h").agg(F.sum("y").alias("bad"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS).orderBy("h").toArrow()
+    if not counts.num_rows:
         return None
-    names, in_bad, in_good = names[enough], in_bad[enough], (in_all - in_bad)[enough]
+    names, in_bad = counts.column("h").to_numpy(), counts.column("bad").to_numpy()
+    in_good = counts.column("n").to_numpy() - in_bad
     tells = _ratio(in_bad, in_good, n1, n0) > 2 * np.log(len(names))
     marked = set(names[tells & (in_bad / n1 >= MARK_RATIO * in_good / n0)].tolist())
-    grade = np.zeros(len(y), dtype=np.int64)
-    for i in np.flatnonzero(y):
-        hits = sum(not marked.isdisjoint(_hashes[w]) for w in words(own[i]))
-        grade[i] = 1 + sum(hits > g for g in GRADE_WORDS)
-    return Ordinal(*fit_ordinal([r[np.isin(r, names[tells])] for r in x], grade, len(GRADE_WORDS) + 2))
-
-
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
+    telling = set(names[tells].tolist())
 
-def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Ordinal | None:
-    """Fit on the first ``fit_rows`` labelled ids, by hash, outside the held-out fold."""
-    ids = one_label(labels, id_col, label_col).filter(fold("id") != HELD_OUT)
-    some = ids.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(fit_rows)
-    rows = _slim(docs, id_col, text_col).join(F.broadcast(some), "id").orderBy("id", "text").limit(fit_rows)
-    table = rows.select("text", "y").toArrow()
-    return fit((x.as_py() for x in table.column("text")), np.array(table.column("y").to_pylist(), dtype=np.int64))
+    def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            grades = []
+            for label, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
+                hits = sum(not marked.isdisjoint(_hashes[w]) for w in words(text)) if label else 0
+                grades.append(label and 1 + sum(hits > g for g in GRADE_WORDS))
+            x = [[h for h in r if h in telling] for r in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.int64())), pa.array(grades, pa.int32())], ["id", "y", "x", "grade"])
+        _hashes.clear()
+
+    table = rows.select("id", "y", "features", "text").mapInArrow(graded, "id long, y int, x array<long>, grade int").orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
+    y, x = table.column("y").to_numpy(), [np.array(r, dtype=np.int64) for r in table.column("x").to_pylist()]
+    seen = np.array([(table.num_rows - int(y.sum())), int(y.sum())]) / np.array([many[0], many[1]])
+    weight = 1 / seen[y]
+    return Ordinal(*fit_ordinal(x, table.column("grade").to_numpy().astype(np.int64), len(GRADE_WORDS) + 2, weight / weight.mean()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:

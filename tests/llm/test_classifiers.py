@@ -43,6 +43,20 @@ def test_thresholds_stay_in_order_and_weights_are_shared():
     assert model.above(["zzz"], set()).shape == (1, 2)
 
 
+def test_toxic_labels_come_first_and_only_copies_go(spark):
+    import numpy as np
+
+    ids = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(400)], "id long, y int")
+    some, many = T._sample(ids, 60)
+    assert some.filter("y = 1").count() == 20 and some.count() == 60 and many == {0: 380, 1: 20}
+    assert T._sample(ids, 30)[0].filter("y = 1").count() == 15
+    notice = " ".join(f"n{i}" for i in range(40))
+    texts = [f"{notice} {' '.join(f'{k}x{i}' for i in range(60))}" for k in "abcdef"]
+    texts += [texts[0], texts[0]]
+    found = T.without_copies(np.array([T.signature(T.words(t)) for t in texts]), np.array([1] * 6 + [1, 0]))
+    assert found.tolist() == [0, 1, 2, 3, 4, 5, 7]
+
+
 def test_license_wordings(spark, odd, nothing):
     cases = {"Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "a\nThis work is licensed under the GNU General Public License, version 3.\nb": ["GPL-3.0"], "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"], "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.": ["Apache-2.0", "MIT"], "my driving licence expired": []}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
