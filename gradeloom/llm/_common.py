@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows handled at once inside an Arrow batch; keeps Python lists small when texts are long.
 SLICE_ROWS = 256
@@ -24,18 +25,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Only a local session without that setting (a test) gets a temporary one; on a cluster it is an error."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a session without that setting (a local
-    test) gets a folder of its own.
+    The folder is ``shared_folder``'s.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
+def map_texts(docs: DataFrame, text_col: str, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], list[pa.Array]]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """The columns ``keep`` of every row and, after them, the columns ``added``, which are made of whole texts (null: empty).
+
+    ``make`` is called once in each task and gives a function from a list of texts to the arrays of the added columns; ``done`` is
+    called when the task ends. Rows keep their order and number, whatever is null or repeated in them.
+    """
+    names = [f"c{i}" for i in range(len(keep))]
+    at = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == T.StringType() else len(keep)
+    sent = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *[F.col(f"`{text_col}`").cast("string").alias("t")] * (at == len(keep)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for part in slices(batches):
+            columns = work([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], [*names, *added.names])
+        done()
+
+    schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names)], *added.fields])
+    out = sent.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *added.names)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
+    """Join ``rows`` to ``table`` (one row for each ``key``) with the rows of each key dealt over ``salts`` tasks; ``table`` is sent that often."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    every = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(every, [key, "_salt"], how).drop("_salt")
+
+
 def hinted_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast ``df`` only if its counted ``rows`` do not exceed ``most``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= most else df
@@ -44,25 +83,3 @@ def hinted_small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def fold(id_col: str = "doc_id"):
     """The fold of a document, 0 to 3; fold 2 is held out from every fit."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
-
-
-class Recent:
-    """A bounded cache of a Python worker in two generations; what is asked for again outlives the older one."""
-
-    def __init__(self, most: int):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.most = most
-
-    def missing(self, keys: set) -> list:
-        """The keys that are in neither generation; the others are in ``young`` afterwards."""
-        if len(self.young) + len(keys) > self.most // 2:
-            self.old, self.young = self.young, {}
-        new = []
-        for key in keys - self.young.keys():
-            found = self.old.get(key)
-            if found is None:
-                new.append(key)
-            else:
-                self.young[key] = found
-        return new

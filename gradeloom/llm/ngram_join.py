@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import hinted_small, read, shared_checkpoint, slices
+from gradeloom.llm._common import hinted_small, read, salted_join, shared_checkpoint, slices
 from gradeloom.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: The share of a set by which thinning looks further than a prefix must.
 SLACK = 0.1
-#: Documents for each fragment of the first order, and fragments at least; class keys that are broadcast at most.
-FRAGMENT_DOCS, LEAST_FRAGMENTS, BROADCAST_KEYS = 1_000, 64, 1_000_000
+#: Bytes of text for each fragment of the first order, and fragments at least; class keys that are broadcast at most.
+FRAGMENT_BYTES, LEAST_FRAGMENTS, BROADCAST_KEYS = 2_000_000, 64, 1_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -80,18 +80,19 @@ def _needed(n: int | np.ndarray, num: int, den: int):
     return -(-n * num // den)
 
 
-_PART = "frag int, id long, n int, k long, c long, h binary, ks binary"
+_PART = "frag int, id long, row long, n int, k long, c long, h binary, ks binary"
 
 
 def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragments: int) -> DataFrame:
-    """``id``, ``n``, ``k`` for each document, and ``k``, ``c`` for shared n-grams that fragments have counted."""
+    """``id``, ``row``, ``n``, ``k`` for each document, and ``k``, ``c`` for shared n-grams that fragments have counted."""
     width = np.uint64(2**64 // fragments + 1)
     names = [x.split(" ")[0] for x in _PART.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in slices(batches, TASK_ROWS):
             ids, ns, ks, prefixes, own = [], [], [], [], {}
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(2)):
                 data = text.as_buffer()
                 s = shingle_set(data.to_pybytes() if data is not None else b"", n_words)
                 k = _key(s) if len(s) else None
@@ -119,17 +120,18 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
             seen: set[int] = set()
             c = [0 if k is None or k in seen else seen.add(k) or int(counted[own[k]]) for k in ks]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - (i or 0) % fragments for i in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names
+                [pa.array([-1 - (turn + j) % fragments for j in range(len(ids))], pa.int32()), batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names
             )
+            turn += len(ids)
             if rows:
                 no = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), no, no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
         _words.clear()  # workers live on for other stages
 
     def count(group: pa.Table) -> pa.Table:
         """A fragment: which of its n-grams do several classes have, and how many of these has each class that sent one alone?"""
         if group.column("frag")[0].as_py() < 0:
-            return group.select(["id", "n", "k", "c"])
+            return group.select(["id", "row", "n", "k", "c"])
         hs, ks = [], []
         for h, k in zip(group.column("h"), group.column("ks")):
             h, k = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(k.as_buffer(), np.int64)
@@ -147,9 +149,9 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
         hit = np.repeat(shared, np.diff(np.r_[at, len(h)])) & ~several
         keys, n = np.unique(k[hit], return_counts=True)
         no = pa.nulls(len(keys), pa.int64())
-        return pa.table([no, no.cast(pa.int32()), pa.array(keys), pa.array(n.astype(np.int64))], names=["id", "n", "k", "c"])
+        return pa.table([no, no, no.cast(pa.int32()), pa.array(keys), pa.array(n.astype(np.int64))], names=["id", "row", "n", "k", "c"])
 
-    return docs.mapInArrow(cut, _PART).groupBy("frag").applyInArrow(count, "id long, n int, k long, c long")
+    return docs.mapInArrow(cut, _PART).groupBy("frag").applyInArrow(count, "id long, row long, n int, k long, c long")
 
 
 def _sets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -183,14 +185,16 @@ def _linked(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFra
     return shared_checkpoint(overlap.filter(F.col("o") * (den + num) >= (F.col("n1") + F.col("n2")) * num).select("a", "b"))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, slack: float = SLACK, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The classes of equal sets and the components of their links.
 
-    Returns ``id``, ``n``, ``k`` for every document (``k`` is null for one without words) and ``k``, ``root`` for every class that has a link.
+    Returns ``id``, ``row`` (what ``row_col`` has, if given), ``n``, ``k`` for every document (``k`` is null for one without words) and ``k``, ``root`` for every class that has a link.
     """
     num, den = numerator, denominator
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fragments = max(LEAST_FRAGMENTS, docs.count() // FRAGMENT_DOCS)
+    row = F.col(row_col) if row_col else F.lit(None)
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(LEAST_FRAGMENTS, size // FRAGMENT_BYTES)
     counts = shared_checkpoint(_thin(slim, n_words, num, den, slack, fragments))
     classes = counts.filter("k is not null").groupBy("k").agg(F.max("n").alias("n"), F.min("id").alias("id"), F.sum("c").alias("c"), F.count("id").alias("ids"))
     alive = shared_checkpoint(classes.filter(F.col("c") >= F.ceil(F.col("n") * slack)).select("k", "id"))
@@ -223,7 +227,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = shared_checkpoint(rest.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = _linked(second, ordered, num, den)
     roots = components(links.union(more)).select(F.col("node").alias("k"), "root")
-    return counts.filter("n is not null").select("id", "n", "k"), roots
+    return counts.filter("n is not null").select("id", "row", "n", "k"), roots
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``k`` and ``best``, the least ``best`` of its component, for every class. The rows of a large component are dealt over several tasks."""
+    linked = classes.join(roots, "k")
+    least = linked.groupBy("root").agg(F.min("best").alias("best"))
+    alone = classes.join(roots, "k", "left_anti")
+    return salted_join(linked.select("k", "root"), least, "root", "inner").select("k", "best").unionAll(alone.select("k", "best"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -235,11 +247,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty result.
     """
     own, roots = jaccard_classes(docs, id_col, text_col, n_words, numerator, denominator)
-    least = own.filter("k is not null").groupBy("k").agg(F.min("id").alias("least"))
-    least = least.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("k", "root").join(names, "root").select("k", "component_id")
-    return own.join(named, "k", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = _named(own.filter("k is not null").groupBy("k").agg(F.min("id").alias("best")), roots)
+    out = salted_join(own.drop("row"), named, "k", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("best")).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """One row of each component, with all its columns: that with the least id, null last.
+
+    Rows are told apart by a hash of all their columns, so ids may be null or repeated; of rows that are equal in every column one stays.
+    Rows without words link with nothing and all stay. Columns must be of types that can be compared.
+    """
+    words = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    rows = docs.filter(words).withColumn("_row", row)
+    own, roots = jaccard_classes(rows, id_col, text_col, n_words, numerator, denominator, row_col="_row")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    classes = own.groupBy("k").agg(best)
+    # a class or component has one best row, so the rows to keep are as many as components
+    keep = classes.join(roots, "k", "left").groupBy(F.coalesce("root", "k").alias("root")).agg(F.min("best").alias("best"))
+    kept = rows.join(keep.select(F.col("best.row").alias("_row")).distinct(), "_row", "left_semi").dropDuplicates([*docs.columns, "_row"])
+    return docs.filter(~words).unionByName(kept.select(docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

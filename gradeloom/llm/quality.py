@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
+from itertools import combinations_with_replacement, product
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.llm._common import fold, read, shared_checkpoint, slices
+from gradeloom.llm._common import fold, map_texts, read
 
 #: Weight of the identity in each covariance, the divisor of log-density differences, and the least score of a kept document.
 SHRINKAGE, TEMPERATURE, KEEP = 0.02, 8.0, 0.7
 HELD_OUT = 2
+#: The step to which statistics are rounded, and the bits of a product's lower part.
+STEP, HALF = 2.0**-16, 21
 STATISTICS = ("words", "word_length", "upper", "signs", "repeats", "distinct", "digits", "bare", "line_length", "stops")
 
 _SIGN = np.zeros(128, dtype=bool)
@@ -50,15 +53,8 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``x``, the statistics of each whole text, a row for each input row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t) for t in part.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "x"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "id long, x array<double>")
+def in_steps(text: str) -> list[int]:
+    return [round(x / STEP) for x in statistics(text)]
 
 
 class Gaussian(NamedTuple):
@@ -83,16 +79,34 @@ class Discriminant(NamedTuple):
         return 1 / (1 + np.exp(-np.clip((high.density(z) - low.density(z)) / TEMPERATURE, -30, 30)))
 
 
-def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
-    """Fit from ``x`` and ``y`` (0 or 1). Only a row of sums for each class reaches the driver."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE) -> Discriminant:
+    """Fit on all labelled rows outside fold 2. Only a row of sums for each class reaches the driver.
+
+    Statistics are rounded to whole steps of ``STEP`` and their products summed in two whole parts, so the sums, and with them every
+    score, are the same whatever the order of rows. Each row of a repeated id counts.
+    """
     d = len(STATISTICS)
-    sums = [F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]]
-    rows = {r["y"]: r for r in labelled.groupBy("y").agg(*sums).collect()}
-    if set(rows) != {0, 1} or min(r["n"] for r in rows.values()) < 2:
+    learnt = docs.filter(F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
+    steps = map_texts(learnt, text_col, [id_col], T.StructType([T.StructField("q", T.ArrayType(T.LongType()))]), lambda: lambda texts: [pa.array([in_steps(t) for t in texts], pa.list_(pa.int64()))])
+    rows = steps.select(F.col(id_col).cast("long").alias("id"), "q").join(one_label(labels, id_col, label_col), "id")
+    q = F.col("q")
+    sums = [F.count("*").alias("n"), *[F.sum(q[i]).alias(f"s{i}") for i in range(d)]]
+    for i, j in combinations_with_replacement(range(d), 2):
+        sums += [F.sum(F.shiftright(q[i] * q[j], HALF)).alias(f"h{i}_{j}"), F.sum((q[i] * q[j]).bitwiseAND(F.lit(2**HALF - 1))).alias(f"l{i}_{j}")]
+    found = {r["y"]: r for r in rows.groupBy("y").agg(*sums).collect()}
+    if set(found) != {0, 1} or min(r["n"] for r in found.values()) < 2:
         return Discriminant(np.zeros(d), np.ones(d), None)
-    n = np.array([rows[c]["n"] for c in (0, 1)], dtype=float)
-    total = np.array([[rows[c][f"s{i}"] for i in range(d)] for c in (0, 1)])
-    second = np.array([[[rows[c][f"p{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)] for c in (0, 1)])
+    n = np.array([found[c]["n"] for c in (0, 1)], dtype=float)
+    total = np.array([[found[c][f"s{i}"] * STEP for i in range(d)] for c in (0, 1)])
+    second = np.zeros((2, d, d))
+    for c, (i, j) in product((0, 1), combinations_with_replacement(range(d), 2)):
+        second[c, i, j] = second[c, j, i] = (found[c][f"h{i}_{j}"] * 2**HALF + found[c][f"l{i}_{j}"]) * STEP**2
+    return discriminant(n, total, second, shrinkage)
+
+
+def discriminant(n: np.ndarray, total: np.ndarray, second: np.ndarray, shrinkage: float) -> Discriminant:
+    """The model of each class's number of rows, sums of statistics and sums of their products."""
+    d = total.shape[1]
     # each class weighs the same in the scale, so that a rare class is not lost in it
     centre = (total / n[:, None]).mean(axis=0)
     spread = np.sqrt(np.maximum((np.einsum("cii->ci", second) / n[:, None]).mean(axis=0) - centre**2, 1e-6))
@@ -113,23 +127,26 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return found.filter("y = z").select("id", "y")
 
 
+def scored(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The columns ``keep`` of every row and ``_score``, by a model fitted on the labelled rows of ``docs``."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    score = lambda texts: [pa.array(model.score(np.array([in_steps(t) for t in texts]).reshape(-1, len(STATISTICS)) * STEP))]
+    return map_texts(docs, text_col, keep, T.StructType([T.StructField("_score", T.DoubleType())]), lambda: score)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float = KEEP) -> DataFrame:
     """Score every whole text: ``id_col``, ``held_out`` (fold 2 of crc32(id) mod 4, from which nothing is learnt), ``score`` (0 to 1) and ``predicted``.
 
-    Null texts count as empty ones; null ids are scored, are in no fold and give nothing to the fit. With no label of one of the classes all
-    scores are 0.5. Rows are kept one for one; other columns are not read.
+    Null texts count as empty ones; null ids are scored, are in no fold and give nothing to the fit; all rows of a repeated id are scored and learnt from. With no
+    label of one of the classes all scores are 0.5. Rows are kept one for one; other columns are not read.
     """
-    x = shared_checkpoint(document_statistics(docs, id_col, text_col))
-    train = x.filter(F.col("id").isNotNull() & (fold("id") != HELD_OUT)).dropDuplicates(["id"]).join(one_label(labels, id_col, label_col), "id").select("x", "y")
-    model = fit(train)
+    out = scored(docs, labels, [id_col], id_col, text_col, label_col)
+    return out.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= keep).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(rows))], ["id", "score"])
 
-    scored = x.mapInArrow(run, "id long, score double")
-    return scored.select(F.col("id").alias(id_col), F.coalesce(fold("id") == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+def without_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose own text scores ``keep`` or more, with all their columns."""
+    return scored(docs, labels, docs.columns, id_col, text_col, label_col).filter(F.col("_score") >= keep).select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,12 @@
 """Token counts of whole texts by a two-tier, map-side lookup.
 
 Tier one is a compact table of the lengths (in tokens) of the corpus' most frequent pre-tokens. It has at
-most ``table_size`` entries whatever the corpus, so it is broadcast. Tier two is a bounded cache in each
-Python worker for the rest: what neither tier knows is encoded by the library, all of a slice's unknown
-pre-tokens in one call. Pre-tokens of the counting pass are never shuffled.
+most ``table_size`` entries whatever the corpus, so it is broadcast. Tier two is a bounded cache in the Python
+worker of each task for the rest: what neither tier knows is encoded by the library, all of a slice's unknown
+pre-tokens in one call. Pre-tokens are never shuffled.
 
-The table is fitted on all texts: each task keeps the leading counts of its own pre-tokens and hands on
-``table_size`` rows at most; their sums are ranked. The table only decides how fast a length is found, so
-pruned counts never change a result.
+The table is fitted on all texts: each task hands on one row with its leading counts, and these summaries are summed up in a
+tree. The table only decides how fast a length is found, so pruned counts never change a result.
 """
 
 from __future__ import annotations
@@ -17,26 +16,36 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import Recent, read, slices
+from gradeloom.llm._common import read, slices
 from gradeloom.llm._pretokens import library_ids, pretokens, processor
 
 TABLE_SIZE = 32_768
-#: Entries of a worker's cache, and the longest pre-token (in characters) that is kept in it.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Entries of a task's cache (some 40 MB), and the longest pre-token, in characters, that is kept in it.
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+#: Task summaries that are summed up together, and how often.
+FAN, LEVELS = 32, 3
 TOKEN_LIMIT = 4_096
 
-_worker_cache: dict[str, Recent] = {}
-
 
 def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
 
 
+def _top(counts: Counter, size: int) -> pa.RecordBatch:
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
+    return pa.RecordBatch.from_arrays([pa.array([[t for t, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["tokens", "counts"])
+
+
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = TABLE_SIZE) -> list[str]:
-    """The pre-tokens with the highest summed counts over all texts; ties by code point. ``table_size`` at most."""
+    """The pre-tokens with the highest summed counts over all texts; ties by code point. ``table_size`` at most.
+
+    A task sums up its own counts, of which it keeps the leading ones, as one row; sums of ``FAN`` rows are made ``LEVELS`` times over. So what
+    moves is a bounded summary of each task, not its pre-tokens, and the driver gets one row of every ``FAN ** LEVELS`` tasks.
+    """
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -45,11 +54,47 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int
                 counts.update(pretokens(text))
             if len(counts) > 8 * table_size:
                 counts = Counter(dict(counts.most_common(2 * table_size)))
-        top = [(t, n) for t, n in counts.most_common(table_size) if len(t) <= CACHE_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
+        short = Counter({t: n for t, n in counts.items() if len(t) <= CACHE_CHARS})
+        at = pa.array([TaskContext.get().partitionId()], pa.int64())
+        yield pa.RecordBatch.from_arrays([at, *_top(short, table_size).columns], ["at", "tokens", "counts"])
 
-    sums = docs.select(_text(text_col)).mapInArrow(leading, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r["token"] for r in sums.orderBy(F.desc("n"), "token").limit(table_size).collect()]
+    def together(group: pa.Table) -> pa.Table:
+        counts: Counter[str] = Counter()
+        for tokens, many in zip(group.column("tokens").to_pylist(), group.column("counts").to_pylist()):
+            for t, n in zip(tokens, many):
+                counts[t] += n
+        top = pa.Table.from_batches([_top(counts, table_size)])
+        return top.add_column(0, "at", [pc.divide(group.column("at")[:1], FAN)])
+
+    schema = "at long, tokens array<string>, counts array<long>"
+    sums = docs.select(_text(text_col)).mapInArrow(leading, schema)
+    for _ in range(LEVELS):
+        sums = sums.groupBy(F.floor(F.col("at") / FAN)).applyInArrow(together, schema)
+    counts: Counter[str] = Counter()
+    for r in sums.collect():
+        counts.update(dict(zip(r["tokens"], r["counts"])))
+    return _top(counts, table_size).column(0)[0].as_py()
+
+
+class _Lengths(dict):
+    """Tier one, with what a task has found of tier two beside it."""
+
+    def __init__(self, table: dict[str, int], model_path: str):
+        super().__init__(table)
+        self.model, self.cache, self.rest = processor(model_path), {}, {}
+
+    def learn(self, tokens: set[str]) -> None:
+        """Have the library encode what neither tier knows."""
+        tokens = tokens - self.keys()
+        if len(self.cache) + len(tokens) > CACHE_ENTRIES:
+            self.cache.clear()
+        new = list(tokens - self.cache.keys())
+        found = dict(zip(new, map(len, library_ids(self.model, new)))) if new else {}
+        self.cache.update((t, n) for t, n in found.items() if len(t) <= CACHE_CHARS)
+        self.rest = {**self.cache, **found} if any(len(t) > CACHE_CHARS for t in new) else self.cache
+
+    def __missing__(self, token: str) -> int:
+        return self.rest[token]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -63,22 +108,11 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     lengths = dict(zip(tokens, map(len, library_ids(processor(model_path), tokens)))) if tokens else {}
     table = docs.sparkSession.sparkContext.broadcast(lengths)
 
-    class Tiers(dict):
-        rest: dict[str, int]
-
-        def __missing__(self, token: str) -> int:
-            return self.rest[token]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tiers = processor(model_path), Tiers(table.value)
-        cache = _worker_cache.setdefault(model_path, Recent(CACHE_ENTRIES))
+        tiers = _Lengths(table.value, model_path)
         for part in slices(batches):
             texts = [pretokens(t) for t in part.column(1).to_pylist()]
-            seen = set().union(*texts) - tiers.keys()
-            new = cache.missing(seen)
-            found = dict(zip(new, map(len, library_ids(model, new)))) if new else {}
-            cache.young.update((t, n) for t, n in found.items() if len(t) <= CACHE_CHARS)
-            tiers.rest = cache.young if all(len(t) <= CACHE_CHARS for t in new) else cache.young | found
+            tiers.learn(set().union(*texts))
             n = [sum(map(tiers.__getitem__, x)) for x in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(part.column(1)), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.llm._common import fold, read, shared_checkpoint, slices
+from gradeloom.llm._common import fold, map_texts, read, shared_checkpoint, slices
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
@@ -209,6 +210,24 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return Ordinal(*fit_ordinal(x, table.column("grade").to_numpy().astype(np.int64), len(GRADE_WORDS) + 2, weight / weight.mean()))
 
 
+def graded(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The columns ``keep`` of every row and ``_severity``, ``_score`` and ``_grade``, by a model fitted on labelled rows of ``docs``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_from(docs, labels, id_col, text_col, label_col, fit_rows))
+
+    def make():
+        m, plain = model.value, set()
+
+        def grade(texts: list[str]) -> list[pa.Array]:
+            above = m.above(texts, plain) if m and texts else np.zeros((len(texts), len(GRADE_WORDS) + 1))
+            each = np.c_[np.ones(len(texts)), above] - np.c_[above, np.zeros(len(texts))]
+            return [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32))]
+
+        return grade
+
+    added = T.StructType([T.StructField("_severity", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_grade", T.IntegerType())])
+    return map_texts(docs, text_col, keep, added, make, _hashes.clear)  # workers live on for other stages
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
     """Grade every whole text: ``id_col``, ``held_out``, ``severity`` (the expected grade, 0 to 3), ``score`` (the probability of a
     grade above 0), ``grade`` (the likeliest) and ``toxic`` (``score >= reject``).
@@ -216,19 +235,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null texts count as empty; null ids are graded and give nothing to the fit. Without labels of both kinds all texts have severity, score and grade 0.
     Rows are kept one for one; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_from(docs, labels, id_col, text_col, label_col, fit_rows))
+    out = graded(docs, labels, [id_col], id_col, text_col, label_col, fit_rows)
+    held_out = F.coalesce(fold(id_col) == HELD_OUT, F.lit(False)).alias("held_out")
+    return out.select(F.col(id_col).cast("long").alias(id_col), held_out, F.col("_severity").alias("severity"), F.col("_score").alias("score"), F.col("_grade").alias("grade"), (F.col("_score") >= reject).alias("toxic"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, plain = model.value, set()
-        for part in slices(batches):
-            texts = part.column(1).to_pylist()
-            above = m.above(texts, plain) if m and texts else np.zeros((len(texts), len(GRADE_WORDS) + 1))
-            each = np.c_[np.ones(len(texts)), above] - np.c_[above, np.zeros(len(texts))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1).astype(np.int32))], ["id", "severity", "score", "grade"])
-        _hashes.clear()  # workers live on for other stages
 
-    graded = _slim(docs, id_col, text_col).mapInArrow(run, "id long, severity double, score double, grade int")
-    return graded.select(F.col("id").alias(id_col), F.coalesce(fold("id") == HELD_OUT, F.lit(False)).alias("held_out"), "severity", "score", "grade", (F.col("score") >= reject).alias("toxic"))
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` whose own text is not rejected, with all their columns."""
+    return graded(docs, labels, docs.columns, id_col, text_col, label_col, fit_rows).filter(F.col("_score") < reject).select(docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
