@@ -1,11 +1,12 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt by hash into blocks of a bounded number of documents. A source whose
-target is r times its size gives floor(r) whole passes over its blocks and one part of a pass: the first blocks of a
-hashed permutation, the last of them cut at a document, and the one document of the next blocks that best fits the rest. How many blocks of each source go to each output shard is drawn
-by a tree: the quotas of a node are split between its halves by a multivariate hypergeometric draw, so all shards together
-take each block of the mix exactly once. Ranks in a second permutation then give every shard its own blocks, and inside a
-shard documents are ordered by hash. All draws depend on the seed alone, so reruns agree.
+Each source's documents are dealt by hash into blocks of a bounded number of documents. A source whose target is r times its size is
+mixed in floor(r) whole passes over its blocks and one part of a pass, each pass in a hashed permutation of its own; so a source has an exact quota of block
+draws. The part ends inside a block, which is cut at a document, and one document of the next blocks fills up what is left.
+
+How much of each source's quota goes to each output shard is drawn by a tree: the quotas of a node are split between its halves by a multivariate hypergeometric
+draw, down to the shards. Each shard takes its share of a source's permuted blocks in turn, disjoint from all others', and a block that no shard reaches is not
+in the mix. Inside a shard the documents of its blocks are shuffled by hash. All draws depend on the seed alone, so reruns agree.
 
 The driver sees one row for each source, never documents or blocks.
 """
@@ -31,8 +32,13 @@ NEAR_BLOCKS = 63
 SHARD_DOCS, LEAST_SHARDS = 100_000, 16
 #: Sources are a dimension, collected as a row each; more than this is an error. Blocks up to the second figure are broadcast.
 MOST_SOURCES, BROADCAST_BLOCKS = 100_000, 500_000
+#: Runs of a permutation that are ranked by themselves, so that one source's blocks are not all ranked in one task.
+RUNS = 256
+#: Tasks over which a shard's documents are dealt.
+SHARD_TASKS = 8
 
 SPACE = "\t\n\x0b\x0c\r"
+_DRAWS = "array<struct<pass:int,shard:int,order:bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -55,7 +61,8 @@ def targets(sizes: list[int], weights: list[int], most: float = MOST_TIMES) -> l
         for i in over:
             out[i] = float(most * sizes[i])
             rest -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
+        capped = set(over)
+        open_ = [i for i in open_ if i not in capped]
     return out
 
 
@@ -74,8 +81,8 @@ def shard_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 class Plan(NamedTuple):
-    sources: DataFrame  # source, s, n_blocks, source_size, target, full, cut, extra
-    blocks: DataFrame  # s, block, whole, edge, draws
+    sources: DataFrame  # source, s, n_blocks, source_size, target, full, cut, extra, extra_shard
+    blocks: DataFrame  # s, block, draws (pass, shard, cut: only up to the source's cut)
     n_sources: int
     n_blocks: int
 
@@ -85,8 +92,24 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed:
     return docs.withColumns({"_size": word_count(F.col(text_col)), "_source": F.col(source_col).cast("string"), "_place": F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), key.alias("k"))})
 
 
-def _block(place: Column) -> Column:
-    return F.pmod(F.shiftright(place["h"], 8), F.col("n_blocks")).cast("long")
+def _block(place: Column, n_blocks: str = "n_blocks") -> Column:
+    return F.pmod(F.shiftright(place["h"], 8), F.col(n_blocks)).cast("long")
+
+
+def _in_turn(blocks: DataFrame, seed: int) -> DataFrame:
+    """Add ``rank`` (from 0) and ``before`` (the words of earlier blocks) of each source's blocks in the hashed permutation of each ``pass``.
+
+    Runs of a permutation are ranked by themselves and begin where those before them end.
+    """
+    runs = Window.partitionBy("s", "pass", "run")
+    blocks = blocks.withColumn("turn", F.shiftrightunsigned(F.xxhash64("s", "block", "pass", F.lit(seed + 1)), 1))
+    blocks = blocks.withColumn("run", F.shiftright("turn", 63 - (RUNS - 1).bit_length()).cast("int"))
+    each = blocks.groupBy("s", "pass", "run").agg(F.count("*").alias("n"), F.sum("w").alias("rw"))
+    earlier = Window.partitionBy("s", "pass").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # RUNS rows at most
+    each = each.select("s", "pass", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("rw").over(earlier), F.lit(0)).alias("w0"))
+    order = runs.orderBy("turn", "block")
+    blocks = blocks.withColumn("i", F.row_number().over(order) - 1).withColumn("iw", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
+    return blocks.join(each, ["s", "pass", "run"]).select("s", "block", "pass", "w", (F.col("n0") + F.col("i")).alias("rank"), (F.col("w0") + F.col("iw")).alias("before"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = SEED) -> Plan:
@@ -97,53 +120,57 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     rows.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    sizes = [r["size"] for r in rows]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most_times)
+    goal = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most_times)
     table = []
     for s, (r, t) in enumerate(zip(rows, goal)):
-        times = t / r["size"] if r["size"] else 0.0
-        full = int(times + 1e-9)
+        full = int((t / r["size"] if r["size"] else 0.0) + 1e-9)
         table.append((r["_source"], s, max(LEAST_BLOCKS, -(-r["n"] // BLOCK_DOCS)), r["size"], t, full, max(0.0, t - full * r["size"])))
     sources = spark.createDataFrame(table, "source string, s int, n_blocks long, source_size long, target double, full int, part double")
     n_blocks = sum(x[2] for x in table)
+    parts = hinted_small(sources.select("s", "full", "part"), len(rows), MOST_SOURCES)
 
     placed = slim.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source")))
-    blocks = placed.withColumn("block", _block(F.col("_place"))).groupBy("s", "block", "full", "part").agg(F.sum("_size").alias("w"))
-    turn = Window.partitionBy("s").orderBy(F.xxhash64("s", "block", F.lit(seed + 1)), "block")
-    blocks = blocks.withColumn("before", F.sum("w").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
-    blocks = blocks.withColumn("whole", F.col("before") + F.col("w") <= F.col("part")).withColumn("edge", ~F.col("whole") & (F.col("before") < F.col("part")))
-    # the edge block and those after it in the permutation, in which the document that fits best is looked for
-    blocks = shared_checkpoint(blocks.withColumn("near", F.col("edge") | ((F.col("part") > 0) & ~F.col("whole") & F.coalesce(F.max("edge").over(turn.rowsBetween(-NEAR_BLOCKS, -1)), F.lit(False)))))
-
-    near = blocks.filter("near").select("s", "block", "edge", (F.col("part") - F.col("before")).alias("rest"))
+    blocks = placed.withColumn("block", _block(F.col("_place"))).groupBy("s", "block", "full").agg(F.sum("_size").alias("w"))
+    blocks = _in_turn(blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), "full"))), seed)
+    blocks = shared_checkpoint(blocks.join(parts, "s"))
+
+    # in the part of a pass: the block in which it ends, and those after it, in which the document that fits the rest best is looked for
+    last = blocks.filter("pass = full")
+    edges = last.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("w") > F.col("part"))).select("s", F.col("rank").alias("edge"), (F.col("part") - F.col("before")).alias("rest"))
+    edges = hinted_small(edges, len(rows), MOST_SOURCES)
+    near = last.join(edges, "s").filter(F.col("rank").between(F.col("edge"), F.col("edge") + NEAR_BLOCKS)).select("s", "block", "rest", (F.col("rank") == F.col("edge")).alias("at_edge"))
     inside = placed.select("s", _block(F.col("_place")).alias("block"), "_place", "_size").join(hinted_small(near, (NEAR_BLOCKS + 1) * len(rows), BROADCAST_BLOCKS), ["s", "block"])
-    along = Window.partitionBy("s").orderBy("_place")
-    cuts = inside.filter("edge").withColumn("upto", F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("upto") <= F.col("rest"))
-    cuts = near.filter("edge").select("s", "rest").join(cuts.groupBy("s").agg(F.max("_place").alias("cut"), F.max("upto").alias("upto")), "s", "left").withColumn("left", F.col("rest") - F.coalesce("upto", F.lit(0)))
-    beyond = inside.select("s", "block", "edge", "_place", "_size").join(cuts.select("s", "cut", "left"), "s").filter(~F.col("edge") | F.col("cut").isNull() | (F.col("_place") > F.col("cut")))
+    along = Window.partitionBy("s").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the documents of one block
+    cuts = inside.filter("at_edge").withColumn("upto", F.sum("_size").over(along)).filter(F.col("upto") <= F.col("rest")).groupBy("s").agg(F.max("_place").alias("cut"), F.max("upto").alias("upto"))
+    cuts = shared_checkpoint(edges.join(cuts, "s", "left").select("s", "edge", "cut", (F.col("rest") - F.coalesce("upto", F.lit(0))).alias("left")))
+    beyond = inside.join(hinted_small(cuts.drop("edge"), len(rows), MOST_SOURCES), "s").filter(~F.col("at_edge") | F.col("cut").isNull() | (F.col("_place") > F.col("cut")))
     beyond = beyond.withColumn("miss", F.abs(F.col("left") - F.col("_size"))).filter(F.col("miss") < F.col("left"))
-    extra = beyond.groupBy("s").agg(F.min(F.struct("miss", F.col("_place").alias("place"), "block")).alias("e")).select("s", F.col("e.place").alias("extra"), F.col("e.block").alias("extra_block"))
-    ends = shared_checkpoint(cuts.select("s", "cut").join(extra, "s", "left"))
-    blocks = blocks.join(hinted_small(ends.select("s", "extra_block"), len(rows), MOST_SOURCES), "s", "left")
-    blocks = shared_checkpoint(blocks.withColumn("n", F.col("full") + (F.col("whole") | F.col("edge") | F.coalesce(F.col("extra_block") == F.col("block"), F.lit(False))).cast("int")))
+    extra = beyond.groupBy("s").agg(F.min(F.struct("miss", F.col("_place").alias("place"))).alias("e")).select("s", F.col("e.place").alias("extra"))
 
-    quotas = {r["s"]: r["n"] for r in blocks.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    # a source's quota: the draws of whole passes, and those of the part up to where it ends
+    drawn = (F.col("pass") < F.col("full")) | (F.col("before") < F.col("part"))
+    quotas = {r["s"]: (r["n"], r["each"]) for r in blocks.groupBy("s").agg(F.count_if(drawn).alias("n"), F.count_if(F.col("pass") == 0).alias("each")).collect()}
     docs_in = sum(r["n"] for r in rows)
     shards = max(LEAST_SHARDS, 1 << (max(1, docs_in // SHARD_DOCS) - 1).bit_length())
-    bounds = np.cumsum(shard_quotas([quotas.get(s, 0) for s in range(len(rows))], shards, seed), axis=0).T if rows else np.zeros((0, shards), int)
-    limits = spark.createDataFrame([(s, list(map(int, b))) for s, b in enumerate(bounds)], "s int, bounds array<long>")
+    split = shard_quotas([quotas.get(s, (0, 0))[0] for s in range(len(rows))], shards, seed)
+    bounds = np.cumsum(split, axis=0).T if rows else np.zeros((0, shards), int)
+    limits = spark.createDataFrame([(s, quotas.get(s, (0, 0))[1], list(map(int, b))) for s, b in enumerate(bounds)], "s int, each long, bounds array<long>")
+    limits = hinted_small(limits, len(rows), MOST_SOURCES)
 
-    draws = blocks.filter("n > 0").select("s", "block", "whole", "edge", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass"))
-    ranked = draws.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("s", "block", "pass", F.lit(seed + 2)), "block", "pass")))
-    dealt = ranked.join(hinted_small(limits, len(rows), MOST_SOURCES), "s").withColumn("shard", F.size(F.filter("bounds", lambda b: b < F.col("rank"))))
-    taken = dealt.groupBy("s", "block", "whole", "edge").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))  # MOST_TIMES + 1 entries at most
-    return Plan(sources.join(ends.drop("extra_block"), "s", "left"), shared_checkpoint(taken), len(rows), n_blocks)
+    # the draws of a source stand in a row, pass by pass; each shard takes the next ones, as many as its share of the quota
+    shard = F.size(F.filter("bounds", lambda b: b <= F.col("pass") * F.col("each") + F.col("rank"))).cast("int")
+    dealt = blocks.join(limits, "s").withColumn("shard", shard).filter(F.col("shard") < shards).join(edges.select("s", "edge"), "s", "left")
+    cut = F.coalesce((F.col("pass") == F.col("full")) & (F.col("rank") == F.col("edge")), F.lit(False)).alias("cut")
+    taken = dealt.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", cut))).alias("draws"))  # MOST_TIMES + 1 entries at most
+    at_edge = dealt.filter((F.col("pass") == F.col("full")) & (F.col("rank") == F.col("edge"))).select("s", F.col("shard").alias("extra_shard"))
+    ends = shared_checkpoint(cuts.select("s", "cut").join(extra, "s", "left").join(at_edge, "s", "left"))
+    return Plan(sources.join(ends, "s", "left"), shared_checkpoint(taken), len(rows), n_blocks)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
     """Add to every document what the mix takes of it.
 
-    Adds ``size`` (words), ``source_size``, ``target`` (of its source, in words), ``draws`` (an array of the pass and output shard of each
+    Adds ``size`` (words), ``source_size``, ``target`` (of its source, in words), ``draws`` (an array of the pass, the output shard and the place in the shard's order of each
     copy that the mix takes; empty if none) and ``taken`` (words, repeats counted). Sources weigh ``weights`` in turn, by
     code point, null last. Null texts have size 0; null ids are one key; rows with equal ids are cut off together. Input columns with one of the
     added names are replaced. An empty table gives an empty result.
@@ -154,22 +181,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     placed = _placed(own, id_col, source_col, text_col, seed)
     table = plan.sources.select(*[F.col(c).alias(f"_s_{c}") for c in plan.sources.columns])
     out = placed.join(hinted_small(table, plan.n_sources, MOST_SOURCES), F.col("_source").eqNullSafe(F.col("_s_source")))
-    blocks = plan.blocks.select(F.col("s").alias("_b_s"), F.col("block").alias("_b_block"), F.col("whole").alias("_whole"), F.col("edge").alias("_edge"), F.col("draws").alias("_draws"))
-    block = F.pmod(F.shiftright(F.col("_place")["h"], 8), F.col("_s_n_blocks")).cast("long")
-    out = out.join(hinted_small(blocks, plan.n_blocks, BROADCAST_BLOCKS), (F.col("_b_s") == F.col("_s_s")) & (F.col("_b_block") == block), "left")
-    in_part = F.col("_whole") | (F.col("_edge") & F.coalesce(F.col("_place") <= F.col("_s_cut"), F.lit(False))) | F.col("_place").eqNullSafe(F.col("_s_extra"))
-    draws = F.filter("_draws", lambda d: (d["pass"] < F.col("_s_full")) | in_part)
-    out = out.withColumn("_mine", F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int>>")))
+    blocks = plan.blocks.select(F.col("s").alias("_b_s"), F.col("block").alias("_b_block"), F.col("draws").alias("_draws"))
+    out = out.join(hinted_small(blocks, plan.n_blocks, BROADCAST_BLOCKS), (F.col("_b_s") == F.col("_s_s")) & (F.col("_b_block") == _block(F.col("_place"), "_s_n_blocks")), "left")
+    order = lambda n: F.xxhash64(F.col("_place"), n, F.lit(seed + 3))
+    upto = F.coalesce(F.col("_place") <= F.col("_s_cut"), F.lit(False))
+    mine = F.transform(F.filter("_draws", lambda d: ~d["cut"] | upto), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), order(d["pass"]).alias("order"))).cast(_DRAWS)
+    fills = F.when(F.col("_place").eqNullSafe(F.col("_s_extra")), F.array(F.struct(F.col("_s_full").alias("pass"), F.col("_s_extra_shard").alias("shard"), order(F.col("_s_full")).alias("order"))))
+    none = F.array().cast(_DRAWS)
+    out = out.withColumn("_mine", F.concat(F.coalesce(mine, none), F.coalesce(fills.cast(_DRAWS), none)))
     return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), F.col("_mine").alias("draws"), (F.size("_mine") * F.col("_size")).cast("long").alias("taken"))
 
 
-def in_shards(mix: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """A row for each copy that the mix takes, with its ``shard``, shuffled inside each shard by hash; write it by ``shard``."""
-    copies = mix.withColumn("_draw", F.explode("draws")).withColumns({"pass": F.col("_draw.pass"), "shard": F.col("_draw.shard")}).drop("_draw", "draws")
-    copies = copies.withColumn("order_key", F.xxhash64(id_col, "pass", "shard", F.lit(seed + 3)))
-    return copies.repartition("shard", F.pmod("order_key", F.lit(8))).sortWithinPartitions("shard", "order_key")
+def in_shards(mix: DataFrame) -> DataFrame:
+    """A row for each copy that the mix takes, with its ``pass``, its ``shard`` and its place ``order_key`` in it: shard by shard, shuffled inside each."""
+    copies = mix.withColumn("_draw", F.explode("draws")).withColumns({"pass": F.col("_draw.pass"), "shard": F.col("_draw.shard"), "order_key": F.col("_draw.order")}).drop("_draw", "draws")
+    return copies.repartition("shard", F.pmod("order_key", F.lit(SHARD_TASKS))).sortWithinPartitions("shard", "order_key")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
+    told = lambda field: F.array_join(F.transform("draws", lambda d: d[field].cast("string")), ",")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", told("shard").alias("shards"), told("order").alias("orders"))
