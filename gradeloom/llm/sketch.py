@@ -9,7 +9,9 @@ The hash of a shingle is the first 16 hex digits of its MD5; with 8 as the scale
 
 from __future__ import annotations
 
+import json
 import string
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,10 @@ from gradeloom.llm._common import read
 SHINGLE_WORDS = 5
 #: One hash in so many stays.
 SCALE = 8
-#: Documents are dealt into this many id ranges at most; the table of ranges is broadcast, so this bounds it.
-MOST_RANGES, LEAST_RANGE = 1_000_000, 256
+#: Rows of a range of ids on average, and ranges at most (the table of ranges is broadcast, so this bounds it).
+RANGE_ROWS, MOST_RANGES = 4_000, 65_536
+#: Ids that are looked at for each range, to find where ranges begin.
+SAMPLED = 20
 
 _SPACE = "\t\n\x0b\x0c\r"
 
@@ -71,27 +75,72 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both.cast("double") / (F.size(a) + F.size(b) - both).cast("double"))
 
 
-def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def _begins(df: DataFrame, key: str, range_rows: int) -> list[int | None]:
+    """The keys at which ranges of about equally many rows begin, in order, null first; a key that fills several ranges is there several times.
+
+    From a sample of ``SAMPLED`` rows a range, so the driver sees a bounded number of keys. How even the ranges are depends on it, no result does.
+    """
+    n = df.count()
+    ranges = min(MOST_RANGES, n // range_rows)
+    if ranges < 2:
+        return []
+    keys = [r[0] for r in df.select(F.col(key).cast("long")).sample(min(1.0, SAMPLED * ranges / n), 7).collect()]
+    keys.sort(key=lambda k: (k is not None, k or 0))
+    return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+
+
+def _reached(key: Column, begins: list[int]) -> Column:
+    """How many of the sorted ``begins`` a key has reached, looked up in two steps."""
+    if not begins:
+        return F.lit(0)
+    wide = int(len(begins) ** 0.5) + 1
+    runs = [begins[i : i + wide] for i in range(0, len(begins), wide)]
+    table = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
+    firsts = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    run = upto(firsts)
+    return F.when(run == 0, F.lit(0)).otherwise((run - 1) * wide + upto(F.element_at(table, F.greatest(run, F.lit(1)))))
+
+
+def _range(key: Column, tie: Column, begins: list[int | None]) -> tuple[Column, Column]:
+    """The range of a row, ordered like ``key`` (null first) and ``tie`` (hex), and the part of ``tie`` that it depends on: of keys that fill several ranges only."""
+    parts = Counter(begins)
+    nulls = parts.pop(None, 0)
+    heavy = [k for k, m in parts.items() if m > 1]
+    reached = _reached(key, sorted(parts)) + 1
+    if not heavy and not nulls:
+        return F.when(key.isNull(), F.lit(0)).otherwise(reached).cast("long") * 2 * MOST_RANGES, F.lit("")
+    many = F.lit(nulls + 1)
+    if heavy:
+        table = F.from_json(F.lit(json.dumps({str(k): parts[k] for k in heavy})), "map<string,int>")
+        many = F.when(key.isNull(), many).otherwise(F.coalesce(F.element_at(table, key.cast("string")), F.lit(0)))
+    else:
+        many = F.when(key.isNull(), many).otherwise(F.lit(0))
+    # a heavy key's rows are dealt by its tie; keys after it in the same range come last
+    part = F.when(many == 0, F.lit(2 * MOST_RANGES - 1)).otherwise(F.floor(F.conv(F.substring(tie, 1, 8), 16, 10).cast("double") / 2**32 * many))
+    return F.when(key.isNull(), F.lit(0)).otherwise(reached).cast("long") * 2 * MOST_RANGES + part.cast("long"), F.when(many == 0, F.lit("")).otherwise(tie)
+
+
+def with_next(df: DataFrame, key: str, carried: list[str], tie: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``next_<c>`` for each carried column: its value in the next row by ``key``, cyclically.
 
-    Null keys come first; equal keys follow the order of the carried values. Rows are dealt by ranges of the key, and the first
+    Null keys come first; equal keys are in the order of ``tie``, an MD5 in hex. Rows are dealt by ranges of about ``range_rows`` rows, whatever the keys are, and the first
     rows of each range also go to the range before it, so that no task needs more than a range. ``key`` is an integer column.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(LEAST_RANGE, -(-(high - low + 1) // MOST_RANGES))
-    place = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.expr(f"(`{key}` - {low}L) div {width}L")).cast("long")
-    ranges = df.select(place.alias("_r"), F.col(key).alias("_k")).groupBy("_r").agg(F.min("_k").alias("_first"))
-    every = Window.partitionBy(F.lit(0)).orderBy("_r")  # MOST_RANGES + 2 rows at most
+    begins = _begins(df, key, range_rows)
+    place, told = _range(F.col(key), tie, begins)
+    first = F.struct(F.col(key).alias("k"), told.alias("t"))
+    ranges = df.select(place.alias("_r"), first.alias("_f")).groupBy("_r").agg(F.min("_f").alias("_first"))
+    every = Window.partitionBy(F.lit(0)).orderBy("_r")  # a row for each range
     ranges = ranges.withColumn("_before", F.coalesce(F.lag("_r").over(every), F.max("_r").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     own = F.struct(F.col("_r").alias("r"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("_before").alias("r"), F.lit(True).alias("guest"))
-    dealt = df.withColumn("_r", place).join(F.broadcast(ranges), "_r")
-    dealt = dealt.withColumn("_at", F.explode(F.when(F.col(key).eqNullSafe(F.col("_first")), F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select(*df.columns, F.col("_at.r").alias("_to"), F.col("_at.guest").alias("_guest"))
-    run = Window.partitionBy("_to").orderBy("_guest", F.col(key).asc_nulls_first(), *carried)
+    dealt = df.withColumns({"_r": place, "_f": first, "_tie": tie}).join(F.broadcast(ranges), "_r")
+    dealt = dealt.withColumn("_at", F.explode(F.when(F.col("_f").eqNullSafe(F.col("_first")), F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select(*df.columns, "_tie", F.col("_at.r").alias("_to"), F.col("_at.guest").alias("_guest"))
+    run = Window.partitionBy("_to").orderBy("_guest", F.col(key).asc_nulls_first(), "_tie")
     dealt = dealt.select("*", *[F.lead(c).over(run).alias(f"next_{c}") for c in carried])
-    return dealt.filter(~F.col("_guest")).drop("_to", "_guest")
+    return dealt.filter(~F.col("_guest")).drop("_to", "_guest", "_tie")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
@@ -100,10 +149,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns a row for each document: ``id_col``, ``n_chars`` (code points), ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` (the
     hashes of the sketch, joined), ``near_edited``, ``near_next`` (containment) and ``jaccard_edited``, ``jaccard_next``. Null
     texts count as empty; an empty fingerprint is like an empty one only. With null or repeated ids the next document is
-    the next in the order of id (null first), text. Other columns are not read. An empty table gives an empty result.
+    the next in the order of id (null first), MD5 of the text. Other columns are not read. An empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = with_next(sketch(slim, "text", "fp", scale), "id", ["text", "fp"])
+    df = with_next(sketch(slim, "text", "fp", scale), "id", ["text", "fp"], F.md5("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)))
     df = sketch(df.drop("next_text"), "edited", "edited_fp", scale)
