@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import read, slices
+from gradeloom.llm._common import in_arrow, read, slices
 
 #: Bytes in a row of a stored payload, rows summed at once, and height and width of a tile for difference hashes.
 ROW_BYTES, RUN_ROWS, TILE = 64, 4_096, (8, 9)
@@ -55,6 +55,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = found.end()
     w, h, top = [*fields, 1][:3]
     depth = 3 if kind in (3, 6) else 1
+    if w < 1 or h < 1 or not 0 < top < 65_536 or w * h > 8 * len(data):
+        raise ValueError(f"its head says {w} by {h}, at most {top}, in {len(data)} bytes")
     if kind == 1:
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         values = np.frombuffer(bytes(c for c in body if c in b"01"), np.uint8)[: w * h] == 48
@@ -63,10 +65,12 @@ def _netpbm(data: bytes) -> np.ndarray:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1), axis=1)[:, :w]
         return (1 - bits)[:, :, None] * np.uint8(255)
     if kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[: w * h * depth], dtype=np.uint16)
+        values = np.array(list(map(int, re.sub(rb"#[^\n]*", b"", data[at:]).split()[: w * h * depth])), dtype=np.int64)
     else:
         values = np.frombuffer(data, np.uint8 if top < 256 else ">u2", w * h * depth, at + 1)
     values = values.reshape(h, w, depth)
+    if values.min() < 0 or values.max() > top:
+        raise ValueError(f"samples are beyond {top}")
     return values.astype(np.uint8) if top == 255 else np.rint(values.astype(np.float64) * (255 / top)).astype(np.uint8)
 
 
@@ -76,6 +80,8 @@ def _bmp(data: bytes) -> np.ndarray:
     bits, packing = int.from_bytes(data[28:30], "little"), int.from_bytes(data[30:34], "little")
     if packing or bits not in (8, 24, 32):
         raise ValueError(f"BMP of {bits} bits, compression {packing}, is not read")
+    if w < 1 or h == 0:
+        raise ValueError(f"its head says {w} by {h}")
     stride = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, abs(h) * stride, at).reshape(abs(h), stride)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
@@ -89,12 +95,14 @@ def _bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image as an array of height, width and 1 or 3 channels, 8 bits each."""
-    if len(data) > 2 and data[:1] == b"P" and 49 <= data[1] <= 54:
-        return _netpbm(data)
-    if data[:2] == b"BM":
-        return _bmp(data)
-    raise ValueError("neither Netpbm nor BMP")
+    """An image as an array of height, width and 1 or 3 channels, 8 bits each. Whatever is wrong with it is a ValueError."""
+    read = _netpbm if len(data) > 2 and data[:1] == b"P" and 49 <= data[1] <= 54 else _bmp if data[:2] == b"BM" else None
+    if read is None:
+        raise ValueError("neither Netpbm nor BMP")
+    try:
+        return read(data)
+    except (ArithmeticError, LookupError, TypeError) as e:
+        raise ValueError(f"it can't be read: {e}") from e
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -150,24 +158,26 @@ def image_features(images: DataFrame, id_col: str, media_col: str, height: int =
                     pixels = decode(data or b"")
                     tile = npy_tile(pixels, height, width)
                     rows.append((*pixels.shape, tile, difference_hash(tile), None))
-                except (ValueError, IndexError, TypeError) as e:
+                except ValueError as e:
                     rows.append((None, None, None, None, None, str(e)[:200]))
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["id", "height", "width", "channels", "tile", "dhash", "error"])
 
     slim = images.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    return slim.mapInArrow(run, "id long, height int, width int, channels int, tile binary, dhash string, error string").withColumnRenamed("id", id_col)
+    return in_arrow(slim, run, "id long, height int, width int, channels int, tile binary, dhash string, error string").withColumnRenamed("id", id_col)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "pgm", with_media: bool = False) -> DataFrame:
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "pgm", with_media: bool = False, with_tile: bool = False, also: str | None = None) -> DataFrame:
     """Store every whole text losslessly as a grey image of 64 columns and describe what is read back.
 
     The payload is the text in UTF-8 and zeros up to a positive multiple of 64. Returns ``id_col``, ``n_bytes``,
     ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (of the last 64 bytes read back), ``media_bytes``, ``media_sha256`` and
-    ``feature`` (difference hash, a colon, and the tile's samples in hex); with ``with_media`` also ``media`` and ``tile``. ``form`` is
-    ``pgm`` or ``bmp``. Null texts count as empty; null ids and repeated rows are kept; other columns are not read.
+    ``feature`` (difference hash, a colon, and the tile's samples in hex); with ``with_tile`` also ``tile`` (NPY), with ``with_media`` also ``media``. ``form`` is
+    ``pgm`` or ``bmp``. With ``also`` the payload is stored and read back in that form too: ``<also>_bytes``, ``<also>_sha256`` and ``<also>_intact`` (it gives the same pixels).
+    Null texts count as empty; null ids and repeated rows are kept; other columns are not read.
     """
-    encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
+    forms = {"pgm": encode_pgm, "bmp": encode_bmp}
+    encode, second = forms[form], forms[also] if also else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -182,15 +192,18 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 back = np.ascontiguousarray(pixels[:, :, 0]).reshape(-1)
                 tile = npy_tile(pixels)
                 feature = f"{difference_hash(tile)}:{np.load(io.BytesIO(tile)).tobytes().hex()}"
-                rows.append((n, back.size, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW_BYTES:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if with_media else None, tile if with_media else None))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tile"]
+                other = second(pixels[:, :, 0]) if second else None
+                beside = (len(other), hashlib.sha256(other).hexdigest(), bool(np.array_equal(decode(other), pixels))) if second else (None, None, None)
+                rows.append((n, back.size, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW_BYTES:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if with_media else None, tile if with_tile else None, *beside))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+            names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tile", "also_bytes", "also_sha256", "also_intact"]
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = slim.mapInArrow(run, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, tile binary")
-    return out.select(F.col("id").alias(id_col), *out.columns[1:8], *["media", "tile"] * with_media)
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, tile binary, also_bytes long, also_sha256 string, also_intact boolean"
+    out = in_arrow(slim, run, schema)
+    return out.select(F.col("id").alias(id_col), *out.columns[1:8], *["media"] * with_media, *["tile"] * with_tile, *[F.col(f"also_{c}").alias(f"{also}_{c}") for c in ("bytes", "sha256", "intact") if also])
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(read(spark, sf_dir, "documents"))
+    return text_media(read(spark, sf_dir, "documents"), with_tile=True, also="bmp")
