@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows handled at once inside an Arrow batch; keeps Python lists small when texts are long.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has no smaller bound: buffers of both sides grow with it.
+BATCH_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -46,6 +49,22 @@ def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_BYTES`` at most; this bound stays set in the session."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = re.match(r"(-?\d+)([kmgt]?)", conf.get(bound).lower())
+    size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[now[2]] if now else -1
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(bound, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
+
+    return df.mapInArrow(task, schema)
+
+
 def map_texts(docs: DataFrame, text_col: str, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], list[pa.Array]]], done: Callable[[], None] = lambda: None) -> DataFrame:
     """The columns ``keep`` of every row and, after them, the columns ``added``, which are made of whole texts (null: empty).
 
@@ -64,7 +83,7 @@ def map_texts(docs: DataFrame, text_col: str, keep: list[str], added: T.StructTy
         done()
 
     schema = T.StructType([*[T.StructField(n, docs.schema[c].dataType) for c, n in zip(keep, names)], *added.fields])
-    out = sent.mapInArrow(run, schema)
+    out = in_arrow(sent, run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *added.names)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import hinted_small, read, salted_join, shared_checkpoint, slices
+from gradeloom.llm._common import hinted_small, in_arrow, read, salted_join, shared_checkpoint, slices
 from gradeloom.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -42,8 +42,8 @@ FRAGMENT_BYTES, LEAST_FRAGMENTS, BROADCAST_KEYS = 2_000_000, 64, 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
-#: Words whose hashes a worker keeps, and documents whose n-grams it counts together.
-_WORD_CACHE, TASK_ROWS = 200_000, 4_096
+#: Words whose hashes a worker keeps; documents whose n-grams it counts together, and n-grams at most but for one document's.
+_WORD_CACHE, TASK_ROWS, TASK_GRAMS = 80_000, 4_096, 1_000_000
 
 
 class _WordHashes(dict):
@@ -89,45 +89,50 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
     names = [x.split(" ")[0] for x in _PART.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch in slices(batches, TASK_ROWS):
-            ids, ns, ks, prefixes, own = [], [], [], [], {}
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+        turn, own, prefixes, docs, grams = 0, {}, [], [], 0
+        for batch in slices(batches):
+            for i, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = text.as_buffer()
                 s = shingle_set(data.to_pybytes() if data is not None else b"", n_words)
                 k = _key(s) if len(s) else None
-                ids.append(i)
-                ns.append(len(s))
-                ks.append(k)
+                docs.append((-1 - (turn + len(docs)) % fragments, i, row, len(s), k))
                 if k is not None and k not in own:
                     own[k] = len(own)
-                    prefixes.append(s[: len(s) - _needed(len(s), num, den) + math.ceil(slack * len(s))])
-            counted = np.zeros(len(own), np.int64)
-            rows = []
-            if own:
-                keys = np.fromiter(own, np.int64)
-                at = np.repeat(np.arange(len(own)), [len(p) for p in prefixes])
-                h, first, back, times = np.unique(np.concatenate(prefixes), return_index=True, return_inverse=True, return_counts=True)
-                here = times > 1
-                counted = np.bincount(at[here[back]], minlength=len(own))
-                frag = (h // width).astype(np.int64)
-                known = np.where(here, -1, at[first])
-                starts = np.searchsorted(frag, np.arange(fragments + 1))
-                for f in np.flatnonzero(np.diff(starts)):
-                    x = slice(starts[f], starts[f + 1])
-                    alone = known[x] >= 0
-                    rows.append((int(f), h[x][alone].tobytes() + h[x][~alone].tobytes(), keys[known[x][alone]].tobytes()))
-            seen: set[int] = set()
-            c = [0 if k is None or k in seen else seen.add(k) or int(counted[own[k]]) for k in ks]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - (turn + j) % fragments for j in range(len(ids))], pa.int32()), batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.binary())], names
-            )
-            turn += len(ids)
-            if rows:
-                no = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), no, no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names)
+                    prefixes.append(s[: len(s) - _needed(len(s), num, den) + math.ceil(slack * len(s))].copy())
+                    grams += len(prefixes[-1])
+            if len(docs) >= TASK_ROWS or grams >= TASK_GRAMS:
+                yield from sent(docs, own, prefixes)
+                turn, own, prefixes, docs, grams = turn + len(docs), {}, [], [], 0
+        if docs:
+            yield from sent(docs, own, prefixes)
         _words.clear()  # workers live on for other stages
 
+    def sent(docs: list[tuple], own: dict[int, int], prefixes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of a run of documents, and those of its n-grams by fragment, each n-gram once."""
+        counted, rows = np.zeros(len(own), np.int64), []
+        if own:
+            keys = np.fromiter(own, np.int64)
+            at = np.repeat(np.arange(len(own)), [len(p) for p in prefixes])
+            h, first, back, times = np.unique(np.concatenate(prefixes), return_index=True, return_inverse=True, return_counts=True)
+            here = times > 1
+            counted = np.bincount(at[here[back]], minlength=len(own))
+            frag = (h // width).astype(np.int64)
+            known = np.where(here, -1, at[first])
+            starts = np.searchsorted(frag, np.arange(fragments + 1))
+            for f in np.flatnonzero(np.diff(starts)):
+                x = slice(starts[f], starts[f + 1])
+                alone = known[x] >= 0
+                rows.append((int(f), h[x][alone].tobytes() + h[x][~alone].tobytes(), keys[known[x][alone]].tobytes()))
+        seen: set[int] = set()
+        c = [0 if d[4] is None or d[4] in seen else seen.add(d[4]) or int(counted[own[d[4]]]) for d in docs]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        none = pa.nulls(len(docs), pa.binary())
+        yield pa.RecordBatch.from_arrays([*[pa.array([d[j] for d in docs], t) for j, t in enumerate(kinds)], pa.array(c, pa.int64()), none, none], names)
+        for at in range(0, len(rows), 64):
+            some = rows[at : at + 64]
+            no = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), no, no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], names)
+
     def count(group: pa.Table) -> pa.Table:
         """A fragment: which of its n-grams do several classes have, and how many of these has each class that sent one alone?"""
         if group.column("frag")[0].as_py() < 0:
@@ -151,7 +156,7 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
         no = pa.nulls(len(keys), pa.int64())
         return pa.table([no, no, no.cast(pa.int32()), pa.array(keys), pa.array(n.astype(np.int64))], names=["id", "row", "n", "k", "c"])
 
-    return docs.mapInArrow(cut, _PART).groupBy("frag").applyInArrow(count, "id long, row long, n int, k long, c long")
+    return in_arrow(docs, cut, _PART).groupBy("frag").applyInArrow(count, "id long, row long, n int, k long, c long")
 
 
 def _sets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -162,7 +167,7 @@ def _sets(docs: DataFrame, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["k", "hs"])
         _words.clear()
 
-    return docs.mapInArrow(run, "k long, hs array<long>").dropDuplicates(["k"])
+    return in_arrow(docs, run, "k long, hs array<long>").dropDuplicates(["k"])
 
 
 def _may_link(n1: Column, n2: Column, num: int, den: int) -> Column:

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import read, slices
+from gradeloom.llm._common import in_arrow, read, slices
 from gradeloom.llm._pretokens import MARK, library_ids, pretokens, processor
 
 #: Pre-tokens that a task keeps (with 250 bytes each, some 40 MB), and the longest, in characters, that it keeps.
-CACHE_TOKENS, CACHE_CHARS = 200_000, 64
+CACHE_TOKENS, CACHE_CHARS = 150_000, 64
 #: Symbols up to which pre-tokens are encoded together, in bands of these widths; rows of a matrix; the rank of a pair that is no piece.
 BANDS, ROWS, NEVER = (8, 10, 12, 16, 24, 48), 8_192, np.int32(1 << 30)
 #: Bytes of text handled at once, but for a longer one alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 19
 
 
 class _Points(dict):
@@ -300,7 +300,7 @@ def piece_codes(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    coded = slim.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean, ids array<int>, decoded_text string")
+    coded = in_arrow(slim, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean, ids array<int>, decoded_text string")
     return coded.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", "agrees", *["ids"] * with_ids, *["decoded_text"] * with_text)
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import read, slices
+from gradeloom.llm._common import in_arrow, read, slices
 from gradeloom.llm._pretokens import library_ids, pretokens, processor
 
 TABLE_SIZE = 32_768
@@ -67,7 +67,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int
         return top.add_column(0, "at", [pc.divide(group.column("at")[:1], FAN)])
 
     schema = "at long, tokens array<string>, counts array<long>"
-    sums = docs.select(_text(text_col)).mapInArrow(leading, schema)
+    sums = in_arrow(docs.select(_text(text_col)), leading, schema)
     for _ in range(LEVELS):
         sums = sums.groupBy(F.floor(F.col("at") / FAN)).applyInArrow(together, schema)
     counts: Counter[str] = Counter()
@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([part.column(0), pc.cast(pc.binary_length(part.column(1)), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), _text(text_col))
-    counted = slim.mapInArrow(count, "id long, n_bytes long, n_tokens long")
+    counted = in_arrow(slim, count, "id long, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

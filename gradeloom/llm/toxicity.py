@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm._common import fold, map_texts, read, shared_checkpoint, slices
+from gradeloom.llm._common import fold, in_arrow, map_texts, read, shared_checkpoint, slices
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
@@ -36,14 +36,18 @@ MARK_RATIO = 20.0
 #: Texts of one label whose runs of five words agree in this share (by so many minima, looked up in bands of four) are copies.
 COPY, MINIMA, BAND = 0.8, 64, 4
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+#: Words that a worker keeps.
+_CACHE = 60_000
 
 
-class _Hashes(dict):
+def word_hashes(word: str) -> tuple[int, ...]:
     """The feature hashes of a word: itself and its starts."""
+    return tuple({xxhash.xxh3_64_intdigest(word) >> 1, *(xxhash.xxh3_64_intdigest(f"{word[:n]}-") >> 1 for n in (4, 5) if len(word) >= n)})
+
 
+class _Hashes(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple({xxhash.xxh3_64_intdigest(word) >> 1, *(xxhash.xxh3_64_intdigest(f"{word[:n]}-") >> 1 for n in (4, 5) if len(word) >= n)})
+        found = word_hashes(word)
         if len(self) < _CACHE:
             self[word] = found
         return found
@@ -70,7 +74,7 @@ class Ordinal(NamedTuple):
         for text in texts:
             hits: set[int] = set()
             for w in set(words(text)) - plain:
-                mine = [h for h in _hashes[w] if h in self.weights]
+                mine = [h for h in word_hashes(w) if h in self.weights]
                 if mine:
                     hits.update(mine)
                 elif len(plain) < _CACHE:
@@ -172,7 +176,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ids = shared_checkpoint(one_label(labels, id_col, label_col).filter(fold("id") != HELD_OUT))
     some, many = _sample(ids, fit_rows)
     texts = _slim(docs, id_col, text_col).join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    rows = shared_checkpoint(texts.mapInArrow(_hashed, "id long, y int, features array<long>, signature array<long>, text string"))
+    rows = shared_checkpoint(in_arrow(texts, _hashed, "id long, y int, features array<long>, signature array<long>, text string"))
     table = rows.select("id", "y", "signature").orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
     if not table.num_rows:
         return None
@@ -203,7 +207,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.int64())), pa.array(grades, pa.int32())], ["id", "y", "x", "grade"])
         _hashes.clear()
 
-    table = rows.select("id", "y", "features", "text").mapInArrow(graded, "id long, y int, x array<long>, grade int").orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
+    table = in_arrow(rows.select("id", "y", "features", "text"), graded, "id long, y int, x array<long>, grade int").orderBy(F.xxhash64("id", F.lit(7)), "id").toArrow()
     y, x = table.column("y").to_numpy(), [np.array(r, dtype=np.int64) for r in table.column("x").to_pylist()]
     seen = np.array([(table.num_rows - int(y.sum())), int(y.sum())]) / np.array([many[0], many[1]])
     weight = 1 / seen[y]

@@ -105,6 +105,8 @@ def test_mix(spark):
     assert [r["target"] for r in order] == pytest.approx(X.targets([r["size"] for r in order], [1, 2, 3, 1]))
     assert all(r["size"] == r["ss"] and abs(r["taken"] - r["target"]) <= 5 for r in order)
     copies = X.in_shards(out)
+    order = [(r["shard"], r["order_key"]) for r in copies.select("shard", "order_key").orderBy("shard", "order_key").collect()]
+    assert len({s for s, _ in order}) == 16 and [k for _, k in order[:50]] == sorted(k for _, k in order[:50])
     assert copies.agg(F.sum("size")).first()[0] == sum(r["taken"] for r in sums) and copies.select("doc_id", "pass").distinct().count() == copies.count()
 
 
@@ -129,18 +131,100 @@ def test_sketches_of_odd_rows(spark, odd, nothing):
     assert alone["near_next"] == 1.0 and alone["n_chars"] == 13
 
 
-def test_sketches_merge_and_next_rows_follow_ids(spark):
+def test_sketches_merge(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")], "id long, text string")
     df = df.withColumn("one", F.substring("text", 1, 25)).withColumn("two", F.substring("text", 17, 100))
     for c in ("text", "one", "two"):
         df = S.sketch(df, c, f"s_{c}", 2)
     assert df.select((S.merged(F.col("s_one"), F.col("s_two"), 2) == F.col("s_text")).alias("x")).first()["x"]
-    ids = [None, -5, 0, 1, 255, 256, 10_000, 2**62]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 4_000])
+def test_next_rows_follow_any_ids(spark, rows):
+    rng = random.Random(6)
+    ids = [-(2**63), -(2**62) - 5, -5, *range(100), 255, 10_000, 2**62 + 5, 2**63 - 1, *[rng.randrange(-(2**63), 2**63) for _ in range(60)]]
+    ids = [None, *sorted(set(ids))]
     frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string").repartition(3)
-    got = {r["id"]: r["next_t"] for r in S.with_next(frame, "id", ["t"]).collect()}
+    got = {r["id"]: r["next_t"] for r in S.with_next(frame, "id", ["t"], F.md5("t"), rows).collect()}
     assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_next_rows_of_repeated_and_null_ids(spark):
+    import hashlib
+
+    keys = [None] * 60 + [5] * 80 + list(range(40)) + [2**62]
+    rows = [(k, f"r{i}") for i, k in enumerate(keys)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    frame = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    out = S.with_next(frame, "id", ["t"], F.md5("t"), 6)
+    assert {r["t"]: r["next_t"] for r in out.collect()} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    begins = S._begins(frame, "id", 6)
+    place, _ = S._range(F.col("id"), F.md5("t"), begins)
+    assert begins.count(5) > 2 and begins.count(None) > 2
+    assert frame.groupBy(place).count().agg(F.max("count")).first()[0] <= 40
+    far = spark.range(20_000).union(spark.createDataFrame([(2**62,)], "id long"))
+    place, told = S._range(F.col("id"), F.lit(""), S._begins(far, "id", 1_000))
+    assert far.groupBy(place).count().agg(F.max("count")).first()[0] <= 3_000
+
+
+def brute_mix(rows, weights=X.WEIGHTS, seed=X.SEED):
+    """Taken words by a plain reading of the rules: passes over blocks in hashed order, a cut, a document that fills the rest."""
+    import numpy as np
+
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r["w"] for r in rows if r["source"] == s) for s in sources]
+    goal = X.targets(sizes, [weights[i % len(weights)] for i in range(len(sources))])
+    taken = {}
+    for s, size, t in zip(sources, sizes, goal):
+        mine = [r for r in rows if r["source"] == s]
+        full = int(t / size + 1e-9) if size else 0
+        part = max(0.0, t - full * size)
+        blocks = {}
+        for r in mine:
+            blocks.setdefault(r["block"], []).append(r)
+        turn = sorted(blocks, key=lambda b: (blocks[b][0]["turn"], b))
+        in_part, before, edge = set(), 0, None
+        for i, b in enumerate(turn):
+            w = sum(r["w"] for r in blocks[b])
+            if before >= part:
+                break
+            if before + w > part:
+                edge = i
+                break
+            in_part |= {r["place"] for r in blocks[b]}
+            before += w
+        if edge is not None:
+            rest, cut = part - before, None
+            for r in sorted(blocks[turn[edge]], key=lambda r: r["place"]):
+                if r["w"] > rest:
+                    break
+                rest, cut = rest - r["w"], r["place"]
+                in_part.add(r["place"])
+            near = [r for b in turn[edge : edge + X.NEAR_BLOCKS + 1] for r in blocks[b] if b != turn[edge] or cut is None or r["place"] > cut]
+            near = [(abs(rest - r["w"]), r["place"]) for r in near if abs(rest - r["w"]) < rest]
+            if near:
+                in_part.add(min(near)[1])
+        for r in mine:
+            taken[r["doc_id"]] = r["w"] * (full + (r["place"] in in_part))
+    assert np.isclose(sum(goal), sum(sizes))
+    return taken
+
+
+def test_mix_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, f"s{rng.choice('aaaaaaaabbcd')}" if i % 13 else None, " ".join("w" for _ in range(rng.choice((0, 1, 5, 5, 40, 300))))) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    table = X._placed(df, "doc_id", "source", "text", X.SEED).withColumn("n_blocks", F.lit(X.LEAST_BLOCKS)).withColumn("block", X._block(F.col("_place")))
+    order = {r[0]: i for i, r in enumerate(sorted({(s,) for _, s, _ in rows}, key=lambda s: (s[0] is None, s[0] or "")))}
+    number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(i)) for s, i in order.items()]).cast("int")
+    sizes = {r["source"]: r["w"] for r in table.groupBy("source").agg(F.sum("_size").alias("w")).collect()}
+    goal = X.targets([sizes[s] for s in order], [X.WEIGHTS[i % 3] for i in range(len(order))])
+    full = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(int(t / sizes[s] + 1e-9))) for (s, t) in zip(order, goal)]).cast("int")
+    table = table.withColumn("turn", F.shiftrightunsigned(F.xxhash64(number, F.col("block"), full, F.lit(X.SEED + 1)), 1))
+    plain = [dict(doc_id=r["doc_id"], source=r["source"], w=r["_size"], block=r["block"], turn=r["turn"], place=(r["_place"]["h"], r["_place"]["k"])) for r in table.collect()]
+    assert {r["doc_id"]: r["taken"] for r in X.mixed(df).collect()} == brute_mix(plain)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
 
@@ -152,3 +236,31 @@ def test_pipeline(spark, sf):
             assert after.count() <= docs.count() and after.select("doc_id").distinct().count() == after.count()
         docs, kept = after, after.count()
     assert P.run(spark, sf).count() == kept and P.ORACLE_SQL is None
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    texts = family(3, n_base=5, copies=8)
+    want = {c for d, (n, c) in brute(texts).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in N.one_of_each_component(df).collect()} == want
+    long = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, long, 1), (None, other, 2), (None, long + " end", 3), (7, other + " end", 4), (7, "quite another text of seven words", 5), (7, "quite another text of seven words", 5), (None, None, 6), (None, None, 6), (8, "", 7), (9, " \t", 8)]
+    out = N.one_of_each_component(spark.createDataFrame(rows, "doc_id long, text string, n_shingles int"))
+    assert sorted(r["n_shingles"] for r in out.collect()) in ([1, 4, 5, 6, 6, 7, 8], [3, 4, 5, 6, 6, 7, 8]) and out.columns == ["doc_id", "text", "n_shingles"]
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, sf):
+    import corpus_pipeline as P
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    flagged = docs.join(labels, "doc_id")
+    bad = [r["text"] for r in flagged.filter("toxic = 1").select("text").collect()][:2]
+    poor = [r["text"] for r in flagged.filter("quality = 0 and length(text) > 200").select("text").collect()][:2]
+    good = [r["text"] for r in flagged.filter("quality = 1 and toxic = 0").orderBy("doc_id").select("text").collect()][:4]
+    rows = [(i, t, "en", "s", len(t)) for t in (good[0], good[1], bad[0], poor[0]) for i in (None, 10**12)]
+    odd = docs.union(spark.createDataFrame(rows, docs.schema))
+    for stage, gone in ((P.drop_toxic, bad[0]), (P.drop_poor, poor[0])):
+        kept = stage(spark, odd, sf)
+        mine = sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter(f"doc_id is null or doc_id = {10**12}").collect())
+        assert {(i, t) for i in (0, 10**12) for t in good[:2]} <= set(mine) and gone not in {t for _, t in mine}
