@@ -81,6 +81,7 @@ def _needed(n: int | np.ndarray, num: int, den: int):
 
 
 _PART = "frag int, id long, row long, n int, k long, c long, h binary, ks binary"
+_COUNTS = ["id", "row", "n", "k", "c"]
 
 
 def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragments: int) -> DataFrame:
@@ -133,30 +134,51 @@ def _thin(docs: DataFrame, n_words: int, num: int, den: int, slack: float, fragm
             no = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), no, no, no.cast(pa.int32()), no, no, pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], names)
 
-    def count(group: pa.Table) -> pa.Table:
-        """A fragment: which of its n-grams do several classes have, and how many of these has each class that sent one alone?"""
-        if group.column("frag")[0].as_py() < 0:
-            return group.select(["id", "row", "n", "k", "c"])
-        hs, ks = [], []
-        for h, k in zip(group.column("h"), group.column("ks")):
-            h, k = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(k.as_buffer(), np.int64)
-            hs += [h[: len(k)], h[len(k) :]]
-            ks += [k, None]
-        several = [np.zeros(len(h), bool) if k is not None else np.ones(len(h), bool) for h, k in zip(hs, ks)]
-        k = np.concatenate([np.zeros(len(h), np.int64) if k is None else k for h, k in zip(hs, ks)])
-        h, several = np.concatenate(hs), np.concatenate(several)
-        order = np.argsort(h, kind="stable")
-        h, k, several = h[order], k[order], several[order]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        shared = np.logical_or.reduceat(several, at)
-        # only what is alone in its batch has a class here; with a smallest and a largest class there are two
-        shared |= np.minimum.reduceat(k, at) != np.maximum.reduceat(k, at)
-        hit = np.repeat(shared, np.diff(np.r_[at, len(h)])) & ~several
-        keys, n = np.unique(k[hit], return_counts=True)
-        no = pa.nulls(len(keys), pa.int64())
-        return pa.table([no, no, no.cast(pa.int32()), pa.array(keys), pa.array(n.astype(np.int64))], names=["id", "row", "n", "k", "c"])
-
-    return in_arrow(docs, cut, _PART).groupBy("frag").applyInArrow(count, "id long, row long, n int, k long, c long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fragment after fragment: which n-grams do several classes have, and how many of these has each class? A task's fragments are summed up together."""
+        frag, held, sums, size = None, [], [], 0
+        for batch in batches:
+            frags = batch.column(0).to_numpy()
+            own = int(np.searchsorted(frags, 0))
+            if own:
+                yield batch.slice(0, own).select(_COUNTS)
+            for j in range(own, batch.num_rows):
+                if frags[j] != frag:
+                    sums.append(_shared(held))
+                    frag, held, size = frags[j], [], size + len(sums[-1][0])
+                    if size >= TASK_GRAMS:
+                        yield from summed(sums)
+                        sums, size = [], 0
+                held.append((np.frombuffer(batch.column(6)[j].as_buffer(), np.uint64).copy(), np.frombuffer(batch.column(7)[j].as_buffer(), np.int64).copy()))
+        yield from summed([*sums, _shared(held)])
+
+    def summed(sums: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        k, back = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n in sums]), len(k)).astype(np.int64)
+        for at in range(0, len(k), 65_536):
+            no = pa.nulls(len(k[at : at + 65_536]), pa.int64())
+            yield pa.RecordBatch.from_arrays([no, no, no.cast(pa.int32()), pa.array(k[at : at + 65_536]), pa.array(n[at : at + 65_536])], _COUNTS)
+
+    parts = in_arrow(docs, cut, _PART).repartition("frag").sortWithinPartitions("frag")
+    return in_arrow(parts, count, "id long, row long, n int, k long, c long")
+
+
+def _shared(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a fragment's rows: the classes that sent an n-gram alone which others have too, and how many each."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # the n-grams that one class of a run of documents had come first, with that class; then those that several had
+    h = np.concatenate([h for h, _ in held])
+    k = np.concatenate([np.concatenate([k, np.zeros(len(h) - len(k), np.int64)]) for h, k in held])
+    several = np.concatenate([np.arange(len(h)) >= len(k) for h, k in held])
+    order = np.argsort(h, kind="stable")
+    h, k, several = h[order], k[order], several[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    shared = np.logical_or.reduceat(several, at)
+    # only what is alone in its run has a class here; with a smallest and a largest class there are two
+    shared |= np.minimum.reduceat(k, at) != np.maximum.reduceat(k, at)
+    hit = np.repeat(shared, np.diff(np.r_[at, len(h)])) & ~several
+    return np.unique(k[hit], return_counts=True)
 
 
 def _sets(docs: DataFrame, n_words: int) -> DataFrame:
