@@ -86,6 +86,45 @@ def test_every_license_notice_of_a_paragraph_counts(spark):
     assert [r["licenses"] for r in L.license_scan(df).orderBy("doc_id").collect()] == list(cases.values())
 
 
+def test_licenses_in_their_usual_forms():
+    cases = {
+        "Released under CC BY 4.0": ["CC-BY-4.0"],
+        "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"],
+        "This code is licensed under the terms of the MIT license": ["MIT"],
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": ["BSD"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007": ["GPL-3.0"],
+        "see https://creativecommons.org/licenses/by-sa/4.0/ for more": ["CC-BY-SA-4.0"],
+        "text http://www.creativecommons.org/licenses/by/4.0/legalcode": ["CC-BY-4.0"],
+        "MIT License or the Apache License, Version 2.0": ["Apache-2.0"],
+        "Dual licensed under the MIT License or the Apache License, Version 2.0": ["Apache-2.0", "MIT"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["LGPL-3.0"],
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": [],
+        "the gnu grazed at mit near the apache river with cc by permission of the substantial fee, in general 3 of them": [],
+    }
+    found = {k: [f.license for f in L.scan(k)] for k in cases}
+    assert found == cases
+
+
+def test_edited_notices_are_found_and_plain_texts_are_not():
+    import random
+
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(300)]
+    for name, text, must in L.TEMPLATES:
+        words = text.split()
+        if len(words) < 12:
+            continue
+        spots = [i for i, w in enumerate(words) if not set(L.words(w)) & {*L.words(must), *L.CLAUSES}]
+        for _ in range(3):
+            edited = list(words)
+            for i in rng.sample(spots, max(1, len(words) // 10)):
+                edited[i] = rng.choice(plain)
+            around = [" ".join(rng.choices(plain, k=40)) for _ in range(2)]
+            assert name in [f.license for f in L.scan(f"{around[0]} {' '.join(edited)} {around[1]}")], (name, edited)
+    assert not any(L.scan(" ".join(rng.choices(plain + ["license", "mit", "gnu", "cc", "apache", "bsd", "restriction"], k=200))) for _ in range(200))
+
+
 def test_license_scan_equals_exact_lines_on_the_corpus(spark):
     exact = {"CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License."}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
