@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that OCR spaces out, stop words of stem buckets, months.
-SPACED_WORDS = ("question", "answer", "answers", "module", "section", "reading", "writing", "math", "choice", "passage", "rationale", "correct")
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "from", "are", "was", "which", "what", "following", "text", "based", "most", "best")
+SPACED_WORDS = ("question", "questions", "reading", "writing", "math", "module", "choice", "choices", "answer", "answers", "key", "passage", "passages", "section", "test", "continue", "which", "used")
+STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "which", "what", "choice", "best", "most", "text", "based", "according", "following")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
+#: White space, that of Unicode included.
+_SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -46,10 +50,10 @@ def key_answer(answer: Column) -> Column:
 
 
 def content_text(x: Column) -> Column:
-    """Text in one spelling for duplicates: lower case, plain quotes and dashes, blanks and space runs as one space, no space in parentheses."""
-    y = F.translate(F.lower(x), "‘’“”–—", "''\"\"--")
-    y = F.regexp_replace(y, r"_{2,}", " ")
-    y = F.regexp_replace(y, r"\s+", " ")
+    """Text in one spelling for duplicates: lower case, plain quotes and dashes, runs of dots and spaces as one space, blanks of one length, no space in parentheses."""
+    y = F.translate(F.lower(x), "“”«»„‟‘’‚‛—–―", "\"\"\"\"\"\"" + "'" * 4 + "---")
+    y = F.regexp_replace(F.regexp_replace(y, r"\.{2,}", " "), r"_{2,}", " ____ ")
+    y = F.regexp_replace(y, rf"{_SPACE}+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(y, r"\(\s+", "("), r"\s+\)", ")"))
 
 
@@ -60,18 +64,27 @@ def fingerprint(*parts: Column) -> Column:
 
 def stem_bucket(section: Column, prompt: Column, choices: Column) -> Column:
     """Section, number of choices and the first ten telling words of a prompt."""
-    found = F.filter(F.split(F.regexp_replace(F.lower(prompt), r"[^a-z0-9\s]+", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    return F.concat_ws("|", section, choices.cast("string"), F.array_join(F.slice(found, 1, 10), " "))
+    found = F.filter(F.split(F.regexp_replace(content_text(prompt), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    return F.concat_ws("|", section, F.concat(F.lit("mc"), choices.cast("string")), F.array_join(F.slice(found, 1, 10), " "))
+
+
+def rewritten(x: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """A text with each match of a pattern changed by an expression."""
+    between, found = F.split(x, pattern), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(between, found, lambda b, f: F.array(F.coalesce(b, F.lit("")), F.when(f.isNotNull(), change(f)).otherwise("")))), "")
 
 
 def repaired(text: Column) -> Column:
-    """OCR repair: known words that are spaced out, choice markers, spaced key entries, escaped blanks."""
-    x = text
-    for word in SPACED_WORDS:
-        x = F.regexp_replace(x, rf"(?i)\b{' '.join(word)}\b", word.capitalize())
-    x = F.regexp_replace(x, r"(\\_){3,}|_{3,}", "____")
-    x = F.regexp_replace(x, r"(?m)^\s*\(?([A-D])\s*[.)]\s+", "$1) ")
-    return F.regexp_replace(x, r"(?m)^(\d{1,2}) \. ([A-D])$", "$1. $2")
+    """OCR repair: escaped blanks of three or more, known words that are spaced out, choice markers, spaced key entries, module headings."""
+    joined = lambda run: F.regexp_replace(run, r"\s+", "")
+    known = lambda run: F.when(F.lower(joined(run)).isin(*SPACED_WORDS), joined(run)).otherwise(run)
+    x = rewritten(text, r"(?:\\_){3,}", lambda run: F.repeat(F.lit("_"), (F.length(run) / 2).cast("int")))
+    x = rewritten(x, r"(?<![A-Za-z0-9_])[A-Za-z](?:[^\S\n]+[A-Za-z]{1,2})+(?![A-Za-z0-9_])", known)
+    x = rewritten(x, r"(?<![A-Za-z0-9_])[A-Za-z][^\S\n]+[A-Za-z]{3,}(?![A-Za-z0-9_])", known)
+    x = F.regexp_replace(x, r"(?md)^(\s*)([A-H])\s*[.)]\s*", "$1$2. ")
+    x = F.regexp_replace(x, r"(?md)^(\s*\d{1,3})\s+\.\s+([A-Ha-h]|[+-]?\d+(?:\.\d+)?(?:\s*/\s*\d+)?)\s*$", "$1. $2")
+    x = F.regexp_replace(x, r"(?md)^(\s*)(Module\s+\d)\s*:\s*(Reading and Writing|Math)\s+(Question\s+\d)\s*$", "$1$3 $2\n$1$4")
+    return F.regexp_replace(x, r"(?md)^(\s*)(Module\s+\d)\s*:\s*(Reading and Writing|Math)\s*$", "$1$3 $2")
 
 
 def evidence(x: Column) -> Column:

@@ -9,22 +9,26 @@ from gradeloom.functions.expressions import answers_match, explanations_open
 from gradeloom.functions.relational import latest_by, pct
 
 
-def grade_responses(attempts: DataFrame, responses: DataFrame, questions: DataFrame) -> DataFrame:
-    """Grade every response of every attempt: a choice against the key's choice, a typed answer against the key's alternatives.
+def grade_responses(roster: DataFrame, attempts: DataFrame, responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Grade every question of every attempt's roster: a choice against the key's choice, a typed answer against the key's alternatives.
 
-    A missing answer is wrong and unanswered. Adds ``is_correct``, ``is_answered`` and ``points`` (1 a question).
+    A question without a response is wrong and unanswered; a response to what is not on the roster counts nothing. ``roster``: attempt_id, question_id,
+    module_id and points, null for 1. Adds ``is_correct``, ``is_answered`` and ``points``.
     """
-    joined = responses.join(attempts, "attempt_id").join(questions.drop("prompt", "status"), "question_id")
+    own = roster.select("attempt_id", "question_id", "module_id", F.coalesce("points", F.lit(1)).alias("points"))
+    given = responses.select("attempt_id", "question_id", "choice_no", "typed_text", "seconds")
+    joined = own.join(given, ["attempt_id", "question_id"], "left").join(attempts, "attempt_id").join(questions.drop("prompt", "status"), "question_id")
     typed = F.col("question_type") == "typed"
     right = F.when(typed, answers_match(F.col("typed_text"), F.col("key_text"))).otherwise(F.coalesce(F.col("choice_no") == F.col("key_no"), F.lit(False)))
     answered = F.when(typed, F.trim(F.coalesce("typed_text", F.lit(""))) != "").otherwise(F.col("choice_no").isNotNull())
-    return joined.select("attempt_id", "student_id", "assignment_id", "test_id", F.col("status").alias("attempt_status"), "started_at", "question_id", "module_id", "section", "domain", "skill", "difficulty", "question_type", "choice_no", "key_no", "typed_text", "key_text", "seconds", right.alias("is_correct"), answered.alias("is_answered"), F.lit(1).alias("points"))
+    return joined.select("attempt_id", "student_id", "assignment_id", "test_id", F.col("status").alias("attempt_status"), "started_at", "question_id", "module_id", "section", "domain", "skill", "difficulty", "question_type", "choice_no", "key_no", "typed_text", "key_text", "seconds", right.alias("is_correct"), answered.alias("is_answered"), "points")
 
 
 def score_rollup(graded: DataFrame) -> DataFrame:
-    """Raw points, questions and accuracy for attempts, sections and modules, in one pass of grouping sets; ``level`` tells them apart."""
+    """Raw points, questions and accuracy for attempts, sections and modules, by grouping sets over the sums of modules; ``level`` tells them apart."""
     right = F.sum(F.col("is_correct").cast("int") * F.col("points"))
-    out = graded.groupingSets([["attempt_id"], ["attempt_id", "section"], ["attempt_id", "section", "module_id"]], "attempt_id", "section", "module_id").agg(right.alias("raw"), F.count("*").alias("total_questions"), F.sum("points").alias("total_points"), F.grouping_id().alias("g"))
+    modules = graded.groupBy("attempt_id", "section", "module_id").agg(right.alias("r"), F.count("*").alias("q"), F.sum("points").alias("p"))  # sums add up, so only modules are expanded into levels
+    out = modules.groupingSets([["attempt_id"], ["attempt_id", "section"], ["attempt_id", "section", "module_id"]], "attempt_id", "section", "module_id").agg(F.sum("r").alias("raw"), F.sum("q").alias("total_questions"), F.sum("p").alias("total_points"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 3, "attempt").when(F.col("g") == 1, "section").otherwise("module")
     return out.select("attempt_id", level.alias("level"), "section", "module_id", "raw", "total_questions", "total_points", pct(F.col("raw"), F.col("total_points")).alias("accuracy_points"), pct(F.col("raw"), F.col("total_questions")).alias("accuracy_questions"))
 

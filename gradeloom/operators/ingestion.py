@@ -13,7 +13,7 @@ from gradeloom.functions.relational import islands
 
 #: Questions of the four modules of a full test, and the signs of a phantom prompt.
 MODULES = ((0, 27), (1, 27), (2, 22), (3, 22))
-PHANTOM = (r"^\s*$", r"(?i)^question\s*\d*\s*$", r"^[\W\d_]+$", r"(?i)\bdirections?:", r"(?i)^section \d", r"(?i)\bturn the page\b", r"(?i)^mark for review")
+PHANTOM = (r"(?i)student-produced response directions", r"(?i)more than one correct answer", r"(?i)answer preview", r"(?i)rectangular box[^.]{0,120}(write|enter|blank|answer)", r"(?i)mark for review", r"(?i)hide\s+calculator", r"(?i)back\s+next")
 MATH_SIGNS = r"(?i)\b(equation|function|slope|triangle|percent|value of x|graph)\b|[=<>]|\d\s*[+*/]\s*\d"
 
 
@@ -24,14 +24,15 @@ def normalize_pages(pages: DataFrame, key: str, text: str = "text") -> DataFrame
 
 
 def text_quality(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Words, characters, markers, mean line length and thin pages of a document, and a verdict."""
+    """Words, characters, markers, mean line length and thin pages (which need OCR) of a document, and a verdict: good if it has more than 50 words in lines of more than 15 characters, and a question or two choices."""
     t = F.col(text)
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     lines = F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
-    rows = pages.select(key, words.alias("w"), F.length(t).alias("c"), F.regexp_count(t, F.lit(r"(?m)^\s*\d{1,3}[.)]")).alias("q"), F.regexp_count(t, F.lit(r"(?m)^\s*[A-D][.)]")).alias("k"), lines.alias("l"))
+    rows = pages.select(key, words.alias("w"), F.length(t).alias("c"), F.regexp_count(t, F.lit(r"(?md)^\s*\d{1,3}\s*[.)]\s+\S")).alias("q"), F.regexp_count(t, F.lit(r"(?md)^\s*[A-H]\s*[.)]\s+\S")).alias("k"), lines.alias("l"))
     out = rows.groupBy(key).agg(F.sum("w").alias("words"), F.sum("c").alias("chars"), F.sum("q").alias("question_marks"), F.sum("k").alias("choice_marks"), F.sum("l").alias("lines"), F.count_if(F.col("w") < 15).alias("thin_pages"), F.count("*").alias("pages"))
-    out = out.withColumn("line_length", F.floor(F.try_divide(F.col("chars").cast("double"), F.col("lines").cast("double")) * 10 + 0.5) / 10)
-    return out.withColumn("quality", F.when((F.col("words") < 50) | (F.col("thin_pages") * 2 > F.col("pages")), "poor").otherwise("good"))
+    out = out.withColumn("line_length", F.coalesce(F.floor(F.try_divide(F.col("chars").cast("double"), F.col("lines").cast("double")) + 0.5), F.lit(0)).cast("long"))
+    substance = (F.col("words") > 50) & (F.col("line_length") > 15)
+    return out.withColumn("quality", F.when(substance & ((F.col("question_marks") >= 1) | (F.col("choice_marks") >= 2)), "good").otherwise("poor"))
 
 
 def extract_keys(lines: DataFrame) -> DataFrame:

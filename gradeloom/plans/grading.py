@@ -8,14 +8,14 @@ from gradeloom.functions import expressions as E
 from gradeloom.operators import grading as G
 from gradeloom.plans.adapters import NOW, Views, sql
 
-GRADED = """graded as (select r.attempt_id, a.student_id, a.assignment_id, a.test_id, a.status as attempt_status, a.started_at, r.question_id, r.module_id, q.section, q.domain, q.skill, q.difficulty, q.question_type, r.choice_no, q.key_no, r.typed_text, r.seconds,
+GRADED = """graded as (select k.attempt_id, a.student_id, a.assignment_id, a.test_id, a.status as attempt_status, a.started_at, k.question_id, k.module_id, q.section, q.domain, q.skill, q.difficulty, q.question_type, r.choice_no, q.key_no, r.typed_text, r.seconds,
   case when q.question_type = 'typed' then coalesce(cast(split_part(r.typed_text, '/', 1) as double) / cast(split_part(r.typed_text, '/', 2) as double) = cast(split_part(q.key_text, '/', 1) as double) / 4, false) else coalesce(r.choice_no = q.key_no, false) end as is_correct,
   case when q.question_type = 'typed' then r.typed_text is not null else r.choice_no is not null end as is_answered
-  from responses r join attempts a on r.attempt_id = a.attempt_id join questions q on r.question_id = q.question_id)"""
+  from roster k join attempts a on k.attempt_id = a.attempt_id join questions q on k.question_id = q.question_id left join responses r on r.attempt_id = k.attempt_id and r.question_id = k.question_id)"""
 
 
 def graded(v: Views):
-    return G.grade_responses(v.attempts, v.responses, v.questions)
+    return G.grade_responses(v.roster, v.attempts, v.responses, v.questions)
 
 
 def g(query: str) -> str:

@@ -12,7 +12,7 @@ from gradeloom.sources import tables as S
 
 
 def _pages(v: Views):
-    return v.drafts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), "text")
+    return v.draft_texts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), "text")
 
 
 def _bank(v: Views):
@@ -40,7 +40,7 @@ def _matches(v: Views):
 
 
 def _readiness(v: Views, even: bool = False):
-    rows = v.drafts.filter("id % 10 <> 3") if even else v.drafts
+    rows = v.drafts.filter("status <> 'rejected'") if even else v.drafts
     keys = v.drafts.groupBy("import_id").agg(F.count("answer").alias("raw_keys"))
     return A.import_readiness(rows.select("import_id", "id", "page_number", "number", F.when(F.col("id") % 3 != 0, F.col("module")).alias("module"), "answer"), keys, F.col("import_id") != "src7")
 
@@ -62,7 +62,7 @@ def _decisions(v: Views):
 QUERIES = {
     "s3_split_pages": lambda v: S.split_pages(v.documents.select("doc_id", F.concat(F.lit("===== PAGE 1 =====\n"), F.substring("text", 1, 100), F.lit("\n===== PAGE 2 =====\n"), F.substring("text", 101, 100)).alias("dump")), "doc_id", "dump"),
     "s4_lines": lambda v: S.lines(v.documents, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("line_no").alias("last"), F.sum(F.length("line")).alias("chars")),
-    "f6_phantoms": lambda v: v.drafts.select("import_id", "id", D.is_phantom(F.substring("prompt", 1, 12)).alias("phantom")),
+    "f6_phantoms": lambda v: v.draft_texts.select("import_id", "id", D.is_phantom(F.col("prompt")).alias("phantom")),
     "f7_source_images": lambda v: v.pages.select("page_id", F.col("url").rlike(r"(?i)^https?://(blog|m)\.[^/]+/(en|fr)/\d+").alias("is_source")),
     "e2_key_answer": lambda v: v.part.select("p_partkey", E.key_answer(F.concat(F.lit(r" \frac{"), F.col("p_size").cast("string"), F.lit("}{4} or −1,"), F.lit("250 "))).alias("key")),
     "e9_module_name": lambda v: v.documents.select("doc_id", E.module_name(F.concat(F.element_at(F.array(F.lit("Math"), F.lit("Reading and Writing"), F.lit("Other")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" Module "), (F.col("n_chars") % 3).cast("string"))).alias("module")),
@@ -77,25 +77,25 @@ QUERIES = {
     "d6_module_completeness": lambda v: D.module_completeness(_questions(v)),
     "d7_repair_numbers": lambda v: D.repair_numbers(_seq(v)),
     "d7_fill_runs": lambda v: D.fill_runs(_seq(v)),
-    "d8_section_transition": lambda v: D.section_transition(v.drafts.select("import_id", F.col("rn").alias("seq"), "text"), "text"),
+    "d8_section_transition": lambda v: D.section_transition(v.draft_texts.select("import_id", F.col("rn").alias("seq"), "text"), "text"),
     "d9_exact_duplicates": lambda v: D.exact_duplicates(v.documents, "doc_id", [F.col("text")], F.col("doc_id")),
     "d10_near_buckets": lambda v: D.near_buckets(v.documents, "doc_id", F.col("lang"), F.col("text"), F.lit(4)),
     "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.documents.select(F.expr("concat(lang, ':', doc_id div 250)").alias("import_id"), (F.col("n_chars") % 2).alias("module"), (F.length("text") % 3).alias("number"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("prompt"))),
     "d12_attribute_figures": _figures,
     "d13_match_answers": _matches,
     "d14_assess_keys": lambda v: D.assess_keys(_matches(v), _match_keys(v)),
-    "d15_source_evidence": lambda v: D.source_evidence(v.drafts.select("import_id", "id", (F.col("rn") + F.col("n_chars") % 3).cast("int").alias("page_number"), "prompt"), _pages(v)),
-    "d16_choices_preserved": lambda v: D.choices_preserved(v.drafts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), F.explode(F.slice(F.split("text", " "), 1, 4)).alias("choice")), v.drafts.select("import_id", F.col("rn").cast("int").alias("page_number"), F.explode(F.slice(F.split("text", " "), 1, 3)).alias("choice"))),
+    "d15_source_evidence": lambda v: D.source_evidence(v.draft_texts.select("import_id", "id", (F.col("rn") + F.col("n_chars") % 3).cast("int").alias("page_number"), "prompt"), _pages(v)),
+    "d16_choices_preserved": lambda v: D.choices_preserved(v.draft_texts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice")), v.draft_texts.filter("status <> 'rejected'").select("import_id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice"))),
     "d17_import_readiness": _readiness,
     "d18_find_existing": lambda v: D.find_existing(_labels(v).filter("id % 2 = 0"), _labels(v).filter("id % 2 = 1 and id % 3 <> 0")),
     "d19_import_listing": lambda v: A.import_listing(v.drafts),
     "d19_module_summary": lambda v: A.module_summary(v.drafts),
-    "d20_draft_risks": lambda v: A.draft_risks(v.drafts),
+    "d20_draft_risks": lambda v: A.draft_risks(v.draft_texts),
     "d20_import_risks": lambda v: A.import_risks(v.drafts),
-    "d21_approval_warnings": lambda v: A.approval_warnings(v.drafts),
-    "d22_import_audit": lambda v: A.import_audit(v.drafts),
-    "d23_key_agreement": lambda v: A.key_agreement(v.drafts.select("import_id", "module", "number", "answer").dropDuplicates(["import_id", "module", "number", "answer"]), v.drafts.filter("id % 3 <> 1").groupBy("import_id", "module", "number").agg(F.max("answer").alias("answer"))),
-    "d24_retry_pages": lambda v: A.retry_pages(v.drafts.groupBy("import_id", "page_number").agg(F.min("text").alias("text")), v.drafts),
+    "d21_approval_warnings": lambda v: A.approval_warnings(v.draft_texts),
+    "d22_import_audit": lambda v: A.import_audit(v.draft_texts),
+    "d23_key_agreement": lambda v: A.key_agreement(v.drafts.select("import_id", "module", "number", "answer").dropDuplicates(["import_id", "module", "number", "answer"]), v.drafts.filter("status <> 'rejected'").groupBy("import_id", "module", "number").agg(F.max("answer").alias("answer"))),
+    "d24_retry_pages": lambda v: A.retry_pages(v.draft_texts.groupBy("import_id", "page_number").agg(F.min("text").alias("text")), v.drafts),
     "d25_display_order": lambda v: D.display_order(v.drafts),
     "d26_assemble_test": lambda v: A.assemble_test(v.drafts),
     "d27_unused_images": lambda v: A.image_provenance(v.orders.filter("o_orderstatus = 'P'").select((F.col("o_custkey") % 90).alias("import_id")), v.lineitem.filter("l_quantity > 49").select((F.col("l_suppkey") % 60).alias("import_id")), v.nation.select(F.col("n_nationkey").cast("long").alias("import_id")), v.pages.select(F.col("page_id").alias("image_id"), (F.col("page_id") % 110).alias("import_id"))).select("image_id", "import_id"),
@@ -104,17 +104,19 @@ QUERIES = {
     "d30_corpus_triage": lambda v: A.corpus_triage(D.text_quality(v.documents.withColumnRenamed("doc_id", "id"), "id")),
     "d31_new_files": lambda v: D.new_files(v.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("name")), v.pages.filter("page_id % 4 = 0").select(F.col("page_id").alias("file_id")), F.col("file_id") < 100),
     "d32_backfill_diff": lambda v: D.normalize_pages(v.documents, "doc_id").filter("changed").select("doc_id", "before", "after"),
-    "d33_review_selection": lambda v: A.review_selection(A.draft_risks(v.drafts), 2),
+    "d33_review_selection": lambda v: A.review_selection(A.draft_risks(v.draft_texts), 2),
     "d34_parity": lambda v: A.parity(v.documents.select("doc_id", "source", F.when(F.col("doc_id") % 50 != 0, F.col("lang")).alias("lang"), "n_chars"), v.documents, "doc_id", ["source", "lang", "n_chars"]),
     "d35_cohort_selection": lambda v: A.cohort_selection(_readiness(v)),
 }
 
-_PHANTOM = " or ".join(f"regexp_matches({{x}}, '{p}')" for p in D.PHANTOM)
+_PHANTOM = "regexp_matches({x}, '(?i)(student-produced response directions|more than one correct answer|answer preview|rectangular box[^.]{{0,120}}(write|enter|blank|answer)|mark for review|hide\\s+calculator|back\\s+next)')"
 _KEYS = "keys as (select import_id, module, page_number, line_no, (u.i - 1)::int as place, regexp_extract(u.pair, '^(\\d+)', 1)::int as number, right(u.pair, 1) as answer from (select *, last_value(nullif(regexp_extract(line, '(?i)\\bmodule\\s+(\\d)\\b', 1), '')::int ignore nulls) over (partition by import_id order by page_number, line_no) as module from key_lines) l, lateral (select unnest(ps) as pair, generate_subscripts(ps, 1) as i from (select regexp_extract_all(l.line, '\\b(\\d{1,2})[.)]?\\s+([A-D])\\b') as ps)) u where module is not null)"
 _BANK = """bl as (select import_id, page_number as pn, row_number() over (partition by import_id order by page_number) as block, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from bank_pages)"""
 _SEQ = "q as (select *, case when event_id % 5 <> 0 then seq + case when event_id % 11 = 0 then 3 else 0 end end as number from (select user_id as import_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events))"
-_CONTENT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '‘’“”–—', '''''\"\"--'), '_{2,}', ' ', 'g'), '\\s+', ' ', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g'))"
-_STOP = ", ".join(f"'{w}'" for w in E.STOP_WORDS)
+_Q = "'" * 8
+_WS = "[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_CONTENT = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '“”«»„‟‘’‚‛—–―', '\"\"\"\"\"\"{_Q}---'), '\\.{{2,}}', ' ', 'g'), '_{{2,}}', ' ____ ', 'g'), '{_WS}+', ' ', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g'))"
+_STOP = "'the', 'and', 'for', 'with', 'from', 'that', 'this', 'which', 'what', 'choice', 'best', 'most', 'text', 'based', 'according', 'following'"
 _MQ = "mq as (select import_id, rn as seq, module, case when id % 5 <> 0 then number end as number from drafts), mk as (select import_id, rn as entry, module, number, coalesce(answer, 'A') as answer from drafts where answer is not null or id % 4 = 0)"
 _MATCH = f"""{_MQ}, m1 as (select import_id, seq, entry, answer, 'number' as method, 1.0::double as confidence from (select import_id, module, number, min(seq) as seq from mq where number is not null group by 1, 2, 3 having count(*) = 1) join (select import_id, module, number, min(answer) as answer, min(entry) as entry from mk group by 1, 2, 3 having count(*) = 1) using (import_id, module, number)),
   lq as (select *, row_number() over (partition by import_id, module order by seq) as k, count(*) over (partition by import_id, module) as n from mq where (import_id, seq) not in (select (import_id, seq) from m1)), lk as (select *, row_number() over (partition by import_id, module order by entry) as k, count(*) over (partition by import_id, module) as n from mk where (import_id, entry) not in (select (import_id, entry) from m1)),
@@ -126,28 +128,39 @@ def _ready(name: str, where: str) -> str:
     from (select import_id, count(*) as questions, count(answer) as answered, count_if(em is null) as inferred, count_if(m = 0) as m0, count_if(m = 1) as m1, count_if(m = 2) as m2, count_if(m = 3) as m3 from {name}_p group by 1) left join (select import_id, count(answer) as raw_keys from drafts group by 1) using (import_id) left join (select import_id, count(*) as d0 from (select import_id from {name}_p where m is not null and number is not null group by import_id, m, number having count(*) > 1) group by 1) using (import_id), lateral (select coalesce(d0, 0) as duplicates))""".replace(f"{name} as (", f"{name}_p as (select *, coalesce(em, case when n = 98 then case when r <= 27 then 0 when r <= 54 then 1 when r <= 76 then 2 else 3 end end) as m from (select *, case when id % 3 <> 0 then module end as em, row_number() over (partition by import_id order by page_number, number, id) as r, count(*) over (partition by import_id) as n from drafts where {where})), {name} as (", 1)
 
 
-_R0, _R1 = _ready("r0", "true"), _ready("r1", "id % 10 <> 3")
+_R0, _R1 = _ready("r0", "true"), _ready("r1", "status <> 'rejected'")
 _RANK = "case {x} when 'failed' then 0 when 'processing' then 1 when 'partial' then 2 else 3 end"
 _DECIDE = f"""{_R0}, {_R1}, dd as (select import_id, q0, q1, a0, a1, case when q1 is null then 'lost' when q0 is null then 'added' when {_RANK.format(x='s1')} < {_RANK.format(x='s0')} then 'question_status_fell' when {_RANK.format(x='k1')} < {_RANK.format(x='k0')} then 'key_status_fell' when q1 < q0 then 'questions_fell' when a1 < a0 then 'answers_fell' when q1 > q0 or a1 > a0 or {_RANK.format(x='s1')} > {_RANK.format(x='s0')} or {_RANK.format(x='k1')} > {_RANK.format(x='k0')} then 'improved' else 'unchanged' end as reason from (select import_id, questions as q0, answered as a0, question_status as s0, key_status as k0 from r0) full join (select import_id, questions as q1, answered as a1, question_status as s1, key_status as k1 from r1 where import_id <> 'src3') using (import_id))"""
-_RISKS = f"risks as (select import_id, id, list_filter([case when flag = 'number_inferred' then 'known_minor_flag' end, case when flag = 'ocr_low' then 'known_major_flag' end, case when flag = 'mystery' then 'unknown_flag' end, case when answer is null then 'missing_answer' end, case when trim(prompt) = '' then 'empty_prompt' end, case when length(prompt) < 40 then 'short_prompt' end, case when {_PHANTOM.format(x='prompt')} then 'phantom' end], lambda x: x is not null) as c from drafts), rs as (select import_id, id, array_to_string(c, ',') as codes, len(c)::int as n, case when len(list_filter(c, lambda x: x not in ('known_minor_flag', 'short_prompt'))) > 0 then 'major' when len(c) > 0 then 'minor' else 'complete' end as state from risks)"
+_RISKS = f"risks as (select import_id, id, list_filter([case when flag = 'number_inferred' then 'known_minor_flag' end, case when flag = 'ocr_low' then 'known_major_flag' end, case when flag = 'mystery' then 'unknown_flag' end, case when answer is null then 'missing_answer' end, case when trim(prompt) = '' then 'empty_prompt' end, case when length(prompt) < 40 then 'short_prompt' end, case when {_PHANTOM.format(x='prompt')} then 'phantom' end], lambda x: x is not null) as c from draft_texts), rs as (select import_id, id, array_to_string(c, ',') as codes, len(c)::int as n, case when len(list_filter(c, lambda x: x not in ('known_minor_flag', 'short_prompt'))) > 0 then 'major' when len(c) > 0 then 'minor' else 'complete' end as state from risks)"
 _Q2 = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
-_QUALITY = "tq as (select {key}, words, chars, question_marks, choice_marks, lines, thin_pages, pages, floor(chars::double / nullif(lines, 0)::double * 10 + 0.5) / 10 as line_length, case when words < 50 or thin_pages * 2 > pages then 'poor' else 'good' end as quality from (select {key}, sum(w)::bigint as words, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '(?m)^\\s*\\d{{1,3}}[.)]')))::bigint as question_marks, sum(len(regexp_extract_all(text, '(?m)^\\s*[A-D][.)]')))::bigint as choice_marks, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint as lines, count_if(w < 15) as thin_pages, count(*) as pages from (select *, len(" + _Q2 + ") as w from {source}) group by 1))"
+_QUALITY = "tq as (select {key}, words, chars, question_marks, choice_marks, lines, thin_pages, pages, coalesce(floor(chars::double / nullif(lines, 0)::double + 0.5), 0)::bigint as line_length, case when words > 50 and floor(chars::double / nullif(lines, 0)::double + 0.5) > 15 and (question_marks >= 1 or choice_marks >= 2) then 'good' else 'poor' end as quality from (select {key}, sum(w)::bigint as words, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '(?m)^\\s*\\d{{1,3}}\\s*[.)]\\s+\\S')))::bigint as question_marks, sum(len(regexp_extract_all(text, '(?m)^\\s*[A-H]\\s*[.)]\\s+\\S')))::bigint as choice_marks, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint as lines, count_if(w < 15) as thin_pages, count(*) as pages from (select *, len(" + _Q2 + ") as w from {source}) group by 1))"
+
+_WORDS = "'question', 'questions', 'reading', 'writing', 'math', 'module', 'choice', 'choices', 'answer', 'answers', 'key', 'passage', 'passages', 'section', 'test', 'continue', 'which', 'used'"
+_KNOWN = f"case when lower(regexp_replace(m, '\\s+', '', 'g')) in ({_WORDS}) then regexp_replace(m, '\\s+', '', 'g') else m end"
+
+
+def _fixed(source: str) -> str:
+    """Repaired texts as ``fixed`` beside the columns of ``source``, step by step."""
+    out = f"select *, text as fixed from ({source})"
+    for pattern, change in (("(?:\\\\_){3,}", "repeat('_', length(m) // 2)"), ("\\b[A-Za-z](?:[^\\S\\n]+[A-Za-z]{1,2})+\\b", _KNOWN), ("\\b[A-Za-z][^\\S\\n]+[A-Za-z]{3,}\\b", _KNOWN)):
+        out = f"select * replace (array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(ms[i], '')), '') as fixed) from (select * exclude (ps, ms), ps, list_transform(ms, lambda m: {change}) as ms from (select *, string_split_regex(fixed, '{pattern}') as ps, regexp_extract_all(fixed, '{pattern}') as ms from ({out})))"
+        out = f"select * exclude (ps, ms) from ({out})"
+    steps = (("(?m)^(\\s*)([A-H])\\s*[.)]\\s*", "'\\1\\2. '"), ("(?m)^(\\s*\\d{1,3})\\s+\\.\\s+([A-Ha-h]|[+-]?\\d+(?:\\.\\d+)?(?:\\s*/\\s*\\d+)?)\\s*$", "'\\1. \\2'"), ("(?m)^(\\s*)(Module\\s+\\d)\\s*:\\s*(Reading and Writing|Math)\\s+(Question\\s+\\d)\\s*$", "'\\1\\3 \\2' || chr(10) || '\\1\\4'"), ("(?m)^(\\s*)(Module\\s+\\d)\\s*:\\s*(Reading and Writing|Math)\\s*$", "'\\1\\3 \\2'"))
+    fixed = "fixed"
+    for pattern, new in steps:
+        fixed = f"regexp_replace({fixed}, '{pattern}', {new}, 'g')"
+    return f"select * replace ({fixed} as fixed) from ({out})"
 
-_FIXED = "text"
-for _word in E.SPACED_WORDS:
-    _FIXED = f"regexp_replace({_FIXED}, '(?i)\\b{' '.join(_word)}\\b', '{_word.capitalize()}', 'g')"
-_FIXED = f"regexp_replace({_FIXED}, '(\\\\_){{3,}}|_{{3,}}', '____', 'g')"
-_FIXED = f"regexp_replace(regexp_replace({_FIXED}, '(?m)^\\s*\\(?([A-D])\\s*[.)]\\s+', '\\1) ', 'g'), '(?m)^(\\d{{1,2}}) \\. ([A-D])$', '\\1. \\2', 'g')"
 
 SQL = {
     "s3_split_pages": "select doc_id, 1 as page_number, trim(substr(text, 1, 100)) as text from documents union all select doc_id, 2, trim(regexp_replace(substr(text, 101, 100), '\\n$', '')) from documents",
     "s4_lines": "select doc_id, count(*) as lines, max(i - 1)::int as last, sum(length(line))::bigint as chars from (select doc_id, trim(unnest(ls)) as line, generate_subscripts(ls, 1) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)) where line <> '' group by 1",
-    "f6_phantoms": sql(f"select import_id, id, {_PHANTOM.format(x='substr(prompt, 1, 12)')} as phantom from drafts"),
+    "f6_phantoms": sql(f"select import_id, id, {_PHANTOM.format(x='prompt')} as phantom from draft_texts"),
     "f7_source_images": "select page_id, regexp_matches(url, '(?i)^https?://(blog|m)\\.[^/]+/(en|fr)/\\d+') as is_source from pages",
     "e2_key_answer": "select p_partkey, p_size || '/4 | -1250' as key from part",
     "e9_module_name": "select doc_id, case when doc_id % 3 = 0 and n_chars % 3 > 0 then 'math' || n_chars % 3 when doc_id % 3 = 1 and n_chars % 3 > 0 then 'rw' || n_chars % 3 end as module from documents",
     "e18_snapshot_hash": "select c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}') as hash from customer",
-    "d1_normalize_pages": f"select doc_id, fixed <> text as changed, length(text) as before, length(fixed) as after from (select doc_id, text, {_FIXED} as fixed from (select doc_id, replace(text, 'the ', 'm o d u l e \\_\\_\\_ ') as text from documents))",
+    "d1_normalize_pages": f"select doc_id, fixed <> text as changed, length(text) as before, length(fixed) as after from ({_fixed("select doc_id, replace(text, 'the ', 'm o d u l e \\_\\_\\_ ') as text from documents")})",
     "d2_text_quality": sql(f"with {_QUALITY.format(key='import_id', source='bank_pages')} select * from tq"),
     "d3_extract_keys": sql(f"with {_KEYS} select * from keys"),
     "d3_key_exactness": sql(f"with {_KEYS} select import_id, module, count(*) as entries, count(distinct number) as numbers, case when module < 2 then 27 when module < 4 then 22 end as expected, count(*) = count(distinct number) and count(distinct number) = max(number) and count(distinct number) = case when module < 2 then 27 when module < 4 then 22 end as exact from keys group by 1, 2"),
@@ -157,25 +170,25 @@ SQL = {
     "d6_module_completeness": "select import_id, module, expected, actual, greatest(expected - actual, 0) as missing, greatest(actual - expected, 0) as over, first_page, last_page, case when actual = expected then 'complete' when actual < expected then 'partial' else 'over' end as status from (select distinct l_orderkey % 50 as import_id from lineitem) cross join (values (0, 27), (1, 27), (2, 22), (3, 22)) t(module, expected) left join (select l_orderkey % 50 as import_id, l_suppkey % 4 as module, count(distinct l_partkey % 30) as a, min(l_linenumber) as first_page, max(l_linenumber) as last_page from lineitem group by 1, 2) using (import_id, module), lateral (select coalesce(a, 0) as actual)",
     "d7_repair_numbers": f"with {_SEQ} select import_id, seq, number, case when b + 2 = f and number is distinct from b + 1 then b + 1 else number end as repaired from (select *, lag(number) over w as b, lead(number) over w as f from q window w as (partition by import_id order by seq))",
     "d7_fill_runs": f"with {_SEQ}, w as (select *, last_value(number ignore nulls) over (partition by import_id order by seq rows between unbounded preceding and 1 preceding) as b, first_value(number ignore nulls) over (partition by import_id order by seq rows between 1 following and unbounded following) as f, count(number) over (partition by import_id order by seq) as run from q) select import_id, seq, number, coalesce(number, case when f - b - 1 = n then b + k - h end)::int as filled from (select *, row_number() over (partition by import_id, run order by seq) as k, count_if(number is null) over (partition by import_id, run) as n, count(number) over (partition by import_id, run) as h from w)".replace("count_if(number is null)", "count(case when number is null then 1 end)"),
-    "d8_section_transition": sql(f"select import_id, min(case when s >= 3 then seq end) as transition from (select import_id, rn as seq, sum(regexp_matches(text, '{D.MATH_SIGNS}')::int) over (partition by import_id order by rn rows between current row and 4 following) as s from drafts) group by 1"),
+    "d8_section_transition": sql(f"select import_id, min(case when s >= 3 then seq end) as transition from (select import_id, rn as seq, sum(regexp_matches(text, '{D.MATH_SIGNS}')::int) over (partition by import_id order by rn rows between current row and 4 following) as s from draft_texts) group by 1"),
     "d9_exact_duplicates": f"with r as (select doc_id, substr(sha256({_CONTENT}), 1, 32) as fp from documents where trim(text) <> '') select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, min(doc_id) as canonical from r group by 1 having count(*) > 1) using (fp)",
-    "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, '4', array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
+    "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, 'mc4', array_to_string(list_filter(regexp_split_to_array(regexp_replace({_CONTENT}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
     "d11_coalesce_repeats": "with d as (select lang || ':' || (doc_id // 250) as import_id, n_chars % 2 as module, length(text) % 3 as number, doc_id as id, substr(text, 1, 200) as prompt, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from documents) select import_id, module, number, case when length(p1) >= length(p2) then i1 else i2 end as kept, case when length(p1) >= length(p2) then i2 else i1 end as dropped, floor(o * 1000 + 0.5)::bigint as overlap_permille from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.prompt as p1, b.prompt as p2, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id) where o >= 0.82",
     "d12_attribute_figures": "with q as (select page_id % 40 as pid, page_id as seq, length(url) % 3 as markers, sum(length(url) % 3) over (partition by page_id % 40 order by page_id) as upto from pages), b as (select pid, box_id, row_number() over (partition by pid order by box_id) as k from (select item_id % 40 as pid, item_id as box_id from benchmark union all select page_id % 40, page_id + 1000 from pages)) select b.pid as page_id, box_id, k, seq, case when seq is null then 'needs_review' else 'attributed' end as status from b left join q on b.pid = q.pid and k > upto - markers and k <= upto",
     "d13_match_answers": sql(f"with {_MATCH} select * from ms"),
     "d14_assess_keys": sql(f"with {_MATCH} select import_id, questions, matched, by_position, entries, case when entries = 0 then 'missing' when by_position * 2 > matched then 'low_confidence' when matched = questions then 'complete' else 'partial' end as status, array_to_string(list_filter([case when entries > questions then 'extra_entries' end, case when entries < questions then 'short_key' end, case when by_position > 0 then 'matched_by_position' end], lambda x: x is not null), ',') as warnings from (select import_id, count(*) as questions, count(entry) as matched, count_if(method = 'module_position') as by_position from ms group by 1) left join (select import_id, count(*) as e from mk group by 1) using (import_id), lateral (select coalesce(e, 0) as entries)"),
-    "d15_source_evidence": sql("select d.import_id, d.id, bool_or(contains(e, substr(regexp_replace(lower(d.prompt), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 48))) as found, count(*) as pages from drafts d join (select import_id, rn as p, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as e from drafts) x on x.import_id = d.import_id and x.p between d.rn + d.n_chars % 3 - 1 and d.rn + d.n_chars % 3 + 1 group by 1, 2"),
-    "d16_choices_preserved": sql("with o as (select import_id, id, rn, regexp_replace(lower(unnest(string_split(text, ' ')[1:4])), '[^\\p{L}\\p{N}]+', '', 'g') as c from drafts), n as (select import_id, rn, regexp_replace(lower(unnest(string_split(text, ' ')[1:3])), '[^\\p{L}\\p{N}]+', '', 'g') as d from drafts) select import_id, id, bool_and(kept) as preserved, count(*) as choices from (select o.import_id, o.id, o.c, bool_or(o.c = n.d or (length(o.c) >= 12 and starts_with(n.d, o.c))) as kept from o join n on n.import_id = o.import_id and abs(n.rn - o.rn) <= 1 where o.c <> '' group by 1, 2, 3) group by 1, 2"),
+    "d15_source_evidence": sql("select d.import_id, d.id, bool_or(contains(e, substr(regexp_replace(lower(d.prompt), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 48))) as found, count(*) as pages from draft_texts d join (select import_id, rn as p, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as e from draft_texts) x on x.import_id = d.import_id and x.p between d.rn + d.n_chars % 3 - 1 and d.rn + d.n_chars % 3 + 1 group by 1, 2"),
+    "d16_choices_preserved": sql("with o as (select import_id, id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as c from draft_texts), n as (select import_id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as d from draft_texts where status <> 'rejected') select import_id, id, bool_and(kept) as preserved, count(*) as choices from (select o.import_id, o.id, o.c, coalesce(bool_or(o.c = n.d or (length(o.c) >= 12 and starts_with(n.d, o.c))), false) as kept from o left join n on n.import_id = o.import_id and abs(n.rn - o.rn) <= 1 where o.c <> '' group by 1, 2, 3) group by 1, 2"),
     "d17_import_readiness": sql(f"with {_R0} select * from r0"),
     "d18_find_existing": "with l as (select page_id as id, page_id % 4 as m, page_id % 3 as y, case page_id % 5 when 0 then 'us' when 1 then 'international' end as r, case page_id % 7 when 0 then 'A' when 1 then 'B' end as v from pages), h as (select a.id, bool_or(a.r is not distinct from b.r and a.v is not distinct from b.v) as sure from (select * from l where id % 2 = 0) a join (select * from l where id % 2 = 1 and id % 3 <> 0) b on a.m = b.m and a.y = b.y and coalesce(a.r = b.r, true) and coalesce(a.v = b.v, true) group by 1) select l.id, case when sure then 'duplicate' when sure is not null then 'review' else 'new' end as verdict from l left join h using (id) where l.id % 2 = 0",
     "d19_import_listing": sql("select import_id, count_if(status = 'approved') as approved, count_if(status = 'pending') as pending, count_if(status = 'rejected') as rejected from drafts group by 1"),
     "d19_module_summary": sql("select import_id, section, module, count(*) as total, count_if(status = 'approved') as approved, count_if(status = 'rejected') as rejected, count(answer) as with_key from drafts group by 1, 2, 3"),
     "d20_draft_risks": sql(f"with {_RISKS} select * from rs"),
     "d20_import_risks": sql("select import_id, questions, modules, order_conflicts, duplicates, without_key, array_to_string(list_filter([case when questions <> 98 then 'question_count' end, case when modules <> 4 then 'distribution' end, case when order_conflicts > 0 then 'order_conflict' end, case when duplicates > 0 then 'duplicate_number' end, case when without_key > 0 then 'missing_keys' end], lambda x: x is not null), ',') as codes from (select import_id, count(*) as questions, count(distinct module) as modules, count_if(number < b) as order_conflicts, count(*) - count(distinct (module, number)) as duplicates, count_if(answer is null) as without_key from (select *, lag(number) over (partition by import_id, module order by page_number, id) as b from drafts) group by 1)"),
-    "d21_approval_warnings": sql("select import_id, count_if(status = 'pending') as pending, count_if(answer is null) as missing_answers, count_if(flag is not null) as flagged, count_if(length(prompt) < 40) as short_prompts, count(*) - count(distinct (module, number)) as duplicate_numbers from drafts group by 1"),
-    "d22_import_audit": sql(f"select import_id, count(*) as drafts, count(answer) as keyed, count(flag) as flagged, count_if({_PHANTOM.format(x='prompt')}) as phantoms, count_if(status = 'approved') as approved from drafts group by rollup (import_id)"),
-    "d23_key_agreement": sql('select import_id, count_if(answer = again) as "match", count_if(answer <> again) as mismatch, count_if(answer is not null and again is null) as unverified from (select distinct import_id, module, number, answer from drafts) left join (select import_id, module, number, max(answer) as again from drafts where id % 3 <> 1 group by 1, 2, 3) using (import_id, module, number) group by 1'),
-    "d24_retry_pages": sql("with s as (select import_id, page_number, 100 as score, 'failed' as reason from (select import_id, page_number, min(text) as text from drafts group by 1, 2) where length(trim(text)) < 20 union all select import_id, page_number, 85, 'unresolved' from drafts where answer is null and flag is not null union all select import_id, page_number, 75, 'gap' from (select *, lead(number) over (partition by import_id, module order by number, id) as f from drafts) where f > number + 1 union all select import_id, max(page_number), 10, 'tail' from drafts group by 1) select * from (select *, row_number() over (partition by import_id order by score desc, page_number) as rank from (select import_id, page_number, max(score) as score, string_agg(distinct reason, ',' order by reason) as reasons from s group by 1, 2)) where rank <= 4"),
+    "d21_approval_warnings": sql("select import_id, count_if(status = 'pending') as pending, count_if(answer is null) as missing_answers, count_if(flag is not null) as flagged, count_if(length(prompt) < 40) as short_prompts, count(*) - count(distinct (module, number)) as duplicate_numbers from draft_texts group by 1"),
+    "d22_import_audit": sql(f"select import_id, count(*) as drafts, count(answer) as keyed, count(flag) as flagged, count_if({_PHANTOM.format(x='prompt')}) as phantoms, count_if(status = 'approved') as approved from draft_texts group by rollup (import_id)"),
+    "d23_key_agreement": sql('select import_id, count_if(answer = again) as "match", count_if(answer <> again) as mismatch, count_if(answer is not null and again is null) as unverified from (select distinct import_id, module, number, answer from drafts) left join (select import_id, module, number, max(answer) as again from drafts where status <> \'rejected\' group by 1, 2, 3) using (import_id, module, number) group by 1'),
+    "d24_retry_pages": sql("with s as (select import_id, page_number, 100 as score, 'failed' as reason from (select import_id, page_number, min(text) as text from draft_texts group by 1, 2) where length(trim(text)) < 20 union all select import_id, page_number, 85, 'unresolved' from drafts where answer is null and flag is not null union all select import_id, page_number, 75, 'gap' from (select *, lead(number) over (partition by import_id, module order by number, id) as f from drafts) where f > number + 1 union all select import_id, max(page_number), 10, 'tail' from drafts group by 1) select * from (select *, row_number() over (partition by import_id order by score desc, page_number) as rank from (select import_id, page_number, max(score) as score, string_agg(distinct reason, ',' order by reason) as reasons from s group by 1, 2)) where rank <= 4"),
     "d25_display_order": sql("select import_id, module, id, row_number() over (partition by import_id, module order by number nulls last, id) as place, count(*) over (partition by import_id, module) + 1 as next_place from drafts"),
     "d26_assemble_test": sql("select import_id, id, dense_rank() over (partition by import_id order by module) as module_position, row_number() over (partition by import_id, module order by number, id) as position, count(answer) over (partition by import_id, module) = count(*) over (partition by import_id, module) as key_complete from drafts where status = 'approved'"),
     "d27_unused_images": "select page_id as image_id, page_id % 110 as import_id from pages where page_id % 110 not in (select o_custkey % 90 from orders where o_orderstatus = 'P' union select l_suppkey % 60 from lineitem where l_quantity > 49 union select n_nationkey from nation)",
@@ -183,7 +196,7 @@ SQL = {
     "d29_cohort_report": sql(f"with {_DECIDE} select reason, count(*) as imports, sum(coalesce(q1, 0) - coalesce(q0, 0))::bigint as question_gain, sum(coalesce(a1, 0) - coalesce(a0, 0))::bigint as answer_gain from dd group by 1"),
     "d30_corpus_triage": sql(f"with {_QUALITY.format(key='doc_id', source='documents')} select status, count(*) as documents, sum(words)::bigint as words from (select *, case when chars = 0 then 'failed' when quality = 'poor' then 'needs_ocr' when choice_marks < question_marks * 4 then 'partial' else 'success' end as status from tq) group by 1"),
     "d31_new_files": "select page_id as file_id, case when not regexp_matches(lower(url), '/(en|fr)/') then 'ignored' when page_id < 100 then 'baseline' else 'pending' end as state, substr(sha256(page_id || '|' || url), 1, 16) as import_key from pages where page_id % 4 <> 0",
-    "d32_backfill_diff": f"select * from (select doc_id, length(text) as before, length(fixed) as after from (select doc_id, text, {_FIXED} as fixed from documents) where fixed <> text)",
+    "d32_backfill_diff": f"select doc_id, length(text) as before, length(fixed) as after from ({_fixed("select doc_id, text from documents")}) where fixed <> text",
     "d33_review_selection": sql(f"with {_RISKS} select import_id, id, case when state = 'major' then 'blocked' when state = 'complete' or k <= 2 then 'batch_ready' else 'individual_review' end as route from (select *, row_number() over (partition by import_id, state order by id) as k from rs)"),
     "d34_parity": "select count(*) as rows, 0::bigint as differ_source, count(case when doc_id % 50 = 0 then 1 end) as differ_lang, 0::bigint as differ_n_chars, sum(('0x' || substr(md5(concat_ws('|', source, case when doc_id % 50 <> 0 then lang end, n_chars::varchar)), 1, 8))::bigint)::bigint as fingerprint from documents",
     "d35_cohort_selection": sql(f"with {_R0} select case when question_status = 'complete' and key_status = 'complete' then 'control' when question_status = 'partial' or key_status = 'partial' then 'cohort' else 'none' end as cohort, question_status, key_status, count(*) as imports from r0 group by 1, 2, 3"),

@@ -82,7 +82,7 @@ QUERIES = {
     "j1_roster_chain": lambda v: v.attempts.join(v.responses, "attempt_id").join(v.questions, "question_id").join(v.students, "student_id").join(v.classes, "class_id").groupBy("class_name", "section").agg(F.count("*").alias("n")),
     "j2_outer_responses": lambda v: v.attempts.join(v.responses.groupBy("attempt_id").agg(F.count("*").alias("n")), "attempt_id", "left").groupBy("status").agg(F.count_if(F.col("n").isNull()).alias("without"), F.count("n").alias("with")),
     "j3_choices_of_question": lambda v: v.questions.select("question_id").join(v.responses.filter("choice_no is not null").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("choice_no")), ",").alias("choices")), "question_id", "left"),
-    "j5_unanswered_questions": lambda v: v.questions.join(v.responses.filter("choice_no = 3 and attempt_id % 5 = 0"), "question_id", "left_anti").select("question_id"),
+    "j5_unanswered_questions": lambda v: v.questions.join(v.responses.filter("choice_no = 3"), "question_id", "left_anti").select("question_id"),
 }
 
 SQL = {
@@ -111,5 +111,5 @@ SQL = {
     "j1_roster_chain": sql("select class_name, section, count(*) as n from attempts join responses using (attempt_id) join questions using (question_id) join students using (student_id) join classes using (class_id) group by 1, 2"),
     "j2_outer_responses": sql('select status, count_if(n is null) as without, count(n) as "with" from attempts left join (select attempt_id, count(*) as n from responses group by 1) using (attempt_id) group by 1'),
     "j3_choices_of_question": sql("select question_id, choices from (select question_id from questions) left join (select question_id, string_agg(distinct choice_no::varchar, ',' order by choice_no::varchar) as choices from responses where choice_no is not null group by 1) using (question_id)"),
-    "j5_unanswered_questions": sql("select question_id from questions where question_id not in (select question_id from responses where choice_no = 3 and attempt_id % 5 = 0)"),
+    "j5_unanswered_questions": sql("select question_id from questions where question_id not in (select question_id from responses where choice_no = 3)"),
 }

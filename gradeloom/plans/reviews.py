@@ -49,7 +49,7 @@ def _activity(v: Views):
 
 QUERIES = {
     "r1_daily_activity": lambda v: R.daily_activity(v.reviews),
-    "r2_streaks": lambda v: R.streaks(v.reviews.select("student_id", F.col("reviewed_on").alias("day")).filter("(student_id + dayofmonth(day)) % 4 <> 0"), _today()),
+    "r2_streaks": lambda v: R.streaks(v.reviews.select("student_id", F.col("reviewed_on").alias("day")), _today()),
     "r3_fsrs_replay": lambda v: R.fsrs_replay(v.reviews).withColumn("due_on", F.to_date("due_at")).drop("due_at", "last_at"),
     "r4_rating_previews": lambda v: R.rating_previews(R.fsrs_replay(v.reviews), F.lit(NOW).cast("timestamp")),
     "r5_sm2_fold": _schedule,
@@ -67,7 +67,7 @@ QUERIES = {
 
 SQL = {
     "r1_daily_activity": sql("select student_id, reviewed_on, count(*) as reviews, count_if(rating >= 3) as correct from reviews group by 1, 2"),
-    "r2_streaks": sql(f"select student_id, max(case when last >= {_D} - 1 then n else 0 end)::bigint as current_streak, max(n)::bigint as best_streak from (select student_id, i, count(*) as n, max(d) as last from (select student_id, d, d - row_number() over (partition by student_id order by d)::int as i from (select distinct student_id, reviewed_on as d from reviews where (student_id + dayofmonth(reviewed_on)) % 4 <> 0)) group by 1, 2) group by 1"),
+    "r2_streaks": sql(f"select student_id, max(case when last >= {_D} - 1 then n else 0 end)::bigint as current_streak, max(n)::bigint as best_streak from (select student_id, i, count(*) as n, max(d) as last from (select student_id, d, d - row_number() over (partition by student_id order by d)::int as i from (select distinct student_id, reviewed_on as d from reviews)) group by 1, 2) group by 1"),
     "r5_sm2_fold": f("select * from s"),
     "r6_schedule_migration": f("select count(c.card_id) as states, sum(n)::bigint as reviews, count(*) as keys, count_if(c.card_id is null) as pending, count_if(n is null) as without_history from (select * from cards where card_id % 2 = 0) c full join (select student_id, card_id, count(*) as n from o group by 1, 2) h on c.student_id = h.student_id and c.card_id = h.card_id"),
     "r7_deck_dashboard": f(f"select student_id, deck_id, count(*) as card_count, count_if(due_on <= {_D}) as due_count, count_if(due_on is null) as new_count from cards left join s using (student_id, card_id) group by 1, 2"),
