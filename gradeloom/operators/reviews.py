@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 from gradeloom.functions.expressions import next_interval, retrievability
 from gradeloom.functions.relational import asof_forward, half_up, islands
 
-#: The 21 default weights of the published FSRS-6 model and the decay they give; learning steps in days.
+#: The 21 default weights of the published FSRS-6 model, the retention asked for, and the (re)learning steps in minutes.
 FSRS_WEIGHTS = (0.212, 1.2931, 2.3065, 8.2956, 6.4133, 0.8334, 3.0194, 0.001, 1.8722, 0.1666, 0.796, 1.4835, 0.0614, 0.2629, 1.6483, 0.6014, 1.8729, 0.5425, 0.0912, 0.0658, 0.1542)
-RETENTION, MOST_DAYS, MINUTE = 0.95, 36_500, 1 / 1_440
+RETENTION, MOST_DAYS = 0.95, 36_500
+LEARNING_STEPS, RELEARNING_STEPS = (1, 10), (10,)
 
 
 def daily_activity(reviews: DataFrame, since: Column | None = None) -> DataFrame:
@@ -54,27 +54,63 @@ def sm2_fold(reviews: DataFrame) -> DataFrame:
     return out.select("student_id", "card_id", F.size("log").alias("reviews"), F.col("s.ease").alias("ease"), F.col("s.days").alias("interval_days"), F.col("s.reps").alias("reps"), F.col("s.lapses").alias("lapses"), due.alias("due_on"), status.alias("status"))
 
 
-def _fsrs_step(state: tuple[float, float, int, int, int] | None, rating: int, elapsed: float) -> tuple[float, float, int, int, int]:
-    """One FSRS-6 review: stability, difficulty, state (1 learning, 2 review, 3 relearning), repetitions, lapses."""
+def _interval(stability: float) -> int:
+    factor = 0.9 ** (-1 / FSRS_WEIGHTS[20]) - 1
+    return int(min(max(np.floor(stability / factor * (RETENTION ** (-1 / FSRS_WEIGHTS[20]) - 1) + 0.5), 1), MOST_DAYS))
+
+
+def _next_stability(s: float, d: float, rating: int, days: int) -> float:
+    """Stability after a review, ``days`` whole days after the last one."""
     w = FSRS_WEIGHTS
-    start = lambda g: w[4] - np.exp(w[5] * (g - 1)) + 1
-    if state is None:
-        return max(w[rating - 1], 0.001), float(np.clip(start(rating), 1, 10)), 2 if rating == 4 else 1, 1, 0
-    s, d, kind, reps, lapses = state
-    factor = 0.9 ** (-1 / w[20]) - 1
-    r = (1 + factor * elapsed / s) ** -w[20]
-    if elapsed < 1:
+    r = (1 + (0.9 ** (-1 / w[20]) - 1) * days / s) ** -w[20]
+    if days == 0:
         grow = np.exp(w[17] * (rating - 3 + w[18])) * s ** -w[19]
         new = s * (max(grow, 1.0) if rating >= 3 else grow)
     elif rating == 1:
-        new = min(w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * np.exp(w[14] * (1 - r)), s)
+        new = min(w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * np.exp(w[14] * (1 - r)), s / np.exp(w[17] * w[18]))
     else:
         new = s * (1 + np.exp(w[8]) * (11 - d) * s ** -w[9] * (np.exp(w[10] * (1 - r)) - 1) * (w[15] if rating == 2 else 1) * (w[16] if rating == 4 else 1))
-    moved = d - w[6] * (rating - 3) * (10 - d) / 9
-    d = float(np.clip(w[7] * start(4) + (1 - w[7]) * moved, 1, 10))
-    lapsed = rating == 1 and kind == 2
-    kind = 3 if lapsed else kind if rating < 3 and kind != 2 else 2
-    return float(max(new, 0.001)), d, kind, reps + 1, lapses + lapsed
+    return float(min(max(new, 0.001), MOST_DAYS))
+
+
+def _step_minutes(kind: int, step: int, rating: int) -> tuple[int, int]:
+    """Minutes to the next showing inside (re)learning and the step that it is; no minutes: the card leaves for review."""
+    steps = LEARNING_STEPS if kind == 1 else RELEARNING_STEPS
+    if rating == 1:
+        return steps[0], 0
+    if rating == 2:
+        return (steps[0] + steps[1] + 1) // 2 if len(steps) > 1 else (steps[0] * 3 + 1) // 2, step
+    return (steps[step + 1], step + 1) if rating == 3 and step + 1 < len(steps) else (0, 0)
+
+
+def _fsrs_step(state: tuple[float, float, int, int, int, int, int] | None, rating: int, days: int) -> tuple[float, float, int, int, int, int, int]:
+    """One FSRS-6 review: stability, difficulty, state (1 learning, 2 review, 3 relearning), repetitions, lapses, step, minutes until it is due.
+
+    ``days`` are whole days of the calendar in UTC since the last review. A new card enters the learning steps of 1 and 10 minutes, a forgotten
+    one the relearning step of 10; the intervals of one review keep Hard <= Good < Easy.
+    """
+    w = FSRS_WEIGHTS
+    start = lambda g: w[4] - np.exp(w[5] * (g - 1)) + 1
+    if state is None:
+        s, d, kind, reps, lapses, step = w[rating - 1], float(np.clip(start(rating), 1, 10)), 1, 0, 0, 0
+        options = {}
+    else:
+        before, hard_was, kind, reps, lapses, step, _ = state
+        options = {g: _next_stability(before, hard_was, g, days) for g in (1, 2, 3, 4)}
+        s, moved = options[rating], hard_was - w[6] * (rating - 3) * (10 - hard_was) / 9
+        d = float(np.clip(w[7] * start(4) + (1 - w[7]) * moved, 1, 10))
+    if kind == 2 and rating > 1:
+        good = _interval(options[3])
+        hard = min(_interval(options[2]), good)
+        good = max(good, hard + 1)
+        return s, d, 2, reps + 1, lapses, 0, 1_440 * {2: hard, 3: good, 4: max(_interval(options[4]), good + 1)}[rating]
+    if kind == 2:
+        return s, d, 3, reps + 1, lapses + 1, 0, RELEARNING_STEPS[0]
+    minutes, step = _step_minutes(kind, step, rating)
+    return (s, d, kind, reps + 1, lapses, step, minutes) if minutes else (s, d, 2, reps + 1, lapses, 0, 1_440 * _interval(s))
+
+
+FSRS_STATE = "stability double, difficulty double, state int, reps int, lapses int, step int, minutes long, last_at long"
 
 
 def fsrs_replay(reviews: DataFrame) -> DataFrame:
@@ -87,25 +123,51 @@ def fsrs_replay(reviews: DataFrame) -> DataFrame:
         rows = rows.sort_values(["at", "review_id"])
         state, last = None, None
         for rating, at in zip(rows["rating"].to_numpy(), rows["at"].to_numpy()):
-            state = _fsrs_step(state, int(rating), 0.0 if last is None else max(0.0, (at - last) / 86_400))
+            state = _fsrs_step(state, int(rating), 0 if last is None else max(0, int(at) // 86_400 - int(last) // 86_400))
             last = at
-        return pd.DataFrame({"student_id": [rows["student_id"].iloc[0]], "card_id": [rows["card_id"].iloc[0]], "stability": [state[0]], "difficulty": [state[1]], "state": [state[2]], "reps": [state[3]], "lapses": [state[4]], "last_at": [last]})
+        names = [c.split()[0] for c in FSRS_STATE.split(", ")]
+        return pd.DataFrame({"student_id": [rows["student_id"].iloc[0]], "card_id": [rows["card_id"].iloc[0]]} | {c: [x] for c, x in zip(names, (*state, last))})
 
     study = reviews.filter("mode = 'study'").select("student_id", "card_id", "review_id", "rating", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
-    out = study.groupBy("student_id", "card_id").applyInPandas(replay, "student_id long, card_id long, stability double, difficulty double, state int, reps int, lapses int, last_at long")
-    minutes = F.when(F.col("state") == 2, next_interval(F.col("stability"), RETENTION) * 1_440).otherwise(F.lit(10))
-    return out.withColumn("due_at", F.timestamp_seconds(F.col("last_at") + minutes * 60))
+    out = study.groupBy("student_id", "card_id").applyInPandas(replay, f"student_id long, card_id long, {FSRS_STATE}")
+    return out.withColumn("due_at", F.timestamp_seconds(F.col("last_at") + F.col("minutes") * 60))
 
 
 def rating_previews(schedule: DataFrame, now: Column) -> DataFrame:
-    """Recall at ``now`` and the interval that each rating would give, for every card that is due."""
-    elapsed = F.greatest((F.unix_timestamp(now) - F.col("last_at")) / 86_400.0, F.lit(0.0))
-    w = FSRS_WEIGHTS
-    r = retrievability(elapsed, F.col("stability"), w[20])
-    due = schedule.filter(F.col("due_at") <= now).withColumn("recall", r).withColumn("rating", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])))
-    forget = F.least(w[11] * F.pow("difficulty", F.lit(-w[12])) * (F.pow(F.col("stability") + 1, F.lit(w[13])) - 1) * F.exp(w[14] * (1 - F.col("recall"))), F.col("stability"))
-    grow = 1 + F.exp(F.lit(w[8])) * (11 - F.col("difficulty")) * F.pow("stability", F.lit(-w[9])) * (F.exp(w[10] * (1 - F.col("recall"))) - 1) * F.when(F.col("rating") == 2, w[15]).when(F.col("rating") == 4, w[16]).otherwise(1.0)
-    return due.select("student_id", "card_id", "rating", "recall", next_interval(F.when(F.col("rating") == 1, forget).otherwise(F.col("stability") * grow), RETENTION).alias("days"))
+    """Recall at ``now`` and what each rating would give every card that is due: its next state, minutes until due and whole days.
+
+    Cards in (re)learning follow their steps, cards in review the order Hard <= Good < Easy, as a review itself does.
+    """
+    w, s, d = FSRS_WEIGHTS, F.col("stability"), F.col("difficulty")
+    days = F.greatest(F.floor(F.unix_timestamp(now) / 86_400) - F.floor(F.col("last_at") / 86_400), F.lit(0))
+    recall = retrievability(F.col("days"), s, w[20])
+    due = schedule.filter(F.col("due_at") <= now).withColumn("days", days).withColumn("recall", recall)
+    left = F.exp(w[10] * (1 - F.col("recall"))) - 1
+    forget = F.least(w[11] * F.pow(d, F.lit(-w[12])) * (F.pow(s + 1, F.lit(w[13])) - 1) * F.exp(w[14] * (1 - F.col("recall"))), s / F.exp(F.lit(w[17] * w[18])))
+
+    def after(rating: int) -> Column:
+        short = F.exp(F.lit(w[17] * (rating - 3 + w[18]))) * F.pow(s, F.lit(-w[19]))
+        grown = 1 + F.exp(F.lit(w[8])) * (11 - d) * F.pow(s, F.lit(-w[9])) * left * (w[15] if rating == 2 else w[16] if rating == 4 else 1.0)
+        new = F.when(F.col("days") == 0, s * (F.greatest(short, F.lit(1.0)) if rating >= 3 else short)).otherwise(forget if rating == 1 else s * grown)
+        return next_interval(F.least(F.greatest(new, F.lit(0.001)), F.lit(float(MOST_DAYS))), RETENTION)
+
+    due = due.select("student_id", "card_id", "recall", "state", "step", *[after(g).alias(f"i{g}") for g in (1, 2, 3, 4)])
+    hard = F.least("i2", "i3")
+    good = F.greatest(F.col("i3"), hard + 1)
+    ordered = {1: F.lit(None).cast("long"), 2: hard, 3: good, 4: F.greatest(F.col("i4"), good + 1)}
+
+    def option(rating: int) -> Column:
+        kept, steps = F.lit(0), {1: len(LEARNING_STEPS), 3: len(RELEARNING_STEPS)}
+        for kind, n in steps.items():
+            for step in range(n):
+                kept = F.when((F.col("state") == kind) & (F.col("step") == step), F.lit(_step_minutes(kind, step, rating)[0])).otherwise(kept)
+        review = F.col("state") == 2
+        minutes = F.when(review & F.lit(rating == 1), F.lit(RELEARNING_STEPS[0])).otherwise(kept)
+        whole = F.when(minutes > 0, F.lit(0)).when(review, ordered[rating]).otherwise(F.col(f"i{rating}")).cast("long")
+        kind = F.when(minutes == 0, F.lit(2)).when(review, F.lit(3)).otherwise(F.col("state"))
+        return F.struct(F.lit(rating).alias("rating"), kind.alias("next_state"), F.when(minutes > 0, minutes).otherwise(whole * 1_440).cast("long").alias("minutes"), whole.alias("days"))
+
+    return due.select("student_id", "card_id", "recall", F.inline(F.array(*[option(g) for g in (1, 2, 3, 4)])))
 
 
 def schedule_migration(old: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -165,7 +227,8 @@ def study_queue(cards: DataFrame, schedule: DataFrame, today: Column, most: int
 
 def sprint_sample(cards: DataFrame, seed: int, most: int = 250) -> DataFrame:
     """At most ``most`` cards of a student, in an order that the seed gives."""
-    return cards.withColumn("n", F.row_number().over(Window.partitionBy("student_id").orderBy(F.xxhash64("student_id", "card_id", F.lit(seed)), "card_id"))).filter(F.col("n") <= most)
+    order = F.md5(F.concat_ws(":", "student_id", "card_id", F.lit(seed)).cast("binary"))
+    return cards.withColumn("n", F.row_number().over(Window.partitionBy("student_id").orderBy(order, "card_id"))).filter(F.col("n") <= most)
 
 
 def card_merge(known: DataFrame, incoming: DataFrame) -> DataFrame:

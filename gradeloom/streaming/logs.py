@@ -41,22 +41,25 @@ def conflicts(submissions: DataFrame) -> DataFrame:
 
 def schedules(reviews: DataFrame) -> DataFrame:
     """The FSRS-6 state of each student and card after each batch; a review older than the state is stale and changes nothing."""
-    from gradeloom.operators.reviews import _fsrs_step
+    from gradeloom.operators.reviews import FSRS_STATE, _fsrs_step
+
+    names = [c.split()[0] for c in FSRS_STATE.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["at", "review_id"])
-        s, last, stale = (tuple(state.get[:5]), state.get[5], 0) if state.exists else (None, None, 0)
+        *s, last = state.get if state.exists else (None, None)
+        s, stale = tuple(s) if state.exists else None, 0
         for rating, at in zip(rows["rating"].to_numpy(), rows["at"].to_numpy()):
             if last is not None and at < last:
                 stale += 1
                 continue
-            s = _fsrs_step(s, int(rating), 0.0 if last is None else (at - last) / 86_400)
+            s = _fsrs_step(s, int(rating), 0 if last is None else int(at) // 86_400 - last // 86_400)
             last = int(at)
-        state.update((float(s[0]), float(s[1]), int(s[2]), int(s[3]), int(s[4]), last))
-        yield pd.DataFrame({"student_id": [key[0]], "card_id": [key[1]], "stability": [s[0]], "difficulty": [s[1]], "state": [s[2]], "reps": [s[3]], "lapses": [s[4]], "last_at": [last], "stale": [stale]})
+        state.update((*s, last))
+        yield pd.DataFrame({"student_id": [key[0]], "card_id": [key[1]]} | {c: [x] for c, x in zip(names, (*s, last))} | {"stale": [stale]})
 
     study = reviews.filter("mode = 'study'").select("student_id", "card_id", "review_id", "rating", F.unix_timestamp("created_at").alias("at"))
-    return study.groupBy("student_id", "card_id").applyInPandasWithState(step, "student_id long, card_id long, stability double, difficulty double, state int, reps int, lapses int, last_at long, stale int", "stability double, difficulty double, state int, reps int, lapses int, last_at long", "update", GroupStateTimeout.NoTimeout)
+    return study.groupBy("student_id", "card_id").applyInPandasWithState(step, f"student_id long, card_id long, {FSRS_STATE}, stale int", FSRS_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def merge_totals(path: str, keys: list[str]):

@@ -70,6 +70,26 @@ def test_fsrs_replay_ignores_input_order_and_keeps_its_bounds(spark):
     assert again["state"] == 3 and (again["due_at"] - log[3][5]).total_seconds() <= 600
 
 
+@pytest.mark.parametrize(("ratings", "state", "step", "minutes"), [((1,), 1, 0, 1), ((2,), 1, 0, 6), ((3,), 1, 1, 10), ((1, 3), 1, 1, 10), ((3, 1), 1, 0, 1), ((3, 2), 1, 1, 6), ((3, 3), 2, 0, None), ((4,), 2, 0, None), ((3, 3, 1), 3, 0, 10), ((3, 3, 1, 2), 3, 0, 15), ((3, 3, 1, 3), 2, 0, None)])
+def test_learning_steps(spark, ratings, state, step, minutes):
+    log = [(1, 1, k, "study", r, dt.datetime(2026, 1, 1) + dt.timedelta(minutes=10 * k)) for k, r in enumerate(ratings)]
+    out = reviews.fsrs_replay(spark.createDataFrame(log, "student_id long, card_id long, review_id long, mode string, rating int, created_at timestamp")).first()
+    assert (out["state"], out["step"]) == (state, step)
+    assert out["minutes"] == minutes if minutes else out["minutes"] >= 1_440 and out["minutes"] % 1_440 == 0
+
+
+def test_previews_are_what_a_review_gives_and_keep_their_order(spark):
+    states = [(s, d, kind, 5, 1, step, 1_440) for s in (0.01, 0.8, 3.0, 40.0, 36_000.0) for d in (1.0, 5.5, 10.0) for kind, step in ((1, 0), (1, 1), (2, 0), (3, 0))]
+    for days in (0, 1, 40):
+        rows = [(k, 0, *x, 1_767_225_600 - 86_400 * days, NOW - dt.timedelta(days=999)) for k, x in enumerate(states)]
+        df = spark.createDataFrame(rows, f"student_id long, card_id long, {reviews.FSRS_STATE}, due_at timestamp")
+        got = {(r["student_id"], r["rating"]): (r["next_state"], r["minutes"]) for r in reviews.rating_previews(df, F.timestamp_seconds(F.lit(1_767_225_600))).collect()}
+        assert got == {(k, g): (lambda y: (y[2], y[6]))(reviews._fsrs_step(x, g, days)) for k, x in enumerate(states) for g in (1, 2, 3, 4)}
+        for k, x in enumerate(states):
+            if x[2] == 2:
+                assert got[k, 2][1] <= got[k, 3][1] < got[k, 4][1]
+
+
 def test_history_is_unknown_without_a_snapshot(spark):
     cards = spark.createDataFrame([(1, 1, 1)], "student_id long, deck_id long, card_id long")
     day = lambda d: dt.date(2026, 10, d)
