@@ -92,10 +92,12 @@ def mastery(responses: DataFrame, rate: float = 0.4) -> DataFrame:
 
 
 def calibration(predictions: DataFrame, buckets: int = 10) -> DataFrame:
-    """Predicted probabilities against outcomes by bucket, with Brier score sums."""
+    """Predicted probabilities against outcomes by bucket: Brier score, log-loss, and the accuracy of always guessing the commoner outcome."""
     b = F.least(F.floor(F.col("p") * buckets), F.lit(buckets - 1)).cast("int")
     err = F.col("p") - F.col("y")
-    return predictions.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"), half_up(F.avg("p"), 4).alias("mean_p"), half_up(F.avg(err * err), 4).alias("brier"))
+    sure = F.least(F.greatest(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-9)), F.lit(1.0))
+    loss = -F.log(sure)
+    return predictions.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"), half_up(F.avg("p"), 4).alias("mean_p"), half_up(F.avg(err * err), 4).alias("brier"), half_up(F.avg(loss), 4).alias("log_loss"), half_up(F.greatest(F.avg("y"), 1 - F.avg("y")), 4).alias("baseline"))
 
 
 def rank_candidates(mastery_rows: DataFrame, questions: DataFrame, seen: DataFrame, most: int = 5) -> DataFrame:

@@ -147,26 +147,52 @@ def attribute_figures(questions: DataFrame, boxes: DataFrame) -> DataFrame:
     return hit.select(b["page_id"], "box_id", "k", "seq", F.when(F.col("seq").isNull(), "needs_review").otherwise("attributed").alias("status"))
 
 
-def match_answers(questions: DataFrame, keys: DataFrame) -> DataFrame:
-    """Match key entries to questions in a cascade: by unique module and number; then by place in a module, if both sides are as many and in order.
+def match_answers(questions: DataFrame, keys: DataFrame, positional: DataFrame | None = None) -> DataFrame:
+    """Match key entries to questions in a cascade of ``question_id``, ``module_position`` and ``document_position``.
 
-    ``questions``: import_id, seq, module, number; ``keys``: import_id, entry, module, number, answer.
+    A question takes the entry of its module and number if both are unique. What is left of a module goes by position only if the module has one
+    entry for each question and the earlier matches agree with that order; bare entries go by position in the document only if there is one for
+    each question and no entry names a module. ``positional`` has the import_id of documents that may do the last; all, if it is left out.
+    ``questions``: import_id, seq, module, number; ``keys``: import_id, entry, module, number, answer. Modules and numbers may be null.
     """
-    one_key = keys.groupBy("import_id", "module", "number").agg(F.count("*").alias("n"), F.min("answer").alias("answer"), F.min("entry").alias("entry")).filter("n = 1")
-    one_question = questions.groupBy("import_id", "module", "number").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).filter("n = 1 and number is not null")
-    first = one_question.drop("n").join(one_key.drop("n"), ["import_id", "module", "number"]).select("import_id", "seq", "entry", "answer", F.lit("number").alias("method"), F.lit(1.0).alias("confidence"))
-    left = questions.join(first.select("import_id", "seq"), ["import_id", "seq"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("import_id", "module").orderBy("seq")))
-    free = keys.join(first.select("import_id", "entry"), ["import_id", "entry"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("import_id", "module").orderBy("entry")))
-    sizes = left.groupBy("import_id", "module").agg(F.count("*").alias("nq")).join(free.groupBy("import_id", "module").agg(F.count("*").alias("nk")), ["import_id", "module"]).filter("nq = nk").select("import_id", "module")
-    second = left.join(sizes, ["import_id", "module"], "left_semi").join(free.select("import_id", "module", "k", "entry", "answer"), ["import_id", "module", "k"]).select("import_id", "seq", "entry", "answer", F.lit("module_position").alias("method"), F.lit(0.8).alias("confidence"))
-    matched = first.unionByName(second)
+    one_key = keys.filter("module is not null").groupBy("import_id", "module", "number").agg(F.count("*").alias("n"), F.min("answer").alias("answer"), F.min("entry").alias("entry")).filter("n = 1")
+    one_question = questions.filter("module is not null and number is not null").groupBy("import_id", "module", "number").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).filter("n = 1")
+    found = lambda df, method, sure: df.select("import_id", "seq", "entry", "answer", F.lit(method).alias("method"), F.lit(sure).alias("confidence"))
+    first = found(one_question.drop("n").join(one_key.drop("n"), ["import_id", "module", "number"]), "question_id", "high")
+    place = lambda df, by, keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+
+    module = ["import_id", "module"]
+    even = questions.groupBy(*module).agg(F.count("*").alias("n")).join(keys.groupBy(*module).agg(F.count("*").alias("n")), [*module, "n"]).select(*module)
+    placed = place(questions.join(even, module, "left_semi"), "seq", module).join(place(keys.join(even, module, "left_semi"), "entry", module).select(*module, "k", "entry", "answer"), [*module, "k"])
+    placed = placed.join(first.select("import_id", "seq", F.col("entry").alias("known")), ["import_id", "seq"], "left")
+    agreed = placed.groupBy(*module).agg(F.bool_and(F.coalesce(F.col("known") == F.col("entry"), F.lit(True))).alias("agrees")).filter("agrees")
+    second = found(placed.filter("known is null").join(agreed, module, "left_semi"), "module_position", "low")
+
+    bare = keys.groupBy("import_id").agg(F.count("*").alias("n"), F.count("module").alias("named")).filter("named = 0").join(questions.groupBy("import_id").agg(F.count("*").alias("n")), ["import_id", "n"]).select("import_id")
+    bare = bare if positional is None else bare.join(positional, "import_id", "left_semi")
+    both = place(questions.join(bare, "import_id", "left_semi"), "seq", ["import_id"]).join(place(keys.join(bare, "import_id", "left_semi"), "entry", ["import_id"]).select("import_id", "k", "entry", "answer"), ["import_id", "k"])
+    matched = first.unionByName(second).unionByName(found(both, "document_position", "low"))
     return questions.select("import_id", "seq", "module", "number").join(matched, ["import_id", "seq"], "left").withColumn("method", F.coalesce("method", F.lit("unmatched")))
 
 
+def unmatched_keys(questions: DataFrame, keys: DataFrame, matches: DataFrame) -> DataFrame:
+    """Key entries that no question took, and why: another number of questions than of entries in their module (or document), or no such question."""
+    free = keys.join(matches.filter("entry is not null").select("import_id", "entry"), ["import_id", "entry"], "left_anti")
+    some = lambda df, name: df.groupBy("import_id", "module").agg(F.count("*").alias(name))
+    all_questions = questions.groupBy("import_id").agg(F.count("*").alias("all"))
+    nk, nq = some(keys, "nk").withColumnRenamed("module", "m"), some(questions, "nq").withColumnRenamed("module", "m")
+    rows = free.withColumnRenamed("import_id", "i")
+    rows = rows.join(nk, (F.col("i") == nk["import_id"]) & F.col("module").eqNullSafe(nk["m"]), "left").drop("import_id", "m")
+    rows = rows.join(nq, (F.col("i") == nq["import_id"]) & (F.col("module") == nq["m"]), "left").drop("import_id", "m").withColumnRenamed("i", "import_id").join(all_questions, "import_id", "left")
+    target = F.coalesce(F.when(F.col("module").isNull(), F.col("all")).otherwise(F.col("nq")), F.lit(0))
+    reason = F.when((target > 0) & (F.col("nk") != target), "question_key_count_mismatch").otherwise("no_matching_question")
+    return rows.select("import_id", "entry", "module", "number", reason.alias("reason"))
+
+
 def assess_keys(matches: DataFrame, keys: DataFrame) -> DataFrame:
     """Complete, partial, missing or low-confidence keys of an import, and warnings."""
     n = keys.groupBy("import_id").agg(F.count("*").alias("entries"))
-    out = matches.groupBy("import_id").agg(F.count("*").alias("questions"), F.count("entry").alias("matched"), F.count_if(F.col("method") == "module_position").alias("by_position")).join(n, "import_id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    out = matches.groupBy("import_id").agg(F.count("*").alias("questions"), F.count("entry").alias("matched"), F.count_if(F.col("confidence") == "low").alias("by_position")).join(n, "import_id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
     status = F.when(F.col("entries") == 0, "missing").when(F.col("by_position") * 2 > F.col("matched"), "low_confidence").when(F.col("matched") == F.col("questions"), "complete").otherwise("partial")
     warnings = F.array_compact(F.array(F.when(F.col("entries") > F.col("questions"), F.lit("extra_entries")), F.when(F.col("entries") < F.col("questions"), F.lit("short_key")), F.when(F.col("by_position") > 0, F.lit("matched_by_position"))))
     return out.select("import_id", "questions", "matched", "by_position", "entries", status.alias("status"), F.array_join(warnings, ",").alias("warnings"))
@@ -180,7 +206,7 @@ def find_existing(labels: DataFrame, sources: DataFrame) -> DataFrame:
         return df.select(F.col("id").alias(f"{prefix}id"), F.lower(F.trim(x)).alias(f"{prefix}label"), label_year(x).alias("year"), label_month(x).alias("month"), label_region(x).alias(f"{prefix}region"), label_variant(x).alias(f"{prefix}variant"))
 
     mine, theirs = identity(labels, ""), identity(sources, "s_")
-    same = mine.join(theirs, ["year", "month"])
+    same = mine.join(theirs.select("year", "month", "s_region", "s_variant").distinct(), ["year", "month"])
     clash = lambda a, b: (F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()
     vague = ~F.col("region").eqNullSafe(F.col("s_region")) | ~F.col("variant").eqNullSafe(F.col("s_variant"))
     by_identity = same.filter(~F.coalesce(clash("region", "s_region"), F.lit(False)) & ~F.coalesce(clash("variant", "s_variant"), F.lit(False))).groupBy("id").agg(F.bool_or(~vague).alias("sure"))

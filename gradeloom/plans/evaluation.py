@@ -57,7 +57,7 @@ QUERIES = {
     "m5_top_k_vectors": lambda v: V.top_k_vectors(v.embeddings.filter("vec_id % 20 = 0"), v.embeddings),
     "st1_daily_activity": lambda v: L.daily_activity(v.reviews.withColumn("created_at", F.col("created_at").cast("timestamp"))),
     "st6_sessions": lambda v: L.sessions(_stream_events(v)),
-    "st7_latencies": lambda v: L.latencies(_stream_events(v), "1 day", "12 hours").select("event_type", "start", "samples", "errors", "max"),
+    "st7_latencies": lambda v: L.latencies(_stream_events(v), "1 day", "12 hours"),
 }
 
 _W = "((p + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n) {s} {z} * sqrt(p * (1 - p) / n + {z} * {z} / (4 * n * n)) / (1 + {z} * {z} / n))"
@@ -72,9 +72,9 @@ SQL = {
     "v6_ops_ratios": sql("select user_id, floor(count_if(event_type = 'error')::double / count(*)::double * 10000.0 + 0.5) / 10000.0 as error_rate, floor(count_if(event_type = 'purchase')::double / nullif(count_if(event_type = 'click'), 0)::double * 10000.0 + 0.5) / 10000.0 as buy_per_click from events group by 1"),
     "v7_flag_counters": sql("select import_id, coalesce(flag, 'none') as flag, count(*) as n, count_if(answer is null) as unresolved from drafts group by 1, 2"),
     "v8_review_ledger": sql("select model, version, count(*) as imports, sum(tokens)::bigint as tokens, count_if(not ok) as failed from (select event_type as model, user_id % 3 as version, floor(value)::bigint as tokens, event_id % 5 <> 0 as ok, row_number() over (partition by user_id % 60 order by ts desc, event_id desc) as r from events) where r = 1 group by 1, 2"),
-    "m3_calibration": sql("select least(floor(p * 10), 9)::int as bucket, count(*) as n, sum(y)::bigint as positives, floor(avg(p) * 10000.0 + 0.5) / 10000.0 as mean_p, floor(avg((p - y) * (p - y)) * 10000.0 + 0.5) / 10000.0 as brier from (select difficulty / 6.0::double as p, coalesce((choice_no = key_no)::int, 0) as y from questions join responses using (question_id)) group by 1"),
+    "m3_calibration": sql("select least(floor(p * 10), 9)::int as bucket, count(*) as n, sum(y)::bigint as positives, floor(avg(p) * 10000.0 + 0.5) / 10000.0 as mean_p, floor(avg((p - y) * (p - y)) * 10000.0 + 0.5) / 10000.0 as brier, floor(avg(-ln(least(greatest(case when y = 1 then p else 1 - p end, 1e-9), 1))) * 10000.0 + 0.5) / 10000.0 as log_loss, floor(greatest(avg(y), 1 - avg(y)) * 10000.0 + 0.5) / 10000.0 as baseline from (select difficulty / 6.0::double as p, coalesce((choice_no = key_no)::int, 0) as y from questions join responses using (question_id)) group by 1"),
     "m5_top_k_vectors": "select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, v.vec_id, floor(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) * 1000000 + 0.5)::bigint as score from (select vec_id, embedding::double[] as e from embeddings where vec_id % 20 = 0) q join (select vec_id, embedding::double[] as e from embeddings) v on q.vec_id <> v.vec_id)) where rank <= 5",
     "st1_daily_activity": sql("select student_id, reviewed_on::varchar as reviewed_on, count(*) as reviews, count_if(rating >= 3) as correct from reviews group by 1, 2"),
     "st6_sessions": "select user_id, floor(epoch(min(ts)))::bigint as start, floor(epoch(max(ts) + interval 30 minutes))::bigint as end, count(*) as events from (select *, sum(n) over (partition by user_id order by ts, event_id) as s from (select *, (lag(ts) over (partition by user_id order by ts, event_id) is null or ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 30 minutes)::int as n from events)) group by user_id, s",
-    "st7_latencies": sql("select event_type, (h - 43200 * k)::bigint as start, count(*) as samples, count_if(event_type = 'error') as errors, max(value) as max from (select *, floor(epoch(ts) / 43200)::bigint * 43200 as h from events) cross join (values (0), (1)) t(k) group by 1, 2"),
+    "st7_latencies": sql("select event_type, (h - 43200 * k)::bigint as start, count(*) as samples, count_if(event_type = 'error') as errors, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, max(value) as max from (select *, floor(epoch(ts) / 43200)::bigint * 43200 as h from events) cross join (values (0), (1)) t(k) group by 1, 2"),
 }

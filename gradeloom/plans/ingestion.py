@@ -32,7 +32,8 @@ def _match_questions(v: Views):
 
 
 def _match_keys(v: Views):
-    return v.drafts.filter("answer is not null or id % 4 = 0").select("import_id", F.col("rn").alias("entry"), "module", "number", F.coalesce("answer", F.lit("A")).alias("answer"))
+    named = ~F.col("import_id").isin("src5", "src7")  # the keys of two imports name no module; one has a key for each question
+    return v.drafts.filter("answer is not null or id % 4 = 0 or import_id = 'src5'").select("import_id", F.col("rn").alias("entry"), F.when(named, F.col("module")).alias("module"), "number", F.coalesce("answer", F.lit("A")).alias("answer"))
 
 
 def _matches(v: Views):
@@ -83,6 +84,7 @@ QUERIES = {
     "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.documents.select(F.expr("concat(lang, ':', doc_id div 250)").alias("import_id"), (F.col("n_chars") % 2).alias("module"), (F.length("text") % 3).alias("number"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("prompt"))),
     "d12_attribute_figures": _figures,
     "d13_match_answers": _matches,
+    "d13_unmatched_keys": lambda v: D.unmatched_keys(_match_questions(v), _match_keys(v), _matches(v)),
     "d14_assess_keys": lambda v: D.assess_keys(_matches(v), _match_keys(v)),
     "d15_source_evidence": lambda v: D.source_evidence(v.draft_texts.select("import_id", "id", (F.col("rn") + F.col("n_chars") % 3).cast("int").alias("page_number"), "prompt"), _pages(v)),
     "d16_choices_preserved": lambda v: D.choices_preserved(v.draft_texts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice")), v.draft_texts.filter("status <> 'rejected'").select("import_id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice"))),
@@ -117,10 +119,14 @@ _Q = "'" * 8
 _WS = "[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _CONTENT = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '“”«»„‟‘’‚‛—–―', '\"\"\"\"\"\"{_Q}---'), '\\.{{2,}}', ' ', 'g'), '_{{2,}}', ' ____ ', 'g'), '{_WS}+', ' ', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g'))"
 _STOP = "'the', 'and', 'for', 'with', 'from', 'that', 'this', 'which', 'what', 'choice', 'best', 'most', 'text', 'based', 'according', 'following'"
-_MQ = "mq as (select import_id, rn as seq, module, case when id % 5 <> 0 then number end as number from drafts), mk as (select import_id, rn as entry, module, number, coalesce(answer, 'A') as answer from drafts where answer is not null or id % 4 = 0)"
-_MATCH = f"""{_MQ}, m1 as (select import_id, seq, entry, answer, 'number' as method, 1.0::double as confidence from (select import_id, module, number, min(seq) as seq from mq where number is not null group by 1, 2, 3 having count(*) = 1) join (select import_id, module, number, min(answer) as answer, min(entry) as entry from mk group by 1, 2, 3 having count(*) = 1) using (import_id, module, number)),
-  lq as (select *, row_number() over (partition by import_id, module order by seq) as k, count(*) over (partition by import_id, module) as n from mq where (import_id, seq) not in (select (import_id, seq) from m1)), lk as (select *, row_number() over (partition by import_id, module order by entry) as k, count(*) over (partition by import_id, module) as n from mk where (import_id, entry) not in (select (import_id, entry) from m1)),
-  m2 as (select lq.import_id, lq.seq, lk.entry, lk.answer, 'module_position' as method, 0.8::double as confidence from lq join lk using (import_id, module, k, n)), ms as (select mq.import_id, mq.seq, mq.module, mq.number, entry, answer, coalesce(method, 'unmatched') as method, confidence from mq left join (select * from m1 union all select * from m2) using (import_id, seq))"""
+_MQ = "mq as (select import_id, rn as seq, module, case when id % 5 <> 0 then number end as number from drafts), mk as (select import_id, rn as entry, case when import_id not in ('src5', 'src7') then module end as module, number, coalesce(answer, 'A') as answer from drafts where answer is not null or id % 4 = 0 or import_id = 'src5')"
+_MATCH = f"""{_MQ}, m1 as (select import_id, seq, entry, answer, 'question_id' as method, 'high' as confidence from (select import_id, module, number, min(seq) as seq from mq where number is not null and module is not null group by 1, 2, 3 having count(*) = 1) join (select import_id, module, number, min(answer) as answer, min(entry) as entry from mk group by 1, 2, 3 having count(*) = 1) using (import_id, module, number)),
+  wq as (select *, row_number() over (partition by import_id, module order by seq) as k, count(*) over (partition by import_id, module) as n from mq), wk as (select *, row_number() over (partition by import_id, module order by entry) as k, count(*) over (partition by import_id, module) as n from mk),
+  pl as (select wq.import_id, wq.module, wq.seq, wk.entry, wk.answer, m1.entry as known from wq join wk using (import_id, module, k, n) left join m1 on m1.import_id = wq.import_id and m1.seq = wq.seq),
+  m2 as (select import_id, seq, entry, answer, 'module_position' as method, 'low' as confidence from pl where known is null and (import_id, module) not in (select (import_id, module) from pl where known <> entry)),
+  dq as (select *, row_number() over (partition by import_id order by seq) as k, count(*) over (partition by import_id) as n from mq), dk as (select *, row_number() over (partition by import_id order by entry) as k, count(*) over (partition by import_id) as n, count(module) over (partition by import_id) as named from mk),
+  m3 as (select dq.import_id, dq.seq, dk.entry, dk.answer, 'document_position' as method, 'low' as confidence from dq join dk on dq.import_id = dk.import_id and dq.k = dk.k and dq.n = dk.n where named = 0),
+  ms as (select mq.import_id, mq.seq, mq.module, mq.number, entry, answer, coalesce(method, 'unmatched') as method, confidence from mq left join (select * from m1 union all select * from m2 union all select * from m3) using (import_id, seq))"""
 
 
 def _ready(name: str, where: str) -> str:
@@ -176,7 +182,8 @@ SQL = {
     "d11_coalesce_repeats": "with d as (select lang || ':' || (doc_id // 250) as import_id, n_chars % 2 as module, length(text) % 3 as number, doc_id as id, substr(text, 1, 200) as prompt, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from documents) select import_id, module, number, case when length(p1) >= length(p2) then i1 else i2 end as kept, case when length(p1) >= length(p2) then i2 else i1 end as dropped, floor(o * 1000 + 0.5)::bigint as overlap_permille from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.prompt as p1, b.prompt as p2, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id) where o >= 0.82",
     "d12_attribute_figures": "with q as (select page_id % 40 as pid, page_id as seq, length(url) % 3 as markers, sum(length(url) % 3) over (partition by page_id % 40 order by page_id) as upto from pages), b as (select pid, box_id, row_number() over (partition by pid order by box_id) as k from (select item_id % 40 as pid, item_id as box_id from benchmark union all select page_id % 40, page_id + 1000 from pages)) select b.pid as page_id, box_id, k, seq, case when seq is null then 'needs_review' else 'attributed' end as status from b left join q on b.pid = q.pid and k > upto - markers and k <= upto",
     "d13_match_answers": sql(f"with {_MATCH} select * from ms"),
-    "d14_assess_keys": sql(f"with {_MATCH} select import_id, questions, matched, by_position, entries, case when entries = 0 then 'missing' when by_position * 2 > matched then 'low_confidence' when matched = questions then 'complete' else 'partial' end as status, array_to_string(list_filter([case when entries > questions then 'extra_entries' end, case when entries < questions then 'short_key' end, case when by_position > 0 then 'matched_by_position' end], lambda x: x is not null), ',') as warnings from (select import_id, count(*) as questions, count(entry) as matched, count_if(method = 'module_position') as by_position from ms group by 1) left join (select import_id, count(*) as e from mk group by 1) using (import_id), lateral (select coalesce(e, 0) as entries)"),
+    "d13_unmatched_keys": sql(f"with {_MATCH} select import_id, entry, module, number, case when target > 0 and target <> size then 'question_key_count_mismatch' else 'no_matching_question' end as reason from (select *, case when module is null then (select count(*) from mq where mq.import_id = k.import_id) else (select count(*) from mq where mq.import_id = k.import_id and mq.module = k.module) end as target, count(*) over (partition by import_id, module) as size from mk k) where not exists (select 1 from ms where ms.import_id = k.import_id and ms.entry = k.entry)".replace(" from mk k) where", " from mk k) k where")),
+    "d14_assess_keys": sql(f"with {_MATCH} select import_id, questions, matched, by_position, entries, case when entries = 0 then 'missing' when by_position * 2 > matched then 'low_confidence' when matched = questions then 'complete' else 'partial' end as status, array_to_string(list_filter([case when entries > questions then 'extra_entries' end, case when entries < questions then 'short_key' end, case when by_position > 0 then 'matched_by_position' end], lambda x: x is not null), ',') as warnings from (select import_id, count(*) as questions, count(entry) as matched, count_if(confidence = 'low') as by_position from ms group by 1) left join (select import_id, count(*) as e from mk group by 1) using (import_id), lateral (select coalesce(e, 0) as entries)"),
     "d15_source_evidence": sql("select d.import_id, d.id, bool_or(contains(e, substr(regexp_replace(lower(d.prompt), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 48))) as found, count(*) as pages from draft_texts d join (select import_id, rn as p, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as e from draft_texts) x on x.import_id = d.import_id and x.p between d.rn + d.n_chars % 3 - 1 and d.rn + d.n_chars % 3 + 1 group by 1, 2"),
     "d16_choices_preserved": sql("with o as (select import_id, id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as c from draft_texts), n as (select import_id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as d from draft_texts where status <> 'rejected') select import_id, id, bool_and(kept) as preserved, count(*) as choices from (select o.import_id, o.id, o.c, coalesce(bool_or(o.c = n.d or (length(o.c) >= 12 and starts_with(n.d, o.c))), false) as kept from o left join n on n.import_id = o.import_id and abs(n.rn - o.rn) <= 1 where o.c <> '' group by 1, 2, 3) group by 1, 2"),
     "d17_import_readiness": sql(f"with {_R0} select * from r0"),

@@ -91,5 +91,5 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -
 
 def latencies(events: DataFrame, width: str = "10 minutes", step: str = "1 minute", late: str = "2 days") -> DataFrame:
     """Sliding samples, errors and approximate percentiles of a value by action."""
-    out = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("samples"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile_approx("value", [0.5, 0.95]).alias("p"), F.max("value").alias("max"))
-    return out.select("event_type", F.unix_timestamp("w.start").alias("start"), "samples", "errors", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max")
+    out = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("samples"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile_approx("value", [0.5, 0.95, 0.99], 100_000).alias("p"), F.max("value").alias("max"))
+    return out.select("event_type", F.unix_timestamp("w.start").alias("start"), "samples", "errors", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max")

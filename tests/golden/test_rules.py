@@ -125,7 +125,17 @@ def test_answers_match_by_position_only_when_counts_agree(spark):
     q = spark.createDataFrame([("a", 1, 0, 1), ("a", 2, 0, None), ("b", 1, 0, 1), ("b", 2, 0, None), ("b", 3, 0, None)], "import_id string, seq int, module int, number int")
     k = spark.createDataFrame([("a", 1, 0, 1, "A"), ("a", 2, 0, 2, "B"), ("b", 1, 0, 1, "A"), ("b", 2, 0, 2, "B")], "import_id string, entry int, module int, number int, answer string")
     got = {(r["import_id"], r["seq"]): r["method"] for r in ingestion.match_answers(q, k).collect()}
-    assert got == {("a", 1): "number", ("a", 2): "module_position", ("b", 1): "number", ("b", 2): "unmatched", ("b", 3): "unmatched"}
+    assert got == {("a", 1): "question_id", ("a", 2): "module_position", ("b", 1): "question_id", ("b", 2): "unmatched", ("b", 3): "unmatched"}
+
+
+def test_answers_are_refused_where_the_order_or_the_count_differs(spark):
+    q = spark.createDataFrame([("a", 1, 0, 2), ("a", 2, 0, None), ("b", 1, 0, 1), ("b", 2, 1, 1), ("c", 1, 0, 1), ("c", 2, 0, 2), ("d", 1, 0, 1)], "import_id string, seq int, module int, number int")
+    k = spark.createDataFrame([("a", 1, 0, 1, "A"), ("a", 2, 0, 2, "B"), ("b", 1, None, 1, "C"), ("b", 2, None, 2, "D"), ("c", 1, None, 1, "A"), ("d", 1, 3, 1, "B")], "import_id string, entry int, module int, number int, answer string")
+    out = ingestion.match_answers(q, k)
+    assert {(r["import_id"], r["seq"]): (r["method"], r["answer"]) for r in out.collect()} == {("a", 1): ("question_id", "B"), ("a", 2): ("unmatched", None), ("b", 1): ("document_position", "C"), ("b", 2): ("document_position", "D"), ("c", 1): ("unmatched", None), ("c", 2): ("unmatched", None), ("d", 1): ("unmatched", None)}
+    assert {(r["import_id"], r["entry"]): r["reason"] for r in ingestion.unmatched_keys(q, k, out).collect()} == {("a", 1): "no_matching_question", ("c", 1): "question_key_count_mismatch", ("d", 1): "no_matching_question"}
+    only = spark.createDataFrame([("x",)], "import_id string")
+    assert ingestion.match_answers(q, k, only).filter("method = 'document_position'").count() == 0
 
 
 def test_labels(spark):
