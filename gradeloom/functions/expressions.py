@@ -92,14 +92,14 @@ def evidence(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "")
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """The share of the smaller set of words longer than two letters that both have."""
+def tokens(x: Column) -> Column:
+    """The distinct words longer than two letters."""
+    return F.array_distinct(F.filter(F.split(F.lower(x), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
 
-    def tokens(x: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(x), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
 
-    ta, tb = tokens(a), tokens(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(ta, tb)).cast("double"), F.least(F.size(ta), F.size(tb)).cast("double")), F.lit(0.0))
+def overlap(a: Column, b: Column) -> Column:
+    """The share of the smaller of two sets that both have; 0 if one is empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)).cast("double")), F.lit(0.0))
 
 
 def module_name(x: Column) -> Column:

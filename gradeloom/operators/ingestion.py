@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.expressions import content_text, evidence, fingerprint, label_month, label_region, label_variant, label_year, repaired, stem_bucket, token_overlap
+from gradeloom.functions.expressions import content_text, evidence, fingerprint, label_month, label_region, label_variant, label_year, overlap, repaired, stem_bucket, tokens
 from gradeloom.functions.relational import islands
 
 #: Questions of the four modules of a full test, and the signs of a phantom prompt.
 MODULES = ((0, 27), (1, 27), (2, 22), (3, 22))
 PHANTOM = (r"(?i)student-produced response directions", r"(?i)more than one correct answer", r"(?i)answer preview", r"(?i)rectangular box[^.]{0,120}(write|enter|blank|answer)", r"(?i)mark for review", r"(?i)hide\s+calculator", r"(?i)back\s+next")
+#: Fixed value: the flag of a question that took in its repeat.
+REPEATED = "repeated_source_question_coalesced"
 MATH_SIGNS = r"(?i)\b(equation|function|slope|triangle|percent|value of x|graph)\b|[=<>]|\d\s*[+*/]\s*\d"
 
 
@@ -130,12 +132,24 @@ def near_buckets(docs: DataFrame, key: str, section: Column, prompt: Column, cho
 
 
 def coalesce_repeats(drafts: DataFrame, pages: int = 3, least: float = 0.82) -> DataFrame:
-    """Repeats of a question on near pages: pairs of one module and number with nearly the same prompt; the longer one stays."""
-    a, b = (drafts.select("import_id", "module", "number", *[F.col(c).alias(f"{c}{i}") for c in ("id", "page_number", "prompt")]) for i in (1, 2))
-    pairs = a.join(b, ["import_id", "module", "number"]).filter((F.col("id1") < F.col("id2")) & (F.abs(F.col("page_number1") - F.col("page_number2")) <= pages))
-    same = pairs.withColumn("overlap", token_overlap(F.col("prompt1"), F.col("prompt2"))).filter(F.col("overlap") >= least)
-    longer = F.length("prompt1") >= F.length("prompt2")
-    return same.select("import_id", "module", "number", F.when(longer, F.col("id1")).otherwise(F.col("id2")).alias("kept"), F.when(longer, F.col("id2")).otherwise(F.col("id1")).alias("dropped"), F.floor(F.col("overlap") * 1000 + 0.5).cast("long").alias("overlap_permille"))
+    """Repeats of a question on near pages: pairs of one module and number with nearly the same prompt and, where both have some, the same choices.
+
+    The richer one (prompt and choices together; the smaller id on a tie) stays, on the earlier page, with the flags of both and ``REPEATED``.
+    ``drafts``: import_id, module, number, id, page_number, prompt, and choices and flags as arrays. Pages meet in buckets as wide as the distance.
+    """
+    plain = F.transform("choices", lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")))
+    rich = F.length("prompt") + F.aggregate("choices", F.lit(0), lambda n, c: n + F.length(c))
+    rows = drafts.select("import_id", "module", "number", "id", "page_number", "flags", plain.alias("choices"), rich.alias("rich"), tokens(F.col("prompt")).alias("tokens"))
+    key = ["import_id", "module", "number"]
+    side = lambda i, bucket: rows.select(*key, bucket.alias("bucket"), *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c not in key])
+    at = F.floor(F.col("page_number") / (pages + 1))
+    pairs = side(1, at).join(side(2, F.explode(F.sequence(at - 1, at + 1))), [*key, "bucket"]).filter((F.col("id1") < F.col("id2")) & (F.abs(F.col("page_number1") - F.col("page_number2")) <= pages))
+    agree = (F.size("choices1") == 0) | (F.size("choices2") == 0) | (F.col("choices1") == F.col("choices2"))
+    same = pairs.filter(agree).withColumn("overlap", overlap(F.col("tokens1"), F.col("tokens2"))).filter(F.col("overlap") >= least)
+    first = F.col("rich1") >= F.col("rich2")
+    kept, dropped = F.when(first, F.col("id1")).otherwise(F.col("id2")), F.when(first, F.col("id2")).otherwise(F.col("id1"))
+    flags = F.array_join(F.array_sort(F.array_union(F.array_union("flags1", "flags2"), F.array(F.lit(REPEATED)))), ",")
+    return same.select(*key, kept.alias("kept"), dropped.alias("dropped"), F.least("page_number1", "page_number2").alias("page_number"), F.floor(F.col("overlap") * 1000 + 0.5).cast("long").alias("overlap_permille"), flags.alias("flags"))
 
 
 def attribute_figures(questions: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def _readiness(v: Views, even: bool = False):
     return A.import_readiness(rows.select("import_id", "id", "page_number", "number", F.when(F.col("id") % 3 != 0, F.col("module")).alias("module"), "answer"), keys, F.col("import_id") != "src7")
 
 
-def _labels(v: Views):
+def _labels(v: Views, which):
     month = F.element_at(F.array(*[F.lit(m) for m in ("March", "may", "Oct", "December 5")]), (F.col("page_id") % 4 + 1).cast("int"))
-    return v.pages.select(F.col("page_id").alias("id"), F.concat_ws(" ", month, (F.col("page_id") % 3 + 2022).cast("string"), F.when(F.col("page_id") % 5 == 0, "US").when(F.col("page_id") % 5 == 1, "International"), F.when(F.col("page_id") % 7 == 0, "Form A").when(F.col("page_id") % 7 == 1, "Form B")).alias("label"))
+    return v.pages.filter(which).select(F.col("page_id").alias("id"), F.concat_ws(" ", month, (F.col("page_id") % 3 + 2022).cast("string"), F.when(F.col("page_id") % 5 == 0, "US").when(F.col("page_id") % 5 == 1, "International"), F.when(F.col("page_id") % 7 == 0, "Form A").when(F.col("page_id") % 7 == 1, "Form B")).alias("label"))
 
 
 def _figures(v: Views):
@@ -61,7 +61,7 @@ def _decisions(v: Views):
 
 
 QUERIES = {
-    "s3_split_pages": lambda v: S.split_pages(v.documents.select("doc_id", F.concat(F.lit("===== PAGE 1 =====\n"), F.substring("text", 1, 100), F.lit("\n===== PAGE 2 =====\n"), F.substring("text", 101, 100)).alias("dump")), "doc_id", "dump"),
+    "s3_split_pages": lambda v: S.split_pages(v.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda p, i: F.concat(F.lit("===== PAGE "), (i + 1).cast("string"), F.lit(" =====\n"), p)), "\n").alias("dump")), "doc_id", "dump"),
     "s4_lines": lambda v: S.lines(v.documents, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("line_no").alias("last"), F.sum(F.length("line")).alias("chars")),
     "f6_phantoms": lambda v: v.draft_texts.select("import_id", "id", D.is_phantom(F.col("prompt")).alias("phantom")),
     "f7_source_images": lambda v: v.pages.select("page_id", F.col("url").rlike(r"(?i)^https?://(blog|m)\.[^/]+/(en|fr)/\d+").alias("is_source")),
@@ -81,7 +81,7 @@ QUERIES = {
     "d8_section_transition": lambda v: D.section_transition(v.draft_texts.select("import_id", F.col("rn").alias("seq"), "text"), "text"),
     "d9_exact_duplicates": lambda v: D.exact_duplicates(v.documents, "doc_id", [F.col("text")], F.col("doc_id")),
     "d10_near_buckets": lambda v: D.near_buckets(v.documents, "doc_id", F.col("lang"), F.col("text"), F.lit(4)),
-    "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.documents.select(F.expr("concat(lang, ':', doc_id div 250)").alias("import_id"), (F.col("n_chars") % 2).alias("module"), (F.length("text") % 3).alias("number"), F.col("doc_id").alias("id"), F.lit(1).alias("page_number"), F.substring("text", 1, 200).alias("prompt"))),
+    "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.draft_texts.select("import_id", (F.col("n_chars") % 2).alias("module"), (F.length("prompt") % 3).alias("number"), "id", "page_number", "prompt", F.array_compact(F.array("answer")).alias("choices"), F.array_compact(F.array("flag")).alias("flags"))),
     "d12_attribute_figures": _figures,
     "d13_match_answers": _matches,
     "d13_unmatched_keys": lambda v: D.unmatched_keys(_match_questions(v), _match_keys(v), _matches(v)),
@@ -89,7 +89,7 @@ QUERIES = {
     "d15_source_evidence": lambda v: D.source_evidence(v.draft_texts.select("import_id", "id", (F.col("rn") + F.col("n_chars") % 3).cast("int").alias("page_number"), "prompt"), _pages(v)),
     "d16_choices_preserved": lambda v: D.choices_preserved(v.draft_texts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice")), v.draft_texts.filter("status <> 'rejected'").select("import_id", F.col("rn").cast("int").alias("page_number"), F.explode(F.split("text", "\n")).alias("choice"))),
     "d17_import_readiness": _readiness,
-    "d18_find_existing": lambda v: D.find_existing(_labels(v).filter("id % 2 = 0"), _labels(v).filter("id % 2 = 1 and id % 3 <> 0")),
+    "d18_find_existing": lambda v: D.find_existing(_labels(v, F.col("url").contains("?")), _labels(v, ~F.col("url").contains("?"))),
     "d19_import_listing": lambda v: A.import_listing(v.drafts),
     "d19_module_summary": lambda v: A.module_summary(v.drafts),
     "d20_draft_risks": lambda v: A.draft_risks(v.draft_texts),
@@ -159,7 +159,7 @@ def _fixed(source: str) -> str:
 
 
 SQL = {
-    "s3_split_pages": "select doc_id, 1 as page_number, trim(substr(text, 1, 100)) as text from documents union all select doc_id, 2, trim(regexp_replace(substr(text, 101, 100), '\\n$', '')) from documents",
+    "s3_split_pages": "select doc_id, i as page_number, trim(case when i = n then regexp_replace(p, '\\n$', '') else p end) as text from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1)::int as i, len(ps) as n from (select doc_id, string_split(text, chr(10)) as ps from documents))",
     "s4_lines": "select doc_id, count(*) as lines, max(i - 1)::int as last, sum(length(line))::bigint as chars from (select doc_id, trim(unnest(ls)) as line, generate_subscripts(ls, 1) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)) where line <> '' group by 1",
     "f6_phantoms": sql(f"select import_id, id, {_PHANTOM.format(x='prompt')} as phantom from draft_texts"),
     "f7_source_images": "select page_id, regexp_matches(url, '(?i)^https?://(blog|m)\\.[^/]+/(en|fr)/\\d+') as is_source from pages",
@@ -179,7 +179,7 @@ SQL = {
     "d8_section_transition": sql(f"select import_id, min(case when s >= 3 then seq end) as transition from (select import_id, rn as seq, sum(regexp_matches(text, '{D.MATH_SIGNS}')::int) over (partition by import_id order by rn rows between current row and 4 following) as s from draft_texts) group by 1"),
     "d9_exact_duplicates": f"with r as (select doc_id, substr(sha256({_CONTENT}), 1, 32) as fp from documents where trim(text) <> '') select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, min(doc_id) as canonical from r group by 1 having count(*) > 1) using (fp)",
     "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, 'mc4', array_to_string(list_filter(regexp_split_to_array(regexp_replace({_CONTENT}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
-    "d11_coalesce_repeats": "with d as (select lang || ':' || (doc_id // 250) as import_id, n_chars % 2 as module, length(text) % 3 as number, doc_id as id, substr(text, 1, 200) as prompt, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from documents) select import_id, module, number, case when length(p1) >= length(p2) then i1 else i2 end as kept, case when length(p1) >= length(p2) then i2 else i1 end as dropped, floor(o * 1000 + 0.5)::bigint as overlap_permille from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.prompt as p1, b.prompt as p2, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id) where o >= 0.82",
+    "d11_coalesce_repeats": sql("with d as (select import_id, n_chars % 2 as module, length(prompt) % 3 as number, id, page_number as page, answer, flag, length(prompt) + coalesce(length(answer), 0) as rich, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from draft_texts) select import_id, module, number, case when r1 >= r2 then i1 else i2 end as kept, case when r1 >= r2 then i2 else i1 end as dropped, page as page_number, floor(o * 1000 + 0.5)::bigint as overlap_permille, array_to_string(list_sort(list_distinct(list_filter([f1, f2, 'repeated_source_question_coalesced'], lambda x: x is not null))), ',') as flags from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.rich as r1, b.rich as r2, a.flag as f1, b.flag as f2, least(a.page, b.page) as page, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id and abs(a.page - b.page) <= 3 and (a.answer is null or b.answer is null or a.answer = b.answer)) where o >= 0.82"),
     "d12_attribute_figures": "with q as (select page_id % 40 as pid, page_id as seq, length(url) % 3 as markers, sum(length(url) % 3) over (partition by page_id % 40 order by page_id) as upto from pages), b as (select pid, box_id, row_number() over (partition by pid order by box_id) as k from (select item_id % 40 as pid, item_id as box_id from benchmark union all select page_id % 40, page_id + 1000 from pages)) select b.pid as page_id, box_id, k, seq, case when seq is null then 'needs_review' else 'attributed' end as status from b left join q on b.pid = q.pid and k > upto - markers and k <= upto",
     "d13_match_answers": sql(f"with {_MATCH} select * from ms"),
     "d13_unmatched_keys": sql(f"with {_MATCH} select import_id, entry, module, number, case when target > 0 and target <> size then 'question_key_count_mismatch' else 'no_matching_question' end as reason from (select *, case when module is null then (select count(*) from mq where mq.import_id = k.import_id) else (select count(*) from mq where mq.import_id = k.import_id and mq.module = k.module) end as target, count(*) over (partition by import_id, module) as size from mk k) where not exists (select 1 from ms where ms.import_id = k.import_id and ms.entry = k.entry)".replace(" from mk k) where", " from mk k) k where")),
@@ -187,7 +187,7 @@ SQL = {
     "d15_source_evidence": sql("select d.import_id, d.id, bool_or(contains(e, substr(regexp_replace(lower(d.prompt), '[^\\p{L}\\p{N}]+', '', 'g'), 1, 48))) as found, count(*) as pages from draft_texts d join (select import_id, rn as p, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as e from draft_texts) x on x.import_id = d.import_id and x.p between d.rn + d.n_chars % 3 - 1 and d.rn + d.n_chars % 3 + 1 group by 1, 2"),
     "d16_choices_preserved": sql("with o as (select import_id, id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as c from draft_texts), n as (select import_id, rn, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[^\\p{L}\\p{N}]+', '', 'g') as d from draft_texts where status <> 'rejected') select import_id, id, bool_and(kept) as preserved, count(*) as choices from (select o.import_id, o.id, o.c, coalesce(bool_or(o.c = n.d or (length(o.c) >= 12 and starts_with(n.d, o.c))), false) as kept from o left join n on n.import_id = o.import_id and abs(n.rn - o.rn) <= 1 where o.c <> '' group by 1, 2, 3) group by 1, 2"),
     "d17_import_readiness": sql(f"with {_R0} select * from r0"),
-    "d18_find_existing": "with l as (select page_id as id, page_id % 4 as m, page_id % 3 as y, case page_id % 5 when 0 then 'us' when 1 then 'international' end as r, case page_id % 7 when 0 then 'A' when 1 then 'B' end as v from pages), h as (select a.id, bool_or(a.r is not distinct from b.r and a.v is not distinct from b.v) as sure from (select * from l where id % 2 = 0) a join (select * from l where id % 2 = 1 and id % 3 <> 0) b on a.m = b.m and a.y = b.y and coalesce(a.r = b.r, true) and coalesce(a.v = b.v, true) group by 1) select l.id, case when sure then 'duplicate' when sure is not null then 'review' else 'new' end as verdict from l left join h using (id) where l.id % 2 = 0",
+    "d18_find_existing": "with l as (select page_id as id, contains(url, '?') as fresh, page_id % 4 as m, page_id % 3 as y, case page_id % 5 when 0 then 'us' when 1 then 'international' end as r, case page_id % 7 when 0 then 'A' when 1 then 'B' end as v from pages), h as (select a.id, bool_or(a.r is not distinct from b.r and a.v is not distinct from b.v) as sure from (select * from l where fresh) a join (select * from l where not fresh) b on a.m = b.m and a.y = b.y and coalesce(a.r = b.r, true) and coalesce(a.v = b.v, true) group by 1) select l.id, case when sure then 'duplicate' when sure is not null then 'review' else 'new' end as verdict from l left join h using (id) where l.fresh",
     "d19_import_listing": sql("select import_id, count_if(status = 'approved') as approved, count_if(status = 'pending') as pending, count_if(status = 'rejected') as rejected from drafts group by 1"),
     "d19_module_summary": sql("select import_id, section, module, count(*) as total, count_if(status = 'approved') as approved, count_if(status = 'rejected') as rejected, count(answer) as with_key from drafts group by 1, 2, 3"),
     "d20_draft_risks": sql(f"with {_RISKS} select * from rs"),

@@ -33,7 +33,8 @@ def semi_scan(df: DataFrame, keys: DataFrame, key: str, rows: int, most: int = 1
 def split_pages(dumps: DataFrame, key: str, text: str) -> DataFrame:
     """The pages of dumps: ``key``, ``page_number``, ``text``. What stands before the first separator is no page."""
     marked = F.regexp_replace(F.col(text), PAGE_SEPARATOR, "\u0001$1\u0002")
-    pages = dumps.select(key, F.explode(F.slice(F.split(marked, "\u0001"), 2, 1_000_000)).alias("_p"))
+    parts = F.split(marked, "\u0001")
+    pages = dumps.select(key, F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("_p"))
     return pages.select(key, F.substring_index("_p", "\u0002", 1).cast("int").alias("page_number"), F.trim(F.regexp_replace(F.substring_index("_p", "\u0002", -1), r"\A\n|\n\z", "")).alias("text"))
 
 

@@ -162,3 +162,30 @@ def test_submission_audit_rules(spark):
     c = spark.createDataFrame([(1, 7), (1, 7), (2, 7)], "attempt_id long, question_id long")
     got = {(r["attempt_id"], r["rule"]) for r in grading.submission_audit(t, c).collect()}
     assert got == {(1, "correct_exceeds_total"), (1, "duplicate_correction"), (1, "duplicate_topic"), (2, "blank_domain")}
+
+
+def test_repeats_of_a_question(spark):
+    long = "alpha beta gamma delta epsilon " * 20_000
+    rows = [
+        ("i", 0, 1, 1, 3, "alpha beta gamma delta epsilon", ["Yes"], ["a"]),
+        ("i", 0, 1, 2, 6, "Alpha beta gamma delta epsilon zeta", ["yes "], ["b", "a"]),
+        ("i", 0, 1, 3, 7, "alpha beta gamma delta epsilon", [], []),
+        ("i", 0, 1, 4, 4, "alpha beta gamma delta epsilon", ["No"], []),
+        ("i", 0, 2, 5, 3, long, [], []),
+        ("i", 0, 2, 6, 3, long, [], []),
+        ("i", 0, 2, 7, 3, None, [], []),
+        ("i", 0, 2, 8, 3, "", [], []),
+    ]
+    drafts = spark.createDataFrame(rows, "import_id string, module int, number int, id long, page_number int, prompt string, choices array<string>, flags array<string>")
+    got = {(r["kept"], r["dropped"]): (r["page_number"], r["overlap_permille"], r["flags"]) for r in ingestion.coalesce_repeats(drafts).collect()}
+    flag = ingestion.REPEATED
+    assert got == {(2, 1): (3, 1000, f"a,b,{flag}"), (2, 3): (6, 1000, f"a,b,{flag}"), (4, 3): (4, 1000, flag), (5, 6): (3, 1000, flag)}
+    assert ingestion.coalesce_repeats(drafts.limit(0)).count() == 0
+
+
+def test_all_pages_of_a_dump(spark):
+    from gradeloom.sources import tables
+
+    dump = "front matter\n" + "\n".join(f"===== PAGE {i} =====\nline {i}\n" for i in range(1, 301))
+    pages = tables.split_pages(spark.createDataFrame([(1, dump), (2, "no page"), (3, None), (4, "")], "id long, dump string"), "id", "dump")
+    assert [(r["id"], r["page_number"]) for r in pages.orderBy("page_number").collect()] == [(1, i) for i in range(1, 301)]
