@@ -15,7 +15,7 @@ def _gold(v: Views):
 
 
 def _predicted(v: Views):
-    return v.documents.filter("n_chars % 7 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 11 != 0, F.when(F.col("n_chars") > 600, "1").otherwise("0")).alias("answer"))
+    return v.documents.filter("source <> 'src0'").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 11 != 0, F.when(F.col("n_chars") > 600, "1").otherwise("0")).alias("answer"))
 
 
 def _stats(v: Views):
@@ -43,7 +43,7 @@ def _classified(v: Views):
 
 QUERIES = {
     "v1_evaluate_extraction": lambda v: V.evaluate_extraction(_gold(v).drop("lang"), _predicted(v)),
-    "v2_finding_match": lambda v: V.finding_match(v.labels.filter("quality = 0 or toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("page"), "toxic"), v.documents.filter("n_chars % 3 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("page")), ["id", "page"], F.col("toxic") == 1),
+    "v2_finding_match": lambda v: V.finding_match(v.labels.filter("quality = 0 or toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("page"), "toxic"), v.documents.filter("lang <> 'en'").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("page")), ["id", "page"], F.col("toxic") == 1),
     "v3_slices": lambda v: V.slices(v.documents, F.concat(F.lit("lang:"), "lang"), F.when(F.col("n_chars") > 2000, "long"), F.when(F.col("source") == "src0", "hot_source")).groupBy("slice").agg(F.count("*").alias("n")),
     "v4_nearest_rank": lambda v: V.nearest_rank(v.events, ["event_type"], "value", F.col("event_id") % 20 == 0),
     "v5_before_after": lambda v: V.before_after(_stats(v), "event_type", "phase", "p95", 140.0),
@@ -64,8 +64,8 @@ _W = "((p + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n) {s} {z} * sqrt(p * (1 - p
 _RATES = "select {keys} metric, part, whole, floor(p * 1000000.0 + 0.5) / 1000000.0 as value, case when whole > 0 then floor(greatest(0.0, " + _W.format(z=1.959963984540054, s="-") + ") * 1000000.0 + 0.5) / 1000000.0 end as low, case when whole > 0 then floor(least(1.0, " + _W.format(z=1.959963984540054, s="+") + ") * 1000000.0 + 0.5) / 1000000.0 end as high from (select *, part::double / nullif(whole, 0) as p, whole::double as n from ({rows}))"
 
 SQL = {
-    "v1_evaluate_extraction": sql("with g as (select doc_id as id, quality::varchar as a from labels), p as (select doc_id as id, case when n_chars % 11 <> 0 then case when n_chars > 600 then '1' else '0' end end as b, 1 as f from documents where n_chars % 7 <> 0), j as (select count(f) as np, count(a) as ng, count_if(a is not null and f is not null) as hit, count_if(a is not null and b is not null) as keyed, count_if(a = b) as rt from g full join p using (id)) " + _RATES.format(keys="", rows="select 'precision' as metric, hit as part, np as whole from j union all select 'recall', hit, ng from j union all select 'key_coverage', keyed, hit from j union all select 'key_accuracy', rt, keyed from j")),
-    "v2_finding_match": sql("with j as (select count_if(toxic is not null and x is not null) as hit, count(x) as np, count(toxic) as ng, count_if(toxic = 1) as ns, count_if(toxic = 1 and x is not null) as hs from (select doc_id, toxic from labels where quality = 0 or toxic = 1) full join (select doc_id, 1 as x from documents where n_chars % 3 <> 0) using (doc_id)) " + _RATES.format(keys="", rows="select 'precision' as metric, hit as part, np as whole from j union all select 'recall', hit, ng from j union all select 'serious_recall', hs, ns from j")),
+    "v1_evaluate_extraction": sql("with g as (select doc_id as id, quality::varchar as a from labels), p as (select doc_id as id, case when n_chars % 11 <> 0 then case when n_chars > 600 then '1' else '0' end end as b, 1 as f from documents where source <> 'src0'), j as (select count(f) as np, count(a) as ng, count_if(a is not null and f is not null) as hit, count_if(a is not null and b is not null) as keyed, count_if(a = b) as rt from g full join p using (id)) " + _RATES.format(keys="", rows="select 'precision' as metric, hit as part, np as whole from j union all select 'recall', hit, ng from j union all select 'key_coverage', keyed, hit from j union all select 'key_accuracy', rt, keyed from j")),
+    "v2_finding_match": sql("with j as (select count_if(toxic is not null and x is not null) as hit, count(x) as np, count(toxic) as ng, count_if(toxic = 1) as ns, count_if(toxic = 1 and x is not null) as hs from (select doc_id, toxic from labels where quality = 0 or toxic = 1) full join (select doc_id, 1 as x from documents where lang <> 'en') using (doc_id)) " + _RATES.format(keys="", rows="select 'precision' as metric, hit as part, np as whole from j union all select 'recall', hit, ng from j union all select 'serious_recall', hs, ns from j")),
     "v3_slices": "select slice, count(*) as n from (select unnest(['lang:' || lang, case when n_chars > 2000 then 'long' end, case when source = 'src0' then 'hot_source' end]) as slice from documents) where slice is not null group by 1",
     "v4_nearest_rank": sql("select event_type, count(*) as samples, count_if(event_id % 20 = 0) as errors, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, max(value) as max from events group by 1"),
     "v5_before_after": "select event_type, before, after, floor((after - before) * 1000.0 + 0.5) / 1000.0 as delta, floor((after - before) / nullif(before, 0) * 100 * 10.0 + 0.5) / 10.0 as change_pct, case when after <= 140.0 then 'pass' else 'miss' end as verdict from (select event_type, quantile_disc(value, 0.95) filter (where event_id % 2 = 0) as before, quantile_disc(value, 0.95) filter (where event_id % 2 = 1) as after from events group by 1)",

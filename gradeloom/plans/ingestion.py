@@ -104,7 +104,7 @@ QUERIES = {
     "d28_promotion_decision": _decisions,
     "d29_cohort_report": lambda v: A.cohort_report(_decisions(v)),
     "d30_corpus_triage": lambda v: A.corpus_triage(D.text_quality(v.documents.withColumnRenamed("doc_id", "id"), "id")),
-    "d31_new_files": lambda v: D.new_files(v.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("name")), v.pages.filter("page_id % 4 = 0").select(F.col("page_id").alias("file_id")), F.col("file_id") < 100),
+    "d31_new_files": lambda v: D.new_files(v.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("name")), v.pages.filter(F.col("url").contains("?")).select(F.col("page_id").alias("file_id")), F.col("file_id") < 100),
     "d32_backfill_diff": lambda v: D.normalize_pages(v.documents, "doc_id").filter("changed").select("doc_id", "before", "after"),
     "d33_review_selection": lambda v: A.review_selection(A.draft_risks(v.draft_texts), 2),
     "d34_parity": lambda v: A.parity(v.documents.select("doc_id", "source", F.when(F.col("doc_id") % 50 != 0, F.col("lang")).alias("lang"), "n_chars"), v.documents, "doc_id", ["source", "lang", "n_chars"]),
@@ -202,7 +202,7 @@ SQL = {
     "d28_promotion_decision": sql(f"with {_DECIDE} select *, reason in ('added', 'improved') as promote from dd"),
     "d29_cohort_report": sql(f"with {_DECIDE} select reason, count(*) as imports, sum(coalesce(q1, 0) - coalesce(q0, 0))::bigint as question_gain, sum(coalesce(a1, 0) - coalesce(a0, 0))::bigint as answer_gain from dd group by 1"),
     "d30_corpus_triage": sql(f"with {_QUALITY.format(key='doc_id', source='documents')} select status, count(*) as documents, sum(words)::bigint as words from (select *, case when chars = 0 then 'failed' when quality = 'poor' then 'needs_ocr' when choice_marks < question_marks * 4 then 'partial' else 'success' end as status from tq) group by 1"),
-    "d31_new_files": "select page_id as file_id, case when not regexp_matches(lower(url), '/(en|fr)/') then 'ignored' when page_id < 100 then 'baseline' else 'pending' end as state, substr(sha256(page_id || '|' || url), 1, 16) as import_key from pages where page_id % 4 <> 0",
+    "d31_new_files": "select page_id as file_id, case when not regexp_matches(lower(url), '/(en|fr)/') then 'ignored' when page_id < 100 then 'baseline' else 'pending' end as state, substr(sha256(page_id || '|' || url), 1, 16) as import_key from pages where not contains(url, '?')",
     "d32_backfill_diff": f"select doc_id, length(text) as before, length(fixed) as after from ({_fixed("select doc_id, text from documents")}) where fixed <> text",
     "d33_review_selection": sql(f"with {_RISKS} select import_id, id, case when state = 'major' then 'blocked' when state = 'complete' or k <= 2 then 'batch_ready' else 'individual_review' end as route from (select *, row_number() over (partition by import_id, state order by id) as k from rs)"),
     "d34_parity": "select count(*) as rows, 0::bigint as differ_source, count(case when doc_id % 50 = 0 then 1 end) as differ_lang, 0::bigint as differ_n_chars, sum(('0x' || substr(md5(concat_ws('|', source, case when doc_id % 50 <> 0 then lang end, n_chars::varchar)), 1, 8))::bigint)::bigint as fingerprint from documents",

@@ -78,7 +78,7 @@ def _progress(v: Views):
 
 
 def _activity(v: Views):
-    return R.daily_activity(v.reviews).withColumn("reviews", F.when(F.col("student_id") % 9 == 0, F.col("reviews") + 1).otherwise(F.col("reviews"))).filter("student_id % 13 <> 5")
+    return R.daily_activity(v.reviews).filter("reviews > 1").withColumn("reviews", F.when(F.col("student_id") % 9 == 0, F.col("reviews") + 1).otherwise(F.col("reviews")))
 
 
 QUERIES = {
@@ -87,14 +87,14 @@ QUERIES = {
     "r3_fsrs_replay": lambda v: R.fsrs_replay(v.reviews).withColumn("stability", F.round("stability", 5)).withColumn("difficulty", F.round("difficulty", 5)).withColumn("due_on", F.to_date("due_at")).drop("due_at", "last_at"),
     "r4_rating_previews": lambda v: R.rating_previews(R.fsrs_replay(v.reviews), F.lit(NOW).cast("timestamp")).withColumn("recall", F.round("recall", 6)),
     "r5_sm2_fold": _schedule,
-    "r6_schedule_migration": lambda v: R.schedule_migration(_cards(v).filter("card_id % 2 = 0"), v.reviews),
+    "r6_schedule_migration": lambda v: R.schedule_migration(_cards(v).filter("deck_id < 2"), v.reviews),
     "r7_deck_dashboard": lambda v: R.deck_dashboard(_cards(v), _schedule(v), _today()),
     "r8_deck_progress": _progress,
     "r9_study_history": lambda v: R.study_history(_cards(v), R.due_before(v.reviews), _schedule(v), _today()),
     "r10_deck_report": lambda v: R.deck_report(_progress(v)),
     "r11_study_queue": lambda v: R.study_queue(_cards(v), _schedule(v), _today(), 5),
     "r12_sprint_sample": lambda v: R.sprint_sample(_cards(v), 7, 6),
-    "r13_card_merge": lambda v: R.card_merge(v.part.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 5).alias("deck_id"), F.col("p_name").alias("word")), v.part.select((F.col("p_size") % 5).cast("long").alias("deck_id"), F.upper("p_name").alias("word"), F.col("p_partkey").alias("place"))),
+    "r13_card_merge": lambda v: R.card_merge(v.part.filter("p_size <= 25").select((F.col("p_partkey") % 5).alias("deck_id"), F.col("p_name").alias("word")), v.part.select((F.col("p_size") % 5).cast("long").alias("deck_id"), F.upper("p_name").alias("word"), F.col("p_partkey").alias("place"))),
     "r14_consistency": lambda v: R.consistency(v.reviews, _activity(v)),
     "r15_deck_listing": lambda v: R.deck_listing(v.nation.select(F.col("n_nationkey").cast("long").alias("deck_id"), F.col("n_name").alias("name")), v.orders.select((F.col("o_custkey") % 20).alias("deck_id"), F.col("o_custkey").alias("student_id")), "i"),
 }
@@ -105,7 +105,7 @@ SQL = {
     "r3_fsrs_replay": replayed("select student_id, card_id, round(s, 5) as stability, round(d, 5) as difficulty, kind as state, reps, lapses, step, minutes, (to_timestamp(sec + minutes * 60) at time zone 'UTC')::date as due_on from s"),
     "r4_rating_previews": replayed(f"select student_id, card_id, round(r, 6) as recall, rating, {_KIND} as next_state, ({_MINUTES})::bigint as minutes, ({_MINUTES})::bigint // 1440 as days from (select *, {_INTERVALS} from (select *, {_AFTER} from (select *, {_RECALL} as r from (select *, greatest(epoch(timestamp '{NOW}')::bigint // 86400 - sec // 86400, 0) as days from s where sec + minutes * 60 <= epoch(timestamp '{NOW}'))))), (select unnest([1, 2, 3, 4]) as rating)"),
     "r5_sm2_fold": f("select * from s"),
-    "r6_schedule_migration": f("select count(c.card_id) as states, sum(n)::bigint as reviews, count(*) as keys, count_if(c.card_id is null) as pending, count_if(n is null) as without_history from (select * from cards where card_id % 2 = 0) c full join (select student_id, card_id, count(*) as n from o group by 1, 2) h on c.student_id = h.student_id and c.card_id = h.card_id"),
+    "r6_schedule_migration": f("select count(c.card_id) as states, sum(n)::bigint as reviews, count(*) as keys, count_if(c.card_id is null) as pending, count_if(n is null) as without_history from (select * from cards where deck_id < 2) c full join (select student_id, card_id, count(*) as n from o group by 1, 2) h on c.student_id = h.student_id and c.card_id = h.card_id"),
     "r7_deck_dashboard": f(f"select student_id, deck_id, count(*) as card_count, count_if(due_on <= {_D}) as due_count, count_if(due_on is null) as new_count from cards left join s using (student_id, card_id) group by 1, 2"),
     "r8_deck_progress": f("select * from work"),
     "r9_study_history": f(f"""select student_id, deck_id, day, case when unknown = 0 then due end as total_due, unknown, coalesce(studied, 0) as studied, coalesce(n, 0) as reviews, tracked_ms from (
@@ -116,8 +116,8 @@ SQL = {
     "r10_deck_report": f("select deck_id, count(*) as students, sum(due_remaining)::bigint as due_remaining, sum(new_remaining)::bigint as new_remaining, sum(reviews_today)::bigint as reviews_today, sum(tracked_ms)::bigint as tracked_ms, sum(tracked)::bigint as tracked, count_if(status = 'done_today') as done, floor(sum(tracked_ms)::double / nullif(sum(tracked), 0)::double * 10.0 + 0.5) / 10.0 as mean_ms, case when count_if(status = 'done_today') = count(*) then 'all_done' when sum(reviews_today) > 0 then 'started' else 'not_started' end as status from work group by 1"),
     "r11_study_queue": f(f"select * from (select student_id, card_id, due_on, row_number() over (partition by student_id order by due_on nulls first, card_id) as n from cards left join s using (student_id, card_id) where due_on is null or due_on <= {_D}) where n <= 5"),
     "r12_sprint_sample": f("select * from (select student_id, deck_id, card_id, row_number() over (partition by student_id order by md5(student_id || ':' || card_id || ':7'), card_id) as n from cards) where n <= 6"),
-    "r13_card_merge": "select deck_id, arg_min(word, place) as word, min(place) as place, count(*) - 1 as skipped from (select (p_size % 5)::bigint as deck_id, upper(p_name) as word, p_partkey as place from part) i where not exists (select 1 from part k where k.p_partkey % 2 = 0 and k.p_partkey % 5 = i.deck_id and lower(trim(k.p_name)) = lower(trim(i.word))) group by deck_id, lower(trim(word))",
-    "r14_consistency": sql("select * from (select student_id, reviewed_on, l.logged, a.reviews from (select student_id, reviewed_on, count(*) as logged from reviews group by 1, 2) l full join (select student_id, reviewed_on, count(*) + case when student_id % 9 = 0 then 1 else 0 end as reviews from reviews where student_id % 13 <> 5 group by 1, 2) a using (student_id, reviewed_on)) where logged is distinct from reviews"),
+    "r13_card_merge": "select deck_id, arg_min(word, place) as word, min(place) as place, count(*) - 1 as skipped from (select (p_size % 5)::bigint as deck_id, upper(p_name) as word, p_partkey as place from part) i where not exists (select 1 from part k where k.p_size <= 25 and k.p_partkey % 5 = i.deck_id and lower(trim(k.p_name)) = lower(trim(i.word))) group by deck_id, lower(trim(word))",
+    "r14_consistency": sql("select * from (select student_id, reviewed_on, l.logged, a.reviews from (select student_id, reviewed_on, count(*) as logged from reviews group by 1, 2) l full join (select student_id, reviewed_on, count(*) + case when student_id % 9 = 0 then 1 else 0 end as reviews from reviews group by 1, 2 having count(*) > 1) a using (student_id, reviewed_on)) where logged is distinct from reviews"),
     "r15_deck_listing": "select n_nationkey::bigint as deck_id, n_name as name, coalesce(students, 0) as students from nation left join (select o_custkey % 20 as deck_id, count(distinct o_custkey) as students from orders group by 1) d on d.deck_id = n_nationkey where lower(n_name) like '%i%'",
 }
 
