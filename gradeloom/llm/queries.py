@@ -5,6 +5,7 @@ from __future__ import annotations
 from gradeloom.llm.html_consensus import op5_html_text
 from gradeloom.llm.license_scan import op2_license_scan
 from gradeloom.llm.media import op4_media
+from gradeloom.llm.minhash_dedup import OP12_SQL, op12_minhash_dedup
 from gradeloom.llm.mixing import op9_mixing
 from gradeloom.llm.ngram_join import OP7_SQL, op7_ngram_join
 from gradeloom.llm.piece_codec import op6_sentencepiece
@@ -13,6 +14,6 @@ from gradeloom.llm.sketch import OP10_SQL, op10_fingerprints
 from gradeloom.llm.token_counts import op1_token_counts
 from gradeloom.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality, op4_media, op5_html_text, op6_sentencepiece, op7_ngram_join, op8_toxicity, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_quality, op4_media, op5_html_text, op6_sentencepiece, op7_ngram_join, op8_toxicity, op9_mixing, op10_fingerprints, op12_minhash_dedup)}
 
-SQL: dict[str, str] = {"op7_ngram_join": OP7_SQL, "op10_fingerprints": OP10_SQL}
+SQL: dict[str, str] = {"op7_ngram_join": OP7_SQL, "op10_fingerprints": OP10_SQL, "op12_minhash_dedup": OP12_SQL}
