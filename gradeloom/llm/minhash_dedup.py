@@ -3,9 +3,9 @@
 1. Signatures. Texts with the same shingle set are one class, known by 128 bits. A class has ``ROWS_OF_BAND * bands`` MinHash values
    of 16 bits; ``bands`` is the least number with which a pair at the threshold shares no band with probability ``miss`` at most.
 2. Candidates. Classes with an equal band share a bucket. The bucket first proposes the pairs of all its members with one hub, the
-   member that meets most others; after their links are settled, only members of different components need be compared, and the hub,
-   which was compared with all, leaves the bucket. This is repeated while the open pairs are many for the members; those
-   that are left then are all proposed. So a group of near copies costs a pair for each member, and no pair of a bucket is passed over.
+   member that meets most others. After their links are settled, all pairs of members of different components are proposed, but for
+   those that can't link because of the shingles that no other open class has. So a group of near copies costs a pair for each member, and
+   its strangers, each edited in its own way, cost none; no pair of a bucket that may link is passed over.
 3. Sequential verification. The signatures of a pair are compared a batch at a time. With a uniform prior, m matches of n give the
    similarity the posterior Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold is under ``miss`` goes at once.
 4. Survivors are confirmed on their whole shingle sets, and components found by star contraction.
@@ -32,8 +32,8 @@ from gradeloom.llm.ngram_join import WORDS, _words, shingle_set
 NUMERATOR, DENOMINATOR = 85, 100
 #: Values of a band; chance of missing a pair at the threshold, in the bands and in each look at a pair; values of a batch.
 ROWS_OF_BAND, MISS, BATCH = 6, 1e-6, 30
-#: Shingles hashed together (they fit a core's cache), open pairs for each member up to which all are proposed, rounds of hubs at most.
-HASHED, OPEN_PAIRS, HUB_ROUNDS = 1 << 15, 4, 6
+#: Shingles hashed together (they fit a core's cache).
+HASHED = 1 << 15
 #: Ids that are broadcast at most, by their counted number.
 BROADCAST_KEYS = 1_000_000
 
@@ -159,12 +159,16 @@ def _sets(docs: DataFrame, n_words: int) -> DataFrame:
     return in_arrow(docs, run, "k binary, hs array<long>").dropDuplicates(["k"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, slim: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """The pairs that link by their whole sets, which are made again for the ends of these pairs only."""
-    ends = shared_checkpoint(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().join(classes.select("k", "id"), "k"))
+def _sets_of(keys: DataFrame, classes: DataFrame, slim: DataFrame, n_words: int) -> DataFrame:
+    """The whole sets of some classes, made again from a text of each."""
+    ends = shared_checkpoint(keys.join(classes.select("k", "id"), "k"))
     ids = ends.select("id").distinct()
     texts = slim.join(hinted_small(ids, ends.count(), BROADCAST_KEYS), slim["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = _sets(texts, n_words)
+    return _sets(texts, n_words).join(ends.select("k"), "k", "left_semi")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that link by their whole sets."""
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("hs").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return shared_checkpoint(both.filter(shared * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"))
@@ -183,36 +187,39 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = member.groupBy("bucket").agg(F.count("*").alias("times")).filter("times > 1")
     met = shared_checkpoint(member.join(often, "bucket"))
     meets = met.groupBy("k").agg(F.sum("times").alias("meets"))
-    open_ = shared_checkpoint(met.drop("times").join(meets, "k").withColumn("l", F.col("k")))
-    links, roots = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        at = open_.groupBy("bucket").agg(F.count("*").alias("times"), F.max(F.struct("meets", "k", "n", "l")).alias("hub"), F.min("l").alias("l1"), F.max("l").alias("l2")).filter("l1 != l2").select("bucket", "times", "hub")
-        at = shared_checkpoint(at)
-        members, most = at.agg(F.sum("times"), F.sum(F.col("times").cast("double") * (F.col("times") - 1) / 2)).first()
-        if not members:
-            break
-        last = turn == HUB_ROUNDS or (turn > 0 and most <= OPEN_PAIRS * members)
-        if last:
-            here = open_.join(at.select("bucket"), "bucket", "left_semi")
-            p, q = (here.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "l")]) for i in (1, 2))
-            pairs = p.join(q, "bucket").filter((F.col("k1") < F.col("k2")) & (F.col("l1") != F.col("l2")) & _may_link(F.col("n1"), F.col("n2"), num, den)).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
-        else:
-            near = open_.join(at, "bucket").filter((F.col("k") != F.col("hub.k")) & (F.col("l") != F.col("hub.l")) & _may_link(F.col("n"), F.col("hub.n"), num, den))
-            pairs = near.select(F.col("hub.k").alias("a"), F.col("k").alias("b"))
-        alive = shared_checkpoint(survivors(pairs.distinct(), classes, values, num / den, miss))
-        found = _confirmed(alive, classes, slim, n_words, num, den)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        if last:
-            break
-        # the hub was compared with all others of its bucket
-        rest = open_.join(at.select("bucket", F.col("hub.k").alias("done")), "bucket").filter("k != done").drop("done", "l")
-        open_ = shared_checkpoint(rest.join(roots, rest["k"] == roots["node"], "left").select("bucket", "k", "n", "meets", F.coalesce("root", "k").alias("l")))
-    if roots is None:
-        roots = classes.select(F.col("k").alias("node"), F.col("k").alias("root")).limit(0)
+    met = shared_checkpoint(met.drop("times").join(meets, "k"))
+    hubs = met.groupBy("bucket").agg(F.max(F.struct("meets", "k", "n")).alias("hub"))
+    near = met.join(hubs, "bucket").filter((F.col("k") != F.col("hub.k")) & _may_link(F.col("n"), F.col("hub.n"), num, den))
+    pairs = near.select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct()
+    alive = shared_checkpoint(survivors(pairs, classes, values, num / den, miss))
+    links = _confirmed(alive, _sets_of(_ends(alive), classes, slim, n_words), num, den)
+    roots = components(links)
+
+    # the hub was compared with all others of its bucket; of these, members of different components are left
+    rest = met.join(hubs.select("bucket", F.col("hub.k").alias("done")), "bucket").filter("k != done").select("bucket", "k", "n")
+    rest = rest.join(roots, rest["k"] == roots["node"], "left").select("bucket", "k", "n", F.coalesce("root", "k").alias("l"))
+    mixed = rest.groupBy("bucket").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).filter("l1 != l2").select("bucket")
+    rest = shared_checkpoint(rest.join(mixed, "bucket", "left_semi"))
+    sets = shared_checkpoint(_sets_of(rest.select("k").distinct(), classes, slim, n_words))
+    lone = sets.select("k", F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("times"), F.min("k").alias("k")).filter("times = 1").groupBy("k").agg(F.count("*").alias("lone"))
+    # what only one class has is in no overlap
+    shared = F.col("n") - F.coalesce("lone", F.lit(0))
+    rest = shared_checkpoint(rest.join(lone, "k", "left").withColumn("shared", shared).filter(F.col("shared") * den >= F.col("n") * num))
+    p, q = (rest.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "l", "shared")]) for i in (1, 2))
+    enough = F.least("shared1", "shared2") * (den + num) >= (F.col("n1") + F.col("n2")) * num
+    both = p.join(q, (p["bucket"] == q["bucket"]) & (F.col("k1") < F.col("k2")) & (F.col("l1") != F.col("l2")) & enough)
+    pairs = both.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
+    alive = shared_checkpoint(survivors(pairs, classes, values, num / den, miss))
+    more = _confirmed(alive, sets, num, den)
+    if more.take(1):
+        roots = components(links.union(more))
     return signed.select("id", "n", "k"), roots
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rows: int = ROWS_OF_BAND, miss: float = MISS) -> DataFrame:
     """A row for each document: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id that links reach, itself included) and ``kept`` (it is that one).
 

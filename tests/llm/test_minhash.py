@@ -53,14 +53,17 @@ def test_equals_brute_force(spark, seed):
     assert found(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)) == brute(texts)
 
 
-def test_buckets_of_many_components(spark, monkeypatch):
-    """Copies of one text, edited so much that few link with the hub: several rounds of hubs, then all pairs that are open."""
+def test_buckets_of_many_components(spark):
+    """Copies of one text, edited so much that few link with the hub, and edits that some share: open pairs after the hub's."""
     texts = family(5, n_base=2, copies=120, edits=(2, 3, 4, 5, 6, 8))
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    want = brute(texts)
-    for rounds in (1, 3):
-        monkeypatch.setattr(M, "HUB_ROUNDS", rounds)
-        assert found(df) == want
+    base, rng = [f"b{i}" for i in range(150)], random.Random(9)
+    for twin in range(20):
+        t = list(base)
+        for i in rng.sample(range(150), 9):
+            t[i] = f"shared{twin}x{i}"
+        for own in range(3):
+            texts[len(texts)] = " ".join([*t, f"own{twin}y{own}"])
+    assert found(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute(texts)
 
 
 def test_chains_link_beyond_the_hub(spark):
