@@ -1,15 +1,20 @@
-"""Column expressions of the grading and ingestion jobs; all are built-in functions."""
+"""Column expressions of the grading and ingestion jobs; all but ``nfkc`` are built-in functions."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that OCR spaces out, stop words of stem buckets, months.
 SPACED_WORDS = ("question", "questions", "reading", "writing", "math", "module", "choice", "choices", "answer", "answers", "key", "passage", "passages", "section", "test", "continue", "which", "used")
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "which", "what", "choice", "best", "most", "text", "based", "according", "following")
+#: Quotes and dashes that are written plainly.
+QUOTES, PLAIN_QUOTES = "“”«»„‟‘’‚‛—–―", "\"\"\"\"\"\"" + "'" * 4 + "---"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 #: White space, that of Unicode included.
@@ -51,7 +56,7 @@ def key_answer(answer: Column) -> Column:
 
 def content_text(x: Column) -> Column:
     """Text in one spelling for duplicates: lower case, plain quotes and dashes, runs of dots and spaces as one space, blanks of one length, no space in parentheses."""
-    y = F.translate(F.lower(x), "“”«»„‟‘’‚‛—–―", "\"\"\"\"\"\"" + "'" * 4 + "---")
+    y = F.translate(F.lower(x), QUOTES, PLAIN_QUOTES)
     y = F.regexp_replace(F.regexp_replace(y, r"\.{2,}", " "), r"_{2,}", " ____ ")
     y = F.regexp_replace(y, rf"{_SPACE}+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(y, r"\(\s+", "("), r"\s+\)", ")"))
@@ -87,9 +92,24 @@ def repaired(text: Column) -> Column:
     return F.regexp_replace(x, r"(?md)^(\s*)(Module\s+\d)\s*:\s*(Reading and Writing|Math)\s*$", "$1$3 $2")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(x: Column) -> Column:
+    """Unicode's compatibility composition. Spark has no function for it; only texts that aren't ASCII are sent to Python, in Arrow batches."""
+    return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
+def exact_text(x: Column) -> Column:
+    """Text in one spelling for comparisons to the letter: NFKC, plain quotes and dashes, runs of white space as one space; null is empty."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(nfkc(x), F.lit("")), QUOTES, PLAIN_QUOTES), rf"{_SPACE}+", " "))
+
+
 def evidence(x: Column) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, in NFKC and lower case."""
+    return F.regexp_replace(F.lower(nfkc(x)), r"[^\p{L}\p{N}]+", "")
 
 
 def tokens(x: Column) -> Column:

@@ -42,12 +42,16 @@ def islands(df: DataFrame, keys: list[str], position: str, out: str = "island")
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], cutoff: str, at: str, take: Column, out: str) -> DataFrame:
     """Add ``take`` of the first right row of the same keys with ``at >= cutoff``; null if there is none.
 
-    The right side is first reduced to rows of the left side's keys by the join itself; the first row is a ``min_by`` aggregate, so
-    matches are combined before the shuffle. ``left`` must have distinct (keys, cutoff).
+    Both sides are put together and sorted once by keys and time, latest first, and each left row takes the last right row before it in
+    that order. So a left row is never paired with all later right rows. Equal ``at`` leave the choice open; null ``at`` or cutoffs never match.
     """
     own = left.columns
-    hits = left.alias("l").join(right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(at).alias("_at"), take.alias("_take")), [F.col(f"l.{k}") == F.col(f"_{k}") for k in keys] + [F.col("_at") >= F.col(f"l.{cutoff}")], "left")
-    return hits.groupBy(*[F.col(f"l.{c}") for c in own]).agg(F.min_by("_take", "_at").alias(out))
+    mine = left.select(*own, F.col(cutoff).alias("_t"), F.lit(None).alias("_right"), F.lit(0).alias("_side"))
+    blank = [F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in own]
+    other = right.filter(F.col(at).isNotNull()).select(*blank, F.col(at).alias("_t"), F.struct(take.alias("v")).alias("_right"), F.lit(1).alias("_side"))
+    both = mine.unionAll(other)
+    latest_first = Window.partitionBy(*keys).orderBy(F.col("_t").desc_nulls_first(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.last("_right", ignorenulls=True).over(latest_first)["v"]).filter("_side = 0").select(*own, out)
 
 
 def rule_array(*rules: tuple[Column, str, str]) -> Column:

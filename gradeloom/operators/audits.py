@@ -8,32 +8,86 @@ from pyspark.sql import functions as F
 from gradeloom.functions.relational import rule_array
 from gradeloom.operators.ingestion import MODULES, is_phantom
 
-#: Flags with a known severity; any other is major.
-MINOR_FLAGS, MAJOR_FLAGS = ("number_inferred", "crop_unconfirmed"), ("ocr_low", "missing_choices")
-RANKS = {"failed": 0, "processing": 1, "partial": 2, "complete": 3}
-
-
-def import_readiness(drafts: DataFrame, raw_keys: DataFrame, finished: Column) -> DataFrame:
-    """Question and key status of every import.
-
-    Drafts without a module get one by their place: in an import of exactly 98, the places 1 to 27, 28 to 54, 55 to 76 and 77 to 98; in a shorter
-    one, none. ``drafts``: import_id, id, page_number, number, module (null if not explicit), answer.
+#: Flags of a parser with a known severity (any other is major), the shortest prompt, and the ranks of a status.
+MAJOR_FLAGS = ("duplicate_source_number_conflict", "source_question_id_unresolved", "screenshot_section_unresolved", "source_global_id_ocr_unresolved", "number_inference_after_duplicate")
+MINOR_FLAGS = (
+    "question_id_recovered_from_neighbors", "source_choice_table_truncated_review_required", "recovered_from_page_replay", "recovered_from_global_marker_block", "source_global_id_positional_slot", "positional_answer_review_required", "repeated_source_question_coalesced",
+    "legacy_parser_unverified",
+)
+LOW_CONFIDENCE_METHODS = ("recovered_question_id", "module_position", "document_position")
+SHORTEST_PROMPT = 8
+RANKS = {"processing": 0, "failed": 1, "partial": 2, "complete": 3}
+#: Sections by the number of their questions in a module, and the first of their two modules.
+SECTIONS = {"reading_writing": (27, 0), "math": (22, 2)}
+TOTAL = sum(n for _, n in MODULES)
+
+
+def section_of(x: Column) -> Column:
+    """``math`` or ``reading_writing``, as a section's name says; null if it says neither."""
+    name = F.translate(F.regexp_replace(F.lower(x), "&", "and"), "_", " ")
+    return F.when(name.rlike(r"\bmath\b"), "math").when(name.rlike(r"\b(reading|writing|rw)\b"), "reading_writing")
+
+
+def assigned_modules(drafts: DataFrame) -> DataFrame:
+    """Drafts in their order with the module ``m`` (null if none fits), ``undeclared`` (drafts of the import without a declared module) and ``n``.
+
+    Drafts stand by page, number and id, nulls last. If all declare a module, that is theirs. An import of exactly 98 has the fixed sequence of
+    27, 27, 22 and 22, whatever some declare. Else a draft that declares none takes its place among those of its section: the first 27
+    (22) are the first module, the next ones the second, and further ones have none. ``drafts``: import_id, id, page_number, number, section, module.
     """
-    order = Window.partitionBy("import_id").orderBy(F.col("page_number").asc_nulls_last(), F.col("number").asc_nulls_last(), "id")
+    by_place = [F.col("page_number").asc_nulls_last(), F.col("number").asc_nulls_last(), "id"]
     every = Window.partitionBy("import_id")
-    placed = drafts.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(every)})
-    by_place = F.when(F.col("rn") <= 27, 0).when(F.col("rn") <= 54, 1).when(F.col("rn") <= 76, 2).otherwise(3)
-    placed = placed.withColumn("m", F.coalesce("module", F.when(F.col("n") == 98, by_place)))
-    twice = placed.filter("m is not null and number is not null").groupBy("import_id", "m", "number").count().filter("count > 1").groupBy("import_id").agg(F.count("*").alias("duplicates"))
-    have = [F.count_if(F.col("m") == m).alias(f"m{m}") for m, _ in MODULES]
-    out = placed.groupBy("import_id").agg(F.count("*").alias("questions"), F.count("answer").alias("answered"), F.count_if(F.col("module").isNull()).alias("inferred"), *have)
-    out = out.join(twice, "import_id", "left").join(raw_keys, "import_id", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0)))
-    exact = F.col("duplicates") == 0
+    order = every.orderBy(*by_place)
+    open_ = F.col("module").isNull()
+    section = F.coalesce(section_of(F.col("section")), F.when(F.col("module") >= 2, "math").when(F.col("module") >= 0, "reading_writing"))
+    placed = drafts.withColumn("s", section).withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(every), "undeclared": F.count_if(open_).over(every)})
+    before = Window.partitionBy("import_id", "s").orderBy(*by_place).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("k", F.coalesce(F.count_if(open_).over(before), F.lit(0)))
+    in_section = F.lit(None).cast("int")
+    for name, (size, first) in SECTIONS.items():
+        in_section = F.when((F.col("s") == name) & (F.col("k") < 2 * size), (F.floor(F.col("k") / size) + first).cast("int")).otherwise(in_section)
+    ends, sequence = [sum(n for _, n in MODULES[: i + 1]) for i in range(4)], F.lit(3)
+    for i in (2, 1, 0):
+        sequence = F.when(F.col("rn") <= ends[i], i).otherwise(sequence)
+    m = F.when(F.col("undeclared") == 0, F.col("module")).when(F.col("n") == TOTAL, sequence).otherwise(F.coalesce("module", in_section))
+    return placed.withColumn("m", m.cast("int")).drop("rn", "k")
+
+
+def import_readiness(drafts: DataFrame, imports: DataFrame) -> DataFrame:
+    """Question and key status of every import, with counts by module.
+
+    ``drafts``: import_id, id, page_number, number, section, module (0 to 3, null if not declared), answer, keys (its answer keys that are not
+    rejected) and conflict (it is flagged as a duplicate number); ``imports``: import_id, status, raw_keys. Modules come from ``assigned_modules``.
+    Where some were inferred, the order is ``ambiguous`` if a draft has no page, or a page two drafts with one number, or two without. Declared
+    modules that contradict the sequence of 98 are ``conflicts``. A draft has as many keys as ``keys``, one at least if it has an answer.
+    """
+    placed = assigned_modules(drafts)
+    inferred = F.col("undeclared") > 0
+    spot = placed.groupBy("import_id", "page_number", "number").agg(F.count("*").alias("c"))
+    unclear = spot.filter("page_number is null or c > 1").select("import_id").distinct().withColumn("unclear", F.lit(True))
+    numbered = F.col("m").isNotNull() & (F.col("number") > 0)
+    same = placed.filter(numbered).groupBy("import_id", "m", "number").agg(F.count("*").alias("c"), F.bool_or(F.coalesce("conflict", F.lit(False))).alias("flagged"))
+    same = same.filter((F.col("c") > 1) | F.col("flagged")).groupBy("import_id").agg(F.count("*").alias("duplicates"))
+    keyed = F.greatest(F.coalesce("keys", F.lit(0)), F.when(F.trim(F.coalesce("answer", F.lit(""))) != "", 1).otherwise(0)).cast("long")
+    rows = placed.withColumn("keyed", keyed)
+    none = {"unclassified": F.col("m").isNull() & F.col("s").isNull(), "overflow_rw": F.col("m").isNull() & (F.col("s") == "reading_writing"), "overflow_math": F.col("m").isNull() & (F.col("s") == "math")}
+    counts = [F.count_if(F.col("m") == m).alias(f"m{m}") for m, _ in MODULES] + [F.count_if(c).alias(n) for n, c in none.items()]
+    keys = [F.coalesce(F.sum(F.when(F.col("m") == m, F.col("keyed"))), F.lit(0)).alias(f"k{m}") for m, _ in MODULES] + [F.coalesce(F.sum(F.when(c, F.col("keyed"))), F.lit(0)).alias(f"k_{n}") for n, c in none.items()]
+    clash = (F.col("n") == TOTAL) & inferred & (F.col("module") != F.col("m"))
+    own = rows.groupBy("import_id").agg(F.count("*").alias("questions"), F.sum("keyed").alias("mapped"), F.count_if(F.col("keyed") > 0).alias("matched"), F.count_if(F.col("keyed") > 1).alias("duplicate_keys"), F.count_if(F.col("module").isNull()).alias("inferred"), F.count_if(clash).alias("conflicts"), *counts, *keys)
+    out = imports.select("import_id", "status", "raw_keys").join(own, "import_id", "left").join(same, "import_id", "left").join(unclear, "import_id", "left")
+    names = ["questions", "mapped", "matched", "duplicate_keys", "inferred", "conflicts", "duplicates", *[f"{x}{m}" for x in "mk" for m, _ in MODULES], *none, *[f"k_{n}" for n in none]]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in names}).withColumn("ambiguous", F.coalesce("unclear", F.lit(False)) & (F.col("inferred") > 0))
+    exact, exact_keys = (sum((F.col(f"{x}_{n}" if x == "k" else n) for n in none), F.lit(0)) == 0 for x in "mk")
     for m, n in MODULES:
-        exact = exact & (F.col(f"m{m}") == n)
-    question = F.when(~finished, "processing").when(F.col("questions") == 0, "failed").when(exact, "complete").otherwise("partial")
-    key = F.when(~finished, "processing").when(F.col("answered") == 0, "failed").when((F.col("answered") == F.col("questions")) & (F.coalesce("raw_keys", F.lit(0)) == F.col("questions")), "complete").otherwise("partial")
-    return out.select("import_id", "questions", "answered", "inferred", "duplicates", *[f"m{m}" for m, _ in MODULES], question.alias("question_status"), key.alias("key_status"))
+        exact, exact_keys = exact & (F.col(f"m{m}") == n), exact_keys & (F.col(f"k{m}") == n)
+    sure = (F.col("conflicts") == 0) & ~F.col("ambiguous")
+    raw = F.greatest(F.coalesce("raw_keys", F.lit(0)), F.lit(0))
+    base = F.when(F.col("status").isin("failed", "cancelled"), "failed").when(~F.col("status").eqNullSafe("completed"), "processing")
+    question = F.coalesce(base, F.when(F.col("questions") == 0, "failed").when((F.col("questions") == TOTAL) & exact & sure & (F.col("duplicates") == 0), "complete").otherwise("partial"))
+    whole = (F.col("question_status") == "complete") & (F.col("mapped") == TOTAL) & exact_keys & (F.col("duplicate_keys") == 0) & (raw <= F.col("mapped")) & sure
+    key = F.coalesce(base, F.when(F.greatest(F.col("mapped"), raw) == 0, "failed").when(whole, "complete").otherwise("partial"))
+    return out.withColumn("question_status", question).select("import_id", *names, "ambiguous", "question_status", key.alias("key_status"))
 
 
 def import_listing(drafts: DataFrame) -> DataFrame:
@@ -107,14 +161,51 @@ def image_provenance(direct: DataFrame, by_draft: DataFrame, by_source: DataFram
     return images.join(used, "import_id", "left_anti")
 
 
-def promotion_decision(before: DataFrame, after: DataFrame) -> DataFrame:
-    """May an import's new reading replace the old one? Never if a status or a count falls; yes if one rises. The first reason is given."""
-    rank = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col(c))
-    b = before.select("import_id", F.col("question_status").alias("s0"), F.col("key_status").alias("k0"), F.col("questions").alias("q0"), F.col("answered").alias("a0"))
-    a = after.select("import_id", F.col("question_status").alias("s1"), F.col("key_status").alias("k1"), F.col("questions").alias("q1"), F.col("answered").alias("a1"))
+def verified_removals(before: DataFrame, after: DataFrame, fp: str = "fp") -> DataFrame:
+    """How many drafts of each import went because another with the same fingerprint stayed: evidence that lets a count fall."""
+    b, a = (x.groupBy("import_id", fp).agg(F.count("*").alias(n)) for x, n in ((before, "b"), (after, "a")))
+    return b.join(a, ["import_id", fp]).groupBy("import_id").agg(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("removed"))
+
+
+def _rank(c: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col(c))
+
+
+def _compared(status: str, actual: str, prefix: str, removed: Column) -> tuple[Column, Column]:
+    """Why a metric fell (null if it didn't), and whether it rose. Columns of the old reading end in 0, of the new in 1."""
+    rose, fell = (_rank(f"{status}1") > _rank(f"{status}0")), (_rank(f"{status}1") < _rank(f"{status}0"))
+    less = lambda c: F.col(f"{c}1") < F.col(f"{c}0")
+    covered = lambda c: (removed >= F.col(f"{c}0") - F.col(f"{c}1")) & rose
+    modules = [(f"{prefix}{m}", n) for m, n in MODULES]
+    extra = [("k_" if prefix == "k" else "") + n for n in ("unclassified", "overflow_rw", "overflow_math")]
+    none_left = sum((F.col(f"{c}1") for c in extra), F.lit(0)) == 0
+    reason = F.when(fell, "status_fell").when(less(actual) & ~covered(actual), "count_fell").when(less("matched") & ~covered("matched") if prefix == "k" else F.lit(False), "matched_fell")
+    for c, n in modules:
+        reason = reason.when(less(c) & ~(covered(c) & (F.col(f"{c}0") > n) & (F.col(f"{c}1") == n)), f"{c}_fell")
+    for c in extra:
+        moved = F.lit("overflow" in c) & (F.col(f"{actual}1") >= F.col(f"{actual}0")) & none_left
+        reason = reason.when((F.col(f"{c}0") > 0) & (F.col(f"{c}1") == 0) & ~moved, f"{c}_disappeared").when((F.col(f"{c}1") > 0) & less(c), f"{c}_fell")
+    more = [F.col(f"{c}1") > F.col(f"{c}0") for c in (actual, *(["matched"] if prefix == "k" else []), *[c for c, _ in modules], *extra)]
+    better = rose
+    for c in more:
+        better = better | c
+    return reason, better
+
+
+def promotion_decision(before: DataFrame, after: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """May an import's new reading replace the old one? Never if a status, a count or a module's count falls; yes if one rises. The first reason is given.
+
+    Questions are looked at first, then keys. Fewer questions are let through where the status rises and at least as many were verified duplicates
+    (``removed``: import_id, removed). An overflow of modules may vanish into the four modules. Both readings come from ``import_readiness``.
+    """
+    names = [c for c in before.columns if c not in ("import_id", "ambiguous")]
+    b, a = (x.select("import_id", *[F.col(c).alias(f"{c}{i}") for c in names], F.lit(True).alias(f"has{i}")) for i, x in ((0, before), (1, after)))
     both = b.join(a, "import_id", "full")
-    reason = F.when(F.col("q1").isNull(), "lost").when(F.col("q0").isNull(), "added").when(rank("s1") < rank("s0"), "question_status_fell").when(rank("k1") < rank("k0"), "key_status_fell").when(F.col("q1") < F.col("q0"), "questions_fell").when(F.col("a1") < F.col("a0"), "answers_fell").when((F.col("q1") > F.col("q0")) | (F.col("a1") > F.col("a0")) | (rank("s1") > rank("s0")) | (rank("k1") > rank("k0")), "improved").otherwise("unchanged")
-    return both.select("import_id", "q0", "q1", "a0", "a1", reason.alias("reason"), reason.isin("added", "improved").alias("promote"))
+    both = both.join(removed.select("import_id", "removed"), "import_id", "left") if removed is not None else both.withColumn("removed", F.lit(0))
+    q_reason, q_better = _compared("question_status", "questions", "m", F.coalesce("removed", F.lit(0)))
+    k_reason, k_better = _compared("key_status", "mapped", "k", F.lit(0))
+    reason = F.when(F.col("has1").isNull(), "lost").when(F.col("has0").isNull(), "added").otherwise(F.coalesce(F.concat(F.lit("questions_"), q_reason), F.concat(F.lit("keys_"), k_reason), F.when(q_better | k_better, "improved").otherwise("unchanged")))
+    return both.select("import_id", F.col("questions0").alias("q0"), F.col("questions1").alias("q1"), F.col("mapped0").alias("a0"), F.col("mapped1").alias("a1"), reason.alias("reason"), reason.isin("added", "improved").alias("promote"))
 
 
 def cohort_report(decisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions.expressions import exact_text
 from gradeloom.functions.relational import half_up, latest_by, wilson
 
 
@@ -16,28 +17,71 @@ def rates(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, "metric", "part", "whole", half_up(value, 6).alias("value"), half_up(low, 6).alias("low"), half_up(high, 6).alias("high"))
 
 
+def _long(sums: DataFrame, keys: list[str], ratios: list[tuple[str, str, str]]) -> DataFrame:
+    """``rates`` of wide counts: metric, and the columns of its part and whole."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(a).alias("part"), F.col(b).alias("whole")) for m, a, b in ratios])
+    return rates(sums.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*"), keys)
+
+
+#: The ratios of an extraction's evaluation: name, part and whole.
+EXTRACTION_RATES = [
+    ("question_precision", "matched_rows", "n_pred"), ("question_recall", "matched", "n_gold"), ("prompt_exact", "prompts", "matched"), ("passage_exact", "passages", "passage_rows"),
+    ("choice_exact", "choice_lists", "choice_rows"), ("key_coverage", "keyed", "matched"), ("key_accuracy", "keys_right", "keyed"), ("visual_association", "visuals", "visual_rows"),
+    ("complete_coverage", "complete", "matched"), ("human_review_rate", "review", "matched"), ("failed_rate", "failed", "matched"),
+]
+
+
 def evaluate_extraction(gold: DataFrame, predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Precision, recall, key coverage and key accuracy of predictions against gold rows by id, with intervals, for each value of ``keys``.
+    """How well predicted questions meet gold ones by id, as rates with intervals, for each value of ``keys`` (columns of the gold side).
 
-    ``gold``: id, keys, answer; ``predicted``: id, answer.
+    ``gold``: id, prompt, passage, choices, answer, visual; ``predicted``: id, seq, prompt, passage, choices, answer, visual_correct, review_state.
+    Questions count by id, whether or not they have an answer. An id that was predicted several times counts each time in precision, and the
+    one with the highest ``seq`` is compared. Texts are compared in one spelling (``exact_text``), null as empty; passages where the gold
+    question has one, choices (all, in order) where it has any, keys where one was predicted, visuals where the gold question has one.
+    Ids that no gold question has are in the group of null ``keys``.
     """
     keys = keys or []
-    both = gold.withColumnRenamed("answer", "g").join(predicted.withColumnRenamed("answer", "p").withColumn("found", F.lit(True)), "id", "full").withColumn("found", F.coalesce("found", F.lit(False)))
-    known = F.col("g").isNotNull()
-    sums = both.groupBy(*keys).agg(F.count_if("found").alias("n_pred"), F.count_if(known).alias("n_gold"), F.count_if(known & F.col("found")).alias("hit"), F.count_if(known & F.col("p").isNotNull()).alias("keyed"), F.count_if(F.col("g") == F.col("p")).alias("right"))
-    pairs = [("precision", "hit", "n_pred"), ("recall", "hit", "n_gold"), ("key_coverage", "keyed", "hit"), ("key_accuracy", "right", "keyed")]
-    long = sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(a).alias("part"), F.col(b).alias("whole")) for m, a, b in pairs])).alias("x")).select(*keys, "x.*")
-    return rates(long, keys)
-
-
-def finding_match(gold: DataFrame, predicted: DataFrame, fields: list[str], serious: Column) -> DataFrame:
-    """Findings matched at most once each on ``fields``: precision, recall, recall of the serious ones, and clean items left alone."""
-    g = gold.groupBy(*fields).agg(F.bool_or(serious).alias("serious"))
-    p = predicted.select(*fields).distinct()
-    both = g.withColumn("g", F.lit(1)).join(p.withColumn("p", F.lit(1)), fields, "full")
-    sums = both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("hit"), F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count_if("serious").alias("n_serious"), F.count_if(F.col("serious") & F.col("p").isNotNull()).alias("hit_serious"))
-    pairs = [("precision", "hit", "n_pred"), ("recall", "hit", "n_gold"), ("serious_recall", "hit_serious", "n_serious")]
-    return rates(sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(a).alias("part"), F.col(b).alias("whole")) for m, a, b in pairs])).alias("x")).select("x.*"), [])
+    compared = ["prompt", "passage", "choices", "answer", "visual_correct", "review_state"]
+    newest = predicted.groupBy("id").agg(F.count("*").alias("times"), F.max_by(F.struct(*compared), "seq").alias("p"))
+    both = gold.select("id", *keys, F.struct("prompt", "passage", "choices", "answer", "visual").alias("g")).join(newest, "id", "full")
+    same = lambda f: exact_text(F.col(f"g.{f}")) == exact_text(F.col(f"p.{f}"))
+    each = lambda side: F.regexp_replace(exact_text(F.array_join(f"{side}.choices", "\u0001", "")), " ?\u0001 ?", "\u0001")
+    hit = F.col("g").isNotNull() & F.col("p").isNotNull()
+    passage, choice, keyed, visual = hit & F.col("g.passage").isNotNull(), hit & (F.size("g.choices") > 0), hit & F.col("p.answer").isNotNull(), hit & F.col("g.visual")
+    count = {
+        "n_gold": F.col("g").isNotNull(), "matched": hit, "prompts": hit & same("prompt"), "passage_rows": passage, "passages": passage & same("passage"), "choice_rows": choice, "choice_lists": choice & F.size("g.choices").eqNullSafe(F.size("p.choices")) & (each("g") == each("p")),
+        "keyed": keyed, "keys_right": keyed & same("answer"), "visual_rows": visual, "visuals": visual & F.col("p.visual_correct"), **{x: hit & (F.col("p.review_state") == x) for x in ("complete", "review", "failed")},
+    }
+    rows = [F.coalesce(F.sum("times"), F.lit(0)).alias("n_pred"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("times"))), F.lit(0)).alias("matched_rows")]
+    marked = both.select(*keys, "times", *[c.alias(n) for n, c in count.items()], hit.alias("hit"))
+    return _long(marked.groupBy(*keys).agg(*[F.count_if(n).alias(n) for n in count], *rows), keys, EXTRACTION_RATES)
+
+
+FINDING = ["id", "issue_type", "field", "page"]
+
+
+def finding_match(gold_questions: DataFrame, gold_findings: DataFrame, predicted_questions: DataFrame, predicted_findings: DataFrame) -> DataFrame:
+    """Findings of reviews against gold ones on id, issue type, field and page, as rates with intervals.
+
+    A key is matched once: a finding that is predicted again costs precision, a gold finding that stands twice costs recall. Serious gold findings
+    count each, if their key is matched. Clean questions are gold ones without findings; they should have none predicted. Of the gold
+    questions that are predicted ``complete``, those with a serious finding are defective. ``gold_questions``: id; ``predicted_questions``: id,
+    review_state (one row each); findings: id, issue_type, field, page, gold ones also severity (``major`` is serious).
+    """
+    g = gold_findings.groupBy(*FINDING).agg(F.count("*").alias("g"), F.count_if(F.col("severity") == "major").alias("serious"))
+    p = predicted_findings.groupBy(*FINDING).agg(F.count("*").alias("p"))
+    null_safe = [F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}")) for c in FINDING]
+    both = g.alias("g").join(p.alias("p"), null_safe, "full").select("g", "p", "serious")
+    hit = F.col("g").isNotNull() & F.col("p").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    found = both.agg(F.count_if(hit).alias("hit"), total("p").alias("n_pred"), total("g").alias("n_gold"), total("serious").alias("n_serious"), total(F.when(hit, F.col("serious"))).alias("hit_serious"))
+    issues = g.groupBy("id").agg(F.sum("serious").alias("serious"))
+    noted = p.select("id").distinct().withColumn("noted", F.lit(True))
+    questions = gold_questions.select("id").join(issues, "id", "left").join(noted, "id", "left").join(predicted_questions.select("id", "review_state"), "id", "left")
+    clean, done = F.col("serious").isNull(), F.col("review_state") == "complete"
+    sums = questions.agg(F.count_if(clean).alias("n_clean"), F.count_if(clean & F.col("noted").isNull()).alias("left_alone"), F.count_if(done).alias("n_complete"), F.count_if(done & (F.col("serious") > 0)).alias("defective"))
+    ratios = [("precision", "hit", "n_pred"), ("recall", "hit", "n_gold"), ("serious_recall", "hit_serious", "n_serious"), ("clean_specificity", "left_alone", "n_clean"), ("serious_defect_complete", "defective", "n_complete")]
+    return _long(found, [], ratios[:3]).unionByName(_long(sums, [], ratios[3:]))
 
 
 def slices(rows: DataFrame, *tags: Column) -> DataFrame:
@@ -85,10 +129,10 @@ def mastery(responses: DataFrame, rate: float = 0.4) -> DataFrame:
             expected = 1 / (1 + 2.718281828459045 ** ((difficulty - 3) - level))
             total += (float(right) - expected) ** 2
             level += rate * (float(right) - expected)
-        return pd.DataFrame({"student_id": [rows["student_id"].iloc[0]], "skill": [rows["skill"].iloc[0]], "answers": [len(rows)], "rating": [level], "brier": [total / len(rows)]})
+        return pd.DataFrame({"student_id": [rows["student_id"].iloc[0]], "skill": [rows["skill"].iloc[0]], "answers": [len(rows)], "rating": [level], "brier": [total / len(rows)], "last_at": [rows["at"].iloc[-1]]})
 
     slim = responses.filter("skill is not null").select("student_id", "skill", "id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("at"), F.col("is_correct").cast("int").alias("is_correct"), F.col("difficulty").cast("double").alias("difficulty"))
-    return slim.groupBy("student_id", "skill").applyInPandas(fold, "student_id long, skill string, answers long, rating double, brier double")
+    return slim.groupBy("student_id", "skill").applyInPandas(fold, "student_id long, skill string, answers long, rating double, brier double, last_at long")
 
 
 def calibration(predictions: DataFrame, buckets: int = 10) -> DataFrame:

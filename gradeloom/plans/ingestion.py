@@ -40,10 +40,24 @@ def _matches(v: Views):
     return D.match_answers(_match_questions(v), _match_keys(v))
 
 
+#: Imports of 98 drafts, some with declared modules, and their states, in the SQL that both engines share.
+_READY = {
+    "ready_drafts": """select import_id, id, status, n_chars, case when n_chars % 197 = 0 then null when b % 5 < 3 then floor(p / 3) + 1 else page_number end as page_number,
+      cast(case when b % 5 < 3 then p - case pm when 0 then 0 when 1 then 27 when 2 then 54 else 76 end + 1 when n_chars % 10 > 0 then number end as int) as number, case lang when 'en' then 'Reading & Writing' when 'fr' then 'math' when 'de' then 'RW' end as section,
+      cast(case when b % 4 = 0 then pm when b % 4 = 1 then null when id % 3 = 0 then pm when n_chars % 50 = 0 then 3 - pm end as int) as module, case when b % 3 = 0 then coalesce(answer, 'A') else answer end as answer, case when n_chars % 29 = 0 then 2 else 0 end as keys, n_chars % 301 = 0 and b % 2 = 1 as conflict
+      from (select concat(import_id, '-', b) as import_id, id, status, n_chars, section as lang, page_number, number, answer, b, p, case when p < 27 then 0 when p < 54 then 1 when p < 76 then 2 else 3 end as pm from (select *, cast(floor((rn - 1) / 98.0) as int) as b, (rn - 1) % 98 as p from {drafts}) x) y""",
+    "ready_imports": """select import_id, case when b % 7 = 5 then 'running' when b % 7 = 6 then 'failed' else 'completed' end as status, c + case when b % 4 = 3 then 200 else 0 end as raw_keys
+      from (select concat(import_id, '-', cast(floor((rn - 1) / 98.0) as int)) as import_id, max(cast(floor((rn - 1) / 98.0) as int)) as b, count(answer) as c from {drafts} group by concat(import_id, '-', cast(floor((rn - 1) / 98.0) as int))) x union all select 'empty', 'completed', null""",
+}
+
+
+def _ready_rows(v: Views, name: str):
+    return v.spark.sql(_READY[name], drafts=v.drafts)
+
+
 def _readiness(v: Views, even: bool = False):
-    rows = v.drafts.filter("status <> 'rejected'") if even else v.drafts
-    keys = v.drafts.groupBy("import_id").agg(F.count("answer").alias("raw_keys"))
-    return A.import_readiness(rows.select("import_id", "id", "page_number", "number", F.when(F.col("id") % 3 != 0, F.col("module")).alias("module"), "answer"), keys, F.col("import_id") != "src7")
+    rows = _ready_rows(v, "ready_drafts")
+    return A.import_readiness(rows.filter("status <> 'rejected'") if even else rows, _ready_rows(v, "ready_imports"))
 
 
 def _labels(v: Views, which):
@@ -57,7 +71,9 @@ def _figures(v: Views):
 
 
 def _decisions(v: Views):
-    return A.promotion_decision(_readiness(v), _readiness(v, True).filter("import_id <> 'src3'"))
+    rows = _ready_rows(v, "ready_drafts").select("import_id", F.col("n_chars").alias("fp"), "status")
+    removed = A.verified_removals(rows, rows.filter("status <> 'rejected'"))
+    return A.promotion_decision(_readiness(v).filter("import_id not like '%-1'"), _readiness(v, True).filter("import_id <> 'src3-0'"), removed)
 
 
 QUERIES = {
@@ -129,14 +145,58 @@ _MATCH = f"""{_MQ}, m1 as (select import_id, seq, entry, answer, 'question_id' a
   ms as (select mq.import_id, mq.seq, mq.module, mq.number, entry, answer, coalesce(method, 'unmatched') as method, confidence from mq left join (select * from m1 union all select * from m2 union all select * from m3) using (import_id, seq))"""
 
 
-def _ready(name: str, where: str) -> str:
-    return f"""{name} as (select import_id, questions, answered, inferred, duplicates, m0, m1, m2, m3, case when import_id = 'src7' then 'processing' when duplicates = 0 and m0 = 27 and m1 = 27 and m2 = 22 and m3 = 22 then 'complete' else 'partial' end as question_status, case when import_id = 'src7' then 'processing' when answered = 0 then 'failed' when answered = questions and raw_keys = questions then 'complete' else 'partial' end as key_status
-    from (select import_id, count(*) as questions, count(answer) as answered, count_if(em is null) as inferred, count_if(m = 0) as m0, count_if(m = 1) as m1, count_if(m = 2) as m2, count_if(m = 3) as m3 from {name}_p group by 1) left join (select import_id, count(answer) as raw_keys from drafts group by 1) using (import_id) left join (select import_id, count(*) as d0 from (select import_id from {name}_p where m is not null and number is not null group by import_id, m, number having count(*) > 1) group by 1) using (import_id), lateral (select coalesce(d0, 0) as duplicates))""".replace(f"{name} as (", f"{name}_p as (select *, coalesce(em, case when n = 98 then case when r <= 27 then 0 when r <= 54 then 1 when r <= 76 then 2 else 3 end end) as m from (select *, case when id % 3 <> 0 then module end as em, row_number() over (partition by import_id order by page_number, number, id) as r, count(*) over (partition by import_id) as n from drafts where {where})), {name} as (", 1)
+_PLACE = "page_number nulls last, number nulls last, id"
+_RD = ", ".join(f"{n} as ({q.format(drafts='drafts')})" for n, q in _READY.items())
+_M, _X = ("m0", "m1", "m2", "m3"), ("unclassified", "overflow_rw", "overflow_math")
+_K = (*[m.replace("m", "k") for m in _M], *[f"k_{x}" for x in _X])
+_COUNTS = ("questions", "mapped", "matched", "duplicate_keys", "inferred", "conflicts", "duplicates", *_M, *_K[:4], *_X, *_K[4:])
 
 
-_R0, _R1 = _ready("r0", "true"), _ready("r1", "status <> 'rejected'")
-_RANK = "case {x} when 'failed' then 0 when 'processing' then 1 when 'partial' then 2 else 3 end"
-_DECIDE = f"""{_R0}, {_R1}, dd as (select import_id, q0, q1, a0, a1, case when q1 is null then 'lost' when q0 is null then 'added' when {_RANK.format(x='s1')} < {_RANK.format(x='s0')} then 'question_status_fell' when {_RANK.format(x='k1')} < {_RANK.format(x='k0')} then 'key_status_fell' when q1 < q0 then 'questions_fell' when a1 < a0 then 'answers_fell' when q1 > q0 or a1 > a0 or {_RANK.format(x='s1')} > {_RANK.format(x='s0')} or {_RANK.format(x='k1')} > {_RANK.format(x='k0')} then 'improved' else 'unchanged' end as reason from (select import_id, questions as q0, answered as a0, question_status as s0, key_status as k0 from r0) full join (select import_id, questions as q1, answered as a1, question_status as s1, key_status as k1 from r1 where import_id <> 'src3') using (import_id))"""
+def _ready(name: str, where: str) -> str:
+    """The readiness of imports in SQL: drafts placed, counted, judged."""
+    section = "translate(replace(lower(section), '&', 'and'), '_', ' ')"
+    named = f"case when regexp_matches({section}, '\\bmath\\b') then 'math' when regexp_matches({section}, '\\b(reading|writing|rw)\\b') then 'reading_writing' end"
+    own = {f"m{i}": f"m = {i}" for i in range(4)} | {"unclassified": "m is null and s is null", "overflow_rw": "m is null and s = 'reading_writing'", "overflow_math": "m is null and s = 'math'"}
+    counted = ", ".join([f"count(*) filter ({c}) as {n}" for n, c in own.items()] + [f"coalesce(sum(keyed) filter ({c}), 0)::bigint as {k}" for k, c in zip(_K, own.values())])
+    sure, zero = "conflicts = 0 and not ambiguous", lambda names: " + ".join(names) + " = 0"
+    exact = lambda x: f"{x}0 = 27 and {x}1 = 27 and {x}2 = 22 and {x}3 = 22"
+    base = "when status in ('failed', 'cancelled') then 'failed' when status <> 'completed' then 'processing'"
+    return f"""{name}_s as (select *, coalesce({named}, case when module >= 2 then 'math' when module >= 0 then 'reading_writing' end) as s, greatest(coalesce(keys, 0), case when trim(coalesce(answer, '')) <> '' then 1 else 0 end) as keyed from ready_drafts where {where}),
+ {name}_w as (select *, row_number() over (partition by import_id order by {_PLACE}) as rn, count(*) over (partition by import_id) as n, count(*) filter (module is null) over (partition by import_id) as undeclared, count(*) filter (module is null) over (partition by import_id, s order by {_PLACE} rows between unbounded preceding and 1 preceding) as k from {name}_s),
+ {name}_p as (select *, case when undeclared = 0 then module when n = 98 then case when rn <= 27 then 0 when rn <= 54 then 1 when rn <= 76 then 2 else 3 end else coalesce(module, case when s = 'reading_writing' and k < 54 then k // 27 when s = 'math' and k < 44 then k // 22 + 2 end) end as m from {name}_w),
+ {name}_c as (select import_id, count(*) as questions, sum(keyed)::bigint as mapped, count(*) filter (keyed > 0) as matched, count(*) filter (keyed > 1) as duplicate_keys, count(*) filter (module is null) as inferred, count(*) filter (n = 98 and undeclared > 0 and module <> m) as conflicts, {counted} from {name}_p group by 1),
+ {name}_d as (select import_id, count(*) as duplicates from (select import_id from {name}_p where m is not null and number > 0 group by import_id, m, number having count(*) > 1 or bool_or(conflict)) x group by 1),
+ {name}_u as (select distinct import_id, true as unclear from {name}_p group by import_id, page_number, number having page_number is null or count(*) > 1),
+ {name}_j as (select i.import_id, i.status, greatest(coalesce(raw_keys, 0), 0) as raw, {", ".join(f"coalesce({c}, 0) as {c}" for c in _COUNTS)}, coalesce(unclear, false) and coalesce(inferred, 0) > 0 as ambiguous from ready_imports i left join {name}_c using (import_id) left join {name}_d using (import_id) left join {name}_u using (import_id)),
+ {name}_q as (select *, case {base} when questions = 0 then 'failed' when questions = 98 and {exact("m")} and {zero(_X)} and {sure} and duplicates = 0 then 'complete' else 'partial' end as question_status from {name}_j),
+ {name} as (select import_id, {", ".join(_COUNTS)}, ambiguous, question_status, case {base} when greatest(mapped, raw) = 0 then 'failed' when question_status = 'complete' and mapped = 98 and {exact("k")} and {zero(_K[4:])} and duplicate_keys = 0 and raw <= mapped and {sure} then 'complete' else 'partial' end as key_status from {name}_q)"""
+
+
+_R0, _R1 = f"{_RD}, {_ready('r0', 'true')}", _ready("r1", "status <> 'rejected'")
+
+
+def _fall(status: str, actual: str, modules: tuple[str, ...], extras: tuple[str, ...], removed: str, label: str) -> tuple[str, str]:
+    """A metric's first reason to fall, as ``when`` branches, and whether it rose."""
+    rank = lambda c: f"list_position(['processing', 'failed', 'partial', 'complete'], {c})"
+    rose = f"{rank(f'a.{status}')} > {rank(f'b.{status}')}"
+    lost = lambda c: f"a.{c} < b.{c}"
+    covered = lambda c: f"({removed} >= b.{c} - a.{c} and {rose})"
+    out = [(f"{rank(f'a.{status}')} < {rank(f'b.{status}')}", "status_fell"), (f"{lost(actual)} and not {covered(actual)}", "count_fell")]
+    if label == "keys":
+        out.append((f"{lost('matched')} and not {covered('matched')}", "matched_fell"))
+    for c, n in zip(modules, (27, 27, 22, 22)):
+        out.append((f"{lost(c)} and not ({covered(c)} and b.{c} > {n} and a.{c} = {n})", f"{c}_fell"))
+    for c in extras:
+        moved = f"a.{actual} >= b.{actual} and {' + '.join(f'a.{x}' for x in extras)} = 0" if "overflow" in c else "false"
+        out += [(f"b.{c} > 0 and a.{c} = 0 and not ({moved})", f"{c}_disappeared"), (f"a.{c} > 0 and {lost(c)}", f"{c}_fell")]
+    more = [actual, *(["matched"] if label == "keys" else []), *modules, *extras]
+    return " ".join(f"when {c} then '{label}_{r}'" for c, r in out), " or ".join([rose, *[f"a.{c} > b.{c}" for c in more]])
+
+
+_QF, _KF = _fall("question_status", "questions", _M, _X, "coalesce(removed, 0)", "questions"), _fall("key_status", "mapped", _K[:4], _K[4:], "0", "keys")
+_DECIDE = f"""{_R0}, {_R1}, gone as (select import_id, sum(greatest(nb - na, 0))::bigint as removed from (select import_id, n_chars, count(*) as nb, count(*) filter (status <> 'rejected') as na from ready_drafts group by 1, 2) x where na > 0 group by 1),
+ dd as (select coalesce(b.import_id, a.import_id) as import_id, b.questions as q0, a.questions as q1, b.mapped as a0, a.mapped as a1, case when a.import_id is null then 'lost' when b.import_id is null then 'added' {_QF[0]} {_KF[0]} when {_QF[1]} or {_KF[1]} then 'improved' else 'unchanged' end as reason
+  from (select * from r0 where import_id not like '%-1') b full join (select * from r1 where import_id <> 'src3-0') a on a.import_id = b.import_id left join gone g on g.import_id = coalesce(b.import_id, a.import_id))"""
 _RISKS = f"risks as (select import_id, id, list_filter([case when flag = 'number_inferred' then 'known_minor_flag' end, case when flag = 'ocr_low' then 'known_major_flag' end, case when flag = 'mystery' then 'unknown_flag' end, case when answer is null then 'missing_answer' end, case when trim(prompt) = '' then 'empty_prompt' end, case when length(prompt) < 40 then 'short_prompt' end, case when {_PHANTOM.format(x='prompt')} then 'phantom' end], lambda x: x is not null) as c from draft_texts), rs as (select import_id, id, array_to_string(c, ',') as codes, len(c)::int as n, case when len(list_filter(c, lambda x: x not in ('known_minor_flag', 'short_prompt'))) > 0 then 'major' when len(c) > 0 then 'minor' else 'complete' end as state from risks)"
 _Q2 = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _QUALITY = "tq as (select {key}, words, chars, question_marks, choice_marks, lines, thin_pages, pages, coalesce(floor(chars::double / nullif(lines, 0)::double + 0.5), 0)::bigint as line_length, case when words > 50 and floor(chars::double / nullif(lines, 0)::double + 0.5) > 15 and (question_marks >= 1 or choice_marks >= 2) then 'good' else 'poor' end as quality from (select {key}, sum(w)::bigint as words, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '(?m)^\\s*\\d{{1,3}}\\s*[.)]\\s+\\S')))::bigint as question_marks, sum(len(regexp_extract_all(text, '(?m)^\\s*[A-H]\\s*[.)]\\s+\\S')))::bigint as choice_marks, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint as lines, count_if(w < 15) as thin_pages, count(*) as pages from (select *, len(" + _Q2 + ") as w from {source}) group by 1))"

@@ -99,26 +99,117 @@ def test_history_is_unknown_without_a_snapshot(spark):
     assert got[9] is None and got[10] == 0
 
 
-def _drafts(spark, rows):
-    return spark.createDataFrame(rows, "import_id string, id long, page_number int, number int, module int, answer string")
+DRAFT = "import_id string, id long, page_number int, number int, section string, module int, answer string, keys long, conflict boolean"
+IMPORT = "import_id string, status string, raw_keys long"
+
+
+def _ready(spark, rows, imports=(("x", "completed", None),)):
+    """Rows: page, number, section, module, answer, keys, conflict; shorter ones are filled up."""
+    full = [("x", i, *(r + (1, None, None, None, "A", 0, False)[len(r) :])) for i, r in enumerate(rows)]
+    return audits.import_readiness(spark.createDataFrame(full, DRAFT), spark.createDataFrame(list(imports), IMPORT)).collect()[0]
+
+
+def _places(r):
+    return [r[f"m{i}"] for i in range(4)], r["question_status"], r["key_status"]
 
 
 def test_readiness_of_98_without_headings_is_inferred(spark):
-    rows = [("x", i, i, None, None, "A") for i in range(98)]
-    keys = spark.createDataFrame([("x", 98)], "import_id string, raw_keys long")
-    out = audits.import_readiness(_drafts(spark, rows), keys, F.lit(True)).first()
-    assert (out["m0"], out["m1"], out["m2"], out["m3"], out["question_status"], out["key_status"]) == (27, 27, 22, 22, "complete", "complete")
-    short = audits.import_readiness(_drafts(spark, rows[:-1]), keys, F.lit(True)).first()
-    assert (short["question_status"], short["key_status"]) == ("partial", "partial")
-    assert audits.import_readiness(_drafts(spark, rows), keys, F.lit(False)).first()["question_status"] == "processing"
-
-
-def test_promotion_never_lets_a_count_fall(spark):
-    schema = "import_id string, question_status string, key_status string, questions long, answered long"
-    old = spark.createDataFrame([("a", "partial", "partial", 90, 80), ("b", "complete", "complete", 98, 98), ("c", "partial", "partial", 50, 40)], schema)
-    new = spark.createDataFrame([("a", "complete", "partial", 98, 80), ("b", "partial", "complete", 98, 98), ("c", "partial", "partial", 60, 39)], schema)
-    got = {r["import_id"]: (r["reason"], r["promote"]) for r in audits.promotion_decision(old, new).collect()}
-    assert got == {"a": ("improved", True), "b": ("question_status_fell", False), "c": ("answers_fell", False)}
+    rows = [(i,) for i in range(1, 99)]
+    r = _ready(spark, rows)
+    assert _places(r) == ([27, 27, 22, 22], "complete", "complete") and r["inferred"] == 98 and not r["ambiguous"]
+    assert _places(_ready(spark, rows, [("x", "running", None)]))[1:] == ("processing", "processing")
+    assert _places(_ready(spark, rows, [("x", "cancelled", 98)]))[1:] == ("failed", "failed")
+    assert _places(_ready(spark, rows, [("x", "completed", 99)]))[1:] == ("complete", "partial")  # a key without a question
+
+
+def test_readiness_sees_conflicts_with_the_sequence(spark):
+    rows = [(i, None, None, 0 if i <= 26 else None) for i in range(1, 99)]
+    assert _ready(spark, rows)["conflicts"] == 0
+    rows[40] = (41, None, None, 3)
+    r = _ready(spark, rows)
+    assert r["conflicts"] == 1 and _places(r) == ([27, 27, 22, 22], "partial", "partial")
+    declared = [(i, None, None, 0 if i <= 27 else 1 if i <= 54 else 2 if i <= 76 else 3) for i in range(1, 99)]
+    declared[0], declared[97] = (1, None, None, 3), (98, None, None, 0)
+    r = _ready(spark, declared)  # all declared: their word counts, whatever their order
+    assert r["conflicts"] == 0 and r["inferred"] == 0 and _places(r)[1] == "complete"
+
+
+def test_readiness_sees_an_ambiguous_order(spark):
+    for change in ((1, 5), (None, 5), (1, None)):
+        rows = [(i, i) for i in range(1, 97)] + [(1, 5), change if change[0] else (None, 5)]
+        rows = [(1, 5 if change[1] else None), *rows[1:96], change, (98, 98)]
+        r = _ready(spark, rows)
+        assert r["questions"] == 98 and r["ambiguous"] and r["question_status"] == "partial"
+    declared = [(1, None, None, 0)] * 2
+    assert not _ready(spark, declared)["ambiguous"]  # nothing was inferred
+
+
+def test_readiness_of_a_part_divides_sections(spark):
+    rows = [(i, i, "Reading & Writing") for i in range(1, 31)] + [(50 + i, i, "math") for i in range(1, 46)] + [(200, 1, None), (201, 1, "history")]
+    r = _ready(spark, rows)
+    assert [r[f"m{i}"] for i in range(4)] == [27, 3, 22, 22] and (r["overflow_math"], r["overflow_rw"], r["unclassified"]) == (1, 0, 2)
+    rows = [(1, 1, "math", 3), *[(2 + i, i, "math") for i in range(22)]]
+    r = _ready(spark, rows)  # one that declares its module takes no place of the others
+    assert [r[f"m{i}"] for i in range(4)] == [0, 0, 22, 1] and r["inferred"] == 22
+    assert [_ready(spark, [(1, 1, s)])["m0"] for s in ("rw", "Reading_Writing", "WRITING", "preread")] == [1, 1, 1, 0]
+
+
+def test_readiness_counts_keys_and_duplicates(spark):
+    rows = [(i,) for i in range(1, 97)] + [(97, None, None, None, None), (98, None, None, None, "B", 2)]
+    r = _ready(spark, rows)
+    assert (r["mapped"], r["matched"], r["duplicate_keys"], r["k3"], r["key_status"]) == (98, 97, 1, 22, "partial")
+    assert _ready(spark, [(1, 3, None, 0), (2, 3, None, 0), (3, 4, None, 0)])["duplicates"] == 1
+    assert _ready(spark, [(1, 3, None, 0), (2, 0, None, 1), (3, 0, None, 1)])["duplicates"] == 0
+    assert _ready(spark, [(1, 3, None, 0, "A", 0, True)])["duplicates"] == 1
+    assert _ready(spark, [(1, 1, None, 0, " ")])["key_status"] == "failed"
+    none = audits.import_readiness(spark.createDataFrame([], DRAFT), spark.createDataFrame([("x", "completed", 5)], IMPORT)).first()
+    assert (none["questions"], none["question_status"], none["key_status"]) == (0, "failed", "partial")
+
+
+def _readings(spark, *rows):
+    names = ["questions", "mapped", "matched", *[f"{x}{m}" for x in "mk" for m in range(4)], "unclassified", "overflow_rw", "overflow_math", "k_unclassified", "k_overflow_rw", "k_overflow_math"]
+    base = dict.fromkeys(names, 0) | {"questions": 90, "mapped": 80, "matched": 80, "m0": 27, "m1": 27, "m2": 22, "m3": 14, "k0": 27, "k1": 27, "k2": 22, "k3": 4, "question_status": "partial", "key_status": "partial"}
+    full = [base | {"import_id": i} | r for i, r in rows]
+    schema = "import_id string, " + ", ".join(f"{n} long" for n in names) + ", question_status string, key_status string"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in full], schema)
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "removed", "reason"),
+    [
+        ({}, {}, 0, "unchanged"),
+        ({}, {"questions": 91, "m3": 15}, 0, "improved"),
+        ({}, {"question_status": "complete"}, 0, "improved"),
+        ({"question_status": "failed"}, {"question_status": "processing"}, 0, "questions_status_fell"),
+        ({}, {"questions": 89, "m3": 13}, 5, "questions_count_fell"),
+        ({"questions": 99, "m0": 28, "m3": 22}, {"questions": 98, "m3": 22, "question_status": "complete"}, 0, "questions_count_fell"),
+        ({"questions": 99, "m0": 28, "m3": 22}, {"questions": 98, "m3": 22, "question_status": "complete"}, 1, "improved"),
+        ({"questions": 99, "m0": 28, "m3": 22}, {"questions": 98, "m0": 26, "m1": 28, "m3": 22, "question_status": "complete"}, 2, "questions_m0_fell"),
+        ({}, {"m0": 26, "m3": 15}, 0, "questions_m0_fell"),
+        ({"overflow_math": 3}, {"questions": 93}, 0, "improved"),
+        ({"overflow_math": 3}, {"questions": 93, "unclassified": 1}, 0, "questions_overflow_math_disappeared"),
+        ({"unclassified": 2}, {"questions": 93}, 0, "questions_unclassified_disappeared"),
+        ({"unclassified": 2}, {"questions": 93, "unclassified": 1}, 0, "questions_unclassified_fell"),
+        ({}, {"questions": 95, "mapped": 79}, 9, "keys_count_fell"),
+        ({}, {"questions": 95, "matched": 79}, 0, "keys_matched_fell"),
+        ({}, {"k3": 5, "mapped": 81}, 0, "improved"),
+    ],
+)
+def test_promotion_never_lets_a_count_fall(spark, old, new, removed, reason):
+    gone = spark.createDataFrame([("a", removed)], "import_id string, removed long")
+    r = audits.promotion_decision(_readings(spark, ("a", old)), _readings(spark, ("a", new)), gone).first()
+    assert (r["reason"], r["promote"]) == (reason, reason == "improved")
+
+
+def test_promotion_of_new_and_lost_imports(spark):
+    got = audits.promotion_decision(_readings(spark, ("a", {}), ("b", {})), _readings(spark, ("b", {}), ("c", {}))).collect()
+    assert {r["import_id"]: (r["reason"], r["promote"]) for r in got} == {"a": ("lost", False), "b": ("unchanged", False), "c": ("added", True)}
+
+
+def test_verified_removals(spark):
+    before = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "x"), ("a", "y"), ("b", "z")], "import_id string, fp string")
+    after = spark.createDataFrame([("a", "x"), ("b", "z"), ("b", "z")], "import_id string, fp string")
+    assert {r["import_id"]: r["removed"] for r in audits.verified_removals(before, after).collect()} == {"a": 2, "b": 0}
 
 
 def test_answers_match_by_position_only_when_counts_agree(spark):
