@@ -180,7 +180,7 @@ def _passed_up(nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
 
     order = [F.col("depth").desc(), "p1", "p2"]
-    dealt = nodes.repartition("s0", "s1", "s2").sortWithinPartitions(*order)
+    dealt = nodes.repartition(F.xxhash64("s0", "s1", "s2")).sortWithinPartitions(*order)
     saved = ((F.col("n") - 1) * F.col("words")).alias("own")
     return in_arrow(dealt.select(*_KEY, "conv", "n", saved, "q1", "q2", "c", "l", "s", "top"), forward, _DONE)
 
@@ -209,7 +209,7 @@ def _ends(convs: DataFrame, members: DataFrame) -> DataFrame:
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], pa.int64()) for i in range(3)], pa.array([r[3] for r in out], pa.string())], [*_KEY, "ends"])
 
-    dealt = blocks.repartition(*_KEY).sortWithinPartitions(*_KEY, "block").select(*[F.col(c).cast("long") for c in _KEY], "ids")
+    dealt = blocks.repartition(F.xxhash64(*_KEY)).sortWithinPartitions(*_KEY, "block").select(*[F.col(c).cast("long") for c in _KEY], "ids")
     return in_arrow(dealt, digest, "depth long, p1 long, p2 long, ends string")
 
 

@@ -337,7 +337,9 @@ def _digests(pieces: DataFrame) -> DataFrame:
             out = []
         yield _batch([(key, n, sha.hexdigest())] if sha else [], _DIGEST)
 
-    return in_arrow(pieces.select("key", "at", "n_groups", "groups").repartition("key").sortWithinPartitions("key", "at").select("key", "n_groups", "groups"), run, _DIGEST)
+    # by a hash of the key: a plan that is dealt by the key already, but may yet change as it runs, would stand for a shuffle by the key itself
+    dealt = pieces.select("key", "at", "n_groups", "groups").repartition(F.xxhash64("key")).sortWithinPartitions("key", "at")
+    return in_arrow(dealt.select("key", "n_groups", "groups"), run, _DIGEST)
 
 
 def _long_texts(parts: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:

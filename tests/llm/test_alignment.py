@@ -74,6 +74,16 @@ def test_long_texts_are_composed_from_chunks(spark, pair, monkeypatch):
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(pair, rows)
 
 
+def test_long_texts_have_one_row_each_where_plans_change_as_they_run(spark, pair):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "quite", "unaligned", "3.14", "Größe"]) + str(rng.randrange(99)) for _ in range(9_000))) for i in range(6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        assert found(spark.createDataFrame(rows, SCHEMA)) == brute(pair, rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pairs_that_are_too_many_to_broadcast_are_joined(spark, pair, monkeypatch):
     monkeypatch.setattr(A, "BROADCAST_PAIRS", 0)
     monkeypatch.setattr(A, "CHUNK", 200)
