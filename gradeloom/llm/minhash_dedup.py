@@ -3,9 +3,9 @@
 1. Signatures. Texts with the same shingle set are one class, known by 128 bits. A class has ``ROWS_OF_BAND * bands`` MinHash values
    of 16 bits; ``bands`` is the least number with which a pair at the threshold shares no band with probability ``miss`` at most.
 2. Candidates. Classes with an equal band share a bucket. The bucket first proposes the pairs of all its members with one hub, the
-   member that meets most others. After their links are settled, all pairs of members of different components are proposed, but for
-   those that can't link because of the shingles that no other open class has. So a group of near copies costs a pair for each member, and
-   its strangers, each edited in its own way, cost none; no pair of a bucket that may link is passed over.
+   member that meets most others. After their links are settled, members of different components are compared with each other, in tiles of
+   two blocks of a bucket, but for those that can't link because of the shingles that no other open class has. So a group of near copies
+   costs a row for each member, strangers among them are compared without making their pairs rows, and no pair of a bucket is passed over.
 3. Sequential verification. The signatures of a pair are compared a batch at a time. With a uniform prior, m matches of n give the
    similarity the posterior Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold is under ``miss`` goes at once.
 4. Survivors are confirmed on their whole shingle sets, and components found by star contraction.
@@ -34,6 +34,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 ROWS_OF_BAND, MISS, BATCH = 6, 1e-6, 30
 #: Shingles hashed together (they fit a core's cache).
 HASHED = 1 << 15
+#: Members of a bucket in a block of its tiles.
+TILE = 256
 #: Ids that are broadcast at most, by their counted number.
 BROADCAST_KEYS = 1_000_000
 
@@ -149,6 +151,70 @@ def survivors(pairs: DataFrame, classes: DataFrame, values: int, threshold: floa
     return in_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
+def _in_tiles(members: DataFrame, classes: DataFrame, sets: DataFrame, values: int, rows: int, num: int, den: int, miss: float) -> DataFrame:
+    """Pairs of members of a bucket with different ``l`` that may link by their signatures and by 32 bits of each shingle.
+
+    A bucket is dealt into blocks of about ``TILE`` members, and a task compares two blocks at a time, so pairs that fail are never rows. A pair
+    is compared in the first bucket that it shares.
+    """
+    looks = least_matches(num / den, values, BATCH, miss)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ends = part.column(1).offsets.to_numpy()
+            flat = (part.column(1).values.to_numpy().view(np.uint64) >> _SHIFT).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(flat[i:j]).tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], ["k", "half"])
+
+    def tile(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side, k, n, label, shared, sig, half = zip(*held)
+        side, n, shared = np.array(side), np.array(n, np.int64), np.array(shared, np.int64)
+        label = np.unique(np.array(label, object), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(sig), np.uint16).reshape(len(k), values)
+        half = [np.frombuffer(h, np.uint32) for h in half]
+        bands = sig.reshape(len(k), -1, rows)
+        mine = (bands == bands[0]).all(axis=(0, 2))  # the band of this bucket
+        found = []
+        for i in range(len(k)):
+            others = np.arange(i + 1, len(k)) if side[i] == 2 else np.flatnonzero(side == 1) if side[i] == 0 else np.zeros(0, np.int64)
+            both = n[others] + n[i]
+            left = others[(label[others] != label[i]) & (np.minimum(shared[others], shared[i]) * (den + num) >= both * num)]
+            matches, begin = np.zeros(len(left), np.int32), 0
+            for end, fewest in looks:
+                matches = matches + (sig[left, begin:end] == sig[i, begin:end]).sum(axis=1)
+                on = matches >= fewest
+                left, matches, begin = left[on], matches[on], end
+            if len(left):
+                first = (bands[left] == bands[i]).all(axis=2).argmax(axis=1)
+                for j in left[mine[first]].tolist():
+                    overlap = len(half[i]) + len(half[j]) - len(np.unique(np.concatenate([half[i], half[j]])))
+                    # shingles that are one by their 32 bits count for all
+                    overlap += (n[i] - len(half[i])) + (n[j] - len(half[j]))
+                    if overlap * (den + num) >= (n[i] + n[j]) * num:
+                        found.append((min(k[i], k[j]), max(k[i], k[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, x, y, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (bucket, x, y) != at:
+                    if held:
+                        yield from tile(held)
+                    at, held = (bucket, x, y), []
+                held.append(tuple(row))
+        if held:
+            yield from tile(held)
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("k", F.lit(3)), F.col("blocks")).cast("int").alias("block")
+    dealt = members.join(sizes, "bucket").select("bucket", "k", "n", "l", "shared", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = classes.select("k", "sig").join(in_arrow(sets, short, "k binary, half binary"), "k")
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side")
+    tiles = dealt.join(own, "k").select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side, "k", "n", "l", "shared", "sig", "half")
+    tiles = tiles.repartition(F.xxhash64("bucket", "x", "y")).sortWithinPartitions("bucket", "x", "y")
+    return in_arrow(tiles, run, "a binary, b binary")
+
+
 def _sets(docs: DataFrame, n_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -205,11 +271,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # what only one class has is in no overlap
     shared = F.col("n") - F.coalesce("lone", F.lit(0))
     rest = shared_checkpoint(rest.join(lone, "k", "left").withColumn("shared", shared).filter(F.col("shared") * den >= F.col("n") * num))
-    p, q = (rest.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "l", "shared")]) for i in (1, 2))
-    enough = F.least("shared1", "shared2") * (den + num) >= (F.col("n1") + F.col("n2")) * num
-    both = p.join(q, (p["bucket"] == q["bucket"]) & (F.col("k1") < F.col("k2")) & (F.col("l1") != F.col("l2")) & enough)
-    pairs = both.select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
-    alive = shared_checkpoint(survivors(pairs, classes, values, num / den, miss))
+    alive = shared_checkpoint(_in_tiles(rest, classes, sets, values, rows, num, den, miss).distinct())
     more = _confirmed(alive, sets, num, den)
     if more.take(1):
         roots = components(links.union(more))

@@ -53,8 +53,10 @@ def test_equals_brute_force(spark, seed):
     assert found(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)) == brute(texts)
 
 
-def test_buckets_of_many_components(spark):
+@pytest.mark.parametrize("tile", [7, 256])
+def test_buckets_of_many_components(spark, monkeypatch, tile):
     """Copies of one text, edited so much that few link with the hub, and edits that some share: open pairs after the hub's."""
+    monkeypatch.setattr(M, "TILE", tile)
     texts = family(5, n_base=2, copies=120, edits=(2, 3, 4, 5, 6, 8))
     base, rng = [f"b{i}" for i in range(150)], random.Random(9)
     for twin in range(20):
