@@ -65,6 +65,14 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(task, schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_texts(docs: DataFrame, text_col: str, keep: list[str], added: T.StructType, make: Callable[[], Callable[[list[str]], list[pa.Array]]], done: Callable[[], None] = lambda: None) -> DataFrame:
     """The columns ``keep`` of every row and, after them, the columns ``added``, which are made of whole texts (null: empty).
 

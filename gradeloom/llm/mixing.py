@@ -89,7 +89,7 @@ class Plan(NamedTuple):
 
 def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return docs.withColumns({"_size": word_count(F.col(text_col)), "_source": F.col(source_col).cast("string"), "_place": F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), key.alias("k"))})
+    return docs.withColumns({"_size": word_count(F.col(text_col).cast("string")), "_source": F.col(source_col).cast("string"), "_place": F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), key.alias("k"))})
 
 
 def _block(place: Column, n_blocks: str = "n_blocks") -> Column:
@@ -177,8 +177,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """
     plan = plan_mix(docs, id_col, source_col, text_col, weights, most_times, seed)
     kept = [c for c in docs.columns if c not in {"size", "source_size", "target", "draws", "taken"}]
-    own = docs.select([F.col(f"`{c}`") for c in kept])
-    placed = _placed(own, id_col, source_col, text_col, seed)
+    # the input's columns stay together, whatever their names
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_kept"))
+    placed = _placed(own, f"_kept.`{id_col}`", f"_kept.`{source_col}`", f"_kept.`{text_col}`", seed)
     table = plan.sources.select(*[F.col(c).alias(f"_s_{c}") for c in plan.sources.columns])
     out = placed.join(hinted_small(table, plan.n_sources, MOST_SOURCES), F.col("_source").eqNullSafe(F.col("_s_source")))
     blocks = plan.blocks.select(F.col("s").alias("_b_s"), F.col("block").alias("_b_block"), F.col("draws").alias("_draws"))
@@ -189,11 +190,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     fills = F.when(F.col("_place").eqNullSafe(F.col("_s_extra")), F.array(F.struct(F.col("_s_full").alias("pass"), F.col("_s_extra_shard").alias("shard"), order(F.col("_s_full")).alias("order"))))
     none = F.array().cast(_DRAWS)
     out = out.withColumn("_mine", F.concat(F.coalesce(mine, none), F.coalesce(fills.cast(_DRAWS), none)))
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), F.col("_mine").alias("draws"), (F.size("_mine") * F.col("_size")).cast("long").alias("taken"))
+    return out.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], F.col("_size").alias("size"), F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), F.col("_mine").alias("draws"), (F.size("_mine") * F.col("_size")).cast("long").alias("taken"))
 
 
 def in_shards(mix: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes, with its ``pass``, its ``shard`` and its place ``order_key`` in it: shard by shard, shuffled inside each."""
+    """A row for each copy that the mix takes, with its ``pass``, its ``shard`` and its place ``order_key`` in it: shard by shard, shuffled inside each.
+
+    Columns with one of these names, which the input of the mix may have had, are replaced; ``draws`` goes.
+    """
     copies = mix.withColumn("_draw", F.explode("draws")).withColumns({"pass": F.col("_draw.pass"), "shard": F.col("_draw.shard"), "order_key": F.col("_draw.order")}).drop("_draw", "draws")
     return copies.repartition("shard", F.pmod("order_key", F.lit(SHARD_TASKS))).sortWithinPartitions("shard", "order_key")
 

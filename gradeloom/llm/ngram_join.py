@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm._common import hinted_small, in_arrow, read, salted_join, shared_checkpoint, slices
+from gradeloom.llm._common import hinted_small, in_arrow, read, salted_join, shared_checkpoint, slices, unused
 from gradeloom.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -282,19 +282,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """One row of each component, with all its columns: that with the least id, null last.
 
-    Rows are told apart by a hash of all their columns, so ids may be null or repeated; of rows that are equal in every column one stays.
-    Rows without words link with nothing and all stay. Columns must be of types that can be compared.
+    Rows are told apart by the JSON of all their columns, so ids may be null or repeated, and columns of any names and of types that JSON
+    has, maps too; of rows that are equal in every column one stays. Rows without words link with nothing and all stay.
     """
     words = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
-    rows = docs.filter(words).withColumn("_row", row)
-    own, roots = jaccard_classes(rows, id_col, text_col, n_words, numerator, denominator, row_col="_row")
+    every, row, whole = [F.col(f"`{c}`") for c in docs.columns], unused("_row", docs.columns), unused("_whole", docs.columns)
+    json = F.to_json(F.struct(*every), {"ignoreNullFields": "false"})
+    rows = docs.filter(words).withColumn(row, F.xxhash64(json))
+    own, roots = jaccard_classes(rows, id_col, text_col, n_words, numerator, denominator, row_col=row)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     classes = own.groupBy("k").agg(best)
     # a class or component has one best row, so the rows to keep are as many as components
     keep = classes.join(roots, "k", "left").groupBy(F.coalesce("root", "k").alias("root")).agg(F.min("best").alias("best"))
-    kept = rows.join(keep.select(F.col("best.row").alias("_row")).distinct(), "_row", "left_semi").dropDuplicates([*docs.columns, "_row"])
-    return docs.filter(~words).unionByName(kept.select(docs.columns))
+    kept = rows.join(keep.select(F.col("best.row").alias(row)).distinct(), row, "left_semi").withColumn(whole, F.md5(json)).dropDuplicates([whole])
+    return docs.filter(~words).unionAll(kept.select(every))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

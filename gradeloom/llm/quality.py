@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm._common import fold, map_texts, read
+from gradeloom.llm._common import fold, map_texts, read, unused
 
 #: Weight of the identity in each covariance, the divisor of log-density differences, and the least score of a kept document.
 SHRINKAGE, TEMPERATURE, KEEP = 0.02, 8.0, 0.7
@@ -128,10 +128,10 @@ def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The columns ``keep`` of every row and ``_score``, by a model fitted on the labelled rows of ``docs``."""
+    """The columns ``keep`` of every row and, last, the score, by a model fitted on the labelled rows of ``docs``. It is ``_score``, or that with underscores if a kept column has that name."""
     model = fit(docs, labels, id_col, text_col, label_col)
     score = lambda texts: [pa.array(model.score(np.array([in_steps(t) for t in texts]).reshape(-1, len(STATISTICS)) * STEP))]
-    return map_texts(docs, text_col, keep, T.StructType([T.StructField("_score", T.DoubleType())]), lambda: score)
+    return map_texts(docs, text_col, keep, T.StructType([T.StructField(unused("_score", keep), T.DoubleType())]), lambda: score)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float = KEEP) -> DataFrame:
@@ -145,8 +145,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def without_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` whose own text scores ``keep`` or more, with all their columns."""
-    return scored(docs, labels, docs.columns, id_col, text_col, label_col).filter(F.col("_score") >= keep).select(docs.columns)
+    """The rows of ``docs`` whose own text scores ``keep`` or more, with all their columns and values, whatever the columns' names."""
+    rows = scored(docs, labels, docs.columns, id_col, text_col, label_col)
+    return rows.filter(F.col(rows.columns[-1]) >= keep).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.llm._common import fold, in_arrow, map_texts, read, shared_checkpoint, slices
+from gradeloom.llm._common import fold, in_arrow, map_texts, read, shared_checkpoint, slices, unused
 from gradeloom.llm.quality import one_label
 
 #: Labelled texts that a fit uses at most; texts that a feature is in at least.
@@ -215,7 +215,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def graded(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The columns ``keep`` of every row and ``_severity``, ``_score`` and ``_grade``, by a model fitted on labelled rows of ``docs``."""
+    """The columns ``keep`` of every row and, last, severity, score and grade, by a model fitted on labelled rows of ``docs``. These are ``_severity``, ``_score`` and ``_grade``, or those with underscores if a kept column has the name."""
     model = docs.sparkSession.sparkContext.broadcast(fit_from(docs, labels, id_col, text_col, label_col, fit_rows))
 
     def make():
@@ -228,7 +228,7 @@ def graded(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "d
 
         return grade
 
-    added = T.StructType([T.StructField("_severity", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_grade", T.IntegerType())])
+    added = T.StructType([T.StructField(unused(n, keep), t) for n, t in (("_severity", T.DoubleType()), ("_score", T.DoubleType()), ("_grade", T.IntegerType()))])
     return map_texts(docs, text_col, keep, added, make, _hashes.clear)  # workers live on for other stages
 
 
@@ -245,8 +245,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` whose own text is not rejected, with all their columns."""
-    return graded(docs, labels, docs.columns, id_col, text_col, label_col, fit_rows).filter(F.col("_score") < reject).select(docs.columns)
+    """The rows of ``docs`` whose own text is not rejected, with all their columns and values, whatever the columns' names."""
+    rows = graded(docs, labels, docs.columns, id_col, text_col, label_col, fit_rows)
+    return rows.filter(F.col(rows.columns[-2]) < reject).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

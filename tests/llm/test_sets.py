@@ -238,6 +238,26 @@ def test_pipeline(spark, sf):
     assert P.run(spark, sf).count() == kept and P.ORACLE_SQL is None
 
 
+HELPERS = "_score _severity _grade _row _whole _size _source _place _kept _s_s _b_s _mine pass shard order_key size source_size target draws taken row n_tokens c0 id k".split()
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Columns named like the operators' own, one with a map: each stage keeps the values of the rows that it keeps."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in HELPERS], F.create_map(F.lit("id"), F.col("doc_id")).alias("a map"))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        wrong = out.filter(" or ".join([f"`{c}` <> concat('{c}', doc_id)" for c in HELPERS] + ["`a map`['id'] <> doc_id"]))
+        assert out.count() > 0 and wrong.count() == 0
+        assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in stage(spark, plain, sf).select("doc_id").collect())
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert P.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
 def test_near_duplicates_keep_one_row_of_each_group(spark):
     texts = family(3, n_base=5, copies=8)
     want = {c for d, (n, c) in brute(texts).items()}
