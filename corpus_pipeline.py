@@ -1,5 +1,7 @@
 """A training-corpus pipeline of the training-text operators: each stage works on all that the one before it kept.
 
+Columns that the input has beside those of ``documents``, whatever their names, come through with their values; an empty table gives no rows.
+
 Stages take ``(spark, docs, sf_dir)`` and return a DataFrame; all but the last return the columns of ``documents``. Each result is written
 as Parquet and read again as the next stage's input. A stage decides on every row by the row itself, not by its id: rows with a null or a
 repeated id are judged by their text like others. The operators say what they do with null, empty and repeated texts.
@@ -39,8 +41,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, shard by shard and shuffled inside each."""
-    return in_shards(mixed(docs)).select([F.col(f"`{c}`") for c in docs.columns])
+    """Each document as often as the mix takes it, shard by shard and shuffled inside each, with all its columns as they were."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return in_shards(mixed(docs.select("doc_id", "source", "text", row))).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
