@@ -100,29 +100,59 @@ def module_summary(drafts: DataFrame) -> DataFrame:
 
 
 def draft_risks(drafts: DataFrame) -> DataFrame:
-    """The codes and worst severity of each draft's risks, and the state that follows."""
-    flag = F.col("flag")
+    """The codes of each draft's risks, their number, and ``state``: its worst severity, or ``complete`` without a risk.
+
+    ``drafts``: import_id, id, page_number, prompt, question_type, answer, flags, choices, number_origin, key_confidence, key_method, has_visual,
+    visual_code, image and crop. Each flag of the parser is a risk of its own, once, first; flags that aren't known are major.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    parsed = F.transform(F.array_distinct(F.coalesce("flags", F.array().cast("array<string>"))), lambda f: F.struct(F.concat(F.lit("parser:"), f).alias("code"), F.when(f.isin(*MINOR_FLAGS), "minor").otherwise("major").alias("severity")))
+    choices = F.coalesce("choices", F.array().cast("array<string>"))
+    unseen = F.coalesce("has_visual", F.lit(False)) & blank(F.col("visual_code"))
     rules = rule_array(
-        (flag.isin(*MINOR_FLAGS), "known_minor_flag", "minor"), (flag.isin(*MAJOR_FLAGS), "known_major_flag", "major"), (flag.isNotNull() & ~flag.isin(*MINOR_FLAGS, *MAJOR_FLAGS), "unknown_flag", "major"),
-        (F.col("answer").isNull(), "missing_answer", "major"), (F.trim("prompt") == "", "empty_prompt", "major"), (F.length("prompt") < 40, "short_prompt", "minor"), (is_phantom(F.col("prompt")), "phantom", "major"),
+        (F.col("page_number").isNull() | (F.col("page_number") < 1), "source_evidence_missing", "major"), (F.length(F.trim(F.coalesce("prompt", F.lit("")))) < SHORTEST_PROMPT, "prompt_suspect", "minor"), (blank(F.col("answer")), "required_answer_missing", "major"),
+        ((F.col("question_type") == "multiple_choice") & ((F.size(choices) != 4) | F.exists(choices, blank)), "choice_structure", "minor"), (F.col("number_origin") == "inferred", "question_number_inferred", "minor"),
+        (F.col("key_confidence").eqNullSafe("low") | F.coalesce(F.col("key_method").isin(*LOW_CONFIDENCE_METHODS), F.lit(False)), "answer_alignment_low_confidence", "minor"),
+        (unseen & F.col("image").isNull(), "visual_source_missing", "major"), (unseen & F.col("image").isNotNull() & ~F.col("crop").eqNullSafe("confirmed"), "crop_unconfirmed", "minor"),
     )
-    out = drafts.select("import_id", "id", rules.alias("risks"))
+    out = drafts.select("import_id", "id", F.concat(parsed, rules).alias("risks"))
     worst = F.when(F.exists("risks", lambda r: r["severity"] == "major"), "major").when(F.size("risks") > 0, "minor")
     return out.select("import_id", "id", F.array_join(F.transform("risks", lambda r: r["code"]), ",").alias("codes"), F.size("risks").alias("n"), F.coalesce(worst, F.lit("complete")).alias("state"))
 
 
-def import_risks(drafts: DataFrame) -> DataFrame:
-    """Risks of whole imports: number of questions, duplicates of a number in a module, order conflicts, missing keys."""
-    along = Window.partitionBy("import_id", "module").orderBy("page_number", "id")
-    rows = drafts.withColumn("back", F.col("number") < F.lag("number").over(along))
-    out = rows.groupBy("import_id").agg(F.count("*").alias("questions"), F.countDistinct("module").alias("modules"), F.count_if("back").alias("order_conflicts"), (F.count("*") - F.countDistinct("module", "number")).alias("duplicates"), F.count_if(F.col("answer").isNull()).alias("without_key"))
-    rules = rule_array((F.col("questions") != 98, "question_count", "major"), (F.col("modules") != 4, "distribution", "major"), (F.col("order_conflicts") > 0, "order_conflict", "minor"), (F.col("duplicates") > 0, "duplicate_number", "major"), (F.col("without_key") > 0, "missing_keys", "major"))
-    return out.select("import_id", "questions", "modules", "order_conflicts", "duplicates", "without_key", F.array_join(F.transform(rules, lambda r: r["code"]), ",").alias("codes"))
+def import_risks(drafts: DataFrame, imports: DataFrame) -> DataFrame:
+    """The codes of the risks of whole imports, ``major`` and ``warnings``, imports without drafts included.
+
+    ``drafts``: import_id, module (0 to 3, null if not declared or unknown), position (1 or 2, of the module), section, number; ``imports``: import_id, status,
+    family, pages_failed, retries_failed, inferred_numbers, key_status, key_source, fallback_matches, key_diagnostics and parser_warnings, all counts but
+    status, family, key_status and key_source. Numbers, sections and modules of drafts are looked at in full tests only.
+    """
+    known = F.col("module").isNotNull()
+    math = F.col("module") >= 2
+    clash = known & (((F.col("section") == "math") & ~math) | ((F.col("section") == "reading_writing") & math) | (F.col("position") != F.col("module") % 2 + 1))
+    own = drafts.groupBy("import_id").agg(F.count("*").alias("n"), F.count_if(~known).alias("unassigned"), F.count_if(clash).alias("clashes"), *[F.count_if(F.col("module") == m).alias(f"m{m}") for m, _ in MODULES])
+    twice = drafts.filter(known & (F.col("number") > 0)).groupBy("import_id", "module", "number").count().filter("count > 1").select("import_id").distinct().withColumn("twice", F.lit(True))
+    rows = imports.join(own, "import_id", "left").join(twice, "import_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = (F.col("family") == "full_test") & (F.col("n") > 0)
+    spread = F.lit(False)
+    for m, n in MODULES:
+        spread = spread | (F.col(f"m{m}") != n)
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    major = rule_array(
+        (F.col("status").isin("failed", "cancelled"), "import_processing_failed", "major"), (F.col("n") == 0, "no_readable_questions", "major"), (full & (F.col("n") != TOTAL), "full_test_question_count", "major"), (full & some("clashes"), "explicit_module_order_conflict", "major"),
+        (full & spread, "module_distribution", "major"), (full & some("unassigned"), "module_assignment", "major"), (full & F.col("twice"), "duplicate_question_identity", "major"),
+    )
+    warnings = rule_array(
+        (some("pages_failed"), "ocr_page_failure", "minor"), (some("retries_failed"), "ocr_retry_warning", "minor"), (some("inferred_numbers"), "inferred_question_numbers", "minor"), (~F.col("key_status").eqNullSafe("complete"), "answer_key_warning", "minor"),
+        (F.coalesce("key_source", F.lit("")).isin("", "parsed") == F.lit(False), "answer_key_source", "minor"), (some("fallback_matches"), "positional_key_matches", "minor"), (some("key_diagnostics"), "answer_key_diagnostics", "minor"), (some("parser_warnings"), "parser_warnings", "minor"),
+    )
+    code = lambda rules: F.array_join(F.transform(rules, lambda r: r["code"]), ",")
+    return rows.select("import_id", F.col("n").alias("questions"), code(major).alias("major"), code(warnings).alias("warnings"))
 
 
 def approval_warnings(drafts: DataFrame) -> DataFrame:
     """Five counted checks of an import before approval."""
-    return drafts.groupBy("import_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("answer").isNull()).alias("missing_answers"), F.count_if(F.col("flag").isNotNull()).alias("flagged"), F.count_if(F.length("prompt") < 40).alias("short_prompts"), (F.count("*") - F.countDistinct("module", "number")).alias("duplicate_numbers"))
+    return drafts.groupBy("import_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("answer").isNull()).alias("missing_answers"), F.count_if(F.col("flag").isNotNull()).alias("flagged"), F.count_if(F.length(F.trim("prompt")) < SHORTEST_PROMPT).alias("short_prompts"), (F.count("*") - F.countDistinct("module", "number")).alias("duplicate_numbers"))
 
 
 def import_audit(drafts: DataFrame) -> DataFrame:

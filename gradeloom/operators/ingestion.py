@@ -16,7 +16,9 @@ MODULES = ((0, 27), (1, 27), (2, 22), (3, 22))
 PHANTOM = (r"(?i)student-produced response directions", r"(?i)more than one correct answer", r"(?i)answer preview", r"(?i)rectangular box[^.]{0,120}(write|enter|blank|answer)", r"(?i)mark for review", r"(?i)hide\s+calculator", r"(?i)back\s+next")
 #: Fixed value: the flag of a question that took in its repeat.
 REPEATED = "repeated_source_question_coalesced"
-MATH_SIGNS = r"(?i)\b(equation|function|slope|triangle|percent|value of x|graph)\b|[=<>]|\d\s*[+*/]\s*\d"
+#: Words of a math question, and a formula that compares, divides or raises.
+MATH_WORDS = r"(?i)\b(equation|expression|solution|slope|function|triangle|circle|radius|diameter|quadratic|perpendicular|coordinate|xy-plane|kilograms?|joules?|inches?|centimeters?|area|perimeter|percent|system of equations)\b"
+MATH_FORMULA = r"\$[^$]*(?:=|\\frac|\\sqrt|\^|[<>])[^$]*\$"
 
 
 def normalize_pages(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -111,11 +113,14 @@ def fill_runs(rows: DataFrame) -> DataFrame:
     return marked.select("import_id", "seq", "number", F.coalesce("number", filled).cast("int").alias("filled"))
 
 
-def section_transition(rows: DataFrame, text: str, width: int = 5, least: int = 3) -> DataFrame:
-    """The first place from which ``least`` of the next ``width`` texts look like math."""
-    ahead = Window.partitionBy("import_id").orderBy("seq").rowsBetween(0, width - 1)
-    signs = rows.withColumn("signs", F.sum(F.col(text).rlike(MATH_SIGNS).cast("int")).over(ahead))
-    return signs.groupBy("import_id").agg(F.min(F.when(F.col("signs") >= least, F.col("seq"))).alias("transition"))
+def section_transition(rows: DataFrame, text: str, width: int = 5, least: int = 3, skipped: int = 20) -> DataFrame:
+    """The first place, after ``skipped`` texts, from which ``least`` of the next ``width`` texts are math; null if there is none with so many after it."""
+    along = Window.partitionBy("import_id").orderBy("seq")
+    ahead = along.rowsBetween(0, width - 1)
+    math = (F.col(text).rlike(MATH_WORDS) | F.col(text).rlike(MATH_FORMULA)).cast("int")
+    signs = rows.select("import_id", "seq", math.alias("math")).withColumns({"signs": F.sum("math").over(ahead), "wide": F.count("*").over(ahead), "place": F.row_number().over(along)})
+    found = (F.col("signs") >= least) & (F.col("wide") == width) & (F.col("place") > skipped)
+    return signs.groupBy("import_id").agg(F.min(F.when(found, F.col("seq"))).alias("transition"))
 
 
 def exact_duplicates(docs: DataFrame, key: str, parts: list[Column], order: Column) -> DataFrame:

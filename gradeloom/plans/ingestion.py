@@ -51,10 +51,30 @@ _READY = {
 }
 
 
+_RISK = {
+    "risk_drafts": """select import_id, id, case when n_chars % 211 = 0 then null when n_chars % 223 = 0 then 0 else page_number end as page_number, case when n_chars % 19 = 0 then concat(' ', section, ' ') else prompt end as prompt,
+      case when n_chars % 4 > 0 then 'multiple_choice' else 'typed' end as question_type, case when n_chars % 31 = 0 then '  ' else answer end as answer,
+      case when n_chars % 7 = 0 then split('recovered_from_page_replay,recovered_from_page_replay', ',') when n_chars % 11 = 0 then split('mystery,source_question_id_unresolved', ',') end as flags,
+      case when n_chars % 12 = 1 then split('a,b,c', ',') when n_chars % 12 = 2 then split('a,b, ,d', ',') when n_chars % 12 > 3 then split('a,b,c,d', ',') end as choices, case when n_chars % 8 = 0 then 'inferred' end as number_origin,
+      case when n_chars % 15 = 0 then 'low' when n_chars % 2 = 0 then 'high' end as key_confidence, case when n_chars % 14 = 0 then 'module_position' end as key_method, n_chars % 5 = 0 as has_visual, case when n_chars % 10 = 0 then 'x' end as visual_code,
+      case when n_chars % 3 > 0 then 'image' end as image, case when n_chars % 9 = 1 then 'confirmed' end as crop from ({draft_texts}) x""",
+    "risk_imports": """select import_id, case when b % 7 = 6 then 'failed' else 'completed' end as status, case when b % 5 = 4 then 'bank' else 'full_test' end as family, b % 3 as pages_failed, b % 4 as retries_failed, b % 2 as inferred_numbers, case when b % 3 = 0 then 'complete' when b % 3 = 1 then 'partial' end as key_status,
+      case when b % 4 = 1 then 'model' when b % 4 = 2 then 'parsed' end as key_source, b % 6 as fallback_matches, b % 8 as key_diagnostics, b % 2 as parser_warnings from (select import_id, cast(split(import_id, '-')[{last}] as int) as b from ({ready_drafts}) x group by import_id) y
+      union all select 'empty', 'completed', 'full_test', 0, 0, 0, 'complete', null, 0, null, 0""",
+    "placed_drafts": "select import_id, id, module, case when n_chars % 77 = 0 then 2 - module % 2 when n_chars % 2 = 0 then module % 2 + 1 end as position, case when n_chars % 91 = 0 then 'math' when n_chars % 3 = 0 then case when module >= 2 then 'math' else 'reading_writing' end end as section, number from ({ready_drafts}) x",
+}
+
+
 def _ready_rows(v: Views, name: str):
     return v.spark.sql(_READY[name], drafts=v.drafts)
 
 
+def _risk_rows(v: Views, name: str):
+    if name == "risk_drafts":
+        return v.spark.sql(_RISK[name].replace("({draft_texts})", "{t}"), t=v.draft_texts)
+    return v.spark.sql(_RISK[name].replace("({ready_drafts})", "{r}").replace("{last}", "1"), r=_ready_rows(v, "ready_drafts"))
+
+
 def _readiness(v: Views, even: bool = False):
     rows = _ready_rows(v, "ready_drafts")
     return A.import_readiness(rows.filter("status <> 'rejected'") if even else rows, _ready_rows(v, "ready_imports"))
@@ -108,8 +128,8 @@ QUERIES = {
     "d18_find_existing": lambda v: D.find_existing(_labels(v, F.col("url").contains("?")), _labels(v, ~F.col("url").contains("?"))),
     "d19_import_listing": lambda v: A.import_listing(v.drafts),
     "d19_module_summary": lambda v: A.module_summary(v.drafts),
-    "d20_draft_risks": lambda v: A.draft_risks(v.draft_texts),
-    "d20_import_risks": lambda v: A.import_risks(v.drafts),
+    "d20_draft_risks": lambda v: A.draft_risks(_risk_rows(v, "risk_drafts")),
+    "d20_import_risks": lambda v: A.import_risks(_risk_rows(v, "placed_drafts"), _risk_rows(v, "risk_imports")),
     "d21_approval_warnings": lambda v: A.approval_warnings(v.draft_texts),
     "d22_import_audit": lambda v: A.import_audit(v.draft_texts),
     "d23_key_agreement": lambda v: A.key_agreement(v.drafts.select("import_id", "module", "number", "answer").dropDuplicates(["import_id", "module", "number", "answer"]), v.drafts.filter("status <> 'rejected'").groupBy("import_id", "module", "number").agg(F.max("answer").alias("answer"))),
@@ -122,7 +142,7 @@ QUERIES = {
     "d30_corpus_triage": lambda v: A.corpus_triage(D.text_quality(v.documents.withColumnRenamed("doc_id", "id"), "id")),
     "d31_new_files": lambda v: D.new_files(v.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("name")), v.pages.filter(F.col("url").contains("?")).select(F.col("page_id").alias("file_id")), F.col("file_id") < 100),
     "d32_backfill_diff": lambda v: D.normalize_pages(v.documents, "doc_id").filter("changed").select("doc_id", "before", "after"),
-    "d33_review_selection": lambda v: A.review_selection(A.draft_risks(v.draft_texts), 2),
+    "d33_review_selection": lambda v: A.review_selection(A.draft_risks(_risk_rows(v, "risk_drafts")), 2),
     "d34_parity": lambda v: A.parity(v.documents.select("doc_id", "source", F.when(F.col("doc_id") % 50 != 0, F.col("lang")).alias("lang"), "n_chars"), v.documents, "doc_id", ["source", "lang", "n_chars"]),
     "d35_cohort_selection": lambda v: A.cohort_selection(_readiness(v)),
 }
@@ -145,6 +165,11 @@ _MATCH = f"""{_MQ}, m1 as (select import_id, seq, entry, answer, 'question_id' a
   ms as (select mq.import_id, mq.seq, mq.module, mq.number, entry, answer, coalesce(method, 'unmatched') as method, confidence from mq left join (select * from m1 union all select * from m2 union all select * from m3) using (import_id, seq))"""
 
 
+#: The words and formulas of math questions.
+_MATH = (
+    "(?i)\\b(equation|expression|solution|slope|function|triangle|circle|radius|diameter|quadratic|perpendicular|coordinate|xy-plane|kilograms?|joules?|inches?|centimeters?|area|perimeter|percent|system of equations)\\b",
+    "\\$[^$]*(?:=|\\\\frac|\\\\sqrt|\\^|[<>])[^$]*\\$",
+)
 _PLACE = "page_number nulls last, number nulls last, id"
 _RD = ", ".join(f"{n} as ({q.format(drafts='drafts')})" for n, q in _READY.items())
 _M, _X = ("m0", "m1", "m2", "m3"), ("unclassified", "overflow_rw", "overflow_math")
@@ -197,7 +222,21 @@ _QF, _KF = _fall("question_status", "questions", _M, _X, "coalesce(removed, 0)",
 _DECIDE = f"""{_R0}, {_R1}, gone as (select import_id, sum(greatest(nb - na, 0))::bigint as removed from (select import_id, n_chars, count(*) as nb, count(*) filter (status <> 'rejected') as na from ready_drafts group by 1, 2) x where na > 0 group by 1),
  dd as (select coalesce(b.import_id, a.import_id) as import_id, b.questions as q0, a.questions as q1, b.mapped as a0, a.mapped as a1, case when a.import_id is null then 'lost' when b.import_id is null then 'added' {_QF[0]} {_KF[0]} when {_QF[1]} or {_KF[1]} then 'improved' else 'unchanged' end as reason
   from (select * from r0 where import_id not like '%-1') b full join (select * from r1 where import_id <> 'src3-0') a on a.import_id = b.import_id left join gone g on g.import_id = coalesce(b.import_id, a.import_id))"""
-_RISKS = f"risks as (select import_id, id, list_filter([case when flag = 'number_inferred' then 'known_minor_flag' end, case when flag = 'ocr_low' then 'known_major_flag' end, case when flag = 'mystery' then 'unknown_flag' end, case when answer is null then 'missing_answer' end, case when trim(prompt) = '' then 'empty_prompt' end, case when length(prompt) < 40 then 'short_prompt' end, case when {_PHANTOM.format(x='prompt')} then 'phantom' end], lambda x: x is not null) as c from draft_texts), rs as (select import_id, id, array_to_string(c, ',') as codes, len(c)::int as n, case when len(list_filter(c, lambda x: x not in ('known_minor_flag', 'short_prompt'))) > 0 then 'major' when len(c) > 0 then 'minor' else 'complete' end as state from risks)"
+_MINOR = "'parser:recovered_from_page_replay', 'prompt_suspect', 'choice_structure', 'question_number_inferred', 'answer_alignment_low_confidence', 'crop_unconfirmed'"
+_UNSEEN = "has_visual and visual_code is null"
+_RISKS = f"""risk_drafts as ({_RISK["risk_drafts"].format(draft_texts="select * from draft_texts")}), risks as (select import_id, id, list_concat(list_transform(list_sort(list_distinct(coalesce(flags, []))), lambda x: 'parser:' || x), list_filter([
+  case when page_number is null or page_number < 1 then 'source_evidence_missing' end, case when length(trim(coalesce(prompt, ''))) < 8 then 'prompt_suspect' end, case when trim(coalesce(answer, '')) = '' then 'required_answer_missing' end,
+  case when question_type = 'multiple_choice' and (coalesce(len(choices), 0) <> 4 or len(list_filter(choices, lambda x: trim(x) = '')) > 0) then 'choice_structure' end, case when number_origin = 'inferred' then 'question_number_inferred' end,
+  case when coalesce(key_confidence, '') = 'low' or key_method in ('recovered_question_id', 'module_position', 'document_position') then 'answer_alignment_low_confidence' end,
+  case when {_UNSEEN} and image is null then 'visual_source_missing' end, case when {_UNSEEN} and image is not null and coalesce(crop, '') <> 'confirmed' then 'crop_unconfirmed' end], lambda x: x is not null)) as c from risk_drafts),
+ rs as (select import_id, id, array_to_string(c, ',') as codes, len(c)::int as n, case when len(list_filter(c, lambda x: x not in ({_MINOR}))) > 0 then 'major' when len(c) > 0 then 'minor' else 'complete' end as state from risks)"""
+_IMPORT_RISKS = f"""{_RD}, placed_drafts as ({_RISK["placed_drafts"].format(ready_drafts="select * from ready_drafts")}), risk_imports as ({_RISK["risk_imports"].format(ready_drafts="select * from ready_drafts", last=2)}),
+ o as (select import_id, count(*) as n, count(*) filter (module is null) as ua, count(*) filter (module < 2 and section = 'math' or module >= 2 and section = 'reading_writing' or position <> module % 2 + 1) as cl, {", ".join(f"count(*) filter (module = {m}) as m{m}" for m in range(4))},
+  count(*) filter (module is not null and number > 0) > count(distinct (module, number)) filter (module is not null and number > 0) as tw from placed_drafts group by 1), j as (select *, coalesce(n, 0) as q, family = 'full_test' and n > 0 as f from risk_imports left join o using (import_id))
+ select import_id, q as questions, array_to_string(list_filter([case when status in ('failed', 'cancelled') then 'import_processing_failed' end, case when q = 0 then 'no_readable_questions' end, case when f and q <> 98 then 'full_test_question_count' end, case when f and cl > 0 then 'explicit_module_order_conflict' end,
+  case when f and (m0 <> 27 or m1 <> 27 or m2 <> 22 or m3 <> 22) then 'module_distribution' end, case when f and ua > 0 then 'module_assignment' end, case when f and tw then 'duplicate_question_identity' end], lambda x: x is not null), ',') as major,
+  array_to_string(list_filter([case when pages_failed > 0 then 'ocr_page_failure' end, case when retries_failed > 0 then 'ocr_retry_warning' end, case when inferred_numbers > 0 then 'inferred_question_numbers' end, case when coalesce(key_status, '') <> 'complete' then 'answer_key_warning' end,
+  case when key_source <> 'parsed' then 'answer_key_source' end, case when fallback_matches > 0 then 'positional_key_matches' end, case when key_diagnostics > 0 then 'answer_key_diagnostics' end, case when parser_warnings > 0 then 'parser_warnings' end], lambda x: x is not null), ',') as warnings from j"""
 _Q2 = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _QUALITY = "tq as (select {key}, words, chars, question_marks, choice_marks, lines, thin_pages, pages, coalesce(floor(chars::double / nullif(lines, 0)::double + 0.5), 0)::bigint as line_length, case when words > 50 and floor(chars::double / nullif(lines, 0)::double + 0.5) > 15 and (question_marks >= 1 or choice_marks >= 2) then 'good' else 'poor' end as quality from (select {key}, sum(w)::bigint as words, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '(?m)^\\s*\\d{{1,3}}\\s*[.)]\\s+\\S')))::bigint as question_marks, sum(len(regexp_extract_all(text, '(?m)^\\s*[A-H]\\s*[.)]\\s+\\S')))::bigint as choice_marks, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::bigint as lines, count_if(w < 15) as thin_pages, count(*) as pages from (select *, len(" + _Q2 + ") as w from {source}) group by 1))"
 
@@ -236,7 +275,7 @@ SQL = {
     "d6_module_completeness": "select import_id, module, expected, actual, greatest(expected - actual, 0) as missing, greatest(actual - expected, 0) as over, first_page, last_page, case when actual = expected then 'complete' when actual < expected then 'partial' else 'over' end as status from (select distinct l_orderkey % 50 as import_id from lineitem) cross join (values (0, 27), (1, 27), (2, 22), (3, 22)) t(module, expected) left join (select l_orderkey % 50 as import_id, l_suppkey % 4 as module, count(distinct l_partkey % 30) as a, min(l_linenumber) as first_page, max(l_linenumber) as last_page from lineitem group by 1, 2) using (import_id, module), lateral (select coalesce(a, 0) as actual)",
     "d7_repair_numbers": f"with {_SEQ} select import_id, seq, number, case when b + 2 = f and number is distinct from b + 1 then b + 1 else number end as repaired from (select *, lag(number) over w as b, lead(number) over w as f from q window w as (partition by import_id order by seq))",
     "d7_fill_runs": f"with {_SEQ}, w as (select *, last_value(number ignore nulls) over (partition by import_id order by seq rows between unbounded preceding and 1 preceding) as b, first_value(number ignore nulls) over (partition by import_id order by seq rows between 1 following and unbounded following) as f, count(number) over (partition by import_id order by seq) as run from q) select import_id, seq, number, coalesce(number, case when f - b - 1 = n then b + k - h end)::int as filled from (select *, row_number() over (partition by import_id, run order by seq) as k, count_if(number is null) over (partition by import_id, run) as n, count(number) over (partition by import_id, run) as h from w)".replace("count_if(number is null)", "count(case when number is null then 1 end)"),
-    "d8_section_transition": sql(f"select import_id, min(case when s >= 3 then seq end) as transition from (select import_id, rn as seq, sum(regexp_matches(text, '{D.MATH_SIGNS}')::int) over (partition by import_id order by rn rows between current row and 4 following) as s from draft_texts) group by 1"),
+    "d8_section_transition": sql(f"select import_id, min(case when s >= 3 and c = 5 and place > 20 then seq end) as transition from (select import_id, rn as seq, sum((regexp_matches(text, '{_MATH[0]}') or regexp_matches(text, '{_MATH[1]}'))::int) over ahead as s, count(*) over ahead as c, row_number() over (partition by import_id order by rn) as place from draft_texts window ahead as (partition by import_id order by rn rows between current row and 4 following)) group by 1"),
     "d9_exact_duplicates": f"with r as (select doc_id, substr(sha256({_CONTENT}), 1, 32) as fp from documents where trim(text) <> '') select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, min(doc_id) as canonical from r group by 1 having count(*) > 1) using (fp)",
     "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, 'mc4', array_to_string(list_filter(regexp_split_to_array(regexp_replace({_CONTENT}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
     "d11_coalesce_repeats": sql("with d as (select import_id, n_chars % 2 as module, length(prompt) % 3 as number, id, page_number as page, answer, flag, length(prompt) + coalesce(length(answer), 0) as rich, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from draft_texts) select import_id, module, number, case when r1 >= r2 then i1 else i2 end as kept, case when r1 >= r2 then i2 else i1 end as dropped, page as page_number, floor(o * 1000 + 0.5)::bigint as overlap_permille, array_to_string(list_sort(list_distinct(list_filter([f1, f2, 'repeated_source_question_coalesced'], lambda x: x is not null))), ',') as flags from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.rich as r1, b.rich as r2, a.flag as f1, b.flag as f2, least(a.page, b.page) as page, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id and abs(a.page - b.page) <= 3 and (a.answer is null or b.answer is null or a.answer = b.answer)) where o >= 0.82"),
@@ -251,8 +290,8 @@ SQL = {
     "d19_import_listing": sql("select import_id, count_if(status = 'approved') as approved, count_if(status = 'pending') as pending, count_if(status = 'rejected') as rejected from drafts group by 1"),
     "d19_module_summary": sql("select import_id, section, module, count(*) as total, count_if(status = 'approved') as approved, count_if(status = 'rejected') as rejected, count(answer) as with_key from drafts group by 1, 2, 3"),
     "d20_draft_risks": sql(f"with {_RISKS} select * from rs"),
-    "d20_import_risks": sql("select import_id, questions, modules, order_conflicts, duplicates, without_key, array_to_string(list_filter([case when questions <> 98 then 'question_count' end, case when modules <> 4 then 'distribution' end, case when order_conflicts > 0 then 'order_conflict' end, case when duplicates > 0 then 'duplicate_number' end, case when without_key > 0 then 'missing_keys' end], lambda x: x is not null), ',') as codes from (select import_id, count(*) as questions, count(distinct module) as modules, count_if(number < b) as order_conflicts, count(*) - count(distinct (module, number)) as duplicates, count_if(answer is null) as without_key from (select *, lag(number) over (partition by import_id, module order by page_number, id) as b from drafts) group by 1)"),
-    "d21_approval_warnings": sql("select import_id, count_if(status = 'pending') as pending, count_if(answer is null) as missing_answers, count_if(flag is not null) as flagged, count_if(length(prompt) < 40) as short_prompts, count(*) - count(distinct (module, number)) as duplicate_numbers from draft_texts group by 1"),
+    "d20_import_risks": sql(f"with {_IMPORT_RISKS}"),
+    "d21_approval_warnings": sql("select import_id, count_if(status = 'pending') as pending, count_if(answer is null) as missing_answers, count_if(flag is not null) as flagged, count_if(length(trim(prompt)) < 8) as short_prompts, count(*) - count(distinct (module, number)) as duplicate_numbers from draft_texts group by 1"),
     "d22_import_audit": sql(f"select import_id, count(*) as drafts, count(answer) as keyed, count(flag) as flagged, count_if({_PHANTOM.format(x='prompt')}) as phantoms, count_if(status = 'approved') as approved from draft_texts group by rollup (import_id)"),
     "d23_key_agreement": sql('select import_id, count_if(answer = again) as "match", count_if(answer <> again) as mismatch, count_if(answer is not null and again is null) as unverified from (select distinct import_id, module, number, answer from drafts) left join (select import_id, module, number, max(answer) as again from drafts where status <> \'rejected\' group by 1, 2, 3) using (import_id, module, number) group by 1'),
     "d24_retry_pages": sql("with s as (select import_id, page_number, 100 as score, 'failed' as reason from (select import_id, page_number, min(text) as text from draft_texts group by 1, 2) where length(trim(text)) < 20 union all select import_id, page_number, 85, 'unresolved' from drafts where answer is null and flag is not null union all select import_id, page_number, 75, 'gap' from (select *, lead(number) over (partition by import_id, module order by number, id) as f from drafts) where f > number + 1 union all select import_id, max(page_number), 10, 'tail' from drafts group by 1) select * from (select *, row_number() over (partition by import_id order by score desc, page_number) as rank from (select import_id, page_number, max(score) as score, string_agg(distinct reason, ',' order by reason) as reasons from s group by 1, 2)) where rank <= 4"),

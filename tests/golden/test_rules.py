@@ -206,6 +206,59 @@ def test_promotion_of_new_and_lost_imports(spark):
     assert {r["import_id"]: (r["reason"], r["promote"]) for r in got} == {"a": ("lost", False), "b": ("unchanged", False), "c": ("added", True)}
 
 
+RISK = "import_id string, id long, page_number int, prompt string, question_type string, answer string, flags array<string>, choices array<string>, number_origin string, key_confidence string, key_method string, has_visual boolean, visual_code string, image string, crop string"
+
+
+@pytest.mark.parametrize(
+    ("change", "codes", "state"),
+    [
+        ({}, "", "complete"),
+        ({"page_number": 0}, "source_evidence_missing", "major"),
+        ({"prompt": " 1234567 "}, "prompt_suspect", "minor"),
+        ({"prompt": "12345678"}, "", "complete"),
+        ({"answer": " "}, "required_answer_missing", "major"),
+        ({"choices": ["a", "b", "c"]}, "choice_structure", "minor"),
+        ({"choices": ["a", "b", " ", "d"]}, "choice_structure", "minor"),
+        ({"choices": None, "question_type": "typed"}, "", "complete"),
+        ({"flags": ["legacy_parser_unverified", "legacy_parser_unverified"]}, "parser:legacy_parser_unverified", "minor"),
+        ({"flags": ["number_inference_after_duplicate"]}, "parser:number_inference_after_duplicate", "major"),
+        ({"flags": ["what is this"], "number_origin": "inferred"}, "parser:what is this,question_number_inferred", "major"),
+        ({"key_confidence": "low", "key_method": "module_position"}, "answer_alignment_low_confidence", "minor"),
+        ({"key_method": "recovered_question_id"}, "answer_alignment_low_confidence", "minor"),
+        ({"has_visual": True}, "visual_source_missing", "major"),
+        ({"has_visual": True, "image": "x"}, "crop_unconfirmed", "minor"),
+        ({"has_visual": True, "image": "x", "crop": "confirmed"}, "", "complete"),
+        ({"has_visual": True, "visual_code": "plot"}, "", "complete"),
+    ],
+)
+def test_draft_risks(spark, change, codes, state):
+    names = [c.split()[0] for c in RISK.split(", ")]
+    row = dict.fromkeys(names) | {"import_id": "x", "id": 1, "page_number": 1, "prompt": "A long enough prompt", "question_type": "multiple_choice", "answer": "A", "choices": ["a", "b", "c", "d"], "has_visual": False} | change
+    r = audits.draft_risks(spark.createDataFrame([tuple(row[n] for n in names)], RISK)).first()
+    assert (r["codes"], r["state"]) == (codes, state)
+
+
+def test_import_risks(spark):
+    schema = "import_id string, status string, family string, pages_failed long, retries_failed long, inferred_numbers long, key_status string, key_source string, fallback_matches long, key_diagnostics long, parser_warnings long"
+    imports = [("whole", "completed", "full_test", 0, 0, 0, "complete", "parsed", 0, 0, 0), ("none", "failed", "full_test", 1, None, 2, None, "model", 1, 1, 1), ("bank", "completed", "bank", 0, 0, 0, "complete", None, 0, 0, 0), ("bad", "completed", "full_test", 0, 0, 0, "complete", None, 0, 0, 0)]
+    whole = [("whole", m, None, None, i + 1) for m, n in ((0, 27), (1, 27), (2, 22), (3, 22)) for i in range(n)]
+    drafts = [*whole, ("bank", None, None, None, 1), ("bad", 0, 2, "reading_writing", 1), ("bad", 0, 1, "math", 1), ("bad", None, None, None, 0)]
+    out = audits.import_risks(spark.createDataFrame(drafts, "import_id string, module int, position int, section string, number int"), spark.createDataFrame(imports, schema))
+    got = {r["import_id"]: (r["questions"], r["major"], r["warnings"]) for r in out.collect()}
+    assert got["whole"] == (98, "", "") and got["bank"] == (1, "", "")
+    assert got["none"] == (0, "import_processing_failed,no_readable_questions", "ocr_page_failure,inferred_question_numbers,answer_key_warning,answer_key_source,positional_key_matches,answer_key_diagnostics,parser_warnings")
+    assert got["bad"] == (3, "full_test_question_count,explicit_module_order_conflict,module_distribution,module_assignment,duplicate_question_identity", "")
+
+
+def test_section_transition_needs_whole_windows_after_the_first_twenty(spark):
+    texts = ["prose about a percentage"] * 24 + ["the slope is", "$x = 2$", "more prose", "a triangle", "prose", "end"]
+    df = lambda t: spark.createDataFrame([("x", i, v) for i, v in enumerate(t)], "import_id string, seq int, text string")
+    at = lambda t: ingestion.section_transition(df(t), "text").first()["transition"]
+    assert at(texts) == 23
+    assert at(["an equation"] * 30) == 20 and at(["an equation"] * 24) is None and at(["an equation"] * 25) == 20
+    assert at(["$a \\frac b$"] * 30) == 20 and at(["cost $5 and $6"] * 30) is None and at(["subequations"] * 30) is None
+
+
 def test_verified_removals(spark):
     before = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "x"), ("a", "y"), ("b", "z")], "import_id string, fp string")
     after = spark.createDataFrame([("a", "x"), ("b", "z"), ("b", "z")], "import_id string, fp string")
@@ -280,3 +333,36 @@ def test_all_pages_of_a_dump(spark):
     dump = "front matter\n" + "\n".join(f"===== PAGE {i} =====\nline {i}\n" for i in range(1, 301))
     pages = tables.split_pages(spark.createDataFrame([(1, dump), (2, "no page"), (3, None), (4, "")], "id long, dump string"), "id", "dump")
     assert [(r["id"], r["page_number"]) for r in pages.orderBy("page_number").collect()] == [(1, i) for i in range(1, 301)]
+
+
+def test_evaluation_counts_by_id_and_compares_in_one_spelling(spark):
+    gold = [("a", "x", "It’s  “one”", "P", ["A", "B"], "1/2", True), ("b", "x", "two", None, [], None, False), ("c", "x", "three", "Q", ["A"], "3", True), ("d", "y", "four", None, ["ﬁ"], "4", False)]
+    predicted = [("a", 1, "wrong", None, None, None, None, "failed"), ("a", 2, "It's \"one\"", "p", ["A ", " B"], "１/2", True, "complete"), ("b", 1, "two", "new", ["Z"], "9", True, "review"), ("d", 1, "four!", None, ["fi"], "5", None, None), ("z", 1, "?", None, None, None, None, "complete")]
+    out = evaluation.evaluate_extraction(spark.createDataFrame(gold, "id string, section string, prompt string, passage string, choices array<string>, answer string, visual boolean"), spark.createDataFrame(predicted, "id string, seq int, prompt string, passage string, choices array<string>, answer string, visual_correct boolean, review_state string"), ["section"])
+    rows = [tuple(r) for r in out.collect()]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in rows}
+    assert {m: got["x", m] for m in ("question_precision", "question_recall", "prompt_exact", "passage_exact", "choice_exact", "key_coverage", "key_accuracy", "visual_association", "complete_coverage", "human_review_rate", "failed_rate")} == {
+        "question_precision": (3, 3), "question_recall": (2, 3), "prompt_exact": (2, 2), "passage_exact": (0, 1), "choice_exact": (1, 1), "key_coverage": (2, 2), "key_accuracy": (1, 2), "visual_association": (1, 1), "complete_coverage": (1, 2), "human_review_rate": (1, 2), "failed_rate": (0, 2)}
+    assert got["y", "choice_exact"] == (1, 1) and got["y", "prompt_exact"] == (0, 1) and got[None, "question_precision"] == (0, 1)
+
+
+def test_findings_match_once_for_each_key(spark):
+    q = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    gold = spark.createDataFrame([("a", "t", "f", 1, "major"), ("a", "t", "f", 1, "major"), ("b", "t", None, 2, "minor"), ("c", "t", "f", 3, "major")], "id string, issue_type string, field string, page int, severity string")
+    found = spark.createDataFrame([("a", "t", "f", 1), ("a", "t", "f", 1), ("a", "t", "f", 1), ("b", "t", None, 2), ("c", "t", "g", 3), ("e", "t", "f", 1)], "id string, issue_type string, field string, page int")
+    states = spark.createDataFrame([("a", "complete"), ("b", "complete"), ("c", "review"), ("d", "complete"), ("z", "complete")], "id string, review_state string")
+    got = {r[0]: (r[1], r[2]) for r in (tuple(x) for x in evaluation.finding_match(q("a", "b", "c", "d", "e"), gold, states, found).collect())}
+    assert got == {"precision": (2, 6), "recall": (2, 4), "serious_recall": (2, 3), "clean_specificity": (1, 2), "serious_defect_complete": (1, 3)}
+
+
+def test_evidence_in_nfkc(spark):
+    df = spark.createDataFrame([("ﬁve ＡＢＣ ①", "five abc 1"), ("Été", "Été"), (None, None)], "x string, y string")
+    assert [r["same"] for r in df.select(E.evidence(F.col("x")).eqNullSafe(E.evidence(F.col("y"))).alias("same")).collect()] == [True] * 3
+
+
+def test_asof_takes_the_first_right_row_from_the_cutoff_on(spark):
+    left = spark.createDataFrame([(1, 5), (1, 9), (1, 20), (2, 1), (None, 5)], "k int, cut int")
+    right = spark.createDataFrame([(1, 5, "at"), (1, 7, None), (1, 9, "nine"), (1, None, "never"), (3, 1, "other")], "k int, at int, v string")
+    got = sorted((r["k"] or 0, r["cut"], r["hit"]) for r in R.asof_forward(left, right, ["k"], "cut", "at", F.struct("v", "at"), "hit").collect())
+    assert [(k, c, h and (h["v"], h["at"])) for k, c, h in got] == [(0, 5, None), (1, 5, ("at", 5)), (1, 9, ("nine", 9)), (1, 20, None), (2, 1, None)]
+    assert R.asof_forward(left.filter("cut = 5 and k = 1"), right.filter("at = 7"), ["k"], "cut", "at", F.col("v"), "hit").first()["hit"] is None
