@@ -80,6 +80,7 @@ class Container(NamedTuple):
 class Dropper(NamedTuple):
     around: int  # index of the dropping element around it, or -1
     marked: bool  # it drops by its marks or as a form only
+    loose: bool  # a telling word stands among others in its names, no more
     inner: list[int]  # characters outside links for which it is the innermost one, and whether an article's container is in or at it
 
 
@@ -127,7 +128,7 @@ def parse(html: str) -> Page:
 
 
 def _spared(page: Page) -> frozenset[int]:
-    """The marked elements that hold the main part of the unlinked text, less what others in them drop. One without an article's container, such as a long advertisement, does not count if one with text is outside."""
+    """The marked elements that hold the main part of the unlinked text, less what others in them drop. One without an article's container, such as a long advertisement, does not count if one with text is outside, unless it is marked loosely."""
     held, good = [d.inner[0] for d in page.droppers], [bool(d.inner[1]) for d in page.droppers]
     total = sum(b[1] for b in page.blocks) + sum(d.inner[0] for d in page.droppers if d.marked)
     outside: bool | None = None
@@ -138,7 +139,7 @@ def _spared(page: Page) -> frozenset[int]:
             continue
         if outside is None:
             outside = _has_article(page)
-        if good[k] or not outside:
+        if good[k] or d.loose or not outside:
             spared.add(k)
             if d.around >= 0:
                 held[d.around] += held[k]
@@ -260,7 +261,8 @@ def _parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
         stack.append(Open(tag, dropping and len(droppers) not in spared, inside, within, level, (stack[-1].barrier if stack else -1) if tag in INLINE else len(stack)))
         many[tag] = many.get(tag, 0) + 1
         if dropping:
-            droppers.append(Dropper(within, not hidden and (tag == "form" or tag not in DROPPED), [0, 0]))
+            loose = not hidden and tag not in DROPPED and ROLES.isdisjoint(roles) and not any(map(_WHOLE[1].fullmatch, names))
+            droppers.append(Dropper(within, not hidden and (tag == "form" or tag not in DROPPED), loose, [0, 0]))
             within = len(droppers) - 1
             dropping = within not in spared
         level = max(level, 2 if tag == "article" or body else 1 if tag == "main" or "main" in roles else 0)
@@ -330,6 +332,8 @@ def extract(html: str, paths: list[int]) -> str:
     page = parse(html)
     if not page.blocks:
         return ""
+    if not any(plain for _, plain, _ in page.blocks):  # all of it is links
+        page = page._replace(blocks=[(t, len(t), inside) for t, _, inside in page.blocks])
     score = scores(page)
     own = best(page, score)
     on: dict[int, list[int]] = {}

@@ -119,6 +119,14 @@ def test_names_tell_less_inside_an_article(page, text):
     assert H.extract(page, []) == text
 
 
+def test_linked_articles_and_loose_marks_are_kept():
+    law = " ".join(f"This is sentence number {i} about the law." for i in range(10))
+    assert H.extract("<article><p><a>All of the text is linked here</a></p></article><div><div></div></div>", []) == "All of the text is linked here"
+    assert H.extract(f"<div class='post'><p>Short.</p></div><div class='comment-policy-law'><p>{law}</p></div>", []) == f"Short. {law}"
+    for name in ("comments", "comment-list", "sidebar", "share-buttons"):
+        assert H.extract(f"<div class='post'><p>Short post text here.</p></div><div class='{name}'><p>{law}</p></div>", []) == "Short post text here."
+
+
 def test_deep_and_broken_pages_take_time_in_proportion(spark):
     import time
 
