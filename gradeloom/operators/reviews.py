@@ -170,11 +170,67 @@ def rating_previews(schedule: DataFrame, now: Column) -> DataFrame:
     return due.select("student_id", "card_id", "recall", F.inline(F.array(*[option(g) for g in (1, 2, 3, 4)])))
 
 
-def schedule_migration(old: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A dry run's counts: schedules, reviews, keys on either side, and schedules without history."""
-    history = reviews.filter("mode = 'study'").groupBy("student_id", "card_id").agg(F.count("*").alias("n"))
-    both = old.select("student_id", "card_id", F.lit(1).alias("has")).join(history, ["student_id", "card_id"], "full")
-    return both.agg(F.count("has").alias("states"), F.sum("n").alias("reviews"), F.count("*").alias("keys"), F.count_if(F.col("has").isNull()).alias("pending"), F.count_if(F.col("n").isNull()).alias("without_history"))
+#: The scheduler that schedules are moved to, and the status that each of its states has.
+SCHEDULER = "fsrs-6"
+STATUS_OF = {0: "new", 1: "learning", 2: "review", 3: "learning"}
+_CARD, _FSRS = ["student_id", "card_id"], ["stability", "difficulty", "state", "reps", "lapses", "step", "minutes", "last_at"]
+#: What a migration changes of a schedule.
+SCHEDULE = ["scheduler_version", "state_version", "status", "legacy_lapses", *_FSRS]
+_SCHEDULE_TYPE = f"scheduler_version string, state_version long, status string, legacy_lapses int, {FSRS_STATE}"
+
+
+def _to_migrate(states: DataFrame, reviews: DataFrame, version: str) -> DataFrame:
+    history = reviews.filter("mode = 'study'").groupBy(*_CARD).agg(F.count("*").alias("n"))
+    both = states.select(*_CARD, F.lit(True).alias("has"), "scheduler_version").join(history, _CARD, "full")
+    return both.withColumn("pending", ~F.col("scheduler_version").eqNullSafe(version))
+
+
+def schedule_migration(states: DataFrame, reviews: DataFrame, version: str = SCHEDULER) -> DataFrame:
+    """A dry run's counts: states, study reviews, schedules (keys of either), those that have the version already, and of the pending ones all and those without history."""
+    pending = F.col("pending")
+    return _to_migrate(states, reviews, version).agg(
+        F.count("has").alias("states"), F.coalesce(F.sum("n"), F.lit(0)).alias("reviews"), F.count("*").alias("schedules"), F.count_if(~pending).alias("already"), F.count_if(pending).alias("pending"), F.count_if(pending & F.col("n").isNull()).alias("without_history"),
+    )
+
+
+def migration_diff(states: DataFrame, reviews: DataFrame, version: str = SCHEDULER) -> DataFrame:
+    """What a migration changes: each pending schedule as it is (``before``, null if there is none) and as a replay of its study reviews makes it (``after``).
+
+    ``states``: student_id, card_id and the columns of ``SCHEDULE``; its lapses before are its legacy ones, four of which make it a leech. A schedule without
+    history starts anew. The version of a state rises by one. ``before`` is the image from which ``rolled_back`` restores.
+    """
+    pending = _to_migrate(states, reviews, version).filter("pending").select(*_CARD)
+    kinds = dict(f.split(" ") for f in _SCHEDULE_TYPE.split(", "))
+    typed = lambda f, c: c.cast(kinds[f]).alias(f)
+    old = states.select(*_CARD, F.struct(*[typed(f, F.col(f)) for f in SCHEDULE]).alias("before"))
+    new = fsrs_replay(reviews).drop("due_at")
+    rows = pending.join(old, _CARD, "left").join(new, _CARD, "left")
+    legacy = F.coalesce(F.coalesce("before.legacy_lapses", "before.lapses"), F.lit(0))
+    fresh = {f: F.coalesce(F.col(f), F.lit(None if f == "last_at" else 0)) for f in _FSRS}
+    status = F.when(legacy >= 4, "leech")
+    for kind, name in STATUS_OF.items():
+        status = status.when(fresh["state"] == kind, name)
+    values = {"scheduler_version": F.lit(version), "state_version": F.coalesce("before.state_version", F.lit(0)) + 1, "status": status, "legacy_lapses": legacy, **fresh}
+    return rows.select(*_CARD, "before", F.struct(*[typed(f, c) for f, c in values.items()]).alias("after"))
+
+
+def _replaced(states: DataFrame, diff: DataFrame, old: str, new: str) -> DataFrame:
+    """States with ``new`` for ``old`` where the state still has ``old``'s version; a null ``new`` goes, a null ``old`` comes."""
+    rows = states.join(diff.select(*_CARD, F.col(old).alias("o"), F.col(new).alias("n"), F.lit(True).alias("listed")), _CARD, "full")
+    here = F.col("scheduler_version").isNotNull() | F.col("state_version").isNotNull() | F.col("status").isNotNull()
+    fits = F.col("listed").isNotNull() & F.when(F.col("o").isNull(), ~here).otherwise(here & F.col("state_version").eqNullSafe(F.col("o.state_version")))
+    kept = rows.withColumn("fits", fits).filter((F.col("fits") & F.col("n").isNotNull()) | (~F.col("fits") & here))
+    return kept.select(*_CARD, *[F.when(F.col("fits"), F.col(f"n.{f}")).otherwise(F.col(f)).cast(states.schema[f].dataType).alias(f) for f in SCHEDULE])
+
+
+def migrated(states: DataFrame, diff: DataFrame) -> DataFrame:
+    """States after a migration. One that changed since the diff was made, by its version, stays as it is."""
+    return _replaced(states, diff, "before", "after")
+
+
+def rolled_back(states: DataFrame, diff: DataFrame) -> DataFrame:
+    """States before a migration, from its images. One that was reviewed since, by its version, stays as it is."""
+    return _replaced(states, diff, "after", "before")
 
 
 def deck_dashboard(cards: DataFrame, schedule: DataFrame, today: Column) -> DataFrame:

@@ -73,6 +73,21 @@ def f(query: str) -> str:
     return sql(f"{_FOLD} {query}")
 
 
+#: Schedules of another scheduler, some of them moved already, in the SQL that both engines share.
+_STATES = "select student_id, card_id, case when card_id % 4 = 0 then 'fsrs-6' else 'sm-2' end as scheduler_version, cast(card_id + 1 as bigint) as state_version, 'review' as status, cast((student_id + card_id) % 6 as int) as legacy_lapses from {cards} where card_id % 3 < 2"
+
+
+def _states(v: Views):
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split(" ") for f in R.FSRS_STATE.split(", "))]
+    return v.spark.sql(_STATES, cards=_cards(v)).select("*", *empty)
+
+
+def _migration(v: Views):
+    rows = R.migration_diff(_states(v), v.reviews)
+    new = [F.col(f"after.{c}").alias(c) for c in ("state_version", "status", "legacy_lapses", "state", "reps", "lapses", "step", "minutes")]
+    return rows.select("student_id", "card_id", F.col("before.state_version").alias("old_version"), F.col("before.status").alias("old_status"), *new, F.round("after.stability", 5).alias("stability"), F.round("after.difficulty", 5).alias("difficulty"))
+
+
 def _progress(v: Views):
     return R.deck_progress(_cards(v), _schedule(v), v.reviews, _today())
 
@@ -87,7 +102,8 @@ QUERIES = {
     "r3_fsrs_replay": lambda v: R.fsrs_replay(v.reviews).withColumn("stability", F.round("stability", 5)).withColumn("difficulty", F.round("difficulty", 5)).withColumn("due_on", F.to_date("due_at")).drop("due_at", "last_at"),
     "r4_rating_previews": lambda v: R.rating_previews(R.fsrs_replay(v.reviews), F.lit(NOW).cast("timestamp")).withColumn("recall", F.round("recall", 6)),
     "r5_sm2_fold": _schedule,
-    "r6_schedule_migration": lambda v: R.schedule_migration(_cards(v).filter("deck_id < 2"), v.reviews),
+    "r6_schedule_migration": lambda v: R.schedule_migration(_states(v), v.reviews),
+    "r6_migration_diff": _migration,
     "r7_deck_dashboard": lambda v: R.deck_dashboard(_cards(v), _schedule(v), _today()),
     "r8_deck_progress": _progress,
     "r9_study_history": lambda v: R.study_history(_cards(v), R.due_before(v.reviews), _schedule(v), _today()),
@@ -105,7 +121,8 @@ SQL = {
     "r3_fsrs_replay": replayed("select student_id, card_id, round(s, 5) as stability, round(d, 5) as difficulty, kind as state, reps, lapses, step, minutes, (to_timestamp(sec + minutes * 60) at time zone 'UTC')::date as due_on from s"),
     "r4_rating_previews": replayed(f"select student_id, card_id, round(r, 6) as recall, rating, {_KIND} as next_state, ({_MINUTES})::bigint as minutes, ({_MINUTES})::bigint // 1440 as days from (select *, {_INTERVALS} from (select *, {_AFTER} from (select *, {_RECALL} as r from (select *, greatest(epoch(timestamp '{NOW}')::bigint // 86400 - sec // 86400, 0) as days from s where sec + minutes * 60 <= epoch(timestamp '{NOW}'))))), (select unnest([1, 2, 3, 4]) as rating)"),
     "r5_sm2_fold": f("select * from s"),
-    "r6_schedule_migration": f("select count(c.card_id) as states, sum(n)::bigint as reviews, count(*) as keys, count_if(c.card_id is null) as pending, count_if(n is null) as without_history from (select * from cards where deck_id < 2) c full join (select student_id, card_id, count(*) as n from o group by 1, 2) h on c.student_id = h.student_id and c.card_id = h.card_id"),
+    "r6_schedule_migration": f(f"select count(c.card_id) as states, coalesce(sum(n), 0)::bigint as reviews, count(*) as schedules, count_if(coalesce(c.scheduler_version, '') = 'fsrs-6') as already, count_if(coalesce(c.scheduler_version, '') <> 'fsrs-6') as pending, count_if(coalesce(c.scheduler_version, '') <> 'fsrs-6' and n is null) as without_history from ({_STATES.format(cards='cards')}) c full join (select student_id, card_id, count(*) as n from o group by 1, 2) h on c.student_id = h.student_id and c.card_id = h.card_id"),
+    "r6_migration_diff": replayed(f"select coalesce(c.student_id, s.student_id) as student_id, coalesce(c.card_id, s.card_id) as card_id, c.state_version as old_version, c.status as old_status, coalesce(c.state_version, 0) + 1 as state_version, case when coalesce(c.legacy_lapses, 0) >= 4 then 'leech' else case coalesce(s.kind, 0) when 0 then 'new' when 2 then 'review' else 'learning' end end as status, coalesce(c.legacy_lapses, 0) as legacy_lapses, coalesce(s.kind, 0) as state, coalesce(s.reps, 0) as reps, coalesce(s.lapses, 0) as lapses, coalesce(s.step, 0) as step, coalesce(s.minutes, 0) as minutes, coalesce(round(s.s, 5), 0) as stability, coalesce(round(s.d, 5), 0) as difficulty from ({_STATES.format(cards='(select student_id, u as card_id from (select distinct student_id from reviews), (select unnest(range(0, 12))::int as u))')}) c full join s on c.student_id = s.student_id and c.card_id = s.card_id where coalesce(c.scheduler_version, '') <> 'fsrs-6'"),
     "r7_deck_dashboard": f(f"select student_id, deck_id, count(*) as card_count, count_if(due_on <= {_D}) as due_count, count_if(due_on is null) as new_count from cards left join s using (student_id, card_id) group by 1, 2"),
     "r8_deck_progress": f("select * from work"),
     "r9_study_history": f(f"""select student_id, deck_id, day, case when unknown = 0 then due end as total_due, unknown, coalesce(studied, 0) as studied, coalesce(n, 0) as reviews, tracked_ms from (

@@ -366,3 +366,24 @@ def test_asof_takes_the_first_right_row_from_the_cutoff_on(spark):
     got = sorted((r["k"] or 0, r["cut"], r["hit"]) for r in R.asof_forward(left, right, ["k"], "cut", "at", F.struct("v", "at"), "hit").collect())
     assert [(k, c, h and (h["v"], h["at"])) for k, c, h in got] == [(0, 5, None), (1, 5, ("at", 5)), (1, 9, ("nine", 9)), (1, 20, None), (2, 1, None)]
     assert R.asof_forward(left.filter("cut = 5 and k = 1"), right.filter("at = 7"), ["k"], "cut", "at", F.col("v"), "hit").first()["hit"] is None
+
+
+def test_migration_and_its_inverse_give_back_the_snapshot(spark):
+    old = f"student_id long, card_id long, scheduler_version string, state_version long, status string, legacy_lapses int, {reviews.FSRS_STATE}"
+    none = (None,) * 8
+    states = spark.createDataFrame([(1, 1, "sm-2", 4, "mature", 1, *none), (1, 2, "fsrs-6", 2, "review", 0, 5.0, 6.0, 2, 3, 0, 0, 1440, 9), (1, 3, "sm-2", 1, "young", 5, *none), (1, 4, None, 7, "young", None, *none)], old)
+    log = spark.createDataFrame([(1, 1, 1, 3, "study", "2026-01-01 00:00:00"), (1, 1, 2, 3, "study", "2026-01-02 00:00:00"), (2, 9, 3, 3, "study", "2026-01-02 00:00:00"), (1, 3, 4, 3, "sprint", "2026-01-02 00:00:00")], "student_id long, card_id long, review_id long, rating int, mode string, created_at string")
+    counts = reviews.schedule_migration(states, log).first().asDict()
+    assert counts == {"states": 4, "reviews": 3, "schedules": 5, "already": 1, "pending": 4, "without_history": 2}
+    diff = reviews.migration_diff(states, log).cache()
+    got = {(r["student_id"], r["card_id"]): (r["before"] and r["before"]["state_version"], r["after"]["state_version"], r["after"]["status"], r["after"]["reps"]) for r in diff.collect()}
+    assert got == {(1, 1): (4, 5, "review", 2), (1, 3): (1, 2, "leech", 0), (1, 4): (7, 8, "new", 0), (2, 9): (None, 1, "learning", 1)}
+    new = reviews.migrated(states, diff).cache()
+    assert new.count() == 5 and new.filter("scheduler_version = 'fsrs-6'").count() == 5
+    rows = lambda df: sorted(map(str, df.select(states.columns).collect()))
+    assert rows(reviews.rolled_back(new, diff)) == rows(states)
+    # a card that was reviewed in between keeps its newer state, both ways
+    later = states.withColumn("state_version", F.col("state_version") + F.when(F.col("card_id") == 1, 1).otherwise(0))
+    assert {r["card_id"]: r["scheduler_version"] for r in reviews.migrated(later, diff).collect()}[1] == "sm-2"
+    moved = new.withColumn("state_version", F.col("state_version") + F.when(F.col("card_id") == 9, 1).otherwise(0))
+    assert {r["card_id"] for r in reviews.rolled_back(moved, diff).collect()} == {1, 2, 3, 4, 9}
