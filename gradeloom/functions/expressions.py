@@ -67,6 +67,18 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 32)
 
 
+def question_fingerprint(section: Column, kind: Column, passage: Column, prompt: Column, choices: Column, answer: Column) -> Column:
+    """The fingerprint of a question's content: section, type, passage, prompt, its labelled choices in order and its answer, if it has one.
+
+    Where a question comes from is no part of it. ``choices`` is an array of structs of label and text; null texts are empty.
+    """
+    text = lambda x: content_text(F.coalesce(x, F.lit("")))
+    labelled = F.transform(F.coalesce(choices, F.array().cast("array<struct<label:string,text:string>>")), lambda c: F.concat(F.upper(F.coalesce(c["label"], F.lit(""))), F.lit("="), text(c["text"])))
+    key = F.when(answer != "", F.concat(F.lit("key="), content_text(answer)))
+    lines = F.concat(F.array(F.coalesce(section, F.lit("")), F.coalesce(kind, F.lit("")), text(passage), text(prompt)), labelled, F.array_compact(F.array(key)))
+    return F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 32)
+
+
 def stem_bucket(section: Column, prompt: Column, choices: Column) -> Column:
     """Section, number of choices and the first ten telling words of a prompt."""
     found = F.filter(F.split(F.regexp_replace(content_text(prompt), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))

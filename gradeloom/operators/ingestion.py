@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.expressions import content_text, evidence, fingerprint, label_month, label_region, label_variant, label_year, overlap, repaired, stem_bucket, tokens
+from gradeloom.functions.expressions import content_text, evidence, label_month, label_region, label_variant, label_year, overlap, question_fingerprint, repaired, stem_bucket, tokens
+from gradeloom.functions.lineage import cut
 from gradeloom.functions.relational import islands
 
 #: Questions of the four modules of a full test, and the signs of a phantom prompt.
@@ -123,9 +124,16 @@ def section_transition(rows: DataFrame, text: str, width: int = 5, least: int =
     return signs.groupBy("import_id").agg(F.min(F.when(found, F.col("seq"))).alias("transition"))
 
 
-def exact_duplicates(docs: DataFrame, key: str, parts: list[Column], order: Column) -> DataFrame:
-    """Documents with equal content: group size, the first of the group by ``order``, and whether one is a later copy. Blank ones are left out."""
-    rows = docs.select(key, fingerprint(*[content_text(p) for p in parts]).alias("fp"), order.alias("o"), F.length(F.trim(F.concat_ws("", *parts))).alias("n")).filter("n > 0")
+def exact_duplicates(questions: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Questions whose content another has too: fingerprint, ``size`` of its group, ``canonical`` (the key of the first by ``order``) and whether one is a later copy.
+
+    ``questions``: key, section, kind, passage, prompt, choices (label and text), answer and the columns of ``order``. Questions without a
+    prompt, passage or choice are left out. Fingerprints are made once and written, before they are grouped and joined.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    empty = blank(F.col("prompt")) & blank(F.col("passage")) & (F.coalesce(F.size("choices"), F.lit(0)) <= 0)
+    fp = question_fingerprint(*[F.col(c) for c in ("section", "kind", "passage", "prompt", "choices", "answer")])
+    rows = cut(questions.filter(~empty).select(key, fp.alias("fp"), F.struct(*order, key).alias("o")))
     groups = rows.groupBy("fp").agg(F.count("*").alias("size"), F.min_by(key, "o").alias("canonical")).filter("size > 1")
     return rows.join(groups, "fp").select(key, "fp", "size", "canonical", (F.col(key) != F.col("canonical")).alias("is_copy"))
 

@@ -15,6 +15,14 @@ def _pages(v: Views):
     return v.draft_texts.select("import_id", "id", F.col("rn").cast("int").alias("page_number"), "text")
 
 
+def _content(v: Views):
+    choice = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    kind = F.when(F.col("n_chars") % 7 == 0, "typed").otherwise("multiple_choice").alias("kind")
+    choices = F.when(F.col("n_chars") % 7 > 0, F.array(choice("a", F.upper("lang")), choice("B", F.lit(" ( No ) .. way "))))
+    answer = F.when(F.col("n_chars") % 6 > 0, F.expr("substr('ABCD', n_chars % 4 + 1, 1)")).alias("answer")
+    return v.documents.select("doc_id", "source", "n_chars", F.col("lang").alias("section"), kind, F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("From “"), "lang", F.lit("”"))).alias("passage"), F.col("text").alias("prompt"), choices.alias("choices"), answer)
+
+
 def _bank(v: Views):
     return D.question_blocks(S.lines(v.bank_pages, ["import_id", "page_number"]), F.col("line").rlike("(?i)^question id"))
 
@@ -115,7 +123,7 @@ QUERIES = {
     "d7_repair_numbers": lambda v: D.repair_numbers(_seq(v)),
     "d7_fill_runs": lambda v: D.fill_runs(_seq(v)),
     "d8_section_transition": lambda v: D.section_transition(v.draft_texts.select("import_id", F.col("rn").alias("seq"), "text"), "text"),
-    "d9_exact_duplicates": lambda v: D.exact_duplicates(v.documents, "doc_id", [F.col("text")], F.col("doc_id")),
+    "d9_exact_duplicates": lambda v: D.exact_duplicates(_content(v), "doc_id", ["source", "n_chars"]),
     "d10_near_buckets": lambda v: D.near_buckets(v.documents, "doc_id", F.col("lang"), F.col("text"), F.lit(4)),
     "d11_coalesce_repeats": lambda v: D.coalesce_repeats(v.draft_texts.select("import_id", (F.col("n_chars") % 2).alias("module"), (F.length("prompt") % 3).alias("number"), "id", "page_number", "prompt", F.array_compact(F.array("answer")).alias("choices"), F.array_compact(F.array("flag")).alias("flags"))),
     "d12_attribute_figures": _figures,
@@ -276,7 +284,9 @@ SQL = {
     "d7_repair_numbers": f"with {_SEQ} select import_id, seq, number, case when b + 2 = f and number is distinct from b + 1 then b + 1 else number end as repaired from (select *, lag(number) over w as b, lead(number) over w as f from q window w as (partition by import_id order by seq))",
     "d7_fill_runs": f"with {_SEQ}, w as (select *, last_value(number ignore nulls) over (partition by import_id order by seq rows between unbounded preceding and 1 preceding) as b, first_value(number ignore nulls) over (partition by import_id order by seq rows between 1 following and unbounded following) as f, count(number) over (partition by import_id order by seq) as run from q) select import_id, seq, number, coalesce(number, case when f - b - 1 = n then b + k - h end)::int as filled from (select *, row_number() over (partition by import_id, run order by seq) as k, count_if(number is null) over (partition by import_id, run) as n, count(number) over (partition by import_id, run) as h from w)".replace("count_if(number is null)", "count(case when number is null then 1 end)"),
     "d8_section_transition": sql(f"select import_id, min(case when s >= 3 and c = 5 and place > 20 then seq end) as transition from (select import_id, rn as seq, sum((regexp_matches(text, '{_MATH[0]}') or regexp_matches(text, '{_MATH[1]}'))::int) over ahead as s, count(*) over ahead as c, row_number() over (partition by import_id order by rn) as place from draft_texts window ahead as (partition by import_id order by rn rows between current row and 4 following)) group by 1"),
-    "d9_exact_duplicates": f"with r as (select doc_id, substr(sha256({_CONTENT}), 1, 32) as fp from documents where trim(text) <> '') select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, min(doc_id) as canonical from r group by 1 having count(*) > 1) using (fp)",
+    "d9_exact_duplicates": f"""with t as (select doc_id, source, n_chars, coalesce(lang, '') as section, case when n_chars % 7 = 0 then 'typed' else 'multiple_choice' end as kind, case when n_chars % 5 = 0 then 'from "' || lower(lang) || '"' else '' end as passage, {_CONTENT} as prompt, case when n_chars % 7 > 0 then chr(10) || 'A=' || lower(lang) || chr(10) || 'B=(no) way' else '' end as choices, case when n_chars % 6 > 0 then chr(10) || 'key=' || substr('abcd', (n_chars % 4 + 1)::int, 1) else '' end as answer, trim(coalesce(text, '')) <> '' or n_chars % 5 = 0 or n_chars % 7 > 0 as has from documents),
+      r as (select doc_id, source, n_chars, substr(sha256(section || chr(10) || kind || chr(10) || passage || chr(10) || coalesce(prompt, '') || choices || answer), 1, 32) as fp from t where has)
+      select doc_id, fp, size, canonical, doc_id <> canonical as is_copy from r join (select fp, count(*) as size, arg_min(doc_id, (source, n_chars, doc_id)) as canonical from r group by 1 having count(*) > 1) using (fp)""",
     "d10_near_buckets": f"select bucket, count(*) as size, min(doc_id) as first_id, max(doc_id) as last_id from (select doc_id, concat_ws('|', lang, 'mc4', array_to_string(list_filter(regexp_split_to_array(regexp_replace({_CONTENT}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))[1:10], ' ')) as bucket from documents) group by 1 having count(*) > 1",
     "d11_coalesce_repeats": sql("with d as (select import_id, n_chars % 2 as module, length(prompt) % 3 as number, id, page_number as page, answer, flag, length(prompt) + coalesce(length(answer), 0) as rich, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^a-z0-9]+'), lambda w: length(w) > 2)) as t from draft_texts) select import_id, module, number, case when r1 >= r2 then i1 else i2 end as kept, case when r1 >= r2 then i2 else i1 end as dropped, page as page_number, floor(o * 1000 + 0.5)::bigint as overlap_permille, array_to_string(list_sort(list_distinct(list_filter([f1, f2, 'repeated_source_question_coalesced'], lambda x: x is not null))), ',') as flags from (select a.import_id, a.module, a.number, a.id as i1, b.id as i2, a.rich as r1, b.rich as r2, a.flag as f1, b.flag as f2, least(a.page, b.page) as page, coalesce(len(list_intersect(a.t, b.t))::double / nullif(least(len(a.t), len(b.t)), 0)::double, 0) as o from d a join d b on a.import_id = b.import_id and a.module = b.module and a.number = b.number and a.id < b.id and abs(a.page - b.page) <= 3 and (a.answer is null or b.answer is null or a.answer = b.answer)) where o >= 0.82"),
     "d12_attribute_figures": "with q as (select page_id % 40 as pid, page_id as seq, length(url) % 3 as markers, sum(length(url) % 3) over (partition by page_id % 40 order by page_id) as upto from pages), b as (select pid, box_id, row_number() over (partition by pid order by box_id) as k from (select item_id % 40 as pid, item_id as box_id from benchmark union all select page_id % 40, page_id + 1000 from pages)) select b.pid as page_id, box_id, k, seq, case when seq is null then 'needs_review' else 'attributed' end as status from b left join q on b.pid = q.pid and k > upto - markers and k <= upto",

@@ -387,3 +387,13 @@ def test_migration_and_its_inverse_give_back_the_snapshot(spark):
     assert {r["card_id"]: r["scheduler_version"] for r in reviews.migrated(later, diff).collect()}[1] == "sm-2"
     moved = new.withColumn("state_version", F.col("state_version") + F.when(F.col("card_id") == 9, 1).otherwise(0))
     assert {r["card_id"] for r in reviews.rolled_back(moved, diff).collect()} == {1, 2, 3, 4, 9}
+
+
+def test_fingerprints_take_section_type_choices_and_key(spark):
+    schema = "id long, section string, kind string, passage string, prompt string, choices array<struct<label:string,text:string>>, answer string, file string, number int"
+    base = ("math", "multiple_choice", None, "What  is “x”?", [("a", "One"), ("b", "two..")], "A")
+    def of(**change):  # noqa: E306
+        return tuple((dict(zip(("section", "kind", "passage", "prompt", "choices", "answer"), base)) | change).values())
+    rows = [(1, *base, "b", 1), (2, *of(prompt='what is "X"?', choices=[("A", "one "), ("B", "TWO")], answer="a"), "a", 9), (3, *base, "a", 2), (4, *of(answer=None), "a", 1), (5, *of(section="rw"), "a", 1), (6, *of(kind="typed"), "a", 1), (7, *of(choices=[("b", "One"), ("a", "two..")]), "a", 1), (8, *of(answer=""), "c", 1), (9, *of(prompt=" ", choices=None), "c", 1), (10, *of(prompt=" ", choices=None), "c", 1)]
+    got = {r["id"]: (r["size"], r["canonical"], r["is_copy"]) for r in ingestion.exact_duplicates(spark.createDataFrame(rows, schema), "id", ["file", "number"]).collect()}
+    assert got == {1: (3, 3, True), 2: (3, 3, True), 3: (3, 3, False), 4: (2, 4, False), 8: (2, 4, True)}
