@@ -5,6 +5,7 @@ Every operator keeps to ``import_id`` (and module) as its partitioning, so a pla
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,75 @@ def extract_keys(lines: DataFrame) -> DataFrame:
     return hits.select("import_id", "module", "page_number", "line_no", "place", F.regexp_extract("pair", r"^(\d+)", 1).cast("int").alias("number"), F.substring("pair", -1, 1).alias("answer"))
 
 
+#: The heading of a module's answers and one answer of it.
+KEY_HEADING = r"(?i)^#*\s*(Reading and Writing|Math)\s+Module\s+([12])\s+Answers?\s*$"
+KEY_LINE = r"^\*{0,2}(\d{1,2})[.)]\*{0,2}\s+(.+?)\s*$"
+
+
+def scoped_keys(lines: DataFrame) -> DataFrame:
+    """Answer-key entries, one to a line, under the heading of their module: ``module`` (0 to 3), ``heading`` (that of the heading), ``number``, ``answer`` and ``place`` in the module.
+
+    A heading that was read too early stands above the last entries of the module before it: an entry whose number is beyond its module, and
+    the next one that the module before lacks, goes back there. Whether it is depends on the entries that went back before it, so the entries of
+    each import, one document's, are folded in order. ``lines``: import_id, page_number, line_no, line.
+    """
+    line = F.trim("line")
+    number = F.nullif(F.regexp_extract(line, KEY_LINE, 1), F.lit("")).try_cast("int")
+    answer = F.trim(F.regexp_replace(F.regexp_extract(line, KEY_LINE, 2), r"\*+\s*$", ""))
+    module = F.when(F.lower(F.regexp_extract(line, KEY_HEADING, 1)) == "math", 1).otherwise(-1) + F.nullif(F.regexp_extract(line, KEY_HEADING, 2), F.lit("")).try_cast("int")
+    marked = lines.select("import_id", "page_number", "line_no", module.alias("opens"), F.when(module.isNull() & (answer != ""), number).alias("number"), answer.alias("answer"))
+    order = Window.partitionBy("import_id").orderBy("page_number", "line_no")
+    under = marked.withColumn("heading", F.last("opens", ignorenulls=True).over(order)).filter("number is not null and heading is not null")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["page_number", "line_no"])
+        have, modules, places = [0, 0, 0, 0], [], []
+        for n, h in zip(rows["number"].tolist(), rows["heading"].tolist()):
+            back = h > 0 and n > MODULES[h][1] and n == have[h - 1] + 1 and n <= MODULES[h - 1][1]
+            m = h - 1 if back else h
+            have[m] += 1
+            modules.append(m)
+            places.append(have[m])
+        return rows.assign(module=modules, place=places)[["import_id", "page_number", "line_no", "heading", "module", "place", "number", "answer"]]
+
+    kind = dict(lines.dtypes)
+    out = f"import_id {kind['import_id']}, page_number int, line_no int, heading int, module int, place int, number int, answer string"
+    slim = under.select("import_id", F.col("page_number").cast("int").alias("page_number"), F.col("line_no").cast("int").alias("line_no"), "heading", "number", "answer")
+    return slim.groupBy("import_id").applyInPandas(fold, out)
+
+
+def scoped_exactness(keys: DataFrame) -> DataFrame:
+    """For each import with scoped keys: entries of the four modules, and whether each has all its numbers in order (``exact``)."""
+    right = F.col("number") == F.col("place")
+    counts = [F.count_if(F.col("module") == m).alias(f"c{m}") for m, _ in MODULES]
+    out = keys.groupBy("import_id").agg(*counts, F.count_if(~right).alias("astray"))
+    exact = F.col("astray") == 0
+    for m, n in MODULES:
+        exact = exact & (F.col(f"c{m}") == n)
+    return out.select("import_id", *[f"c{m}" for m, _ in MODULES], "astray", exact.alias("exact"))
+
+
+def rows_continue(before: Column, after: Column) -> Column:
+    """Does a row of a key's table (an array of numbers) go on with the row before it? Either every column does, or it begins after the largest number of an equally long one."""
+    k = F.least(F.size(before), F.size(after))
+    columns = F.forall(F.arrays_zip(F.slice(before, F.lit(1), k).alias("b"), F.slice(after, F.lit(1), k).alias("a")), lambda x: x["a"] == x["b"] + 1)
+    along = (F.size(before) == F.size(after)) & (F.array_min(after) == F.array_max(before) + 1)
+    return F.coalesce((k > 0) & (columns | along), F.lit(False))
+
+
+def key_columns(lines: DataFrame) -> DataFrame:
+    """Rows of key tables, lines with several ``n. X`` pairs, in blocks that go on from row to row: ``block``, and ``column`` and ``number`` of each pair.
+
+    ``lines``: import_id, page_number, line_no, line. A line without a pair ends no block; a row that doesn't continue the one before begins a new one.
+    """
+    pairs = F.transform(F.regexp_extract_all("line", F.lit(r"\b(\d{1,2})[.)]?\s+[A-D]\b"), F.lit(1)), lambda n: n.cast("int"))
+    rows = lines.select("import_id", "page_number", "line_no", pairs.alias("numbers")).filter(F.size("numbers") > 0)
+    order = Window.partitionBy("import_id").orderBy("page_number", "line_no")
+    starts = ~rows_continue(F.coalesce(F.lag("numbers").over(order), F.array().cast("array<int>")), F.col("numbers"))
+    blocks = rows.withColumn("starts", starts.cast("int")).withColumn("block", F.sum("starts").over(order))
+    return blocks.select("import_id", "block", "page_number", "line_no", F.posexplode("numbers").alias("column", "number"))
+
+
 def key_exactness(keys: DataFrame) -> DataFrame:
     """Whether a module's key has each number once, and how many it should have."""
     expected = F.element_at(F.create_map(*[F.lit(x) for pair in MODULES for x in pair]), F.col("module"))

@@ -104,7 +104,21 @@ def _decisions(v: Views):
     return A.promotion_decision(_readiness(v).filter("import_id not like '%-1'"), _readiness(v, True).filter("import_id <> 'src3-0'"), removed)
 
 
+#: Lines of answer keys, one entry each, with the headings of four modules, some of them read too early; and rows of key tables, in the SQL that both engines share.
+_SCOPED = """select import_id, cast(floor(p / 40) as int) as page_number, cast(p % 40 as int) as line_no, case when h then concat(case when m = 3 then '## ' else '' end, case when m < 2 then 'Reading and Writing Module ' else 'math module ' end, m % 2 + 1, ' Answers ') when p_size % 41 = 0 then 'a line of prose' when p_size % 43 = 0 then concat(n, '. ') else concat('**', n, case when p_size % 3 = 0 then ')' else '.' end, '** ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), ' ** ') end as line
+  from (select *, q in (0, 27 - e, 55, 78 - e) as h, case when q >= 78 - e then 3 when q >= 55 then 2 when q >= 27 - e then 1 else 0 end as m, case when q <= 27 then case when q > 27 - e then q - 1 else q end when q <= 54 then q - 27 when q < 78 - e then q - 55 when q <= 77 then q - 56 else q - 77 end as n
+    from (select p_size, cast(floor((p_partkey - 1) / 101) as bigint) as import_id, (p_partkey - 1) % 101 as p, (p_partkey - 1) % 101 as q, cast(floor((p_partkey - 1) / 101) as bigint) % 4 as e from {part}) x) y"""
+_TABLE = "select p_partkey % 10 as import_id, cast(floor(p_partkey / 200.0) as int) as page_number, cast(p_partkey % 200 as int) as line_no, concat(cast(floor(p_partkey / 10.0) as int) % 27 + 1, '. ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), case when p_size % 11 > 0 then concat('   ', cast(floor(p_partkey / 10.0) as int) % 27 + 1 + case when p_size % 13 = 0 then 8 else 7 end, ') B') else '' end) as line from {part} where p_size % 9 > 0"
+
+
+def _lines_of(v: Views, text: str):
+    return v.spark.sql(text, part=v.part)
+
+
 QUERIES = {
+    "d3_scoped_keys": lambda v: D.scoped_keys(_lines_of(v, _SCOPED)),
+    "d3_scoped_exactness": lambda v: D.scoped_exactness(D.scoped_keys(_lines_of(v, _SCOPED))),
+    "d4_key_columns": lambda v: D.key_columns(_lines_of(v, _TABLE)),
     "s3_split_pages": lambda v: S.split_pages(v.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda p, i: F.concat(F.lit("===== PAGE "), (i + 1).cast("string"), F.lit(" =====\n"), p)), "\n").alias("dump")), "doc_id", "dump"),
     "s4_lines": lambda v: S.lines(v.documents, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("line_no").alias("last"), F.sum(F.length("line")).alias("chars")),
     "f6_phantoms": lambda v: v.draft_texts.select("import_id", "id", D.is_phantom(F.col("prompt")).alias("phantom")),
@@ -265,7 +279,21 @@ def _fixed(source: str) -> str:
     return f"select * replace ({fixed} as fixed) from ({out})"
 
 
+_FOLDED = f"""with recursive l as ({_SCOPED.format(part="part")}),
+ a as (select *, case when regexp_matches(line, '(?i)^#*\\s*(Reading and Writing|Math)\\s+Module\\s+([12])\\s+Answers?\\s*$') then case when lower(line) like '%math%' then 2 else 0 end + regexp_extract(line, '(?i)module\\s+([12])', 1)::int - 1 end as opens from (select * replace (trim(line) as line) from l)),
+ u as (select *, last_value(opens ignore nulls) over (partition by import_id order by page_number, line_no) as heading, try_cast(regexp_extract(line, '^\\*{{0,2}}(\\d{{1,2}})[.)]\\*{{0,2}}\\s+(.+?)\\s*$', 1) as int) as number, trim(regexp_replace(regexp_extract(line, '^\\*{{0,2}}(\\d{{1,2}})[.)]\\*{{0,2}}\\s+(.+?)\\s*$', 2), '\\*+\\s*$', '')) as answer from a),
+ o as (select *, row_number() over (partition by import_id order by page_number, line_no) as k from u where opens is null and number is not null and answer <> '' and heading is not null),
+ f as (select import_id, 0::bigint as k, [0, 0, 0, 0] as have, -1 as module from (select distinct import_id from o) union all
+  select import_id, k, list_transform(have, lambda x, i: x + (i = m + 1)::int), m from (select o.import_id, o.k, f.have, case when o.heading > 0 and o.number > [27, 27, 22, 22][o.heading + 1] and o.number = f.have[o.heading] + 1 and o.number <= [27, 27, 22, 22][o.heading] then o.heading - 1 else o.heading end as m from f join o on o.import_id = f.import_id and o.k = f.k + 1)),
+ s as (select o.import_id, o.page_number, o.line_no, o.heading, f.module, f.have[f.module + 1] as place, o.number, o.answer from o join f on f.import_id = o.import_id and f.k = o.k)"""
+
 SQL = {
+    "d3_scoped_keys": f"{_FOLDED} select * from s",
+    "d3_scoped_exactness": f"{_FOLDED} select *, astray = 0 and c0 = 27 and c1 = 27 and c2 = 22 and c3 = 22 as exact from (select import_id, count(*) filter (module = 0) as c0, count(*) filter (module = 1) as c1, count(*) filter (module = 2) as c2, count(*) filter (module = 3) as c3, count(*) filter (number <> place) as astray from s group by 1)",
+    "d4_key_columns": f"""with l as ({_TABLE.format(part="part")}), r as (select * from (select import_id, page_number, line_no, list_transform(regexp_extract_all(line, '\\b(\\d{{1,2}})[.)]?\\s+[A-D]\\b', 1), lambda x: x::int) as ns from l) where len(ns) > 0),
+      p as (select *, lag(ns) over (partition by import_id order by page_number, line_no) as ps from r),
+      b as (select *, sum((not coalesce(case when len(ps) >= 1 then list_slice(ns, 1, least(len(ns), len(ps))) = list_transform(list_slice(ps, 1, least(len(ns), len(ps))), lambda x: x + 1) or (len(ns) = len(ps) and list_min(ns) = list_max(ps) + 1) end, false))::int) over (partition by import_id order by page_number, line_no) as block from p)
+      select import_id, block::bigint as block, page_number, line_no, i - 1 as "column", ns[i] as number from (select *, unnest(range(1, len(ns) + 1))::int as i from b)""",
     "s3_split_pages": "select doc_id, i as page_number, trim(case when i = n then regexp_replace(p, '\\n$', '') else p end) as text from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1)::int as i, len(ps) as n from (select doc_id, string_split(text, chr(10)) as ps from documents))",
     "s4_lines": "select doc_id, count(*) as lines, max(i - 1)::int as last, sum(length(line))::bigint as chars from (select doc_id, trim(unnest(ls)) as line, generate_subscripts(ls, 1) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)) where line <> '' group by 1",
     "f6_phantoms": sql(f"select import_id, id, {_PHANTOM.format(x='prompt')} as phantom from draft_texts"),

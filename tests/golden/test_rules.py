@@ -397,3 +397,30 @@ def test_fingerprints_take_section_type_choices_and_key(spark):
     rows = [(1, *base, "b", 1), (2, *of(prompt='what is "X"?', choices=[("A", "one "), ("B", "TWO")], answer="a"), "a", 9), (3, *base, "a", 2), (4, *of(answer=None), "a", 1), (5, *of(section="rw"), "a", 1), (6, *of(kind="typed"), "a", 1), (7, *of(choices=[("b", "One"), ("a", "two..")]), "a", 1), (8, *of(answer=""), "c", 1), (9, *of(prompt=" ", choices=None), "c", 1), (10, *of(prompt=" ", choices=None), "c", 1)]
     got = {r["id"]: (r["size"], r["canonical"], r["is_copy"]) for r in ingestion.exact_duplicates(spark.createDataFrame(rows, schema), "id", ["file", "number"]).collect()}
     assert got == {1: (3, 3, True), 2: (3, 3, True), 3: (3, 3, False), 4: (2, 4, False), 8: (2, 4, True)}
+
+
+def _keys(spark, text):
+    rows = [("x", 1, i, t) for i, t in enumerate(text.strip().splitlines())]
+    out = ingestion.scoped_keys(spark.createDataFrame(rows, "import_id string, page_number int, line_no int, line string"))
+    return out, sorted((r["module"], r["place"], r["number"], r["answer"], r["heading"]) for r in out.collect())
+
+
+def test_keys_after_an_early_heading_go_back_to_the_module_before(spark):
+    rw1 = "\n".join(["# Reading and Writing Module 1 Answers", *[f"{i}. A" for i in range(1, 28)]])
+    rw2 = "\n".join(["Reading and Writing Module 2 Answer", *[f"**{i})** B **" for i in range(1, 26)]])
+    tail = "\n".join(["Math Module 1 Answers", "26. C", "27. D", "no entry", *[f"{i}. {i}/4" for i in range(1, 23)]])
+    rest = "\n".join(["math module 2 answers", *[f"{i}. x = {i}" for i in range(1, 23)]])
+    out, got = _keys(spark, "\n".join(["9. lost", rw1, rw2, tail, rest]))
+    assert [(m, p, n, a, h) for m, p, n, a, h in got if m == 1][-2:] == [(1, 26, 26, "C", 2), (1, 27, 27, "D", 2)]
+    assert [g[3] for g in got if g[0] == 2][:2] == ["1/4", "2/4"] and got[-1] == (3, 22, 22, "x = 22", 3)
+    r = ingestion.scoped_exactness(out).first()
+    assert ([r[f"c{i}"] for i in range(4)], r["astray"], r["exact"]) == ([27, 27, 22, 22], 0, True)
+    # a number that isn't the next one of the module before, or fits its own module, stays
+    out, got = _keys(spark, "Reading and Writing Module 2 Answers\n1. A\nMath Module 1 Answers\n27. B\n2. C\n23. D")
+    assert [(m, n) for m, _, n, _, _ in got] == [(1, 1), (2, 27), (2, 2), (2, 23)] and not ingestion.scoped_exactness(out).first()["exact"]
+
+
+@pytest.mark.parametrize(("before", "after", "goes_on"), [([1, 10], [2, 11], True), ([1, 10], [2, 12], False), ([1, 2, 3], [4, 5, 6], True), ([1, 2], [3, 5], True), ([1, 2, 3], [4, 5], False), ([5, 9, 13], [6, 10], True), ([], [1], False), ([3], [3], False)])
+def test_rows_of_key_tables_go_on(spark, before, after, goes_on):
+    df = spark.createDataFrame([(before, after)], "b array<int>, a array<int>")
+    assert df.select(ingestion.rows_continue(F.col("b"), F.col("a")).alias("x")).first()["x"] is goes_on
