@@ -105,9 +105,9 @@ def _decisions(v: Views):
 
 
 #: Lines of answer keys, one entry each, with the headings of four modules, some of them read too early; and rows of key tables, in the SQL that both engines share.
-_SCOPED = """select import_id, cast(floor(p / 40) as int) as page_number, cast(p % 40 as int) as line_no, case when h then concat(case when m = 3 then '## ' else '' end, case when m < 2 then 'Reading and Writing Module ' else 'math module ' end, m % 2 + 1, ' Answers ') when p_size % 41 = 0 then 'a line of prose' when p_size % 43 = 0 then concat(n, '. ') else concat('**', n, case when p_size % 3 = 0 then ')' else '.' end, '** ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), ' ** ') end as line
-  from (select *, q in (0, 27 - e, 55, 78 - e) as h, case when q >= 78 - e then 3 when q >= 55 then 2 when q >= 27 - e then 1 else 0 end as m, case when q <= 27 then case when q > 27 - e then q - 1 else q end when q <= 54 then q - 27 when q < 78 - e then q - 55 when q <= 77 then q - 56 else q - 77 end as n
-    from (select p_size, cast(floor((p_partkey - 1) / 101) as bigint) as import_id, (p_partkey - 1) % 101 as p, (p_partkey - 1) % 101 as q, cast(floor((p_partkey - 1) / 101) as bigint) % 4 as e from {part}) x) y"""
+_SCOPED = """select import_id, cast(floor(q / 40.0) as int) as page_number, cast(q % 40 as int) as line_no, case when h then concat(case when m = 3 then '## ' else '' end, case when m < 2 then 'Reading and Writing Module ' else 'math module ' end, m % 2 + 1, ' Answers ') when import_id % 3 = 0 and p_size % 41 = 0 then 'a line of prose' when import_id % 3 = 0 and p_size % 43 = 0 then concat(n, '. ') else concat('**', n, case when p_size % 3 = 0 then ')' else '.' end, '** ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), ' ** ') end as line
+  from (select *, q in (0, 28, 56 - e, 79) as h, case when q >= 79 then 3 when q >= 56 - e then 2 when q >= 28 then 1 else 0 end as m, q - case when q < 28 then 0 when q < 56 - e then 28 when q < 57 then 29 when q < 79 then 56 else 79 end as n
+    from (select p_size, cast(floor((p_partkey - 1) / 102.0) as bigint) as import_id, (p_partkey - 1) % 102 as q, cast(floor((p_partkey - 1) / 102.0) as bigint) % 4 as e from {part}) x) y"""
 _TABLE = "select p_partkey % 10 as import_id, cast(floor(p_partkey / 200.0) as int) as page_number, cast(p_partkey % 200 as int) as line_no, concat(cast(floor(p_partkey / 10.0) as int) % 27 + 1, '. ', substr('ABCD', cast(p_size % 4 as int) + 1, 1), case when p_size % 11 > 0 then concat('   ', cast(floor(p_partkey / 10.0) as int) % 27 + 1 + case when p_size % 13 = 0 then 8 else 7 end, ') B') else '' end) as line from {part} where p_size % 9 > 0"
 
 
