@@ -138,6 +138,8 @@ class Pair:
         if max(len(pieces), len(self.a_bytes)) > _B:
             raise ValueError("the ids of a pair don't fit into 32 bits")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # ids as text, with what follows one in its group and at the end of it
+        self.a_text, self.b_text = ([np.array([f"{i}{mark}" for i in range(len(t))], object) for mark in marks] for t, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
     def a_ids(self, text: str) -> list[int]:
@@ -155,6 +157,19 @@ class Pair:
         return Tokens(a, a_at + np.cumsum(self.a_len[a]), b, b_at + np.cumsum(self.b_len[b]))
 
 
+    def texts(self, tokens: Tokens, ends: np.ndarray, upto: np.ndarray) -> list[str]:
+        """The groups that ``ends`` cut the tokens into, as text, for each run of groups; ``upto`` is how many tokens stand before its end."""
+        at, pieces = [], []
+        for ids, end, words in ((tokens.a, tokens.a_end, self.a_text), (tokens.b, tokens.b_end, self.b_text)):
+            group = np.searchsorted(ends, end)
+            last = np.r_[group[1:] != group[:-1], True]
+            pieces.append(np.where(last, words[1][ids], words[0][ids]))
+            at.append(2 * group + len(at))
+        words = np.concatenate(pieces)[np.argsort(np.concatenate(at), kind="stable")].tolist()
+        text, cuts = "".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))[upto - 1].tolist()
+        return [text[i : j - 1] for i, j in zip([0, *cuts], cuts)]
+
+
 @lru_cache(maxsize=2)
 def _pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
@@ -194,13 +209,13 @@ class Units(dict):
         common = tokens.common()
         if not np.isin(ends, common).all():
             return
-        found = groups_of(tokens, common)
-        parts, links = found.text.split(";"), found.links.astype(np.uint32)
         i, p, q = np.searchsorted(common, ends) + 1, np.searchsorted(tokens.a_end, ends) + 1, np.searchsorted(tokens.b_end, ends) + 1
-        many = np.diff(np.r_[0, p]) + (np.diff(np.r_[0, q]) << 32)
+        texts = self.pair.texts(tokens, common, p + q)
+        pairs = tokens.a[np.searchsorted(tokens.a_end, common)] * _B + tokens.b[np.searchsorted(tokens.b_end, common)]
+        links, many = pairs.astype(np.uint32).tobytes(), np.diff(np.r_[0, p]) + (np.diff(np.r_[0, q]) << 32)
         low = 0
-        for u, high, n in zip(units, i.tolist(), many.tolist()):
-            self[u] = (";".join(parts[low:high]), links[low:high].tobytes(), n)
+        for u, text_, high, n in zip(units, texts, (4 * i).tolist(), many.tolist()):
+            self[u] = (text_, links[low:high], n)
             low = high
 
     def forget_long(self, units: set[str]) -> None:
