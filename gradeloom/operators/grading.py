@@ -38,26 +38,50 @@ def topic_totals(graded: DataFrame) -> DataFrame:
     return graded.filter("domain is not null").groupBy("student_id", "domain", F.coalesce("skill", F.lit("")).alias("skill")).agg(F.count("*").alias("attempted"), F.sum(F.col("is_correct").cast("int")).alias("correct"))
 
 
-def attempt_review(graded: DataFrame, now: Column) -> DataFrame:
-    """Every question of every graded attempt with its number in section, module and question order; keys are shown once explanations are open."""
-    number = F.row_number().over(Window.partitionBy("attempt_id").orderBy(F.desc("section"), "module_id", "question_id"))
-    shown = explanations_open(F.lit(False), F.col("started_at").cast("timestamp"), now)
-    return graded.filter("attempt_status = 'graded'").select("attempt_id", number.alias("question_number"), "question_id", "section", "module_id", "choice_no", "is_correct", "is_answered", shown.alias("explained"), F.when(shown, F.col("key_no")).alias("shown_key"))
+def _question_number() -> Column:
+    return F.row_number().over(Window.partitionBy("attempt_id").orderBy(F.desc("section"), "module_id", "question_id"))
 
 
-def error_log(graded: DataFrame, page: int, size: int) -> DataFrame:
-    """A page of each student's wrong or unanswered questions of graded attempts, newest attempt first, with counts over all pages."""
-    wrong = graded.filter("attempt_status = 'graded'").filter(~F.col("is_correct").eqNullSafe(True))
-    order = Window.partitionBy("student_id").orderBy(F.desc("started_at"), F.desc("attempt_id"), "question_id")
+def attempt_review(graded: DataFrame, submissions: DataFrame, now: Column) -> DataFrame:
+    """Every question of every graded attempt with its number in section, module and question order; keys are shown once explanations are open.
+
+    They open when they are ``released`` by hand, or seven days after submission; never for an attempt that wasn't submitted. ``submissions``:
+    attempt_id, submitted_at, released.
+    """
+    rows = graded.filter("attempt_status = 'graded'").withColumn("question_number", _question_number()).join(submissions.select("attempt_id", "submitted_at", "released"), "attempt_id", "left")
+    shown = explanations_open(F.col("released"), F.col("submitted_at").cast("timestamp"), now)
+    return rows.select("attempt_id", "question_number", "question_id", "section", "module_id", "choice_no", "is_correct", "is_answered", shown.alias("explained"), F.when(shown, F.col("key_no")).alias("shown_key"))
+
+
+def error_log(graded: DataFrame, submissions: DataFrame, notes: DataFrame, page: int = 1, size: int = 10, domain: str | None = None, skill: str | None = None) -> DataFrame:
+    """A page of each student's wrong or unanswered questions of graded attempts, of one ``domain`` and ``skill`` if they are given and not blank.
+
+    The latest submission comes first, unsubmitted ones last, then by attempt, section, module and question. ``total`` counts the filtered
+    questions over all pages, ``needs_review`` all of the student's errors without a ``reviewed_at``, whatever the filters. A page has ten questions at
+    most. ``submissions``: attempt_id, submitted_at; ``notes``: attempt_id, question_id, note_text, reviewed_at.
+    """
+    page, size = max(page, 1), min(max(size, 1), 10)
+    blank = lambda x: not (x or "").strip()
+    numbered = graded.filter("attempt_status = 'graded'").withColumn("question_number", _question_number())
+    wrong = numbered.filter(~F.col("is_answered") | ~F.col("is_correct").eqNullSafe(True))
+    rows = wrong.join(submissions.select("attempt_id", "submitted_at"), "attempt_id", "left").join(notes.select("attempt_id", "question_id", "note_text", "reviewed_at"), ["attempt_id", "question_id"], "left")
+    asked = F.lit(True)
+    for c, value in (("domain", domain), ("skill", skill)):
+        if not blank(value):
+            asked = asked & F.col(c).eqNullSafe(value.strip())
+    order = Window.partitionBy("student_id").orderBy(F.col("submitted_at").desc_nulls_last(), F.desc("attempt_id"), F.desc("section"), "module_id", "question_id")
     every = Window.partitionBy("student_id")
-    numbered = wrong.select("student_id", "attempt_id", "question_id", "domain", "is_answered", F.row_number().over(order).alias("n"), F.count("*").over(every).alias("total"), F.sum((~F.col("is_answered")).cast("int")).over(every).alias("unanswered"))
-    return numbered.filter(F.col("n").between((page - 1) * size + 1, page * size))
+    rows = rows.withColumn("asked", asked).withColumns({"n": F.count_if("asked").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.count_if("asked").over(every), "needs_review": F.count_if(F.col("reviewed_at").isNull()).over(every)})
+    given = F.coalesce(F.concat(F.lit("choice "), F.col("choice_no").cast("string")), F.nullif(F.trim("typed_text"), F.lit("")))
+    shown = rows.filter(F.col("asked") & F.col("n").between((page - 1) * size + 1, page * size))
+    return shown.select("student_id", "attempt_id", "question_id", "question_number", "domain", "skill", given.alias("your_answer"), (~F.col("is_answered")).alias("unanswered"), F.coalesce("note_text", F.lit("")).alias("note_text"), F.col("reviewed_at").isNotNull().alias("reviewed"), "n", "total", "needs_review")
 
 
 def error_facets(graded: DataFrame) -> DataFrame:
-    """The domains and numbers of skills among a student's errors."""
-    wrong = graded.filter("attempt_status = 'graded'").filter(~F.col("is_correct").eqNullSafe(True))
-    return wrong.groupBy("student_id").agg(F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"), F.countDistinct("skill").alias("skills"))
+    """The domains and skills among a student's errors, in order, to filter by."""
+    wrong = graded.filter("attempt_status = 'graded'").filter(~F.col("is_answered") | ~F.col("is_correct").eqNullSafe(True))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}s")
+    return wrong.groupBy("student_id").agg(listed("domain"), listed("skill"))
 
 
 def score_history(graded: DataFrame) -> DataFrame:

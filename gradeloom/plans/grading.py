@@ -19,7 +19,7 @@ def graded(v: Views):
 
 
 def g(query: str) -> str:
-    return sql(f"with {GRADED} {query}")
+    return sql(f"with {GRADED}{' ' if query.lower().startswith('select') else ', '}{query}")
 
 
 PCT = "floor(({a})::double / nullif({b}, 0)::double * 1000 + 0.5) / 10"
@@ -34,14 +34,36 @@ def _topics(v: Views):
     return rows.groupBy("attempt_id", F.when(F.col("question_id") % 97 != 0, F.col("domain")).alias("domain"), F.coalesce("skill", F.lit("")).alias("skill")).agg(F.count("*").alias("attempted"), F.sum(F.col("is_correct").cast("int")).alias("correct"))
 
 
+#: Submissions and students' notes on their errors, in the SQL that both engines share.
+_SUBMITTED = "select o_orderkey as attempt_id, case when o_orderkey % 13 > 0 then o_orderdate + interval '5' day end as submitted_at, o_orderkey % 17 = 0 as released from {orders}"
+_NOTES = "select l_orderkey as attempt_id, l_partkey as question_id, concat('note ', count(*)) as note_text, case when (l_orderkey + l_partkey) % 3 = 0 then max(l_shipdate) end as reviewed_at from {lineitem} where (l_orderkey + l_partkey) % 4 <> 1 group by l_orderkey, l_partkey"
+
+
+def _submitted(v: Views):
+    return v.spark.sql(_SUBMITTED, orders=v.orders)
+
+
+def _errors(v: Views, *page, **only):
+    return G.error_log(graded(v), _submitted(v), v.spark.sql(_NOTES, lineitem=v.lineitem), *page, **only)
+
+
+def _error_sql(page: int, size: int, asked: str) -> str:
+    return g(f"""sb as ({_SUBMITTED.format(orders="orders")}), nt as ({_NOTES.format(lineitem="lineitem")}), al as (select *, row_number() over (partition by attempt_id order by section desc, module_id, question_id) as question_number from graded where attempt_status = 'graded'),
+      er as (select al.*, submitted_at, note_text, reviewed_at, {asked} as asked from al left join sb using (attempt_id) left join nt using (attempt_id, question_id) where not is_answered or is_correct is distinct from true)
+      select student_id, attempt_id, question_id, question_number, domain, skill, coalesce('choice ' || choice_no, nullif(trim(typed_text), '')) as your_answer, not is_answered as unanswered, coalesce(note_text, '') as note_text, reviewed_at is not null as reviewed, n, total, needs_review
+      from (select *, count(*) filter (asked) over (partition by student_id order by submitted_at desc nulls last, attempt_id desc, section desc, module_id, question_id rows unbounded preceding) as n, count(*) filter (asked) over (partition by student_id) as total, count(*) filter (reviewed_at is null) over (partition by student_id) as needs_review from er)
+      where asked and n between {(page - 1) * size + 1} and {page * size}""")
+
+
 LATEST_GRADED = "lg as (select arg_max(attempt_id, (started_at, attempt_id)) as attempt_id from attempts where status = 'graded' group by assignment_id)"
 
 QUERIES = {
     "g1_grade_responses": lambda v: graded(v).select("attempt_id", "question_id", "is_correct", "is_answered", "points"),
     "g2_score_rollup": lambda v: G.score_rollup(graded(v)),
     "g3_topic_totals": lambda v: G.topic_totals(graded(v)),
-    "g4_attempt_review": lambda v: G.attempt_review(graded(v), F.lit(NOW).cast("timestamp")),
-    "g5_error_log": lambda v: G.error_log(graded(v), 1, 20),
+    "g4_attempt_review": lambda v: G.attempt_review(graded(v), _submitted(v), F.lit("1995-06-01 00:00:00").cast("timestamp")),
+    "g5_error_log": lambda v: _errors(v),
+    "g5_error_log_filtered": lambda v: _errors(v, 2, 3, domain=" Brand#23 "),
     "g5_error_facets": lambda v: G.error_facets(graded(v)),
     "g6_score_history": lambda v: G.score_history(graded(v)),
     "g6_results_summary": lambda v: G.results_summary(graded(v)),
@@ -61,9 +83,10 @@ SQL = {
     "g1_grade_responses": g("select attempt_id, question_id, is_correct, is_answered, 1 as points from graded"),
     "g2_score_rollup": g(f"select attempt_id, case when grouping(section) = 1 then 'attempt' when grouping(module_id) = 1 then 'section' else 'module' end as level, section, module_id, sum(is_correct::int)::bigint as raw, count(*) as total_questions, count(*) as total_points, {pct('sum(is_correct::int)', 'count(*)')} as accuracy_points, {pct('sum(is_correct::int)', 'count(*)')} as accuracy_questions from graded group by grouping sets ((attempt_id), (attempt_id, section), (attempt_id, section, module_id))"),
     "g3_topic_totals": g("select student_id, domain, coalesce(skill, '') as skill, count(*) as attempted, sum(is_correct::int)::bigint as correct from graded where domain is not null group by 1, 2, 3"),
-    "g4_attempt_review": g(f"select attempt_id, row_number() over (partition by attempt_id order by section desc, module_id, question_id) as question_number, question_id, section, module_id, choice_no, is_correct, is_answered, started_at + interval 7 days <= timestamp '{NOW}' as explained, case when started_at + interval 7 days <= timestamp '{NOW}' then key_no end as shown_key from graded where attempt_status = 'graded'"),
-    "g5_error_log": g("select * from (select student_id, attempt_id, question_id, domain, is_answered, row_number() over (partition by student_id order by started_at desc, attempt_id desc, question_id) as n, count(*) over (partition by student_id) as total, sum((not is_answered)::int) over (partition by student_id)::bigint as unanswered from graded where attempt_status = 'graded' and is_correct is distinct from true) where n <= 20"),
-    "g5_error_facets": g("select student_id, string_agg(distinct domain, ',' order by domain) as domains, count(distinct skill) as skills from graded where attempt_status = 'graded' and not is_correct group by 1"),
+    "g4_attempt_review": g(f"sb as ({_SUBMITTED.format(orders='orders')}) select attempt_id, question_number, question_id, section, module_id, choice_no, is_correct, is_answered, explained, case when explained then key_no end as shown_key from (select gr.*, row_number() over (partition by attempt_id order by section desc, module_id, question_id) as question_number, released or coalesce(submitted_at + interval 7 days <= timestamp '1995-06-01', false) as explained from graded gr left join sb using (attempt_id) where attempt_status = 'graded')"),
+    "g5_error_log": _error_sql(1, 10, "true"),
+    "g5_error_log_filtered": _error_sql(2, 3, "coalesce(domain = 'Brand#23', false)"),
+    "g5_error_facets": g("select student_id, string_agg(distinct domain, ',' order by domain) as domains, coalesce(string_agg(distinct skill, ',' order by skill), '') as skills from graded where attempt_status = 'graded' and (not is_answered or not is_correct) group by 1"),
     "g6_score_history": g(f"select student_id, attempt_id, row_number() over w as n, raw, total, {pct('raw', 'total')} as accuracy, raw - lead(raw) over w as raw_change from (select student_id, attempt_id, started_at, sum(is_correct::int)::bigint as raw, count(*) as total from graded where attempt_status = 'graded' group by 1, 2, 3) window w as (partition by student_id order by started_at desc, attempt_id desc)"),
     "g6_results_summary": g("select student_id, count(*) as attempts, sum(raw)::bigint as correct, sum(answered)::bigint as answered, floor(sum(floor(raw * 10000 / total))::double / count(*) / 10 + 0.5) / 10 as avg_accuracy from (select student_id, attempt_id, sum(is_correct::int) as raw, count(*) as total, sum(is_answered::int) as answered from graded where attempt_status = 'graded' group by 1, 2) group by 1"),
     "g7_score_report": g("select attempt_id, section, domain, count_if(is_correct) as correct, count_if(not is_correct and is_answered) as wrong, count_if(not is_correct and not is_answered) as unanswered, count(distinct skill) as skills from graded group by 1, 2, 3"),

@@ -58,7 +58,7 @@ def _deltas(v: Views):
 
 QUERIES = {
     "s1_typed_scan": lambda v: S.scan(v.spark, v.dir, "part", ["p_partkey", "p_brand", "p_size"]).filter("p_size > 40"),
-    "s2_semi_scan": lambda v: S.semi_scan(v.orders.select("o_orderkey", "o_custkey"), v.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", 1_000_000),
+    "s2_semi_scan": lambda v: S.semi_scan(v.orders.select("o_orderkey", "o_custkey"), v.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"),
     "s8_upsert_sum": _deltas,
     "s9_replace_latest": lambda v: replace_latest(v.attempts.filter("attempt_id % 2 = 0"), v.attempts.filter("attempt_id % 2 = 1"), ["student_id", "test_id"], ["started_at", "attempt_id"]).select("student_id", "test_id", "attempt_id", "status"),
     "f1_bank_search": lambda v: P.bank_search(v.questions, section="math", contains="a", page=2, size=25),

@@ -24,10 +24,11 @@ def jdbc_scan(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=partitions, properties=properties)
 
 
-def semi_scan(df: DataFrame, keys: DataFrame, key: str, rows: int, most: int = 1_000_000) -> DataFrame:
-    """The rows whose key is in a driving table; it is broadcast only if its stated ``rows`` are few."""
+def semi_scan(df: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose key is in a driving table; its keys are broadcast only if they were counted and are ``most`` at most."""
     wanted = keys.select(key).distinct()
-    return df.join(F.broadcast(wanted) if rows < most else wanted, key, "left_semi")
+    few = wanted.limit(most + 1).count() <= most
+    return df.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
 
 
 def split_pages(dumps: DataFrame, key: str, text: str) -> DataFrame:

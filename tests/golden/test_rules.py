@@ -424,3 +424,23 @@ def test_keys_after_an_early_heading_go_back_to_the_module_before(spark):
 def test_rows_of_key_tables_go_on(spark, before, after, goes_on):
     df = spark.createDataFrame([(before, after)], "b array<int>, a array<int>")
     assert df.select(ingestion.rows_continue(F.col("b"), F.col("a")).alias("x")).first()["x"] is goes_on
+
+
+def test_error_log_filters_a_page_but_counts_what_needs_review_over_all(spark):
+    schema = "student_id long, attempt_id long, question_id long, section string, module_id int, domain string, skill string, choice_no int, typed_text string, key_no int, is_correct boolean, is_answered boolean, attempt_status string"
+    row = lambda a, q, right, answered, domain="D", skill="S", status="graded": (1, a, q, "math", 0, domain, skill, 2 if answered else None, None, 3, right, answered, status)
+    rows = [row(1, q, q % 2 == 0, True) for q in range(1, 30)] + [row(2, 1, False, False, "E"), row(2, 2, None, True, "E", None), row(3, 1, False, True, status="submitted"), row(4, 1, True, False)]
+    df = spark.createDataFrame(rows, schema)
+    sub = spark.createDataFrame([(1, "2026-01-01", False), (2, "2026-02-01", False), (4, None, True)], "attempt_id long, submitted_at string, released boolean").withColumn("submitted_at", F.to_timestamp("submitted_at"))
+    notes = spark.createDataFrame([(1, 1, "mine", "2026-01-02"), (1, 3, "later", None), (1, 2, "right anyway", "2026-01-02")], "attempt_id long, question_id long, note_text string, reviewed_at string")
+    log = lambda *a, **k: sorted(((r["n"], r["attempt_id"], r["question_id"], r["total"], r["needs_review"], r["note_text"], r["reviewed"]) for r in grading.error_log(df, sub, notes, *a, **k).collect()))
+    first = log(1, 50)
+    assert [x[:3] for x in first] == [(1, 2, 1), (2, 2, 2), (3, 1, 1), (4, 1, 3), (5, 1, 5), (6, 1, 7), (7, 1, 9), (8, 1, 11), (9, 1, 13), (10, 1, 15)] and {x[3:5] for x in first} == {(18, 17)}
+    assert first[2][5:] == ("mine", True) and first[3][5:] == ("later", False)
+    assert [x[:3] for x in log(2, 10)][-1] == (18, 4, 1)  # right but unanswered, and not submitted
+    assert [x[:5] for x in log(0, 0, domain=" E ")] == [(1, 2, 1, 2, 17)] and log(1, 10, domain="E", skill="S")[0][3] == 1 and log(1, 10, domain=" ", skill="")[0][3] == 18
+    numbers = {(r["attempt_id"], r["question_id"]): r["question_number"] for r in grading.error_log(df, sub, notes).collect()}
+    assert numbers[1, 15] == 15 and numbers[2, 2] == 2
+    assert {(r["attempt_id"], r["explained"]) for r in grading.attempt_review(df, sub, F.lit("2026-02-01").cast("timestamp")).collect()} == {(1, True), (2, False), (4, True)}
+    facets = grading.error_facets(df).first()
+    assert (facets["domains"], facets["skills"]) == ("D,E", "S")
