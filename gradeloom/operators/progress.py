@@ -24,6 +24,47 @@ def assignment_progress(assignments: DataFrame, attempts: DataFrame, scores: Dat
     return done.select("assignment_id", "student_id", "batch_id", "test_id", "attempt_id", status.alias("progress"), "raw", "total", pct(F.col("raw"), F.col("total")).alias("accuracy"), "seconds")
 
 
+def assignment_rows(assignments: DataFrame, attempts: DataFrame, scores: DataFrame, module_times: DataFrame, tests: DataFrame, practice: DataFrame, full: DataFrame, now: Column) -> DataFrame:
+    """Every assignment with its test's kind, the batch it belongs to, and the status, score, accuracy and time of its newest attempt.
+
+    The batch of a practice test is the one whose snapshot it is, the largest id if there are several; any other test's batch is the assignment's own. The
+    title is the batch's, else the test's, else a plain one. ``assignments``: assignment_id, student_id, test_id, full_batch_id, assigned_at, due_at,
+    status; ``attempts`` also submitted_at; ``tests``: test_id, title, kind; ``practice``: batch_id, snapshot_test_id, title, timer_minutes,
+    class_id, class_name; ``full``: batch_id, title, class_id, class_name.
+    """
+    seen = F.struct("attempt_id", "status", "started_at", "submitted_at")
+    newest = attempts.filter("assignment_id is not null").groupBy("assignment_id").agg(F.max_by(seen, F.struct("started_at", "attempt_id")).alias("a"))
+    # an attempt's score and its times come in one row
+    points = scores.select("attempt_id", "raw", "total", F.lit(None).cast("long").alias("seconds")).unionAll(module_times.select("attempt_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("seconds").cast("long")))
+    sums = points.groupBy("attempt_id").agg(F.max("raw").alias("raw"), F.max("total").alias("total"), F.sum("seconds").alias("seconds"))
+    snap = practice.groupBy(F.col("snapshot_test_id").alias("test_id")).agg(F.max_by(F.struct("batch_id", "title", "timer_minutes", "class_id", "class_name"), "batch_id").alias("p"))
+    own = full.select(F.col("batch_id").alias("full_batch_id"), F.struct("batch_id", "title", F.lit(None).cast("int").alias("timer_minutes"), "class_id", "class_name").alias("f"))
+    rows = assignments.join(tests.select("test_id", F.col("title").alias("test_title"), "kind"), "test_id", "left").join(snap, "test_id", "left").join(own, "full_batch_id", "left").join(newest, "assignment_id", "left")
+    rows = rows.withColumn("b", F.when(F.col("kind") == "practice", F.col("p")).otherwise(F.col("f"))).join(sums.withColumnRenamed("attempt_id", "scored_id"), F.col("a.attempt_id") == F.col("scored_id"), "left")
+    status = progress_status(F.col("status"), F.col("due_at").cast("timestamp"), F.col("a.status"), now)
+    title = F.coalesce("b.title", "test_title", F.lit("Assigned test"))
+    return rows.select(
+        "assignment_id", "student_id", "test_id", F.coalesce("kind", F.lit("full")).alias("kind"), F.col("b.batch_id").alias("batch_id"), title.alias("title"), F.col("b.class_id").alias("class_id"), F.col("b.class_name").alias("class_name"), F.col("b.timer_minutes").alias("timer_minutes"), status.alias("progress"),
+        F.col("a.attempt_id").alias("attempt_id"), F.col("a.status").alias("attempt_status"), F.col("a.submitted_at").isNotNull().alias("submitted"), "raw", "total", pct(F.col("raw"), F.col("total")).alias("accuracy"), F.when(F.col("a.attempt_id").isNotNull(), F.col("seconds")).alias("seconds"),
+    )
+
+
+def dashboard_items(assignments: DataFrame, attempts: DataFrame, tests: DataFrame, now: Column) -> DataFrame:
+    """A student's assignments with their state and where they lead: to a session in progress, a score, a list of tests, or a start.
+
+    An assignment is ``complete`` if it says so or its newest attempt was submitted, ``overdue`` once it is past due, else ``assigned``. Without its
+    test it leads to the list.
+    """
+    newest = attempts.filter("assignment_id is not null").groupBy("assignment_id").agg(F.max_by(F.struct("attempt_id", "status"), F.struct("started_at", "attempt_id")).alias("a"))
+    rows = assignments.join(newest, "assignment_id", "left").join(tests.select("test_id", "title", F.col("kind").alias("test_kind")), "test_id", "left")
+    done = F.coalesce(F.col("a.status").isin("submitted", "graded"), F.lit(False))
+    state = F.when((F.col("status") == "completed") | done, "complete").when(F.col("due_at").cast("timestamp") < now, "overdue").otherwise("assigned")
+    goes = F.when(F.col("a.status") == "in_progress", "session").when(done, "score").when((state == "complete") | F.col("title").isNull(), "list").otherwise("start")
+    target = F.when(goes.isin("session", "score"), F.col("a.attempt_id")).when(goes == "start", F.col("test_id"))
+    kind = F.when(F.col("test_kind") == "practice", "practice").otherwise("test")
+    return rows.select("student_id", "assignment_id", F.coalesce("title", F.lit("Unavailable assignment")).alias("title"), kind.alias("kind"), state.alias("state"), goes.alias("leads_to"), target.alias("target_id"))
+
+
 def batch_rollup(progress: DataFrame, key: str = "batch_id") -> DataFrame:
     """Students, completed assignments and the mean of the accuracies that are not null."""
     tenths = F.sum(F.floor(F.col("accuracy") * 10 + 0.5))

@@ -29,6 +29,24 @@ _PROGRESS = f"""(select b.assignment_id, b.student_id, b.batch_id, b.test_id, b.
   from assignments b left join ({_LATEST}) l using (assignment_id) left join (select attempt_id, sum(is_correct::int)::bigint as raw, count(*) as total from graded where attempt_status = 'graded' group by 1) s using (attempt_id) left join (select attempt_id, sum(seconds)::bigint as seconds from responses group by 1) t using (attempt_id)) p"""
 
 
+#: Tests, batches, assignments and attempts with what the listings need, in the SQL that both engines share.
+_LISTED = {
+    "listed_tests": "select cast(t as bigint) as test_id, concat('Test ', t) as title, case when t < 2 then 'practice' when t = 2 then 'full' end as kind from (select distinct n_nationkey % 4 as t from {nation}) x",
+    "practice_batches": "select cast(n_nationkey as bigint) as batch_id, cast(n_nationkey % 3 as bigint) as snapshot_test_id, case when n_nationkey % 5 > 0 then n_name end as title, cast(n_nationkey * 5 as int) as timer_minutes, cast(n_regionkey as bigint) as class_id, concat('Class ', n_regionkey) as class_name from {nation} where n_nationkey % 3 <> 1",
+    "full_batches": "select cast(n_nationkey * 2 as bigint) as batch_id, concat('Batch of ', n_name) as title, cast(n_regionkey as bigint) as class_id, concat('Class ', n_regionkey) as class_name from {nation}",
+    "tried": "select o_orderkey as attempt_id, case when o_orderkey % 23 > 0 then o_custkey * 10 + o_orderkey % 5 end as assignment_id, o_orderdate as started_at, case when o_orderstatus <> 'O' then o_orderdate end as submitted_at, case o_orderstatus when 'F' then 'graded' when 'P' then 'submitted' else 'in_progress' end as status from {orders}",
+    "given": "select assignment_id, student_id, test_id, case when assignment_id % 6 > 0 then batch_id end as full_batch_id, assigned_at, due_at, case when assignment_id % 19 = 0 then 'completed' else status end as status from {assignments}",
+}
+
+
+def _listed(v: Views, name: str):
+    return v.spark.sql(_LISTED[name], nation=v.nation, orders=v.orders, assignments=v.assignments)
+
+
+def _assignment_rows(v: Views):
+    return P.assignment_rows(_listed(v, "given"), _listed(v, "tried"), _scores(v), v.responses.select("attempt_id", "seconds"), _listed(v, "listed_tests"), _listed(v, "practice_batches"), _listed(v, "full_batches"), _now())
+
+
 def _events(v: Views):
     return v.events.select((F.col("user_id") * 10 + F.col("event_id") % 4).alias("module_key"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_type") == "view", "pause").otherwise("start").alias("kind"))
 
@@ -67,6 +85,8 @@ QUERIES = {
     "f4_visible_decks": lambda v: P.visible_decks(v.orders.select(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 7).alias("deck_id")), v.customer.select(F.col("c_custkey").alias("student_id"), (F.col("c_nationkey") % 9).alias("deck_id")), v.nation.filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("deck_id"))),
     "f5_scoped_modules": _scoped,
     "p1_assignment_progress": progress,
+    "p1_assignment_rows": _assignment_rows,
+    "p8_dashboard_items": lambda v: P.dashboard_items(_listed(v, "given"), _listed(v, "tried"), _listed(v, "listed_tests"), _now()),
     "p2_batch_rollup": lambda v: P.batch_rollup(progress(v)),
     "p3_batch_students": lambda v: P.batch_students(v.assignments, v.attempts),
     "p4_class_roster": lambda v: P.class_roster(v.classes, v.students),
@@ -85,7 +105,19 @@ QUERIES = {
     "j5_unanswered_questions": lambda v: v.questions.join(v.responses.filter("choice_no = 3"), "question_id", "left_anti").select("question_id"),
 }
 
+_LISTING = ", ".join(f"{n} as ({q.format(nation='nation', orders='orders', assignments='(select * from assignments)')})" for n, q in _LISTED.items())
+_TRIED = "select assignment_id, arg_max({{'attempt_id': attempt_id, 'status': status, 'submitted_at': submitted_at}}, (started_at, attempt_id)) as a from tried where assignment_id is not null group by 1".replace("{{", "{").replace("}}", "}")
+
 SQL = {
+    "p1_assignment_rows": g(f"""{_LISTING}, pb as (select * from practice_batches qualify row_number() over (partition by snapshot_test_id order by batch_id desc) = 1), sc as (select attempt_id, sum(is_correct::int)::bigint as raw, count(*) as total from graded where attempt_status = 'graded' group by 1), ti as (select attempt_id, sum(seconds)::bigint as seconds from responses group by 1)
+      select b.assignment_id, b.student_id, b.test_id, coalesce(t.kind, 'full') as kind, case when t.kind = 'practice' then p.batch_id else f.batch_id end as batch_id, coalesce(case when t.kind = 'practice' then p.title else f.title end, t.title, 'Assigned test') as title, case when t.kind = 'practice' then p.class_id else f.class_id end as class_id,
+        case when t.kind = 'practice' then p.class_name else f.class_name end as class_name, case when t.kind = 'practice' then p.timer_minutes end as timer_minutes, case when l.a.status = 'graded' then 'completed' when l.a.status is not null then 'in_progress' when b.status <> 'assigned' then b.status when b.due_at < timestamp '1995-06-15' then 'overdue' else 'assigned' end as progress,
+        l.a.attempt_id as attempt_id, l.a.status as attempt_status, l.a.submitted_at is not null as submitted, sc.raw, sc.total, {pct('sc.raw', 'sc.total')} as accuracy, ti.seconds
+      from given b left join listed_tests t on t.test_id = b.test_id left join pb p on p.snapshot_test_id = b.test_id left join full_batches f on f.batch_id = b.full_batch_id left join ({_TRIED}) l on l.assignment_id = b.assignment_id left join sc on sc.attempt_id = l.a.attempt_id left join ti on ti.attempt_id = l.a.attempt_id"""),
+    "p8_dashboard_items": sql(f"""with {_LISTING}, r as (select b.*, l.a.attempt_id as aid, l.a.status as st, t.title, t.kind, case when b.status = 'completed' or l.a.status in ('submitted', 'graded') then 'complete' when b.due_at < timestamp '1995-06-15' then 'overdue' else 'assigned' end as state
+        from given b left join ({_TRIED}) l on l.assignment_id = b.assignment_id left join listed_tests t on t.test_id = b.test_id),
+      q as (select *, case when st = 'in_progress' then 'session' when st in ('submitted', 'graded') then 'score' when state = 'complete' or title is null then 'list' else 'start' end as leads_to from r)
+      select student_id, assignment_id, coalesce(title, 'Unavailable assignment') as title, case when kind = 'practice' then 'practice' else 'test' end as kind, state, leads_to, case when leads_to in ('session', 'score') then aid when leads_to = 'start' then test_id end as target_id from q"""),
     "s1_typed_scan": "select p_partkey, p_brand, p_size from part where p_size > 40",
     "s2_semi_scan": "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
     "s8_upsert_sum": g("select student_id, domain, coalesce(skill, '') as skill, count(*) as attempted, sum(is_correct::int)::bigint as correct from graded where domain is not null group by 1, 2, 3"),

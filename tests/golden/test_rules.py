@@ -444,3 +444,20 @@ def test_error_log_filters_a_page_but_counts_what_needs_review_over_all(spark):
     assert {(r["attempt_id"], r["explained"]) for r in grading.attempt_review(df, sub, F.lit("2026-02-01").cast("timestamp")).collect()} == {(1, True), (2, False), (4, True)}
     facets = grading.error_facets(df).first()
     assert (facets["domains"], facets["skills"]) == ("D,E", "S")
+
+
+def test_assignments_find_their_batch_title_and_newest_attempt(spark):
+    given = spark.createDataFrame([(1, 9, 1, None, "2026-01-01", "2026-01-05", "assigned"), (2, 9, 2, 50, "2026-01-01", None, "assigned"), (3, 9, 3, 99, "2026-01-01", "2026-12-01", "expired"), (4, 9, 2, None, "2026-01-01", "2026-12-01", "completed")], "assignment_id long, student_id long, test_id long, full_batch_id long, assigned_at string, due_at string, status string")
+    tried = spark.createDataFrame([(10, 2, "2026-01-02", None, "in_progress"), (11, 2, "2026-01-02", "2026-01-03", "graded"), (12, None, "2026-02-02", None, "graded")], "attempt_id long, assignment_id long, started_at string, submitted_at string, status string")
+    tests = spark.createDataFrame([(1, "One", "practice"), (2, "Two", "full")], "test_id long, title string, kind string")
+    practice = spark.createDataFrame([(5, 1, "Old", 10, 1, "A"), (6, 1, None, 20, 2, "B"), (7, 2, "Not me", 5, 1, "A")], "batch_id long, snapshot_test_id long, title string, timer_minutes int, class_id long, class_name string")
+    full = spark.createDataFrame([(50, "Fifty", 3, "C")], "batch_id long, title string, class_id long, class_name string")
+    scores = spark.createDataFrame([(11, 40, 98), (10, 1, 98)], "attempt_id long, raw long, total long")
+    times = spark.createDataFrame([(11, 30), (11, None), (10, 5)], "attempt_id long, seconds int")
+    now = F.lit("2026-06-01").cast("timestamp")
+    got = {r["assignment_id"]: r for r in progress.assignment_rows(given, tried, scores, times, tests, practice, full, now).collect()}
+    assert [got[1][c] for c in ("kind", "batch_id", "title", "class_name", "timer_minutes", "progress", "seconds")] == ["practice", 6, "One", "B", 20, "overdue", None]
+    assert [got[2][c] for c in ("kind", "batch_id", "title", "timer_minutes", "progress", "attempt_id", "raw", "accuracy", "seconds")] == ["full", 50, "Fifty", None, "completed", 11, 40, 40.8, 30]
+    assert [got[3][c] for c in ("kind", "batch_id", "title", "progress")] == ["full", None, "Assigned test", "expired"]
+    items = {r["assignment_id"]: (r["title"], r["kind"], r["state"], r["leads_to"], r["target_id"]) for r in progress.dashboard_items(given, tried, tests, now).collect()}
+    assert items == {1: ("One", "practice", "overdue", "start", 1), 2: ("Two", "test", "complete", "score", 11), 3: ("Unavailable assignment", "test", "assigned", "list", None), 4: ("Two", "test", "complete", "list", None)}
