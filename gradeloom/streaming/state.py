@@ -137,38 +137,48 @@ def versioned_schedules(reviews: DataFrame, idle_days: float | None = None, late
 
 
 class _Totals(StatefulProcessor):
-    def __init__(self, keys: list[str], sums: list[str], ttl_ms: int):
-        self.keys, self.sums, self.ttl_ms = keys, sums, ttl_ms
+    def __init__(self, keys: list[str], sums: list[str], keep_ms: int):
+        self.keys, self.sums, self.keep_ms = keys, sums, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{c} long" for c in self.sums)
-        self.seen = handle.getMapState("attempts", "attempt_id long", fields, self.ttl_ms)
-        self.total = handle.getValueState("total", f"version long, attempts long, {fields}")
+        self.handle = handle
+        self.seen = handle.getMapState("attempts", "attempt_id long", "at long")
+        self.total = handle.getValueState("total", ", ".join(f"{c} long" for c in ("version", "attempts", *self.sums)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        total, replays = list(self.total.get()) if self.total.exists() else [0] * (2 + len(self.sums)), 0
-        for part in rows:
-            for attempt, *points in zip(part["attempt_id"].tolist(), *[part[c].fillna(0).astype("int64").tolist() for c in self.sums]):
-                if self.seen.containsKey((attempt,)):
-                    replays += 1
-                    continue
-                self.seen.updateValue((attempt,), tuple(points))
-                total[1:] = [x + y for x, y in zip(total[1:], (1, *points))]
+        batch = pd.concat(list(rows))
+        total, replays, days = list(self.total.get()) if self.total.exists() else [0] * (2 + len(self.sums)), 0, set()
+        points = zip(*[batch[c].fillna(0).astype("int64").tolist() for c in self.sums])
+        for attempt, at, own in zip(batch["attempt_id"].tolist(), _milliseconds(batch["created_at"]), points):
+            if self.seen.containsKey((attempt,)):
+                replays += 1
+                continue
+            self.seen.updateValue((attempt,), (at,))
+            days.add(at // DAY_MS)
+            total[1:] = [x + y for x, y in zip(total[1:], (1, *own))]
+        for day in days:
+            self.handle.registerTimer((day + 1) * DAY_MS + self.keep_ms)
         total[0] += 1
         self.total.update(tuple(total))
-        names = [*self.keys, "version", "attempts", *self.sums, "replays"]
-        yield pd.DataFrame([(*key, *total, replays)], columns=names)
+        yield pd.DataFrame([(*key, *total, replays)], columns=[*self.keys, "version", "attempts", *self.sums, "replays"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        gone = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
+        for attempt in [a for a, (at,) in self.seen.iterator() if at < gone]:
+            self.seen.removeKey(attempt)
+        yield from ()
 
 
-def attempt_totals(submissions: DataFrame, keys: list[str], sums: list[str], keep_days: float = 90) -> DataFrame:
+def attempt_totals(submissions: DataFrame, keys: list[str], sums: list[str], keep_days: float = 90, late: str = "2 days") -> DataFrame:
     """Totals of ``sums`` for each value of ``keys``, of which every attempt counts once, however often and in whatever batch it comes.
 
-    ``submissions``: keys, attempt_id, sums (whole numbers), one row for each attempt and key. Each batch gives the new totals of its own keys, with
-    a ``version`` that rises by one, so a sink may write a batch again. Attempts are remembered for ``keep_days``; the totals stay.
+    ``submissions``: keys, attempt_id, created_at, sums (whole numbers), one row for each attempt and key. Each batch gives the new totals of its own
+    keys, with a ``version`` that rises by one, so a sink may write a batch again. Attempts are remembered for ``keep_days`` after the day
+    they were made, by event time; rows later than ``late`` are dropped, so with ``keep_days`` beyond that none counts twice. The totals stay.
     """
-    rows = submissions.select(*keys, F.col("attempt_id").cast("long").alias("attempt_id"), *[F.col(c).cast("long").alias(c) for c in sums])
+    rows = submissions.select(*keys, F.col("attempt_id").cast("long").alias("attempt_id"), "created_at", *[F.col(c).cast("long").alias(c) for c in sums]).withWatermark("created_at", late)
     fields = [T.StructField(c, rows.schema[c].dataType) for c in keys] + [T.StructField(c, T.LongType()) for c in ("version", "attempts", *sums, "replays")]
-    return rows.groupBy(*keys).transformWithStateInPandas(_Totals(keys, sums, int(keep_days * DAY_MS)), T.StructType(fields), "update", "processingTime")
+    return rows.groupBy(*keys).transformWithStateInPandas(_Totals(keys, sums, int(keep_days * DAY_MS)), T.StructType(fields), "update", "eventTime")
 
 
 def totals_sink(path: str):

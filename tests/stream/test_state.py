@@ -12,9 +12,12 @@ from gradeloom.streaming import state as S
 
 @pytest.fixture(autouse=True)
 def store(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
 class Files:
@@ -39,7 +42,7 @@ def run(df, mode, tmp_path, name, sink=None):
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True)
     writer = writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", str(tmp_path / f"out_{name}"))
     q = writer.start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(400)
     assert q.exception() is None
     return q
 
@@ -112,12 +115,12 @@ def test_idle_schedules_are_archived(spark, tmp_path):
 
 def test_totals_count_an_attempt_once_and_survive_lost_folders(spark, tmp_path):
     rng = random.Random(2)
-    schema = "topic string, attempt_id long, points long, right long"
-    rows = [(rng.choice("abc"), i, rng.randrange(10), rng.randrange(2)) for i in range(90)]
+    schema = "topic string, attempt_id long, created_at string, points long, right long"
+    rows = [(rng.choice("abc"), i, f"2024-01-{1 + i // 5:02d} 00:00:00", rng.randrange(10), rng.randrange(2)) for i in range(90)]
     files = Files(spark, tmp_path / "in", schema)
     for k in range(0, 90, 30):
         files.add(rows[k : k + 30] + rows[max(0, k - 10) : k])  # the last ten come again
-    changed = S.attempt_totals(files.stream(), ["topic"], ["points", "right"])
+    changed = S.attempt_totals(files.stream(), ["topic"], ["points", "right"], keep_days=4)
     path, batches = str(tmp_path / "totals"), []
     sink = S.totals_sink(path)
 
@@ -125,7 +128,8 @@ def test_totals_count_an_attempt_once_and_survive_lost_folders(spark, tmp_path):
         sink(df, batch_id)
         batches.append(batch_id)
 
-    run(changed, "update", tmp_path, "t", keep)
+    q = run(changed, "update", tmp_path, "t", keep)
+    assert states(q)[-1] < 3 * 90  # attempts go once their days are over
     again = spark.read.parquet(f"{path}/batch={batches[1]}")
     sink(spark.createDataFrame(again.collect(), again.schema), batches[1])  # a batch that is tried again
     columns = ["topic", "attempts", "points", "right"]
@@ -134,4 +138,4 @@ def test_totals_count_an_attempt_once_and_survive_lost_folders(spark, tmp_path):
     assert sorted(map(tuple, S.written_totals(spark, path, ["topic"]).select(columns).collect())) == want
     shutil.rmtree(f"{path}/batch={batches[0]}")
     assert sorted(map(tuple, S.stored_totals(spark, str(tmp_path / "c_t")).select(columns).collect())) == want
-    assert len(batches) == 3
+    assert len(batches) >= 3
