@@ -210,3 +210,14 @@ def test_mastery_walks_along_partitions_whatever_the_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in plan_of(V.mastery(df))  # not a Python call for each history
+
+
+def test_ratings_are_the_same_in_many_blocks_and_answers_are_not_joined_in_each_pass(spark, monkeypatch):
+    rows = [(s, "ab"[q % 2], q, (s * 7 + q * 3) % 5 % 2) for s in range(60) for q in range(s % 3, 30, 3)]
+    df = spark.createDataFrame(rows, ANSWERS)
+    want = plain_ratings(rows, 6, 1e-3, 4.0)
+    monkeypatch.setattr(K, "BLOCK", 40)
+    abilities, difficulties = K.item_ratings(df, passes=6)
+    assert {(r["student_id"], r["skill"]): r["ability"] for r in abilities.collect()} == pytest.approx(want[0], abs=1e-9)
+    assert {r["question_id"]: (r["difficulty"], r["answers"]) for r in difficulties.collect()} == {q: (pytest.approx(x, abs=1e-9), sum(r[2] == q for r in rows)) for q, x in want[1].items()}
+    assert K._blocks(df.withColumn("right", F.col("right").cast("double"))).count() > 10
