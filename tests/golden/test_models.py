@@ -237,3 +237,15 @@ def test_ranked_candidates_do_not_meet_all_questions_of_a_skill(spark):
     need = spark.createDataFrame([(1, "a", 0.0, 3.0, 6)], "student_id long, skill string, rating double, target double, wanted long")
     levels = spark.range(1000).selectExpr("'a' as skill", "cast(id as double) as difficulty", "2L as size")
     assert sorted(r["difficulty"] for r in V._nearest_levels(need, levels).collect()) == [2.0, 3.0, 4.0]
+
+
+def test_a_full_question_refuses_all_who_come_after_its_last_at_once(spark, monkeypatch):
+    rows = [(s, "k", q, 1000 - s - 100 * q) for s in range(12) for q in range(9)]
+    cuts = []
+    monkeypatch.setattr(K, "cut", lambda df, cut=K.cut: cuts.append(1) or cut(df))
+    got = K.assign_candidates(spark.createDataFrame(rows, "student_id long, skill string, question_id long, score long"), 1, 1)
+    assert {(r["student_id"], r["question_id"]) for r in got.collect()} == plain_matching(rows, 1, 1)
+    unasked = [(s, "k", q, 500 - q if s else 900 - q) for s in range(2) for q in range(40)]
+    cuts.clear()
+    got = K.assign_candidates(spark.createDataFrame(unasked, "student_id long, skill string, question_id long, score long"), 20, 1)
+    assert {(r["student_id"], r["question_id"]) for r in got.collect()} == plain_matching(unasked, 20, 1) and len(cuts) <= 7
