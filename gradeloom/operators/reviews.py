@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.expressions import next_interval, retrievability
+from gradeloom.functions.folds import folded
 from gradeloom.functions.relational import asof_forward, half_up, islands
 
 #: The 21 default weights of the published FSRS-6 model, the retention asked for, and the (re)learning steps in minutes.
@@ -92,13 +92,14 @@ def _fsrs_step(state: tuple[float, float, int, int, int, int, int] | None, ratin
     w = FSRS_WEIGHTS
     start = lambda g: w[4] - np.exp(w[5] * (g - 1)) + 1
     if state is None:
-        s, d, kind, reps, lapses, step = w[rating - 1], float(np.clip(start(rating), 1, 10)), 1, 0, 0, 0
+        s, d, kind, reps, lapses, step = w[rating - 1], float(min(max(start(rating), 1), 10)), 1, 0, 0, 0
         options = {}
     else:
         before, hard_was, kind, reps, lapses, step, _ = state
-        options = {g: _next_stability(before, hard_was, g, days) for g in (1, 2, 3, 4)}
+        asked = {rating, 2, 3, 4} if kind == 2 and rating > 1 else {rating}
+        options = {g: _next_stability(before, hard_was, g, days) for g in asked}
         s, moved = options[rating], hard_was - w[6] * (rating - 3) * (10 - hard_was) / 9
-        d = float(np.clip(w[7] * start(4) + (1 - w[7]) * moved, 1, 10))
+        d = float(min(max(w[7] * start(4) + (1 - w[7]) * moved, 1), 10))
     if kind == 2 and rating > 1:
         good = _interval(options[3])
         hard = min(_interval(options[2]), good)
@@ -116,20 +117,16 @@ FSRS_STATE = "stability double, difficulty double, state int, reps int, lapses i
 def fsrs_replay(reviews: DataFrame) -> DataFrame:
     """The FSRS-6 schedule of every student and card, by replay of its study reviews in order of time, then id.
 
-    Groups are single cards' histories, so none is large. Input order doesn't matter.
+    Cards are walked along sorted partitions (``folded``). Input order doesn't matter.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "review_id"])
-        state, last = None, None
-        for rating, at in zip(rows["rating"].to_numpy(), rows["at"].to_numpy()):
-            state = _fsrs_step(state, int(rating), 0 if last is None else max(0, int(at) // 86_400 - int(last) // 86_400))
-            last = at
-        names = [c.split()[0] for c in FSRS_STATE.split(", ")]
-        return pd.DataFrame({"student_id": [rows["student_id"].iloc[0]], "card_id": [rows["card_id"].iloc[0]]} | {c: [x] for c, x in zip(names, (*state, last))})
-
-    study = reviews.filter("mode = 'study'").select("student_id", "card_id", "review_id", "rating", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
-    out = study.groupBy("student_id", "card_id").applyInPandas(replay, f"student_id long, card_id long, {FSRS_STATE}")
+    def step(state: tuple | None, rating: int, at: int) -> tuple:
+        last = None if state is None else state[1]
+        return _fsrs_step(state and state[0], int(rating), 0 if last is None else max(0, at // 86_400 - last // 86_400)), at
+
+    study = reviews.filter("mode = 'study'").select(F.col("student_id").cast("long").alias("student_id"), F.col("card_id").cast("long").alias("card_id"), "review_id", "rating", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
+    finish = lambda state: (*[float(x) for x in state[0][:2]], *state[0][2:], state[1])
+    out = folded(study, ["student_id", "card_id"], [F.col("at"), F.col("review_id"), F.col("rating")], ["rating", "at"], step, finish, f"student_id long, card_id long, {FSRS_STATE}")
     return out.withColumn("due_at", F.timestamp_seconds(F.col("last_at") + F.col("minutes") * 60))
 
 

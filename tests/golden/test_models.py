@@ -249,3 +249,16 @@ def test_a_full_question_refuses_all_who_come_after_its_last_at_once(spark, monk
     cuts.clear()
     got = K.assign_candidates(spark.createDataFrame(unasked, "student_id long, skill string, question_id long, score long"), 20, 1)
     assert {(r["student_id"], r["question_id"]) for r in got.collect()} == plain_matching(unasked, 20, 1) and len(cuts) <= 7
+
+
+def test_replays_walk_along_partitions_whatever_the_batches(spark):
+    from gradeloom.operators import reviews as R
+
+    reviews = spark.range(400).selectExpr("id % 7 as student_id", "id % 5 as card_id", "id as review_id", "'study' as mode", "cast(id * 7 % 4 + 1 as int) as rating", "timestamp_seconds(1700000000 + id * 40000) as created_at")
+    want = sorted(map(tuple, R.fsrs_replay(reviews).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, R.fsrs_replay(reviews).collect())) == want and len(want) == 35
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan_of(R.fsrs_replay(reviews))
