@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SAMPLE, TRIALS, MOST_LISTS = 20_000, 400, 1_024
 #: Vectors of a slice and queries of a block.
 SLICE, BLOCK = 4_096, 1_024
+#: Pairs of a vector and a list that a task weighs, and may hand on, at once.
+WEIGHED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -63,13 +65,21 @@ def fit_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return Index(centroids, probes)
 
 
+def _few(batches, width: int):
+    """Batches cut so that each of their vectors can be held against ``width`` lists at once."""
+    rows = max(1, WEIGHED // max(1, width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_lists(vectors: DataFrame, index: Index, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = 1) -> DataFrame:
     """``id_col``, ``vector_col`` and ``list``: each vector in its ``probes`` nearest lists."""
     centroids = index.centroids.T.copy()
 
     def assign(batches):
-        for batch in batches:
-            near = np.argsort(-(_unit(_matrix(batch.column(1))) @ centroids), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, 1), np.int64)
+        for batch in _few(batches, centroids.shape[1]):
+            near = np.argsort(-(_unit(_matrix(batch.column(1))) @ centroids), axis=1, kind="stable")[:, :probes]
             rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.reshape(-1), pa.int32())], [id_col, vector_col, "list"])
 
@@ -105,6 +115,17 @@ def _scores(left: pa.Table, right: pa.Table, id_col: str) -> tuple[np.ndarray, n
 def search(queries: DataFrame, vectors: DataFrame, index: Index, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``id_col``, ``score`` (cosine in millionths) and ``rank``: the ``k`` best vectors in the lists that each query probes, ties by id."""
 
+    renamed = lambda rows: rows.withColumnRenamed(vector_col, "v")
+    return _best(renamed(in_lists(queries, index, id_col, vector_col, index.probes)), renamed(in_lists(vectors, index, id_col, vector_col)), k, id_col)
+
+
+def search_all(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The same against all vectors: each block of queries with each slice of vectors."""
+    one = lambda rows: rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias(id_col), F.col(vector_col).alias("v"), F.lit(0).alias("list"))
+    return _best(one(queries), one(vectors), k, id_col)
+
+
+def _best(queries: DataFrame, vectors: DataFrame, k: int, id_col: str) -> DataFrame:
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": left.column(id_col)[:0], id_col: left.column(id_col)[:0], "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
@@ -118,8 +139,7 @@ def search(queries: DataFrame, vectors: DataFrame, index: Index, k: int = 5, id_
         rows, columns = rows[keep], columns[keep]
         return pa.table({"query_id": pa.array(q[rows]), id_col: pa.array(v[columns]), "score": pa.array(scores[rows, columns])})
 
-    renamed = lambda rows: rows.withColumnRenamed(vector_col, "v")
-    found = _tiles(renamed(in_lists(queries, index, id_col, vector_col, index.probes)), renamed(in_lists(vectors, index, id_col, vector_col)), id_col, best)
+    found = _tiles(queries, vectors, id_col, best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -154,8 +174,8 @@ def near_vectors(vectors: DataFrame, index: Index, threshold: float, id_col: str
     centroids, reach = index.centroids.T.copy(), math.acos(threshold) + 1e-7
 
     def probing(batches):
-        for batch in batches:
-            away = np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ centroids, -1, 1)) if batch.num_rows else np.zeros((0, len(radii)))
+        for batch in _few(batches, len(radii)):
+            away = np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ centroids, -1, 1))
             rows, lists = np.nonzero((radii >= 0) & (away - reach <= radii))
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(lists, pa.int32())], [id_col, "v", "list"])
 

@@ -262,3 +262,28 @@ def test_replays_walk_along_partitions_whatever_the_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in plan_of(R.fsrs_replay(reviews))
+
+
+def test_searches_of_all_vectors_are_products_of_blocks_and_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 6))
+    monkeypatch.setattr(X, "SLICE", 40)
+    monkeypatch.setattr(X, "BLOCK", 7)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<float>")
+    found = V.top_k_vectors(df.filter("vec_id % 20 = 0"), df, 3)
+    unit = rows.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 300, 20):
+        order = sorted((-int(np.floor(unit[q] @ unit[v] * 1_000_000 + 0.5)), v) for v in range(300) if v != q)[:3]
+        want |= {(q, v, -score, n + 1) for n, (score, v) in enumerate(order)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in plan_of(found)
+
+
+def test_a_batch_is_held_against_few_lists_at_once(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["vec_id"])
+    parts = list(X._few([batch], 1024))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) * 1024 <= X.WEIGHED
