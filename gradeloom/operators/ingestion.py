@@ -321,10 +321,13 @@ def source_evidence(drafts: DataFrame, pages: DataFrame, anchor: int = 48) -> Da
 
 
 def choices_preserved(old: DataFrame, new: DataFrame, pages: int = 1, least: int = 12) -> DataFrame:
-    """Is every old choice that is not blank equal to, or (from ``least`` characters on) the start of, a new one within a page?"""
-    before = old.select("import_id", "id", "page_number", evidence(F.col("choice")).alias("c")).filter("c <> ''")
-    after = new.select("import_id", F.explode(F.sequence(F.col("page_number") - pages, F.col("page_number") + pages)).alias("page_number"), evidence(F.col("choice")).alias("d")).distinct()
-    joined = before.join(after, ["import_id", "page_number"], "left")
+    """Is every old choice that is not blank equal to, or (from ``least`` characters on) the start of, a new one within a page?
+
+    Either way both have the same first ``least`` characters, or are the same shorter text, so only these meet.
+    """
+    before = old.select("import_id", "id", "page_number", evidence(F.col("choice")).alias("c")).filter("c <> ''").withColumn("head", F.substring("c", 1, least))
+    after = new.select("import_id", F.explode(F.sequence(F.col("page_number") - pages, F.col("page_number") + pages)).alias("page_number"), evidence(F.col("choice")).alias("d")).distinct().withColumn("head", F.substring("d", 1, least))
+    joined = before.join(after, ["import_id", "page_number", "head"], "left")
     kept = joined.groupBy("import_id", "id", "c").agg(F.bool_or((F.col("c") == F.col("d")) | ((F.length("c") >= least) & F.col("d").startswith(F.col("c")))).alias("kept"))
     return kept.groupBy("import_id", "id").agg(F.bool_and(F.coalesce("kept", F.lit(False))).alias("preserved"), F.count("*").alias("choices"))
 

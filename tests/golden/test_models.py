@@ -287,3 +287,14 @@ def test_a_batch_is_held_against_few_lists_at_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["vec_id"])
     parts = list(X._few([batch], 1024))
     assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) * 1024 <= X.WEIGHED
+
+
+def test_choices_meet_only_those_that_begin_alike(spark):
+    from gradeloom.operators import ingestion as D
+
+    old = [(1, 1, 5, "A) short"), (1, 1, 5, "a long choice of words"), (1, 2, 5, "a long choice o"), (1, 3, 9, "short"), (1, 4, 5, "a long chore"), (1, 5, 5, "sho")]
+    new = [(1, 6, "a short"), (1, 4, "A long choice of words, and more"), (1, 5, "sho rt")]
+    got = D.choices_preserved(spark.createDataFrame(old, "import_id int, id int, page_number int, choice string"), spark.createDataFrame(new, "import_id int, page_number int, choice string"))
+    assert {r["id"]: (r["preserved"], r["choices"]) for r in got.collect()} == {1: (True, 2), 2: (True, 1), 3: (False, 1), 4: (False, 1), 5: (False, 1)}
+    joins = [line for line in plan_of(got).splitlines() if "Join" in line]
+    assert any("head" in line for line in joins)
