@@ -23,6 +23,15 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by a hash of their keys to all of the session's shuffle partitions.
+
+    Adaptive execution merges other shuffles' partitions up to 64 MB of compressed rows, whatever the sorts and hash tables after them hold; a
+    task with many of these needs several GB then. The joins and aggregates by the same keys that follow use these partitions as they are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def upsert_sum(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Add a delta's totals to a base's: ``on conflict do update set n = n + excluded.n`` as a union and a sum."""
     rest = [c for c in base.columns if c not in keys]
