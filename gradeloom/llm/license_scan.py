@@ -2,9 +2,9 @@
 
 A passage that holds a license notice compresses far better once the compressor has seen the notice. Blocks are whole paragraphs with a cue, which is a
 word that some template must have: elsewhere none could be confirmed, so nothing is passed over. In
-each, every template is looked up at every place of its rarest telling word; the words there are compressed alone and with the template
-as a zstandard raw dictionary, and must become much smaller. A place is confirmed by its exact wording differences: the words of the
-template that it lacks, and those it has in their place. Words that tell one license from another (names, numbers, clauses such as
+each, every template is looked up at every place of its rarest telling word; the words around it are compressed alone and with the template
+as a zstandard raw dictionary, and where they become smaller, the place is looked for in them. It is confirmed by its exact wording differences: the
+words of the template that it lacks, and those it has in their place; and by itself it must become much smaller. Words that tell one license from another (names, numbers, clauses such as
 NC) must all be there. Of places that overlap the one with the most words counts, each difference taking two; all others hold, and what is joined to one by "or" or "and" may lack the first words.
 """
 
@@ -84,6 +84,8 @@ TEMPLATES += tuple(
 TEMPLATES += tuple((name, link, link) for name, link in LINKS)
 #: A place must shrink by this share with a template; words that may differ.
 LEAST_GAIN, MOST_DIFFERENT = 0.35, 0.2
+#: A stretch of words is looked at if it shrinks by this share: less than a place must, since it may have other words around the place.
+FIND_GAIN = 0.2
 #: How notices begin, which one joined to another may lack; what joins them; words that make another license of one that lacks them.
 STARTS = ("this work is licensed under", "licensed under the terms of", "licensed under", "released under", "distributed under", "dedicated to", "spdx license identifier")
 JOINS, CLAUSES = frozenset(("or", "and")), frozenset("nc nd sa lesser affero sharealike noncommercial noderivatives".split())
@@ -167,13 +169,16 @@ def _gain(tokens: list[str], template: list[str], compressor: zstandard.ZstdComp
 
 
 def _place(tokens: list[str], low: int, high: int, t: Template, wanted: list[str]) -> Place | None:
-    """Where the words ``wanted`` of a template are in a stretch of a block, if they hold."""
+    """Where the words ``wanted`` of a template are in a stretch of a block that compression with the template finds, if they hold."""
     low = max(0, low)
+    lacking = t.words[: t.start] * (len(wanted) < len(t.words))  # too few words by themselves show nothing
+    if _gain(lacking + tokens[low:high], t.words, t.compressor) < FIND_GAIN:
+        return None
     n, what, first, last = differences(tokens[low:high], wanted)
     here = tokens[low + first : low + last]
     if n > MOST_DIFFERENT * len(wanted) or not t.must <= {*here, *t.words[: len(t.words) - len(wanted)]} or not CLAUSES.isdisjoint(set(here) - set(t.words)):
         return None
-    gain = _gain(t.words[: t.start] * (len(wanted) < len(t.words)) + here, t.words, t.compressor)  # too few words by themselves show nothing
+    gain = _gain(lacking + here, t.words, t.compressor)
     return Place(n, low + first, low + last, Finding(t.license, gain, what, "")) if gain >= LEAST_GAIN else None
 
 

@@ -130,3 +130,11 @@ def test_license_scan_equals_exact_lines_on_the_corpus(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["licenses"] for r in L.op2_license_scan(spark, SF).collect()}
     assert got == {d: ",".join(sorted(k for k, w in exact.items() if w in t.split("\n"))) for d, t in texts.items()}
+
+
+def test_license_places_are_found_by_compression_before_words_are_compared(monkeypatch):
+    compared, differences = [], L.differences
+    monkeypatch.setattr(L, "differences", lambda block, template: compared.append(template) or differences(block, template))
+    assert L.places(L.words("A gnu herd of 3 grazed near the general; an apache guide walked 2.0 miles, fee unpaid, his permission hereby kept and granted late")) == [] and not compared
+    edited = "Code here. Permission is granted, free of charge, to any person getting a copy of this software and associated files, to deal in the Software without restriction"
+    assert [p.finding.license for p in L.places(L.words(edited))] == ["MIT"] and compared
