@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import expressions as E
 from gradeloom.functions import relational as R
 from gradeloom.operators import audits, evaluation, grading, ingestion, progress, reviews
+from gradeloom.plans.adapters import Views
 
 NOW = dt.datetime(2026, 9, 25, 12)
 
@@ -501,3 +502,11 @@ def test_score_rollup_sums_modules_in_all_partitions(spark):
     assert len(rows) == 20 and rows[0] == (3, 3) and rows[1] == (0, 3) and rows[19] == (0, 2) and out.count() == 60
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_roster_and_responses_meet_in_all_partitions(spark, sf):
+    views = Views(spark, sf)
+    both = views.roster.join(views.responses.hint("merge"), ["attempt_id", "question_id"], "left")
+    assert both.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
