@@ -223,6 +223,18 @@ def test_ratings_are_the_same_in_many_blocks_and_answers_are_not_joined_in_each_
     assert K._blocks(df.withColumn("right", F.col("right").cast("double"))).count() > 10
 
 
+def test_ratings_leave_no_earlier_passes_on_disk(spark):
+    import os
+
+    rows = [(s, "ab"[q % 2], q, (s * 7 + q * 3) % 5 % 2) for s in range(30) for q in range(s % 3, 30, 3)]
+    K.item_ratings(spark.createDataFrame(rows[:5], ANSWERS), passes=1)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    there = set(os.listdir(folder))
+    abilities, difficulties = K.item_ratings(spark.createDataFrame(rows, ANSWERS), passes=4)
+    assert len(set(os.listdir(folder)) - there) == 3  # blocks, abilities, difficulties
+    assert abilities.count() == 60 and difficulties.count() == 30
+
+
 def test_ranked_candidates_do_not_meet_all_questions_of_a_skill(spark):
     rng = random.Random(8)
     mastery = [(s, k, rng.choice([-1.0, -0.5, 0.25])) for s in range(8) for k in "abcd"]
