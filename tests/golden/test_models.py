@@ -263,6 +263,33 @@ def test_a_full_question_refuses_all_who_come_after_its_last_at_once(spark, monk
     assert {(r["student_id"], r["question_id"]) for r in got.collect()} == plain_matching(unasked, 20, 1) and len(cuts) <= 7
 
 
+def test_candidates_are_dealt_as_lists_and_earlier_rounds_leave_the_disk(spark):
+    import os
+
+    mastery = spark.createDataFrame([(s, "abc"[s % 3], s / 10 - 1, 8, "2024-01-01") for s in range(30)], "student_id long, skill string, rating double, answers long, last_on string").withColumn("last_on", F.to_date("last_on"))
+    questions = spark.createDataFrame([(q, "abc"[q % 3], q % 5 + 1, "active") for q in range(900)], "question_id long, skill string, difficulty int, status string")
+    seen = spark.createDataFrame([(s, q) for s in range(30) for q in range(s % 3, 900, 21)], "student_id long, question_id long")
+    scored = K.candidate_scores(mastery, questions, seen, F.lit("2024-01-15").cast("date"), pool=7)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
+    rows, near = [tuple(r) for r in scored.collect()], {}
+    assert not {(s, q) for s, _, q, _ in rows} & {tuple(r) for r in seen.collect()}
+    for s, k, q, _ in rows:
+        near.setdefault((s, k), set()).add(q)
+    bank = {k: sorted((q % 5 + 1, q) for q in range(900) if "abc"[q % 3] == k) for k in "abc"}
+    for (s, k), mine in near.items():
+        places = [i for i, (_, q) in enumerate(bank[k]) if q in mine]
+        lost = [q for _, q in bank[k][places[0] : places[-1]] if q not in mine]
+        assert places[-1] - places[0] < 7 and all(q % 21 == s % 3 for q in lost)  # one run of the bank, without what was seen
+    assert set(near) == {(s, "abc"[s % 3]) for s in range(30)}
+    K.assign_candidates(scored.limit(0))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    there = set(os.listdir(folder))
+    got = K.assign_candidates(scored, 2, 1)
+    assert len(set(os.listdir(folder)) - there) == 1
+    assert {(r["student_id"], r["question_id"]) for r in got.collect()} == plain_matching(rows, 2, 1)
+
+
 def test_replays_walk_along_partitions_whatever_the_batches(spark):
     from gradeloom.operators import reviews as R
 
