@@ -11,15 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions.lineage import cut, forget
+
 #: Vectors that an index is fitted on at most, those of them whose neighbours are looked up to set the number of probes, and most lists.
 SAMPLE, TRIALS, MOST_LISTS = 20_000, 400, 1_024
 #: Vectors of a slice and queries of a block.
 SLICE, BLOCK = 4_096, 1_024
 #: Pairs of a vector and a list that a task weighs, and may hand on, at once.
 WEIGHED = 1 << 16
+#: Bytes of vectors in a partition of slices; a task that pairs two partitions holds one of them.
+PART = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -162,44 +166,59 @@ def equal_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 def near_vectors(vectors: DataFrame, index: Index, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """All pairs of different vectors with a cosine of ``threshold`` or more, by class: ``query_id`` < ``id_col`` and ``score`` in millionths.
 
-    No pair is lost: a vector probes each list whose covering radius, the largest angle from its centroid to its members, could hold a partner.
-    Equal vectors are one class (``equal_vectors``), so copies make no pairs.
+    No pair is lost: the slices of two lists meet unless the angles of their vectors to the other's centroid, and the largest angle in it, leave no
+    room for a pair, and of both slices those vectors are multiplied that could have a partner in the other. Slices are rows, and tasks read the
+    partitions of both sides as they are, so no vector is written more than a few times, however many slices it meets. The number of products
+    still grows with the square of the vectors where directions have no clusters. Equal vectors are one class (``equal_vectors``), so copies make no pairs.
     """
     own = vectors.filter(F.col(vector_col).isNotNull()).groupBy(vector_col).agg(F.min(id_col).alias(id_col)).select(id_col, vector_col)
-    homes = in_lists(own, index, id_col, vector_col)
-    angle = _angle_to(index, vector_col)
-    radii = np.full(len(index.centroids), -1.0)
-    for r in homes.groupBy("list").agg(F.max(angle).alias("r")).collect():  # a row for each list
-        radii[r["list"]] = r["r"]
-    centroids, reach = index.centroids.T.copy(), math.acos(threshold) + 1e-7
-
-    def probing(batches):
-        for batch in _few(batches, len(radii)):
-            away = np.arccos(np.clip(_unit(_matrix(batch.column(1))) @ centroids, -1, 1))
-            rows, lists = np.nonzero((radii >= 0) & (away - reach <= radii))
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(lists, pa.int32())], [id_col, "v", "list"])
-
+    homes = cut(in_lists(own, index, id_col, vector_col))
+    sizes = F.broadcast(_parts(homes, SLICE, "slices"))  # a row for each list
+    slices = cut(_slices(homes, sizes, index, id_col, vector_col))
     least = math.floor(threshold * 1_000_000 + 0.5)
-
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": left.column(id_col)[:0], id_col: left.column(id_col)[:0], "score": pa.array([], pa.int64())})
-        scores, q, v = _scores(left, right, id_col)
-        rows, columns = np.nonzero((scores >= least) & (q[:, None] < v[None, :]))
-        return pa.table({"query_id": pa.array(q[rows]), id_col: pa.array(v[columns]), "score": pa.array(scores[rows, columns])})
-
-    kind = dict(vectors.dtypes)
-    probes = own.mapInArrow(probing, f"{id_col} {kind[id_col]}, v {kind[vector_col]}, list int")
-    return _tiles(probes, homes.withColumnRenamed(vector_col, "v"), id_col, pairs)
-
-
-def _angle_to(index: Index, vector_col: str) -> Column:
-    """The angle of a vector to the centroid of its list."""
+    lowest = (least - 0.5) / 1_000_000  # what is rounded up to ``least``
+    reach = math.acos(min(1.0, max(-1.0, lowest))) + 1e-7
+    forget(homes)
+    parts = max(1, -(-slices.count() // max(1, PART // (SLICE * index.centroids.shape[1] * 8))))
+    left, right = (slices.repartition(parts, "no").select(*[F.col(c).alias(f"{side}_{c}") for c in slices.columns]) for side in ("a", "b"))
+    room = lambda a, b: F.element_at(f"{a}_away", F.col(f"{b}_list") + 1) <= F.col(f"{b}_radius") + reach
+    met = left.hint("shuffle_replicate_nl").join(right, (F.col("a_no") <= F.col("b_no")) & room("a", "b") & room("b", "a"))
     centroids = index.centroids
 
-    @F.pandas_udf("double")
-    def angle(v, list_):  # noqa: ANN001
-        rows = _unit(np.stack(v.to_numpy()).astype(np.float64))
-        return list_.astype("float64") * 0 + np.arccos(np.clip((rows * centroids[list_.to_numpy()]).sum(axis=1), -1, 1))
-
-    return angle(F.col(vector_col), F.col("list"))
+    def pairs(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                value = lambda name: row.column(name)[0].as_py()
+                items = lambda name: row.column(name).flatten()
+                a, b = (_unit(items(f"{side}_v").to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, centroids.shape[1])) for side in "ab")
+                ids = [items(f"{side}_id").to_numpy(zero_copy_only=False) for side in "ab"]
+                near = [np.flatnonzero(x @ centroids[value(f"{other}_list")] >= math.cos(min(math.pi, value(f"{other}_radius") + reach))) for x, other in ((a, "b"), (b, "a"))]
+                a, b, one = a[near[0]], b[near[1]].T, value("a_no") == value("b_no")
+                for begin in range(0, len(a), BLOCK):
+                    cosine = a[begin : begin + BLOCK] @ b
+                    rows, columns = np.nonzero(cosine >= lowest - 1e-9)
+                    score = np.floor(cosine[rows, columns] * 1_000_000 + 0.5).astype(np.int64)
+                    q, v = ids[0][near[0][begin + rows]], ids[1][near[1][columns]]
+                    keep = (score >= least) & ((q < v) if one else True)
+                    q, v, score = q[keep], v[keep], score[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q, v), items("a_id").type), pa.array(np.maximum(q, v), items("a_id").type), pa.array(score)], ["query_id", id_col, "score"])
+
+    kind = dict(vectors.dtypes)[id_col]
+    names = ("no", "list", "radius", "id", "v")
+    return met.select(*[f"{side}_{n}" for side in "ab" for n in names]).mapInArrow(pairs, f"query_id {kind}, {id_col} {kind}, score long")
+
+
+def _slices(homes: DataFrame, sizes: DataFrame, index: Index, id_col: str, vector_col: str) -> DataFrame:
+    """A row for each slice of a list: ``no``, its ids and vectors end to end, ``radius``, the largest angle from the list's centroid, and ``away``, the smallest to each centroid."""
+    kind, centroids = dict(homes.dtypes), index.centroids.T.copy()
+
+    def pack(rows: pa.Table) -> pa.Table:
+        vectors = rows.column(vector_col).combine_chunks()
+        at = rows.column("list")[0].as_py()
+        angles = np.arccos(np.clip(_unit(_matrix(vectors)) @ centroids, -1, 1))
+        one = lambda x: pa.array([x.to_pylist()], pa.list_(x.type))
+        return pa.table({"no": rows.column("no")[:1], "list": rows.column("list")[:1], "radius": [float(np.fmax.reduce(angles[:, at]))], "away": one(pa.array(np.fmin.reduce(angles, axis=0))), "id": one(rows.column(id_col)), "v": one(vectors.flatten())})
+
+    dealt = homes.join(sizes, "list").withColumn("no", F.col("list").cast("long") * (1 << 32) + F.pmod(F.xxhash64(id_col), F.col("slices")))
+    return dealt.groupBy("no").applyInArrow(pack, f"no long, list int, radius double, away array<double>, id array<{kind[id_col]}>, v {kind[vector_col]}")

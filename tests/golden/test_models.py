@@ -320,6 +320,26 @@ def test_searches_of_all_vectors_are_products_of_blocks_and_slices(spark, monkey
     assert "FlatMapCoGroupsInArrow" in plan_of(found)
 
 
+def test_near_vectors_are_not_written_for_each_list_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(400, 8))
+    rows[10:20] = rows[:10] + 0.01 * rng.normal(size=(10, 8))
+    rows[30] = np.nan
+    monkeypatch.setattr(X, "SLICE", 16)
+    monkeypatch.setattr(X, "BLOCK", 5)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    index = X.fit_index(df.filter("vec_id <> 30"), lists=12)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for threshold in (0.5, 0.99, -0.2):
+        found = X.near_vectors(df, index, threshold)
+        want = {(i, j): int(np.floor(unit[i] @ unit[j] * 1_000_000 + 0.5)) for i in range(400) for j in range(i + 1, 400) if 30 not in (i, j)}
+        want = {p: s for p, s in want.items() if s >= math.floor(threshold * 1_000_000 + 0.5)}
+        got = {(r["query_id"], r["vec_id"]): r["score"] for r in found.collect()}
+        assert found.count() == len(got) and got == want
+    plan = plan_of(found)
+    assert "FlatMapCoGroupsInArrow" not in plan and "CartesianProduct" in plan
+
+
 def test_a_batch_is_held_against_few_lists_at_once(monkeypatch):
     import pyarrow as pa
 
