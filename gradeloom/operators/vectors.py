@@ -180,7 +180,7 @@ def near_vectors(vectors: DataFrame, index: Index, threshold: float, id_col: str
     reach = math.acos(min(1.0, max(-1.0, lowest))) + 1e-7
     forget(homes)
     parts = max(1, -(-slices.count() // max(1, PART // (SLICE * index.centroids.shape[1] * 8))))
-    left, right = (slices.repartition(parts, "no").select(*[F.col(c).alias(f"{side}_{c}") for c in slices.columns]) for side in ("a", "b"))
+    left, right = (slices.repartition(parts).select(*[F.col(c).alias(f"{side}_{c}") for c in slices.columns]) for side in ("a", "b"))
     room = lambda a, b: F.element_at(f"{a}_away", F.col(f"{b}_list") + 1) <= F.col(f"{b}_radius") + reach
     met = left.hint("shuffle_replicate_nl").join(right, (F.col("a_no") <= F.col("b_no")) & room("a", "b") & room("b", "a"))
     centroids = index.centroids
